@@ -8,6 +8,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bytecnn, linecrf
 from .common import table
 from .packing import pack
 from .tokencount import count_tokens
@@ -18,6 +19,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
 
 
+def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    found = bytecnn.identify(docs, bytecnn.trained(docs, rest != 2))
+    return found.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,8 +65,15 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
+    found = linecrf.score_quality(docs, linecrf.trained(docs, table(spark, sf_dir, "labels"), rest != 1))
+    return found.select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op7_winnowing, op9_token_counts)}
+    return {f.__name__: f for f in (op4_best_fit_packing, op5_byte_cnn, op7_winnowing, op9_token_counts, op10_line_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
