@@ -9,12 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytecnn, linecrf
+from .bagminhash import near_duplicates
 from .common import table
 from .packing import pack
 from .tokencount import count_tokens
 from .winnow import contamination
 
 
+def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+WITH RECURSIVE said AS (
+  SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), bag AS (
+  SELECT r, s, count(*) AS c FROM (
+    SELECT r, array_to_string(w[i:i + 4], ' ') AS s
+    FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM said WHERE len(w) > 0)
+  ) GROUP BY r, s
+), total AS (SELECT r, sum(c) AS t FROM bag GROUP BY r),
+shared AS (
+  SELECT x.r AS a, y.r AS b, sum(least(x.c, y.c)) AS n FROM bag x JOIN bag y USING (s) WHERE x.r < y.r GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN total ta ON ta.r = a JOIN total tb ON tb.r = b WHERE n >= 0.8 * (ta.t + tb.t - n)
+  UNION ALL
+  SELECT x.r, y.r FROM said x JOIN said y ON x.text = y.text AND x.r < y.r WHERE len(x.w) = 0
+), sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT r AS a, r AS b FROM said UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a
+), roots AS (SELECT a AS r, min(b) AS root FROM reach GROUP BY a),
+classes AS (SELECT root, min(doc_id) AS class_id, count(*) AS class_size FROM roots JOIN said USING (r) GROUP BY root)
+SELECT doc_id, class_id, class_size FROM said JOIN roots USING (r) JOIN classes USING (root)
+"""
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
 
@@ -73,8 +103,8 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op5_byte_cnn, op7_winnowing, op9_token_counts, op10_line_crf)}
+    return {f.__name__: f for f in (op3_bagminhash, op4_best_fit_packing, op5_byte_cnn, op7_winnowing, op9_token_counts, op10_line_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_winnowing": OP7_SQL}
+    return {"op3_bagminhash": OP3_SQL, "op7_winnowing": OP7_SQL}
