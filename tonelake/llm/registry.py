@@ -11,11 +11,51 @@ from pyspark.sql import functions as F
 from . import bytecnn, linecrf
 from .bagminhash import near_duplicates
 from .common import table
+from .merkle import audit
 from .packing import pack
+from .snapshots import collapse
 from .tokencount import count_tokens
+from .topk import top_k
 from .winnow import contamination
 
 
+def op1_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as an archive, held against a replica of them that is damaged here and there."""
+    pages = table(spark, sf_dir, "pages").select(
+        F.format_string("warc-%06d", F.floor(F.col("page_id") / 4096)).alias("file"), F.col("page_id").alias("place"), "url", "html"
+    )
+    mark = F.conv(F.substring(F.md5(F.col("place").cast("string")), 1, 4), 16, 10).cast("int") % 101
+    turned = F.when(mark == 11, F.concat(F.col("html"), F.lit("."))).otherwise(F.col("html"))
+    lost = pages.withColumn("html", turned).where(F.coalesce(mark != 7, F.lit(True)))
+    replica = lost.unionByName(lost.where(mark == 13).withColumn("url", F.concat("url", F.lit("#"))))
+    found = audit(pages, replica, "file", "place", ["url", "html"])
+    return found.select(F.col("file").alias("warc_file"), F.col("offset").alias("page_id"), "leaf", "kind", "n_primary", "n_replica", "primary_sha256", "replica_sha256")
+
+
+OP1_SQL = """
+WITH base AS (
+  SELECT 'warc-' || lpad(CAST(page_id // 4096 AS VARCHAR), 6, '0') AS file, page_id, url, html,
+    CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 4) AS INTEGER) % 101 AS mark FROM pages
+), lost AS (
+  SELECT file, page_id, url, CASE WHEN mark = 11 THEN html || '.' ELSE html END AS html, mark FROM base WHERE mark <> 7
+), every AS (
+  SELECT 'p' AS side, file, page_id, url, html FROM base
+  UNION ALL SELECT 'r', file, page_id, url, html FROM lost
+  UNION ALL SELECT 'r', file, page_id, url || '#', html FROM lost WHERE mark = 13
+), hashed AS (
+  SELECT side, file, page_id, sha256(strlen(file) || ':' || file || '|' || strlen(CAST(page_id AS VARCHAR)) || ':' || page_id || '|'
+    || coalesce(strlen(url) || ':' || url, '-') || '|' || coalesce(strlen(html) || ':' || html, '-')) AS h FROM every
+), uneven AS (
+  SELECT file, page_id, h, count(*) FILTER (side = 'p') AS p, count(*) FILTER (side = 'r') AS r FROM hashed GROUP BY ALL
+), spot AS (
+  SELECT file, page_id, CAST(sum(p) AS BIGINT) AS n_primary, CAST(sum(r) AS BIGINT) AS n_replica,
+    min(h) FILTER (p > r) AS primary_sha256, min(h) FILTER (r > p) AS replica_sha256 FROM uneven GROUP BY ALL HAVING bool_or(p <> r)
+)
+SELECT file AS warc_file, page_id, page_id // 64 AS leaf, CASE WHEN primary_sha256 IS NULL THEN 'extra' WHEN replica_sha256 IS NULL
+  THEN 'missing' ELSE 'changed' END AS kind, n_primary, n_replica, primary_sha256, replica_sha256 FROM spot
+"""
+
+
 def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,6 +96,23 @@ def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op6_norm_sorted_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0)
+
+
+OP6_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 20
+"""
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -85,6 +142,27 @@ FROM said LEFT JOIN places USING (r) LEFT JOIN names USING (r)
 """
 
 
+def op8_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse(table(spark, sf_dir, "conversations"))
+
+
+OP8_SQL = """
+WITH turns AS (
+  SELECT *, coalesce(turn // 512, -1099511627776) AS block,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS nth FROM conversations
+), whole AS (
+  SELECT conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY nth) AS l FROM turns GROUP BY conv_id
+), same AS (SELECT min(conv_id) AS conv_id, n, l, count(*) AS n_copies FROM whole GROUP BY n, l),
+kept AS (
+  SELECT conv_id, n AS n_turns, n_copies FROM same a
+  WHERE NOT EXISTS (SELECT 1 FROM same b WHERE b.n > a.n AND b.l[1:a.n] = a.l)
+)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY block) - 1 AS INTEGER) AS part, n_turns, n_copies,
+  string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY nth) AS rendered
+FROM turns JOIN kept USING (conv_id) GROUP BY conv_id, block, n_turns, n_copies
+"""
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
     return counted.select(
@@ -103,8 +181,27 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bagminhash, op4_best_fit_packing, op5_byte_cnn, op7_winnowing, op9_token_counts, op10_line_crf)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_merkle_audit,
+            op3_bagminhash,
+            op4_best_fit_packing,
+            op5_byte_cnn,
+            op6_norm_sorted_top_k,
+            op7_winnowing,
+            op8_snapshot_collapse,
+            op9_token_counts,
+            op10_line_crf,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_bagminhash": OP3_SQL, "op7_winnowing": OP7_SQL}
+    return {
+        "op1_merkle_audit": OP1_SQL,
+        "op3_bagminhash": OP3_SQL,
+        "op6_norm_sorted_top_k": OP6_SQL,
+        "op7_winnowing": OP7_SQL,
+        "op8_snapshot_collapse": OP8_SQL,
+    }
