@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import bytecnn, linecrf
 from .bagminhash import near_duplicates
 from .common import table
+from .layout import extract
 from .merkle import audit
 from .packing import pack
 from .snapshots import collapse
@@ -56,6 +57,10 @@ SELECT file AS warc_file, page_id, page_id // 64 AS leaf, CASE WHEN primary_sha2
 """
 
 
+def op2_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "rendered")
+
+
 def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -185,6 +190,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_merkle_audit,
+            op2_layout_text,
             op3_bagminhash,
             op4_best_fit_packing,
             op5_byte_cnn,
