@@ -12,9 +12,10 @@ points of each process are ever made.
 Registers are banded. A bucket, however large, is not paired off: all its
 members are compared with one pivot, the member that shares most buckets, and
 the links found are closed into classes. Then only members outside a bucket's
-largest class are compared with those of other classes there. So all links
-between classes that any bucket can show are verified, and a group of copies of
-one text costs as many comparisons as it has members.
+largest class are compared with those of other classes there: pair by pair in
+small buckets, block by block in large ones, where only links come out. So all
+links between classes that any bucket can show are verified, and a group of
+copies of one text costs as many comparisons as it has members.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .common import Words, cut, mix, slices
 WORDS, ALIKE = 5, 0.8
 #: 48 bands of 8 registers: a pair at a similarity of 0.8 shares none with a probability of 0.00015.
 BANDS, ROWS = 48, 8
+#: Members up to which a bucket is small, and members of a block of a larger one.
+SMALL, BLOCK = 24, 128
 
 _U = np.uint64
 _STEP, _LEVEL, _REGISTER = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
@@ -173,6 +176,51 @@ def _linked(alike: float):
     return linked
 
 
+def _across(alike: float):
+    """Links between members aside and others of a bucket that are of different classes, one for each class met."""
+
+    def side(column: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return column.field("node").to_numpy(), column.field("root").to_numpy(), shingles(Words(column.field("text")))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (a, ra, sa), (b, rb, sb) = (side(batch.column(c)[i].values) for c in ("aside", "others"))
+                ok = _overlaps(sa, sb, len(a), len(b)) >= alike
+                x, y = np.nonzero(ok & (ra[:, None] != rb[None, :]))
+                _, first = np.unique(np.stack([a[x], rb[y]]), axis=1, return_index=True)
+                yield pa.record_batch([pa.array(a[x[first]]), pa.array(b[y[first]])], ["a", "b"])
+
+    return across
+
+
+def _overlaps(sa: tuple, sb: tuple, na: int, nb: int, step: int = 1 << 13) -> np.ndarray:
+    """Weighted Jaccard similarity of every text of one block with every text of another.
+
+    Counts are cut into layers, the first occurrence of a shingle being one
+    element and the second another, so that shared counts are products of 0s
+    and 1s.
+    """
+    total = [np.bincount(s[0], s[2], n) for s, n in ((sa, na), (sb, nb))]
+    shared = np.zeros((na, nb), np.float32)
+    for layer in range(1, int(min(sa[2].max(initial=0), sb[2].max(initial=0))) + 1):
+        (oa, ha), (ob, hb) = ((s[0][s[2] >= layer], s[1][s[2] >= layer]) for s in (sa, sb))
+        both = np.intersect1d(ha, hb)
+        if not len(both):
+            break
+        for k in range(0, len(both), step):
+            some = both[k : k + step]
+            one = []
+            for own, hashes, n in ((oa, ha, na), (ob, hb, nb)):
+                at = np.minimum(np.searchsorted(some, hashes), len(some) - 1)
+                hit = some[at] == hashes
+                m = np.zeros((n, len(some)), np.float32)
+                m[own[hit], at[hit]] = 1
+                one.append(m)
+            shared += one[0] @ one[1].T
+    return shared / np.maximum(total[0][:, None] + total[1][None, :] - shared, 1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b), root being the least node it is connected with.
 
@@ -240,17 +288,22 @@ def _classes(docs: DataFrame, alike: float) -> tuple[DataFrame, DataFrame]:
     roots = components(verified(stars))
     placed = members.join(roots, "node", "left").select("h", "node", "weight", F.coalesce("root", "node").alias("root"))
     sizes = placed.groupBy("h", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("h").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
-    placed = cut(placed.join(main.select("h", F.col("m.root").alias("main")), "h"))
-    aside = placed.where("root <> main").select("h", F.col("node").alias("u"), F.col("root").alias("u_root"), F.col("weight").alias("u_weight"))
+    main = sizes.groupBy("h").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots"), F.sum("n").alias("all")).where("roots > 1")
+    placed = cut(placed.join(main.select("h", F.col("m.root").alias("main"), "all"), "h"))
+    small = placed.where(F.col("all") <= SMALL)
+    aside = small.where("root <> main").select("h", F.col("node").alias("u"), F.col("root").alias("u_root"), F.col("weight").alias("u_weight"))
     rest = (
-        aside.join(placed, "h")
+        aside.join(small, "h")
         .where((F.col("root") != F.col("u_root")) & close("weight", "u_weight"))
         .select(F.greatest("node", "u").alias("a"), F.least("node", "u").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    more = verified(cut(rest))
+    large = placed.where(F.col("all") > SMALL).join(texts, "node")
+    large = large.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("all") / BLOCK)))
+    packed = lambda x, name: x.groupBy("h", "block").agg(F.collect_list(F.struct("node", "root", "text")).alias(name)).drop("block")
+    blocks = packed(large.where("root <> main"), "aside").join(packed(large, "others"), "h").select("aside", "others")
+    more = verified(cut(rest)).unionByName(blocks.mapInArrow(_across(alike), "a long, b long"))
     final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return rows, nodes.join(final, "node", "left").select("k1", "k2", "doc_id", "print", F.coalesce("root", "node").alias("root"))
 
