@@ -50,10 +50,10 @@ def lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     length = end - start
     kinds = _ROUND[raw]
     safe = np.maximum(length, 1).astype(np.float64)
-    part = [np.zeros(len(raw) + 1, np.int64) for _ in range(7)]
+    share, upto = [np.zeros(0)], np.zeros(len(raw) + 1, np.int64)
     for k in range(1, 7):
-        np.cumsum(kinds == k, out=part[k][1:])
-    share = [None] + [(part[k][end] - part[k][start]) / safe for k in range(1, 7)]
+        np.cumsum(kinds == k, out=upto[1:])
+        share.append((upto[end] - upto[start]) / safe)
 
     words = Words(column)
     line = np.searchsorted(start, words.start, "right") - 1
@@ -169,8 +169,9 @@ def _curve(g: np.ndarray, slope: float, offset: float) -> np.ndarray:
 
 def fit(texts: list[str], good: list[int], weight: dict[int, float], rounds: int = 3, steps: int = 80, rate: float = 0.15, decay: float = 1e-3) -> LineField:
     """A field fitted by gradient ascent (Adam) on the lines' conditional likelihood; ``weight`` is of each label's documents."""
-    column = pa.array(texts, pa.string())
-    x, length, first = lines(column)
+    parts = [lines(x.column(0)) for x in slices([pa.record_batch([pa.array(texts, pa.string())], ["text"])], "text")]
+    x, length = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    first = np.append(0, np.cumsum(np.concatenate([np.diff(p[2]) for p in parts])))
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = neighbours((x - mean) / scale, first)
     label = np.array(good)
