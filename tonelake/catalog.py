@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonelake.queries import samples
+from tonelake.queries import samples, sessions
 
-_PARTS = (samples,)
+_PARTS = (samples, sessions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

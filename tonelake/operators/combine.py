@@ -62,7 +62,7 @@ def fullest_group(takes: DataFrame, source: str, repeat: str) -> DataFrame:
 
 
 def two_largest(x: Column) -> Column:
-    """The largest and the second largest, as an array; ``x`` is held twice at most."""
+    """The largest and the second largest, as an array, of a group as small as a session's 32 microphones."""
     return F.slice(F.sort_array(F.collect_list(x), asc=False), 1, 2)
 
 

@@ -69,6 +69,7 @@ def backfilled(results: DataFrame, archive: DataFrame, keys: list[str], hz: str,
 
 def octave_smoothed(curves: DataFrame, keys: list[str], hz: str, value: str, fraction: float) -> DataFrame:
     """Each point with the mean of the points within half of ``fraction`` octaves on either side."""
-    x = F.log2(hz)
-    w = Window.partitionBy(*keys).orderBy(x).rangeBetween(-fraction / 2, fraction / 2)
-    return curves.where(F.col(hz) > 0).withColumn("smoothed", F.avg(value).over(w))
+    by = ", ".join(f"`{k}`" for k in keys)
+    half = f"{fraction / 2!r}D"
+    mean = f"avg(`{value}`) OVER (PARTITION BY {by} ORDER BY log2(`{hz}`) RANGE BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
+    return curves.where(F.col(hz) > 0).withColumn("smoothed", F.expr(mean))
