@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonelake.queries import samples, sessions
+from tonelake.queries import plans, samples, sessions
 
-_PARTS = (samples, sessions)
+_PARTS = (samples, sessions, plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

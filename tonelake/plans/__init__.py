@@ -1 +1 @@
-
+"""Session plans: their validation, stimulus layout and localization."""
