@@ -169,7 +169,7 @@ class Words:
         """A hash of the k words from each word on; only of use where ``left`` is k at least."""
         n = len(self.hash)
         out = np.zeros(n, np.uint64)
-        for j in range(k):
+        for j in range(min(k, n)):
             out *= _PRIME
-            out[: n - j if j else n] += self.hash[j:]
+            out[: n - j] += self.hash[j:]
         return mix(out + _U(k))
