@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonelake.queries import plans, samples, sessions
+from tonelake.queries import plans, samples, sessions, signals
 
-_PARTS = (samples, sessions, plans)
+_PARTS = (samples, sessions, plans, signals)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -82,6 +82,17 @@ def solvable(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys, "source_id").agg(links.alias("links"), verdict.alias("verdict"))
 
 
+def _cramer(a: list[list[Column]], b: list[Column]) -> list[Column]:
+    """The solution of a symmetric 3 by 3 system by determinants; nulls where it has next to none."""
+
+    def det(m: list[list[Column]]) -> Column:
+        return m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]) - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0]) + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0])
+
+    whole, scale = det(a), a[0][0] + a[1][1] + a[2][2]
+    safe = F.when(F.abs(whole) > 1e-9 * scale * scale * scale, whole)
+    return [det([[b[r] if c == k else a[r][c] for c in range(3)] for r in range(3)]) / safe for k in range(3)]
+
+
 def linear_positions(cells: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, source_id, x, y, z, links): where spheres around surveyed microphones meet, by linear least squares.
 
@@ -97,16 +108,64 @@ def linear_positions(cells: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("links"), *[cov(a, b).alias(a + b) for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")], *[cov(a, "q").alias("q" + a) for a in "xyz"]
     )
     m = {k: F.col(k) for k in ("xx", "yy", "zz", "xy", "xz", "yz", "qx", "qy", "qz")}
-
-    def det(a: list[list[Column]]) -> Column:
-        return (
-            a[0][0] * (a[1][1] * a[2][2] - a[1][2] * a[2][1]) - a[0][1] * (a[1][0] * a[2][2] - a[1][2] * a[2][0]) + a[0][2] * (a[1][0] * a[2][1] - a[1][1] * a[2][0])
-        )
-
     rows3 = [[m["xx"], m["xy"], m["xz"]], [m["xy"], m["yy"], m["yz"]], [m["xz"], m["yz"], m["zz"]]]
-    rhs = [m["qx"], m["qy"], m["qz"]]
-    whole = det(rows3)
-    scale = m["xx"] + m["yy"] + m["zz"]
-    safe = F.when(F.abs(whole) > 1e-9 * scale * scale * scale, whole)
-    solved = [det([[rhs[r] if c == k else rows3[r][c] for c in range(3)] for r in range(3)]) / safe for k in range(3)]
+    solved = _cramer(rows3, [m["qx"], m["qy"], m["qz"]])
     return sums.select(*keys, "source_id", *[s.alias(a) for s, a in zip(solved, "xyz", strict=True)], "links")
+
+
+def refined_positions(cells: DataFrame, keys: list[str], rounds: int = 8, least: float = 1e-4) -> DataFrame:
+    """(keys, source_id, x, y, z, links, rms_m, verdict): positions fitted to ranges, far-off ones counting less.
+
+    Starts where the linear solution is and takes Gauss-Newton steps: each is
+    nine weighted sums a source and one 3 by 3 system, so all sources of all
+    sessions move together. A range that is off by more than three of its
+    uncertainties weighs in proportion less (Huber). A solution whose residual
+    is beyond three median uncertainties is refused.
+    """
+    by = [*keys, "source_id"]
+    usable = cells.where(is_finite(F.col("distance_m")) & (F.col("sigma_m") > 0) & F.col("mic_x").isNotNull())
+    usable = usable.select(*by, "mic_x", "mic_y", "mic_z", "distance_m", F.greatest("sigma_m", F.lit(least)).alias("s"))
+    at = linear_positions(usable, keys).select(*by, "x", "y", "z")
+    for _ in range(rounds):
+        both = usable.join(at, by)
+        gap = [F.col(a) - F.col(f"mic_{a}") for a in "xyz"]
+        r = F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2])
+        both = both.withColumns({"r": F.greatest(r, F.lit(1e-9)), "e": F.col("distance_m") - r})
+        w = F.when(F.abs("e") <= 3 * F.col("s"), 1.0).otherwise(3 * F.col("s") / F.abs("e")) / (F.col("s") * F.col("s"))
+        u = {a: g / F.col("r") for a, g in zip("xyz", gap, strict=True)}
+        sums = both.groupBy(*by, "x", "y", "z").agg(
+            *[F.sum(w * u[a] * u[b]).alias(f"m{a}{b}") for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")], *[F.sum(w * u[a] * F.col("e")).alias(f"v{a}") for a in "xyz"]
+        )
+        m = {k: F.col(f"m{k}") for k in ("xx", "yy", "zz", "xy", "xz", "yz")}
+        rows = [[m["xx"], m["xy"], m["xz"]], [m["xy"], m["yy"], m["yz"]], [m["xz"], m["yz"], m["zz"]]]
+        step = _cramer(rows, [F.col(f"v{a}") for a in "xyz"])
+        at = sums.select(*by, *[(F.col(a) + F.coalesce(d, F.lit(0.0))).alias(a) for a, d in zip("xyz", step, strict=True)])
+    both = usable.join(at, by)
+    r = F.sqrt(sum(((F.col(a) - F.col(f"mic_{a}")) * (F.col(a) - F.col(f"mic_{a}")) for a in "xyz"), F.lit(0.0)))
+    found = both.groupBy(*by, "x", "y", "z").agg(F.count("*").alias("links"), F.sqrt(F.avg((F.col("distance_m") - r) * (F.col("distance_m") - r))).alias("rms_m"), F.percentile("s", F.lit(0.5)).alias("mid"))
+    verdict = F.when(F.col("x").isNull(), "degenerate_geometry").when(F.col("rms_m") > 3 * F.col("mid"), "solve_residual_high").otherwise("solved")
+    kept = lambda c: F.when(verdict == "solved", F.col(c)).alias(c)
+    return found.select(*by, kept("x"), kept("y"), kept("z"), "links", "rms_m", verdict.alias("verdict"))
+
+
+def directions(pairs: DataFrame, keys: list[str], speed: float, rate: float, most: float = 0.5) -> DataFrame:
+    """(keys, x, y, z, residual, reason): where a plane wave comes from, told by delays between pairs of microphones.
+
+    ``pairs`` has dx, dy, dz (metres from the first microphone to the other) and
+    tdoa (samples the other hears it later). Arrays in a plane or on a line
+    leave a direction open, and delays that no plane wave has are refused.
+    """
+    d = F.col("tdoa") * speed / rate
+    ok = pairs.where(is_finite(F.col("tdoa")) & (F.abs(F.col("tdoa")) <= F.sqrt(F.expr("dx*dx+dy*dy+dz*dz")) * rate / speed + 0.5))
+    sums = ok.groupBy(*keys).agg(
+        F.count("*").alias("n"), *[F.sum(F.col(f"d{a}") * F.col(f"d{b}")).alias(f"m{a}{b}") for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")], *[F.sum(-d * F.col(f"d{a}")).alias(f"v{a}") for a in "xyz"]
+    )
+    m = {k: F.col(f"m{k}") for k in ("xx", "yy", "zz", "xy", "xz", "yz")}
+    solved = _cramer([[m["xx"], m["xy"], m["xz"]], [m["xy"], m["yy"], m["yz"]], [m["xz"], m["yz"], m["zz"]]], [F.col(f"v{a}") for a in "xyz"])
+    at = sums.select(*keys, "n", *[s.alias(a) for s, a in zip(solved, "xyz", strict=True)])
+    at = at.withColumn("len", F.sqrt(F.expr("x*x + y*y + z*z")))
+    both = ok.join(at, keys)
+    miss = F.abs(d + (F.col("x") * F.col("dx") + F.col("y") * F.col("dy") + F.col("z") * F.col("dz"))) * rate / speed
+    worst = both.groupBy(*keys, "n", "x", "y", "z", "len").agg(F.max(miss).alias("residual"))
+    reason = F.when(F.col("x").isNull() | (F.col("n") < 3), "degenerate_geometry").when(F.col("residual") > most, "residual_high")
+    return worst.select(*keys, *[F.when(reason.isNull(), F.col(a) / F.col("len")).alias(a) for a in "xyz"], "residual", reason.alias("reason"))
