@@ -265,7 +265,7 @@ def brute_top(vectors, k):
 
 @pytest.mark.parametrize("scale", [1, 10**5])
 def test_top_k_agrees_with_brute_force(spark, monkeypatch, scale):
-    for name, size in (("BLOCK", 16), ("QUERIES", 4), ("SEED", 8)):
+    for name, size in (("BLOCK", 16), ("QUERIES", 4), ("GROWTH", 2)):
         monkeypatch.setattr(topk, name, size)
     rng = np.random.default_rng(6)
     rows = [(i, [float(x) for x in rng.integers(-9, 9, 6) / 16 * scale]) for i in range(120)]

@@ -2,11 +2,13 @@
 
 Vectors are dealt into blocks by descending length. A rotation to the singular
 vectors of the whole table, whose second moments Spark sums up, moves most of
-every inner product into the first coordinates. Queries first meet the longest
-vectors, which gives each a score it must beat. Then each pair of a query block
-and a candidate block is first bounded by lengths alone, then by the partial
-product over the first coordinates plus, by Cauchy and Schwarz, the product of
-what the rest can add; only pairs that may still win are scored, in integers.
+every inner product into the first coordinates. Queries meet the blocks in
+passes, each sixteen times as long as all before it, and after a pass every
+query has a score that it must beat. Each pair of a query block and a candidate
+block is first bounded by lengths alone, then by the partial product over the
+first coordinates plus, by Cauchy and Schwarz, the product of what the rest can
+add; only pairs that may still win are scored, in integers. So a pass yields a
+bounded number of rows for each query, however many vectors there are.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +25,8 @@ from .common import cut
 
 #: Rows of a candidate block and of a query block; at 64 components these are 1 MB and 256 KB.
 BLOCK, QUERIES = 2048, 512
-#: Longest vectors that all queries meet first: a bound on what is broadcast for that.
-SEED = 2048
+#: How many times the blocks of all passes before it a pass has.
+GROWTH = 16
 #: Share of the squared length that the first, rotated coordinates hold.
 HEAD = 0.7
 
@@ -65,28 +68,20 @@ def rotation(vectors: DataFrame) -> tuple[np.ndarray, int]:
     return u, min(d, 1 + int(np.searchsorted(np.cumsum(s) / max(s.sum(), 1e-300), HEAD)))
 
 
-def _blocks(size: int):
-    """Rows in the order they come as blocks: least id, largest length, ids and components as bytes."""
+def _packed(size: int, more: tuple[str, ...] = ()):
+    """Rows in the order they come as blocks: the partition, the largest length, and columns as bytes."""
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         for batch in batches:
             for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                length = part.column("length").to_numpy()
-                yield pa.record_batch(
-                    [
-                        pa.array([length.max()]),
-                        pa.array([part.column("id").to_numpy().astype("<i8").tobytes()]),
-                        pa.array([_matrix(part.column("v")).astype("<i8").tobytes()]),
-                    ],
-                    ["longest", "ids", "v"],
-                )
+                some = batch.slice(at, size)
+                data = [some.column("id").to_numpy().astype("<i8"), _matrix(some.column("v")).astype("<i8")]
+                data += [some.column(c).to_numpy().astype("<f8" if c == "floor" else "<i8") for c in more]
+                columns = [pa.array([part]), pa.array([some.column("length").to_numpy().max()]), *(pa.array([x.tobytes()], pa.binary()) for x in data)]
+                yield pa.record_batch(columns, ["part", "longest", "ids", "v", *more])
 
-    return blocks
-
-
-def _read(block: dict, d: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(block["ids"], "<i8"), np.frombuffer(block["v"], "<i8").reshape(-1, d)
+    return packed
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -118,9 +113,10 @@ def _meet(d: int, turn: np.ndarray, head: int, k: int):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pair in batch.to_pylist():
-                ids, c = _read({"ids": pair["ids"], "v": pair["v"]}, d)
-                own, q = _read({"ids": pair["q_ids"], "v": pair["q_v"]}, d)
-                floor = np.frombuffer(pair["floors"], "<f8")
+                ids, own, floor_id = (np.frombuffer(pair[c], "<i8") for c in ("ids", "q_ids", "floor_id"))
+                c, q = (np.frombuffer(pair[x], "<i8").reshape(-1, d) for x in ("v", "q_v"))
+                floor = np.frombuffer(pair["floor"], "<f8")
+                floor = np.where(np.abs(floor) >= 2**53, np.nextafter(floor, -np.inf), floor)  # it may have been rounded up
                 cf, qf = c.astype(np.float64), q.astype(np.float64)
                 q_length = np.sqrt((qf**2).sum(axis=1))
                 live = np.flatnonzero(q_length * pair["longest"] * (1 + 1e-9) >= floor)
@@ -132,68 +128,54 @@ def _meet(d: int, turn: np.ndarray, head: int, k: int):
                 slack = 1e-6 * (1 + q_length[live, None] * pair["longest"])
                 bound = qr[:, :head] @ cr[:, :head].T + q_rest[:, None] * c_rest[None, :] + slack
                 may = bound >= floor[live, None]
-                rows = np.flatnonzero(may.any(axis=1))
-                cols = np.flatnonzero(may.any(axis=0))
-                if not len(rows):
+                live, cols = live[may.any(axis=1)], np.flatnonzero(may.any(axis=0))
+                if not len(live):
                     continue
-                scores = products(q[live[rows]], c[cols])
-                found = best(scores, ids[cols], own[live[rows]], k)
-                who = np.repeat(own[live[rows]], [len(x) for x, _ in found])
-                yield pa.record_batch(
-                    [pa.array(who), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([s for _, s in found]))],
-                    ["query_id", "vec_id", "score"],
-                )
+                found = best(products(q[live], c[cols]), ids[cols], own[live], k)
+                who = np.repeat(live, [len(x) for x, _ in found])
+                vec, score = np.concatenate([x for x, _ in found]), np.concatenate([s for _, s in found])
+                wins = (score > floor[who]) | ((score == floor[who]) & (vec < floor_id[who]))
+                yield pa.record_batch([pa.array(own[who[wins]]), pa.array(vec[wins]), pa.array(score[wins])], ["query_id", "vec_id", "score"])
 
     return meet
 
 
-def _floors(d: int, seeds: tuple[np.ndarray, np.ndarray], k: int):
-    """Each query block with a score that each of its queries' k best reach at least."""
-    ids, c = seeds
-
-    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for block in batch.to_pylist():
-                own, q = _read(block, d)
-                found = best(products(q, c), ids, own, k)
-                out.append(np.array([s[-1] if len(s) == k else -np.inf for _, s in found], "<f8").tobytes())
-            yield pa.record_batch([batch.column("ids"), batch.column("v"), pa.array(out, pa.binary())], ["q_ids", "q_v", "floors"])
-
-    return floors
-
-
 def top_k(table: DataFrame, key: str, vector: str, asks: Column, k: int = 20, scale: int = 64) -> DataFrame:
     """The k highest inner products of every row that ``asks``, over all other rows.
 
     (query_id, rank, vec_id, score), ties to the smaller vec_id; fewer where
     there are fewer rows. Vectors that are null or hold a null or non-finite
     component take no part, neither do rows without a key; vectors must have
-    one dimension. A key that repeats is a row of its own each time, but no row
-    is a candidate of a query with its key. An empty table gives no rows; other
-    columns are not read.
+    one dimension, and products that fit 64 bits. A key that repeats asks once,
+    with the least of its vectors, and none of its rows is its candidate. An
+    empty table gives no rows; other columns are not read.
     """
-    spark = table.sparkSession
     rows = cut(quantised(table.where(F.col(key).isNotNull()), key, vector, scale))
     if rows.isEmpty():
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     turn, head = rotation(rows)
-    d = len(turn)
-    seeds = rows.orderBy(F.desc("length"), "id").limit(SEED).select("id", "v").toArrow()
-    seeds = (seeds.column("id").to_numpy(), _matrix(seeds.column("v").combine_chunks()))
     n = rows.count()
-    parts = max(1, -(-n // BLOCK))
-    # each partition is a range of lengths, so its blocks are of like lengths
-    held = rows.repartitionByRange(parts, F.desc("length"), "id").sortWithinPartitions(F.desc("length"))
-    blocks = cut(held.mapInArrow(_blocks(BLOCK), "longest double, ids binary, v binary"))
-    asking = rows.where(F.coalesce(asks, F.lit(False)))
-    asked = asking.repartition(max(1, -(-n // (QUERIES * 20))), "id").mapInArrow(_blocks(QUERIES), "longest double, ids binary, v binary")
-    asked = cut(asked.select("ids", "v").mapInArrow(_floors(d, seeds, k), "q_ids binary, q_v binary, floors binary"))
-    # every query block meets every candidate block: blocks are numbered and queries copied to each number
-    lanes = min(parts, 4096)
-    lane = F.pmod(F.xxhash64("ids"), F.lit(lanes))
-    copies = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    pairs = blocks.withColumn("lane", lane.cast("int")).join(copies, "lane").select("longest", "ids", "v", "q_ids", "q_v", "floors")
-    found = pairs.mapInArrow(_meet(d, turn, head, k), "query_id long, vec_id long, score long")
+    # each partition is a range of lengths, the longest first
+    held = rows.repartitionByRange(max(1, -(-n // BLOCK)), F.desc("length"), "id")
+    blocks = cut(held.mapInArrow(_packed(BLOCK), "part long, longest double, ids binary, v binary"))
+    parts = blocks.agg(F.max("part")).first()[0] + 1
+    asking = cut(rows.where(F.coalesce(asks, F.lit(False))).groupBy("id").agg(F.min(F.struct("v", "length")).alias("m")).select("id", "m.v", "m.length"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    top, done, to = None, 0, 1
+    while done < parts:
+        asked = asking.withColumns({"floor": F.lit(float("-inf")), "floor_id": F.lit(0).cast("long")})
+        if top is not None:
+            last = top.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("s"), F.col("vec_id").alias("i"))
+            asked = asking.join(last, "id", "left").withColumns({"floor": F.coalesce(F.col("s").cast("double"), F.lit(float("-inf"))), "floor_id": F.coalesce("i", F.lit(0))})
+        asked = asked.repartition(max(1, -(-n // (QUERIES * 20))), "id").select("id", "v", "length", "floor", "floor_id")
+        asked = asked.mapInArrow(_packed(QUERIES, ("floor", "floor_id")), "part long, longest double, ids binary, v binary, floor binary, floor_id binary")
+        # every query block meets every block of the pass: the queries are copied to each of its lanes
+        lanes = min(to - done, 4096)
+        copies = asked.select(F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), "floor", "floor_id", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
+        some = blocks.where((F.col("part") >= done) & (F.col("part") < to)).withColumn("lane", F.pmod(F.col("part"), F.lit(lanes)).cast("int"))
+        found = some.join(copies, "lane").drop("lane", "part").mapInArrow(_meet(d=len(turn), turn=turn, head=head, k=k), "query_id long, vec_id long, score long")
+        if top is not None:
+            found = found.unionByName(top.select("query_id", "vec_id", "score"))
+        top = cut(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        done, to = to, to * (GROWTH + 1)
+    return top.select("query_id", "rank", "vec_id", "score")
