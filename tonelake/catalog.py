@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonelake.queries import journals, plans, samples, sessions, signals
+from tonelake.queries import journals, layouts, plans, samples, sessions, signals
 
-_PARTS = (samples, sessions, plans, signals, journals)
+_PARTS = (samples, sessions, plans, signals, journals, layouts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
