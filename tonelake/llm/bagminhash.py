@@ -33,6 +33,8 @@ from .common import Words, cut, mix, slices
 WORDS, ALIKE = 5, 0.8
 #: 48 bands of 8 registers: a pair at a similarity of 0.8 shares none with a probability of 0.00015.
 BANDS, ROWS = 48, 8
+#: Points made at once while signing, which bounds memory however many short texts a batch has.
+POINTS = 1 << 19
 #: Members up to which a bucket is small, and members of a block of a larger one.
 SMALL, BLOCK = 24, 128
 
@@ -64,6 +66,17 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 
 def signatures(own: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int, registers: int = BANDS * ROWS) -> np.ndarray:
     """For each of n texts the registers' winning points; texts without shingles have zeros."""
+    # about so many points are made of a text: those of its registers, and two of each shingle
+    cost = np.cumsum(registers * (np.log(registers) + 3) + 2 * np.bincount(own, minlength=n))
+    bounds = np.append(np.flatnonzero(np.diff(cost // POINTS, prepend=-1)), n)
+    out = [np.zeros((0, registers), np.uint64)]
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        a, b = np.searchsorted(own, (lo, hi))
+        out.append(_signed(own[a:b] - lo, hashes[a:b], counts[a:b], int(hi - lo), registers))
+    return np.concatenate(out)
+
+
+def _signed(own: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int, registers: int) -> np.ndarray:
     # a process for every dyadic interval that begins below the count
     depth = np.ceil(np.log2(counts)).astype(np.int64) + 1
     rep = np.repeat(np.arange(len(own)), depth)
