@@ -102,6 +102,13 @@ def solvability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return localization.solvable(m, ["session"])
 
 
+def solvability_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All measurements; sources reach one to five microphones."""
+    m = measurements(spark, sf_dir).withColumns({"source_id": F.col("source"), "k": F.col("microphone") % (F.col("source") % 5 + 1)})
+    m = m.withColumns({"sigma_m": F.lit(0.01), "mic_x": F.col("k") * 1.0, "mic_y": F.when(F.col("session") % 3 == 0, F.col("k") * 2.0).otherwise((F.col("k") * F.col("k")) * 1.0), "mic_z": F.lit(1.0)})
+    return localization.solvable(m, ["session"])
+
+
 def calibration_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier rows as lines of loose calibration text, read back."""
     s = read(spark, sf_dir, "supplier")
@@ -196,6 +203,9 @@ SELECT session, source_id, repeat_index, microphone_id, round(CASE WHEN reason I
     "positions": """SELECT c_nationkey AS session, c_custkey AS source_id, round(c_acctbal / 1000, 5) AS x, round(c_custkey % 7 * 0.5, 5)::DOUBLE AS y, round(c_nationkey * 0.1, 5)::DOUBLE AS z, CAST(8 AS BIGINT) AS links FROM customer""",
     "solvability": """WITH m AS (SELECT l_orderkey % 50 AS session, l_partkey % 7 AS source_id, l_suppkey % 10 AS k FROM lineitem WHERE l_quantity > 46),
 g AS (SELECT session, source_id, count(DISTINCT k) AS links FROM m GROUP BY ALL)
+SELECT session, source_id, links, CASE WHEN links < 3 THEN 'insufficient_ranges' WHEN session % 3 = 0 THEN 'degenerate_geometry' WHEN links = 3 THEN 'mirror_ambiguous' ELSE 'solvable' END AS verdict FROM g""",
+    "solvability_all": """WITH m AS (SELECT l_orderkey % 50 AS session, l_partkey % 7 AS source_id, l_suppkey % 10 % (l_partkey % 7 % 5 + 1) AS k FROM lineitem),
+g AS (SELECT session, source_id, count(DISTINCT k) AS links FROM m GROUP BY ALL)
 SELECT session, source_id, links, CASE WHEN links < 3 THEN 'insufficient_ranges' WHEN session % 3 = 0 THEN 'degenerate_geometry' WHEN links = 3 THEN 'mirror_ambiguous' ELSE 'solvable' END AS verdict FROM g""",
     "calibration_text": """SELECT s_nationkey, CASE WHEN s_suppkey % 6 = 5 THEN s_acctbal ELSE s_suppkey::DOUBLE END AS frequency_hz, CASE WHEN s_suppkey % 6 = 5 THEN s_suppkey::DOUBLE ELSE s_acctbal END AS spl_db FROM supplier
 WHERE s_suppkey % 6 IN (2, 3, 5) AND CASE WHEN s_suppkey % 6 = 5 THEN s_acctbal ELSE s_suppkey END > 0""",
@@ -215,6 +225,6 @@ SELECT o_orderkey, 'sweep_' || (CASE WHEN CAST(floor(lo) AS BIGINT) % 2 = 0 THEN
 }
 
 QUERIES = [
-    plan_validation, stimulus_layouts, take_completeness, loopback_matrix, relative_matrix, positions, solvability, calibration_text, curve_file, loss_reports,
+    plan_validation, stimulus_layouts, take_completeness, loopback_matrix, relative_matrix, positions, solvability, solvability_all, calibration_text, curve_file, loss_reports,
     labels_and_advice, stream_meters, stream_frames,
 ]

@@ -106,6 +106,14 @@ def increasing_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return takes(spark, sf_dir).select("take_id", sequences.strictly_increasing(F.slice("samples", F.lit(1), (F.col("take_id") % 3).cast("int") + 1)).alias("increasing"))
 
 
+def increasing_grids_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole takes as grids: sorted, sorted but for the last sample, and as they are."""
+    t = takes(spark, sf_dir)
+    up, k, n = F.array_sort("samples"), F.col("take_id") % 3, F.greatest(F.size("samples") - 1, F.lit(0))
+    grid = F.when(k == 0, up).when(k == 1, F.concat(F.slice(up, F.lit(1), n), F.slice(up, 1, 1))).otherwise(F.col("samples"))
+    return t.select("take_id", sequences.strictly_increasing(grid).alias("increasing"))
+
+
 def first_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Onset and peak of the first arrival, of takes turned into decaying responses."""
     s = long_takes(spark, sf_dir).withColumn("x", F.pow(F.abs("x"), F.lit(4.0)) * F.when((F.col("idx") % 13) == (F.col("take_id") % 13), 500.0).otherwise(0.01))
@@ -222,6 +230,10 @@ SELECT take_id, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS "end", round(
 SELECT take_id, round(max(abs(x - a * i - b)), 6) AS largest, round(sqrt(avg((x - a * i - b) * (x - a * i - b))), 6) AS rms FROM s JOIN c USING (take_id) GROUP BY take_id""",
     "increasing_grids": _S + """, g AS (SELECT take_id, x > lag(x) OVER (PARTITION BY take_id ORDER BY i) AS up FROM s WHERE i <= take_id % 3)
 SELECT take_id, bool_and(coalesce(up, true)) AS increasing FROM g GROUP BY take_id""",
+    "increasing_grids_all": """WITH u AS (SELECT vec_id, embedding, list_sort(embedding) AS l FROM embeddings),
+w AS (SELECT vec_id AS take_id, CASE vec_id % 3 WHEN 0 THEN l WHEN 1 THEN list_concat(l[1:len(l) - 1], l[1:1]) ELSE embedding END AS g FROM u),
+s AS (SELECT take_id, unnest(g) AS x, generate_subscripts(g, 1) AS i FROM w), d AS (SELECT take_id, x > lag(x) OVER (PARTITION BY take_id ORDER BY i) AS up FROM s)
+SELECT take_id, bool_and(coalesce(up, true)) AS increasing FROM d GROUP BY take_id""",
     "first_peaks": _S + """, r AS (SELECT take_id, i, pow(abs(x), 4) * CASE WHEN i % 13 = take_id % 13 THEN 500 ELSE 0.01 END AS e FROM s),
 t AS (SELECT take_id, greatest(12 * quantile_cont(e, 0.5), 2 * quantile_cont(e, 0.9), 0.08 * max(e)) AS f FROM r GROUP BY take_id),
 o AS (SELECT take_id, min(i) AS onset FROM r JOIN t USING (take_id) WHERE i <= 63 / 2.0 AND e >= f GROUP BY take_id)
@@ -264,6 +276,6 @@ SELECT take_id, CAST(first(lag ORDER BY r DESC, lag) AS INTEGER) AS lag, round(m
 
 QUERIES = [
     take_quality, take_findings, clip_stats, channel_levels, snr_ratio, spl_calibration, verdict_per_source, running_peak_hold, gap_islands,
-    continuity_report, tumbling_frames, active_span, lag_windows, detrend, increasing_grids, first_peaks, longest_silence, take_average,
+    continuity_report, tumbling_frames, active_span, lag_windows, detrend, increasing_grids, increasing_grids_all, first_peaks, longest_silence, take_average,
     grid_mismatch, hf_fraction, band_snr, welch_coherence, fir_bandpass, tone_phasor, correlation_lag,
 ]

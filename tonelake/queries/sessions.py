@@ -181,6 +181,14 @@ def device_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.unique_or_named(wanted, p.where("p_partkey < 200").select(F.col("p_partkey").cast("string").alias("device_id"), F.concat("p_name", F.when(F.col("p_partkey") < 5, "").otherwise(" x")).alias("name")))
 
 
+def device_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``device_lookup`` with all parts as devices; names that clash are asked for too."""
+    p = read(spark, sf_dir, "part")
+    name = F.concat("p_name", F.when(F.col("p_partkey") < 5, "").otherwise(" x"))
+    wanted = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").cast("string").alias("selector")).union(p.select(F.upper("p_name")).union(p.select(F.upper(name))).distinct())
+    return catalogue.unique_or_named(wanted.union(spark.createDataFrame([("none",)], "selector string")), p.select(F.col("p_partkey").cast("string").alias("device_id"), name.alias("name")))
+
+
 def recording_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation")
     speakers = n.where("n_nationkey < 4").select(F.col("n_nationkey").alias("speaker_index"), F.when(F.col("n_nationkey") == 3, "LFE").otherwise(F.col("n_name")).alias("speaker"))
@@ -305,6 +313,10 @@ SELECT s_nationkey, string_agg(s_name, ', ' ORDER BY s_name) FILTER (i <= 3) ||
     "device_lookup": """WITH d AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || CASE WHEN p_partkey < 5 THEN '' ELSE ' x' END AS name FROM part WHERE p_partkey < 200),
 w AS (SELECT CAST(p_partkey AS VARCHAR) AS selector FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT DISTINCT upper(p_name) FROM part UNION ALL SELECT 'none'),
 n AS (SELECT selector, (SELECT count(*) FROM d WHERE id = selector) AS ids, (SELECT count(*) FROM d WHERE lower(name) = lower(selector)) AS names, (SELECT min(id) FROM d WHERE lower(name) = lower(selector)) AS by_name FROM w)
+SELECT selector, CASE WHEN ids = 1 THEN selector WHEN names = 1 THEN by_name END AS device_id, CASE WHEN ids = 1 OR names = 1 THEN NULL WHEN names > 1 THEN 'ambiguous' ELSE 'not_found' END AS error FROM n""",
+    "device_lookup_all": """WITH d AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || CASE WHEN p_partkey < 5 THEN '' ELSE ' x' END AS name FROM part),
+w AS (SELECT CAST(p_partkey AS VARCHAR) AS selector FROM part WHERE p_partkey % 50 = 0 UNION ALL (SELECT upper(p_name) FROM part UNION SELECT upper(name) FROM d) UNION ALL SELECT 'none'),
+n AS (SELECT selector, (SELECT count(*) FROM d WHERE id = selector) AS ids, (SELECT count(*) FROM d WHERE lower(name) = lower(selector)) AS names, (SELECT min(id) FROM d WHERE lower(name) = lower(selector)) AS by_name FROM w)
 SELECT selector, CASE WHEN ids = 1 THEN selector WHEN names = 1 THEN by_name END AS device_id, CASE WHEN ids = 1 OR names = 1 THEN NULL WHEN names > 1 THEN 'ambiguous' ELSE 'not_found' END AS error FROM n""",
     "recording_grid": """WITH s AS (SELECT n_nationkey AS speaker_index, CASE WHEN n_nationkey = 3 THEN 'LFE' ELSE n_name END AS speaker FROM nation WHERE n_nationkey < 4), t AS (SELECT r_regionkey AS k FROM region WHERE r_regionkey < 2)
 SELECT p.k AS position, speaker_index, m.k AS microphone, speaker || ' (Pos ' || (p.k + 1) || ' / Mic ' || (m.k + 1) || ')' AS name, CASE WHEN lower(speaker) IN ('lfe', 'sub') THEN 10.0::DOUBLE ELSE 20 END AS start_hz,
@@ -331,6 +343,6 @@ SELECT o_custkey, "rows", coalesce(p, 3) AS position, coalesce(n, -1) AS next_or
 QUERIES = [
     combine_repeats, pooled_upper_median, top_group, two_largest, loopback_stability, reference_summary, emitter_anchor, range_summary, skew_warnings,
     probe_align, drift_roll_up, range_sigmas, completeness, orphan_takes, repeated_takes, calibration_fallback, interval_route, region_check,
-    rate_semi_join, upsert, source_identity, role_map, hash_inventory, device_merge, short_names, name_listing, device_lookup, recording_grid,
+    rate_semi_join, upsert, source_identity, role_map, hash_inventory, device_merge, short_names, name_listing, device_lookup, device_lookup_all, recording_grid,
     log_interpolation, gated_argmax, low_level, backfill, octave_smoothing, take_ids, safe_names, nested_report, progress_state,
 ]
