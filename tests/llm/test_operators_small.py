@@ -105,6 +105,21 @@ def test_layout_of_odd_tables(spark):
     assert layout.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p title=don't>hello <b>you</b>", "hello you"),
+        ("<a href=\"x\"\">text</a> more", "text more"),
+        ("<p title=don't>a<p title=won't>b", "a\n\nb"),
+        ("<p it's class='x>y' hidden>no</p><p =\"a>b", 'b'),
+        ("<p title= 'a>b' style = 'display:none'>no</p>yes<p a=b=\"c>d\">e", 'yes\n\nd">e'),
+        ("a<p title='x>y", "a"),
+    ],
+)
+def test_stray_quotes_in_tags(page, text):
+    assert layout.render(page) == text
+
+
 @pytest.mark.parametrize("page", ["<div>" * 20000, "<b>" * 20000 + "</i>" * 20000, '<p "' * 5000, "<" * 50000, "<table><tr><td>" * 2000, "<li>" * 20000])
 def test_layout_is_linear_in_hostile_pages(page):
     layout.render(page)

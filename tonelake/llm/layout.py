@@ -37,8 +37,11 @@ IMPLIED = {
     "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>""")
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+# A quote opens a value only right after "=", elsewhere it is a character like others; only a value that stays open does not end.
+_W = r"[ \t\n\r\f]"
+_NAME, _VALUE = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+", r"""(?:"[^"]*+"|'[^']*+'|(?!["'])[^ \t\n\r\f>]*+)"""
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)((?:[ \t\n\r\f/]++|{_NAME}(?:{_W}*+={_W}*+{_VALUE}|(?!{_W}*+=)))*+)>")
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_W}*+={_W}*+({_VALUE}))?+")
 _NONE, _SIGHT = re.compile(r"display\s*:\s*none"), re.compile(r"visibility\s*:\s*(hidden|collapse|visible)")
 _RULE, _SIMPLE = re.compile(r"([^{}]+)\{([^{}]*)\}"), re.compile(r"([a-z][a-z0-9]*)?([.#][\w-]+)?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -171,7 +174,7 @@ class Page:
         unseen = bool(self.stack and self.stack[-1][2])
         has: dict[str, str] = {}
         if attributes and (self.rules or tag in ("td", "th", "ol", "li", "details", "dialog") or "hidden" in attributes.lower() or "style" in attributes.lower()):
-            has = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
+            has = {k.lower(): v[1:-1] if v[:1] in ("'", '"') else v for k, v in _ATTRIBUTE.findall(attributes)}
             look = has.get("style", "").lower()
             gone = gone or "hidden" in has or bool(_NONE.search(look))
             if sight := _SIGHT.search(look):
@@ -337,7 +340,7 @@ class Page:
             m = _TAG.match(page, to)
             if m is None:
                 if page[to + 1 : to + 2].isalpha() or page[to + 1 : to + 2] == "/" and page[to + 2 : to + 3].isalpha():
-                    break  # a tag that does not end takes the rest of the page
+                    break  # a tag that the page's end cuts off takes the rest of the page
                 self.text("<")
                 at = to + 1
                 continue
