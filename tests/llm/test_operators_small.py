@@ -120,6 +120,30 @@ def test_stray_quotes_in_tags(page, text):
     assert layout.render(page) == text
 
 
+@pytest.mark.parametrize(
+    ("sheet", "page", "text"),
+    [
+        ("@media print {.nav{display:none} p{display:none}}", "<p class=nav>1<p>2", "1\n\n2"),
+        ("@media (max-width:600px){.side{display:none}} .no{display:none}", "<p class=side>1<p class=no>2", "1"),
+        ("@media only screen { .a{display:none} } @media not print{.b{display:none}}", "<p class=a>1<p class=b>2<p>3", "3"),
+        ("@supports (display:grid){@media screen, print{.a{display:none}}} @keyframes x{from{display:none}}", "<p class=a>1<p>2", "2"),
+        (".a{visibility:hidden} .a .b{visibility:visible}", "<p class=a>1<i class=b>2</i>3", "2"),
+        ("div .no{display:none} .a.b{display:none} div > i{display:none}", "<p class=no>1<p class=a>2<p class='b a'>3<div><p class=no>4</p><b><i>5</i></b><i>6</i></div>", "1\n\n2\n\n5"),
+        (".m{display:none} .m.open{display:block} p{display:block}", "<p class=m>1<p class='m open'>2<p class=m style='display:block'>3", "2\n\n3"),
+        ("/* .x{ */ .y::before{content:'}'} .x{display:none!important} .z:hover{display:none}", "<p class=x style='display:block'>1<p class=z>2", "2"),
+        (".x{color:red} } .z{display:none", "<p class=x>1<p class=z>2", "1\n\n2"),
+    ],
+)
+def test_sheets_are_read_for_a_screen(sheet, page, text):
+    assert layout.render(f"<style>{sheet}</style>{page}") == text
+    assert layout.render(f"<html><body><style>html {{}}</style><style media=print>p{{display:none}}</style><style>{sheet}</style>{page}") == text
+
+
+@pytest.mark.parametrize("page", ["<style>.x .x > .x{display:none}</style>" + "<div class=x>" * 20000, "<style>" + "a{" * 20000, "<style>" + "@media print{" * 20000, "<style>" + "a{b:c}" * 20000])
+def test_sheets_are_linear_in_hostile_pages(page):
+    layout.render(page)
+
+
 @pytest.mark.parametrize("page", ["<div>" * 20000, "<b>" * 20000 + "</i>" * 20000, '<p "' * 5000, "<" * 50000, "<table><tr><td>" * 2000, "<li>" * 20000])
 def test_layout_is_linear_in_hostile_pages(page):
     layout.render(page)

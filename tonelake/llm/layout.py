@@ -42,13 +42,121 @@ _W = r"[ \t\n\r\f]"
 _NAME, _VALUE = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+", r"""(?:"[^"]*+"|'[^']*+'|(?!["'])[^ \t\n\r\f>]*+)"""
 _TAG = re.compile(rf"<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)((?:[ \t\n\r\f/]++|{_NAME}(?:{_W}*+={_W}*+{_VALUE}|(?!{_W}*+=)))*+)>")
 _ATTRIBUTE = re.compile(rf"({_NAME})(?:{_W}*+={_W}*+({_VALUE}))?+")
-_NONE, _SIGHT = re.compile(r"display\s*:\s*none"), re.compile(r"visibility\s*:\s*(hidden|collapse|visible)")
-_RULE, _SIMPLE = re.compile(r"([^{}]+)\{([^{}]*)\}"), re.compile(r"([a-z][a-z0-9]*)?([.#][\w-]+)?")
+_LOOK = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?")
+_CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|<!--|-->|("(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|[{};]|[^{};"'/<-]++|.)""", re.S)
+_AT = re.compile(r"@([\w-]+)(.*)", re.S)
+_COMPOUND = re.compile(r"([a-z][a-z0-9]*|\*)?((?:[.#][\w-]+)*)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 #: Lines of cells longer than this do not widen their column.
 WIDEST = 80
 
 
+def declared(style: str) -> dict[str, tuple[str, bool]]:
+    """display and visibility as a style sets them, each (value, whether important)."""
+    found: dict[str, tuple[str, bool]] = {}
+    for name, value, important in _LOOK.findall(style.lower()):
+        if important or not found.get(name, ("", False))[1]:
+            found[name] = (value, bool(important))
+    return found
+
+
+def on_screen(query: str) -> bool:
+    """Whether a list of media queries holds for a screen of which nothing else is known."""
+    words = [" ".join(x.lower().split()).removeprefix("only ") for x in query.split(",")]
+    return any(x in ("", "all", "screen") or x.startswith("not ") and x[4:].isalpha() and x[4:] not in ("all", "screen") for x in words)
+
+
+def sheet_rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of a sheet's rules that hold on a plain screen.
+
+    @media that asks for more than a screen, @container, @supports not and rules inside rules are not read.
+    """
+    kept, said, head = [True], [""], ""  # of each open brace, whether rules inside it hold; and its selectors
+    body: list[str] = []
+    for m in _CSS.finditer(sheet):
+        token = m[1]
+        if token is None:
+            head += " "
+        elif token == "{":
+            what = head.strip()
+            group = _AT.match(what)
+            name, rest = (group[1].lower(), group[2].strip()) if group else ("", "")
+            holds = not group or name == "layer" or name == "media" and on_screen(rest) or name == "supports" and not rest.lower().startswith("not")
+            kept.append(kept[-1] and holds and not said[-1])
+            said.append("" if group else what or "?")
+            head, body = "", []
+        elif token == "}":
+            if len(kept) > 1:
+                if said[-1] and kept[-1]:
+                    yield said[-1], "".join([*body, head])
+                kept.pop()
+                said.pop()
+            head, body = "", []
+        elif token == ";":
+            body += [head, ";"]
+            head = ""
+        else:
+            head += token
+
+
+class Sheet:
+    """Rules on display and visibility, by compounds: each is a bit, set for an element it and all before it fit.
+
+    Selectors are tags, classes, ids and *, joined by blanks or >; others are not read.
+    """
+
+    def __init__(self) -> None:
+        #: By tag, .class, #id or *: (bit, tag, marks, bit before or 0, whether that is the parent's, rule or None).
+        self.by: dict[str, list[tuple[int, str, frozenset[str], int, bool, tuple | None]]] = {}
+        self.many = self.rules = 0
+
+    def add(self, sheet: str) -> bool:
+        before = self.many
+        for selectors, body in sheet_rules(sheet):
+            look = declared(body)
+            if not look:
+                continue
+            self.rules += 1
+            for one in selectors.split(","):
+                parts = one.replace(">", " > ").split()
+                found = [None if x == ">" else _COMPOUND.fullmatch(x) for x in parts]
+                if not parts or any(x != ">" and m is None for x, m in zip(parts, found, strict=True)) or any(x == ">" and (k in (0, len(parts) - 1) or parts[k - 1] == ">") for k, x in enumerate(parts)):
+                    continue
+                marks = [frozenset(re.findall(r"[.#][\w-]+", m[2])) if m else frozenset() for m in found]
+                weight = (sum(x[0] == "#" for s in marks for x in s), sum(x[0] == "." for s in marks for x in s), sum(bool(m and m[1] and m[1] != "*") for m in found))
+                last = 0
+                for k, m in enumerate(found):
+                    if m is None:
+                        continue
+                    tag = (m[1] or "*").lower()
+                    key = min(marks[k]) if marks[k] else tag
+                    bit = 1 << self.many
+                    self.many += 1
+                    rule = (weight, self.rules, look) if k == len(found) - 1 else None
+                    self.by.setdefault(key, []).append((bit, "" if tag == "*" else tag, marks[k], last, k > 0 and parts[k - 1] == ">", rule))
+                    last = bit
+        return self.many > before
+
+    def fit(self, tag: str, has: dict[str, str], parent: tuple[int, int]) -> tuple[tuple[int, int], list[tuple]]:
+        """Bits of an element and of it with all around it, and the rules that hold for it."""
+        marks = {"." + x for x in has.get("class", "").split()} | ({"#" + has["id"]} if has.get("id") else set())
+        own, rules = 0, []
+        for key in (tag, "*", *marks):
+            for bit, name, needs, last, direct, rule in self.by.get(key, ()):
+                if (not name or name == tag) and needs <= marks and (not last or parent[0 if direct else 1] & last):
+                    own |= bit
+                    if rule:
+                        rules.append(rule)
+        return (own, own | parent[1]), rules
+
+    @staticmethod
+    def look(rules: list[tuple], inline: str) -> dict[str, str]:
+        """What display and visibility come to."""
+        ranked = [(important, (0, *weight), nth, name, value) for weight, nth, look in rules for name, (value, important) in look.items()]
+        ranked += [(important, (1, 0, 0, 0), 0, name, value) for name, (value, important) in declared(inline).items()]
+        return {name: value for *_, name, value in sorted(ranked)}
+
+
 class Flow:
     """Lines of one stretch of text: of the page, or of a table cell."""
 
@@ -133,15 +241,19 @@ class Table:
         return out
 
 
+def attributes_of(said: str) -> dict[str, str]:
+    return {k.lower(): v[1:-1] if v[:1] in ("'", '"') else v for k, v in _ATTRIBUTE.findall(said)}
+
+
 class Page:
-    """Reads one page. ``stack`` holds open elements as [tag, gone, unseen, what to undo at its end]."""
+    """Reads one page. ``stack`` holds open elements as [tag, gone, unseen, what to undo at its end, number, attributes, bits of its sheet rules]."""
 
     def __init__(self) -> None:
         self.flow = Flow()
         self.stack: list[list] = []
         self.open: Counter[str] = Counter()
         self.tables: list[tuple[Table, Flow]] = []
-        self.rules: set[tuple[str, str]] = set()
+        self.sheet = Sheet()
 
     # -------------------------------------------------------- elements
 
@@ -173,15 +285,15 @@ class Page:
         gone = bool(self.stack and self.stack[-1][1]) or tag in NEVER
         unseen = bool(self.stack and self.stack[-1][2])
         has: dict[str, str] = {}
-        if attributes and (self.rules or tag in ("td", "th", "ol", "li", "details", "dialog") or "hidden" in attributes.lower() or "style" in attributes.lower()):
-            has = {k.lower(): v[1:-1] if v[:1] in ("'", '"') else v for k, v in _ATTRIBUTE.findall(attributes)}
-            look = has.get("style", "").lower()
-            gone = gone or "hidden" in has or bool(_NONE.search(look))
-            if sight := _SIGHT.search(look):
-                unseen = sight[1] != "visible"
-        if self.rules and not gone:
-            names = ["", *("." + x for x in has.get("class", "").split()), *(["#" + has["id"]] if "id" in has else [])]
-            gone = any((t, x) in self.rules for t in ("", tag) for x in names if t or x)
+        if attributes and (self.sheet.many or tag in ("td", "th", "ol", "li", "details", "dialog") or "hidden" in attributes.lower() or "style" in attributes.lower()):
+            has = attributes_of(attributes)
+        bits, rules = self.sheet.fit(tag, has, self.stack[-1][6] if self.stack else (0, 0)) if self.sheet.many else ((0, 0), [])
+        if rules or "style" in has:
+            look = Sheet.look(rules, has.get("style", ""))
+            gone = gone or look.get("display") == "none"
+            if look.get("visibility") in ("hidden", "collapse", "visible"):
+                unseen = look["visibility"] != "visible"
+        gone = gone or "hidden" in has
         if tag == "dialog" and "open" not in has:
             gone = True
         if self.stack and self.stack[-1][0] == "details" and self.stack[-1][3] == "closed" and tag != "summary":
@@ -224,7 +336,7 @@ class Page:
                 self.flow = Flow()
         if tag == "details" and "open" not in has:
             undo = "closed"
-        self.stack.append([tag, gone, unseen, undo, getattr(self, "number", 1) if tag in ("ul", "ol", "menu", "dir") else 0])
+        self.stack.append([tag, gone, unseen, undo, getattr(self, "number", 1) if tag in ("ul", "ol", "menu", "dir") else 0, attributes, bits])
         self.open[tag] += 1
 
     def table_part(self, tag: str) -> None:
@@ -270,7 +382,7 @@ class Page:
             pass
 
     def pop(self) -> str:
-        tag, gone, unseen, undo, _ = self.stack.pop()
+        tag, gone, unseen, undo, *_ = self.stack.pop()
         self.open[tag] -= 1
         if gone or unseen:
             return tag
@@ -313,12 +425,11 @@ class Page:
         flow.text(data.replace("\xa0", " ") if not flow.pre else data)
 
     def styled(self, sheet: str) -> None:
-        """Remembers plain selectors (tag, .class, #id, tag.class) that hide elements."""
-        for selectors, body in _RULE.findall(sheet):
-            if _NONE.search(body.lower()):
-                for one in selectors.split(","):
-                    if (m := _SIMPLE.fullmatch(one.strip())) and m[0]:
-                        self.rules.add((m[1] or "", m[2] or ""))
+        """Remembers the rules of a sheet, which hold from here on."""
+        if self.sheet.add(sheet):
+            bits = (0, 0)
+            for entry in self.stack:  # what is open may stand in a selector
+                bits = entry[6] = self.sheet.fit(entry[0], attributes_of(entry[5]), bits)[0]
 
     def read(self, page: str) -> str:
         at, n = 0, len(page)
@@ -353,7 +464,8 @@ class Page:
                 close = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
                 to = close.start() if close else n
                 if tag == "style":
-                    self.styled(page[at:to])
+                    if on_screen(attributes_of(m[3]).get("media", "")):
+                        self.styled(page[at:to])
                 else:
                     self.text(page[at:to])
                 at = to
@@ -384,7 +496,11 @@ def extract(pages: DataFrame, page: str = "html", to: str = "rendered") -> DataF
     """``pages`` with the visible text of each; all rows and columns stay, one already named ``to`` is replaced.
 
     Malformed pages are read as browsers do: a tag that never ends takes the
-    rest, end tags without a start are dropped. Repeated rows are rendered each
+    rest, end tags without a start are dropped. Of style sheets in the page,
+    display and visibility are read, for a screen of unknown size: selectors of
+    tags, classes, ids and * joined by blanks or >, from where the sheet stands
+    on; @media that asks for more than a screen, @container, rules inside rules,
+    other selectors and linked sheets are not. Repeated rows are rendered each
     and an empty table gives an empty one.
     """
     return pages.withColumn(to, visible_text(F.col(page)))
