@@ -120,6 +120,30 @@ def test_stray_quotes_in_tags(page, text):
     assert layout.render(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> so", "x=1 so"),
+        ("a <svg width='1'/><svg><title>no</title><defs><text>no</text></defs> no <path d='M0 0'/><text>one <tspan>two</tspan></text><text/><text>three</text></svg> b", "a\none two\nthree\nb"),
+        ("<svg><style>.x{display:none}</style><text class=x>no</text><foreignObject><p>yes</p></foreignObject><g>no<p>out", "yes\n\nout"),
+        ("<svg/>a<svg><g><svg/><style/></g>no</svg><svg class=x/>no</svg>b", "ab"),
+        ("x <map name=m><a href=y>in the map</a><area></map> y", "x in the map y"),
+        ("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>x", "x"),
+        ("<table><tr><td>1<td><table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>x</table><tr><td>2<td>y</table>", "1  x\n2  y"),
+        ("<table style='visibility:hidden'><tr><td>no<tr style='visibility:visible'><td>a<td>b</table>c", "a  b\n\nc"),
+        ("<table><tr><td style='visibility:hidden'>no<i style='visibility:visible'>in</i><td>b</table>", "in  b"),
+        ("a<div><table style='visibility:hidden'><tr><td>no</table></div>b", "a\nb"),
+    ],
+)
+def test_what_browsers_show_is_kept(page, text):
+    assert layout.render(page) == text
+
+
+@pytest.mark.parametrize("page", ["<svg>" * 20000 + "x<p>" * 2000, "<svg><g>" * 5000 + "<text>x</text>" * 5000, "<math>" + "<mi>x" * 20000, "<svg>" + "<g>x" * 20000])
+def test_svg_and_math_are_linear_in_hostile_pages(page):
+    layout.render(page)
+
+
 @pytest.mark.parametrize(
     ("sheet", "page", "text"),
     [

@@ -24,7 +24,11 @@ from .common import slices
 # Element names of HTML by how they are laid out.
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-NEVER = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math datalist map meter progress".split())
+NEVER = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist meter progress".split())
+#: In svg and math: what is never shown, where HTML goes on, and the HTML elements that end them.
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker lineargradient radialgradient filter metadata desc annotation annotation-xml".split())
+INWARD = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+OUTWARD = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup option p pre listing xmp search section summary ul table caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl blockquote pre listing xmp figure table fieldset".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var".split())
@@ -42,6 +46,7 @@ _W = r"[ \t\n\r\f]"
 _NAME, _VALUE = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+", r"""(?:"[^"]*+"|'[^']*+'|(?!["'])[^ \t\n\r\f>]*+)"""
 _TAG = re.compile(rf"<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)((?:[ \t\n\r\f/]++|{_NAME}(?:{_W}*+={_W}*+{_VALUE}|(?!{_W}*+=)))*+)>")
 _ATTRIBUTE = re.compile(rf"({_NAME})(?:{_W}*+={_W}*+({_VALUE}))?+")
+_UNQUOTED = re.compile(rf"""={_W}*[^ \t\n\r\f"'>][^ \t\n\r\f>]*$""")
 _LOOK = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?")
 _CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|<!--|-->|("(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|[{};]|[^{};"'/<-]++|.)""", re.S)
 _AT = re.compile(r"@([\w-]+)(.*)", re.S)
@@ -246,7 +251,7 @@ def attributes_of(said: str) -> dict[str, str]:
 
 
 class Page:
-    """Reads one page. ``stack`` holds open elements as [tag, gone, unseen, what to undo at its end, number, attributes, bits of its sheet rules]."""
+    """Reads one page. ``stack`` holds open elements as [tag, gone, unseen, what to undo at its end, number, attributes, bits of its sheet rules, place]."""
 
     def __init__(self) -> None:
         self.flow = Flow()
@@ -260,7 +265,14 @@ class Page:
     def visible(self) -> bool:
         return not self.stack or not (self.stack[-1][1] or self.stack[-1][2])
 
+    def place(self) -> tuple[bool, bool]:
+        """Whether the place is in svg or math, and whether text stands there: of an svg, only that of its text elements does."""
+        return self.stack[-1][7] if self.stack else (False, True)
+
     def start(self, tag: str, attributes: str) -> None:
+        if tag in OUTWARD and self.place()[0]:
+            while self.pop() not in ("svg", "math"):
+                pass
         if tag in ENDS_P and self.within("p", FENCE | {"button"}):
             self.end("p")
         if tag in IMPLIED:
@@ -282,7 +294,8 @@ class Page:
                 elif tag == "hr":
                     self.flow.block(1)
             return
-        gone = bool(self.stack and self.stack[-1][1]) or tag in NEVER
+        within, drawn = self.place()
+        gone = bool(self.stack and self.stack[-1][1]) or tag in NEVER or within and tag in UNDRAWN
         unseen = bool(self.stack and self.stack[-1][2])
         has: dict[str, str] = {}
         if attributes and (self.sheet.many or tag in ("td", "th", "ol", "li", "details", "dialog") or "hidden" in attributes.lower() or "style" in attributes.lower()):
@@ -300,8 +313,20 @@ class Page:
             gone = True
         undo: object = None
         flow = self.flow
+        if not gone:  # unseen tables and cells keep their place
+            if tag == "table":
+                if not unseen:
+                    flow.block(1)
+                self.tables.append((Table(), flow))
+                undo = "table"
+            elif tag == "tr":
+                self.tables[-1][0].rows.append([])
+            elif tag in ("td", "th"):
+                span = [int(has[k]) if has.get(k, "").isdecimal() and has[k].isascii() and len(has[k]) < 6 else 1 for k in ("colspan", "rowspan")]
+                undo = (flow, min(max(span[0], 1), 1000), max(span[1], 1))
+                self.flow = Flow()
         if not (gone or unseen):
-            if tag in BLOCK or tag == "tr":
+            if (tag in BLOCK or tag == "tr") and tag != "table" or tag == "text" and within:
                 inner = self.open["li"] and tag in ("ul", "ol", "menu", "dir")
                 flow.block(1 if tag in SPACED and not inner else 0)
             if tag in ("ul", "ol", "menu", "dir"):
@@ -325,19 +350,17 @@ class Page:
             elif tag in ("pre", "listing", "xmp", "textarea"):
                 flow.pre += 1
                 undo = "pre"
-            elif tag == "table":
-                self.tables.append((Table(), flow))
-                undo = "table"
-            elif tag == "tr":
-                self.tables[-1][0].rows.append([])
-            elif tag in ("td", "th"):
-                span = [int(has[k]) if has.get(k, "").isdecimal() and has[k].isascii() and len(has[k]) < 6 else 1 for k in ("colspan", "rowspan")]
-                undo = (flow, min(max(span[0], 1), 1000), max(span[1], 1))
-                self.flow = Flow()
         if tag == "details" and "open" not in has:
             undo = "closed"
-        self.stack.append([tag, gone, unseen, undo, getattr(self, "number", 1) if tag in ("ul", "ol", "menu", "dir") else 0, attributes, bits])
+        place = (within, drawn)
+        if tag in ("svg", "math"):
+            place = (True, drawn and tag == "math")
+        elif within:
+            place = (tag not in INWARD, drawn or tag in ("text", "foreignobject"))
+        self.stack.append([tag, gone, unseen, undo, getattr(self, "number", 1) if tag in ("ul", "ol", "menu", "dir") else 0, attributes, bits, place])
         self.open[tag] += 1
+        if (within or tag in ("svg", "math")) and attributes.endswith("/") and not _UNQUOTED.search(attributes):
+            self.pop()
 
     def table_part(self, tag: str) -> None:
         """Ends the part before this one, and starts the rows and bodies a page leaves out."""
@@ -382,9 +405,9 @@ class Page:
             pass
 
     def pop(self) -> str:
-        tag, gone, unseen, undo, *_ = self.stack.pop()
+        tag, gone, unseen, undo, *_, place = self.stack.pop()
         self.open[tag] -= 1
-        if gone or unseen:
+        if gone:
             return tag
         if tag in ("td", "th"):
             parent, across, down = undo
@@ -396,10 +419,18 @@ class Page:
         if undo == "table":
             table, flow = self.tables.pop()
             self.flow = flow
-            flow.block(1)
-            for line in table.lines():
+            lines = table.lines()
+            if lines or not unseen:
+                flow.block(1)
+            for line in lines:
                 flow.parts = [line]
                 flow.newline()
+            if lines and unseen:
+                flow.block(1)
+        if unseen:
+            return tag
+        if tag == "text" and place[0]:
+            flow.block()
         if tag in BLOCK:
             flow.block(1 if tag in SPACED and not (self.open["li"] and tag in ("ul", "ol", "menu", "dir")) else 0)
         if undo == "pre":
@@ -411,7 +442,7 @@ class Page:
     # ------------------------------------------------------------ text
 
     def text(self, data: str) -> None:
-        if not data or not self.visible():
+        if not data or not self.visible() or not self.place()[1]:
             return
         if self.stack and self.stack[-1][0] == "details" and self.stack[-1][3] == "closed":
             return
@@ -460,7 +491,7 @@ class Page:
                 self.end(tag)
                 continue
             self.start(tag, m[3])
-            if tag in RAW:
+            if tag in RAW and self.stack[-1][0] == tag and (tag in ("script", "style") or not self.place()[0]):
                 close = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
                 to = close.start() if close else n
                 if tag == "style":
