@@ -408,6 +408,26 @@ def test_long_conversations_come_in_parts(spark, monkeypatch):
     assert "".join(r.rendered for r in rows) == "".join(f"<|im_start|>user\nt{t}<|im_end|>\n" for t in range(30))
 
 
+def test_turns_of_one_number_are_spread_over_tasks(spark, monkeypatch):
+    turns = [(c, n, "user", f"t{k % 300:03}") for c, many in ((None, 400), (None, 400), (2, 500)) for k in range(many) for n in (None, 7)]
+    turns += [(3, t, r, x) for c, t, r, x in turns if c == 2] + [(4, None, "user", "t000")]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    monkeypatch.setattr(snapshots, "PART_BYTES", 2000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        widest = snapshots.prefixes(table).select("conv", "block", F.spark_partition_id().alias("task")).distinct().groupBy("conv", "block").count()
+        rows = snapshots.collapse(table).collect()
+        assert max(r["count"] for r in widest.collect()) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.conv_id, r.n_turns, r.n_copies) for r in rows} == {(None, 1600, 1), (2, 1000, 2)}
+    for conv in (None, 2):
+        mine = sorted((r for r in rows if r.conv_id == conv), key=lambda r: r.part)
+        whole = sorted((n is not None, x) for c, n, _, x in turns if c == conv)
+        assert [r.part for r in mine] == list(range(len(mine))) and max(len(r.rendered) for r in mine) < 2100
+        assert "".join(r.rendered for r in mine) == "".join(f"<|im_start|>user\n{x}<|im_end|>\n" for _, x in whole)
+
+
 # ------------------------------------------------------------------ op9
 
 
