@@ -135,6 +135,18 @@ def test_positions_of_flat_arrays_are_refused(spark):
     assert (r.x, r.y, r.z, r.links) == (None, None, None, 4)
 
 
+def test_recordings_over_the_limit_are_errors(spark, tmp_path):
+    x = np.zeros((5000, 2), np.float32)
+    (tmp_path / "a.wav").write_bytes(recordings.encode(x[:100], 48000))
+    (tmp_path / "b.wav").write_bytes(recordings.encode(x, 48000))
+    rows = recordings.recordings(spark, str(tmp_path), largest=2000).collect()
+    assert {(r.path[-5:], r.error) for r in rows} == {("a.wav", None), ("b.wav", "larger than 2000 bytes")} and len(rows) == 3
+    with open(tmp_path / "c.wav", "wb") as f:  # three channels of the most frames were over the limit
+        f.truncate(recordings.MOST_FRAMES * 3 * 4)
+    assert "c.wav" in {r.path[-5:] for r in recordings.recordings(spark, str(tmp_path), largest=128 << 20).collect()}
+    assert recordings.LARGEST >= recordings.MOST_FRAMES * recordings.MOST_CHANNELS * 4 and recordings.LARGEST < 1 << 31
+
+
 def test_recordings_round_trip(spark, tmp_path):
     x = np.random.default_rng(0).uniform(-1, 1, (5000, 2)).astype(np.float32)
     (tmp_path / "a.wav").write_bytes(recordings.encode(x, 48000))

@@ -18,22 +18,26 @@ from pyspark.sql import functions as F
 BLOCK = 2048
 #: Largest recording, in frames.
 MOST_FRAMES = 16_000_000
+#: Most channels of a recording that long; a row of Spark holds no more than 2 GB.
+MOST_CHANNELS = 33
+#: Largest file: that many samples of 32 bits, and room for other chunks.
+LARGEST = MOST_FRAMES * MOST_CHANNELS * 4 + (1 << 20)
 
 SCHEMA = "path string, rate int, channels int, frames long, block int, channel int, samples array<float>, error string"
 
 
-def _chunks(data: bytes) -> dict[bytes, bytes]:
+def _chunks(data: bytes | memoryview) -> dict[bytes, bytes | memoryview]:
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise ValueError("not a RIFF WAVE file")
     at, found = 12, {}
     while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
+        name, size = bytes(data[at : at + 4]), struct.unpack("<I", data[at + 4 : at + 8])[0]
         found.setdefault(name, data[at + 8 : at + 8 + size])
         at += 8 + size + size % 2
     return found
 
 
-def decode(data: bytes) -> tuple[int, np.ndarray]:
+def decode(data: bytes | memoryview) -> tuple[int, np.ndarray]:
     """Rate and samples (frames, channels) of PCM 16, 24, 32 or float 32; full scale is 1."""
     parts = _chunks(data)
     if len(parts.get(b"fmt ", b"")) < 16 or b"data" not in parts:
@@ -76,7 +80,7 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             try:
-                rate, x = decode(data.as_buffer().to_pybytes())
+                rate, x = decode(memoryview(data.as_buffer()))  # not copied
             except ValueError as e:
                 yield pa.RecordBatch.from_pylist([{"path": path, "error": str(e)}], kind)
                 continue
@@ -88,10 +92,15 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pylist(rows[at : at + 512], kind)
 
 
-def recordings(spark: SparkSession, path: str, glob: str = "*.wav", largest: int = 128 << 20) -> DataFrame:
-    """A row for each block and channel of every recording; what cannot be read is a row with an error."""
+def recordings(spark: SparkSession, path: str, glob: str = "*.wav", largest: int = LARGEST) -> DataFrame:
+    """A row for each block and channel of every recording; what cannot be read is a row with an error.
+
+    A task holds one file several times over, so ``largest`` is to fit its memory; the content of larger files is not read.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("length") <= largest).select("path", "content").mapInArrow(_decoded, SCHEMA)
+    read = files.where(F.col("length") <= largest).select("path", "content").mapInArrow(_decoded, SCHEMA)
+    over = files.where(F.col("length") > largest).select("path", F.concat(F.lit("larger than "), F.lit(largest), F.lit(" bytes")).alias("error"))
+    return read.unionByName(over, allowMissingColumns=True)
 
 
 def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
