@@ -314,6 +314,20 @@ def test_network_without_labels(spark):
     assert bytecnn.identify(docs.limit(0), None).count() == 0
 
 
+def test_every_language_is_learnt(spark, monkeypatch):
+    monkeypatch.setattr(bytecnn, "LANGUAGES", 3)
+    rows = [(i, f"some text {i} of it", f"l{i % 40:02}") for i in range(800)] + [(900, "one alone", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, langs = bytecnn.sample(docs, F.lit(True), 10)
+    assert set(langs) == {r[2] for r in rows} and len(texts) < 120
+    assert len(bytecnn.fit(texts, langs, epochs=1).languages) == 41
+
+
+def test_nothing_learnt_keeps_what_has_letters(spark):
+    kept = bytecnn.identified(docs_of(spark, ["abc", None, "12 !", "", "é"]), None).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 4]
+
+
 # ------------------------------------------------------------------ op6
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import slices, utf8
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-#: Labelled rows the network is fitted on, per language, and characters taken of each.
+#: Labelled rows the network is fitted on, per language, and characters taken of each; of more languages, fewer rows each.
 PER_LANGUAGE, CHARACTERS, LANGUAGES = 1000, 600, 100
 UNKNOWN = "und"
 
@@ -100,7 +100,8 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, batch: int = 64, ra
     raw, ends = utf8(pa.array(texts, pa.string()))
     cut, owner, held = windows(raw, ends)
     kept = held >= min(32, held.max(initial=1))
-    cut, y = cut[kept], np.array([names.index(x) for x in langs])[owner[kept]]
+    number = {x: k for k, x in enumerate(names)}
+    cut, y = cut[kept], np.array([number[x] for x in langs])[owner[kept]]
     net = ByteNet(
         [rng.normal(0, 0.1, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS],
         [np.zeros(FILTERS, np.float32) for _ in WIDTHS],
@@ -150,15 +151,19 @@ def _direct(net: ByteNet, cut: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]
 
 
 def sample(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """Pieces of labelled texts from all over ``docs``: about ``per_language`` rows of each language."""
+    """Pieces of labelled texts from all over ``docs``: about ``per_language`` rows of each language, one at least.
+
+    Of more than ``LANGUAGES`` languages there are as many rows in all as of so many.
+    """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    draw = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.min(draw).alias("least")).collect()
     if not counts:
         return [], []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    draw = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20))
+    per_language = max(1, min(per_language, per_language * LANGUAGES // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"]), r["least"]) for r in counts], "lang string, share double, least long")
     # a share of 1/2**20 is one row of a million
-    chosen = rows.where(draw < F.element_at(share, F.col("lang")) * (1 << 20))
+    chosen = rows.join(F.broadcast(shares), "lang").where((draw < F.col("share") * (1 << 20)) | (draw == F.col("least")))
     at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - CHARACTERS)) + 1
     found = chosen.select("lang", F.substring(F.col("text"), at, F.lit(CHARACTERS)).alias("text"))
     pairs = sorted((r.lang, r.text) for r in found.limit(2 * per_language * len(counts)).collect())
@@ -176,11 +181,16 @@ def _predicted(net: ByteNet | None, batch: pa.RecordBatch) -> tuple[list[str], n
     names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
     if net is None or not texts:
         return names, scores
+    if len(texts) > 1 and len(texts) * len(net.languages) > 1 << 22:  # many languages: fewer texts at once
+        half = len(texts) // 2
+        parts = [_predicted(net, batch.slice(0, half)), _predicted(net, batch.slice(half))]
+        return parts[0][0] + parts[1][0], np.concatenate([parts[0][1], parts[1][1]])
     raw, ends = utf8(batch.column("text"))
     total = np.zeros((len(texts), len(net.languages)))
     cut, owner, held = windows(raw, ends)
     held = np.maximum(1, held)
-    np.add.at(total, owner, net.probabilities(cut) * held[:, None])
+    for i in range(0, len(cut), 1024):
+        np.add.at(total, owner[i : i + 1024], net.probabilities(cut[i : i + 1024]) * held[i : i + 1024, None])
     total /= np.bincount(owner, held, len(texts))[:, None]
     best = total.argmax(axis=1)
     for i, text in enumerate(texts):
@@ -209,10 +219,16 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
 
 
 def identified(docs: DataFrame, net: ByteNet | None, least: float = 0.4) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose language is known with a score of ``least`` or more."""
+    """The rows of ``docs``, with all columns, whose language is known with a score of ``least`` or more.
+
+    If there was nothing to learn from, all that have a letter.
+    """
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
+            if net is None:
+                yield batch.filter(pa.array([bool(x and _LETTER(x)) for x in batch.column("text").to_pylist()], pa.bool_()))
+                continue
             names, scores = _predicted(net, batch)
             yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
