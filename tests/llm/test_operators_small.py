@@ -286,6 +286,42 @@ def test_packing_is_whole_and_tight(spark, monkeypatch):
     assert packing.pack(docs.limit(0), WORD_MODEL).count() == 0
 
 
+def test_ids_of_units_are_the_library_s(monkeypatch):
+    """Random texts of what units are cut at, composed and cased characters, special tokens, and a memory that is full at once."""
+    from tokenizers import Tokenizer
+
+    model, ids = Tokenizer.from_file(WORD_MODEL), packing.WordIds(WORD_MODEL)
+    parts = ["a", "B", "'", "s", "'S", "LL", "1", "²", "½", "é", "É", "e\u0301", "H\u0331", "\u0338", "=", "<", "|>", "<|", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    parts += [" ", "\n", "\x0b", "\x1c", "\x00", "\x01", "\x85", "\xa0", "\u3000", "中", "Σ", "İ", "ß", "ÿ", "\xad", "ﬁ", "①", ".", ",", "!!", "word", "Ñandú", "y" * 40, "z" * 300]
+    rng = random.Random(6)
+    for turn in range(400):
+        monkeypatch.setattr(packing, "REMEMBERED", rng.choice([3, 50, 600_000]))
+        monkeypatch.setattr(packing, "AT_ONCE", rng.choice([1, 7, 1 << 18]))
+        texts = [None, *["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(5)]]
+        got, first = ids.of(pa.array(texts))
+        for text, a, b in zip(texts, first[:-1], first[1:], strict=True):
+            assert got[a:b].tolist() == [*model.encode(text or "", add_special_tokens=False).ids, 0], (turn, text)
+
+
+def test_ids_of_long_texts_in_stretches():
+    column = pa.array(["x" * 500, "word, " * 400, "", "no", "1a!" * 300 + " end"])
+    data, ends = packing.utf8(column)
+    ranges = list(packing.WordIds.stretches(data, ends, limit=100))
+    assert ranges[0][0] == 0 and ranges[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:], strict=False)) and len(ranges) > 5
+    ids = packing.WordIds(WORD_MODEL)
+    whole = ids.of(column)[0]
+    ids.stretches = lambda data, ends: iter(ranges)
+    assert ids.of(column)[0].tolist() == whole.tolist()
+
+
+def test_packing_is_near_the_bound_however_dealt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for parts in (1, 16, 64):
+        found = packing.pack(docs.repartition(parts), WORD_MODEL)
+        tokens, used = found.agg(F.sum("length"), F.count_distinct("sequence_id")).first()
+        assert used <= 1.002 * -(-tokens // 2048), parts
+
+
 def test_best_fit_takes_the_tightest_bin():
     bins, places, fills = packing.best_fit(np.array([6, 5, 4, 3, 2]), 10)
     assert bins.tolist() == [0, 1, 0, 1, 1] and places.tolist() == [0, 0, 6, 5, 8] and set(fills.tolist()) == {10}
