@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -168,6 +169,111 @@ def test_sheets_are_linear_in_hostile_pages(page):
     layout.render(page)
 
 
+HOSTILE = [
+    "<b>" * 20000 + "<li>x" * 20000, "<ul>" + "<b>" * 20000 + "<li>x</li>" * 20000, "<li><ul>" + "<div>" * 20000 + "<li>x</li>" * 20000, "<b>" * 20000 + "<div>" * 20000 + "</b>" * 20000,
+    "<table>" + "<b>" * 20000 + "<td>x" * 20000, "<p><b>" + "<button>" * 20000 + "<p>x" * 20000, "<select><option>" + "<b>" * 20000 + "<option>" * 20000,
+]
+
+
+@pytest.mark.parametrize("page", HOSTILE)
+def test_lists_and_cells_are_linear_in_deep_stacks(page):
+    began = time.process_time()
+    layout.render(page)
+    assert time.process_time() - began < 8
+
+
+def test_ten_thousand_malformed_pages():
+    rng = random.Random(8)
+    tags = "p div b i ul ol li table tr td th tbody caption pre blockquote dl dt dd select option svg math text g mi details summary dialog h1 span button object style script textarea template".split()
+    more = ["", "", "", " style='visibility:hidden'", " style='visibility:visible'", " style='display:none'", " hidden", " rowspan=3", " colspan=2", " start=7", " class=a", " open", "/", " x=\"", " it's"]
+    for _ in range(10000):
+        parts = []
+        for _ in range(rng.randrange(30)):
+            tag = rng.choice(tags)
+            parts.append(rng.choice([f"<{tag}{rng.choice(more)}>"] * 3 + [f"</{tag}>"] * 2 + ["x", "y z", "&amp;", "<", "<!--", "-->", ".a{visibility:hidden}"]))
+        assert isinstance(layout.render("".join(parts)), str)
+
+
+# A second renderer: from a tree of elements to its text, without any tags to read.
+
+
+def random_tree(rng, depth=0):
+    """(kind, children): blocks of words, lists, tables of words, and what is hidden."""
+    word = lambda: rng.choice(["alpha", "be", "gamma rays", "d", "x < y"])
+    kind = rng.choice(["p", "div", "hidden", "script", "pre", "ul", "ol", "table"]) if depth < 3 else rng.choice(["p", "pre", "hidden"])
+    if kind in ("p", "hidden", "script"):
+        return kind, [word() for _ in range(rng.randrange(1, 4))]
+    if kind == "pre":
+        return kind, [f"  {word()}" for _ in range(rng.randrange(1, 3))]
+    if kind == "table":
+        return kind, [[word() for _ in range(rng.randrange(1, 4))] for _ in range(rng.randrange(1, 4))]
+    if kind == "div":
+        return kind, [random_tree(rng, depth + 1) for _ in range(rng.randrange(1, 4))]
+    return kind, [(word(), random_list(rng, depth + 1) if depth < 2 and rng.random() < 0.3 else None) for _ in range(rng.randrange(1, 4))]
+
+
+def random_list(rng, depth):
+    return rng.choice(["ul", "ol"]), [(rng.choice(["one", "two three"]), None) for _ in range(rng.randrange(1, 3))]
+
+
+def as_html(rng, node):
+    kind, inside = node
+    esc = lambda x: x.replace("<", "&lt;")
+    loose = rng.random() < 0.5  # with the end tags left out that HTML implies
+    if kind in ("p", "hidden", "script"):
+        said = " ".join(f"<b>{esc(x)}</b>" if kind == "p" and rng.random() < 0.3 else esc(x) for x in inside)
+        return {"p": f"<p>{said}</p>", "hidden": f"<div style='display: none'>{said}</div>", "script": f"<script>{said}</script>"}[kind]
+    if kind == "pre":
+        return "<pre>" + "\n".join(map(esc, inside)) + "</pre>"
+    if kind == "table":
+        rows = ["".join(f"<td>{esc(c)}" + ("" if loose else "</td>") for c in row) for row in inside]
+        return "<table>" + "".join(f"<tr>{r}" + ("" if loose else "</tr>") for r in rows) + "</table>"
+    if kind == "div":
+        return "<div>" + "\n ".join(as_html(rng, x) for x in inside) + "</div>"
+    return f"<{kind}>" + "".join(f"<li>{esc(w)}{as_html(rng, sub) if sub else ''}" + ("" if loose else "</li>") for w, sub in inside) + f"</{kind}>"
+
+
+def as_parts(node):
+    """(margin before and after, lines) of each block; a div has none of its own."""
+    return [x for child in node[1] for x in as_parts(child)] if node[0] == "div" else [as_lines(node)]
+
+
+def as_lines(node, inner=False):
+    kind, inside = node
+    if kind in ("hidden", "script"):
+        return 0, []
+    if kind == "p":
+        return 1, [" ".join(inside)]
+    if kind == "pre":
+        return 1, list(inside)
+    if kind == "table":
+        wide = [max(len(row[c]) for row in inside if len(row) > c) for c in range(max(map(len, inside)))]
+        return 1, ["  ".join(c.ljust(n) for c, n in zip(row, wide, strict=False)).rstrip() for row in inside]
+    lines = []
+    for n, (word, sub) in enumerate(inside, 1):
+        mark = "- " if kind == "ul" else f"{n}. "
+        lines += [mark + word, *[" " * len(mark) + x for x in (as_lines(sub, True)[1] if sub else [])]]
+    return 0 if inner else 1, lines
+
+
+def joined(parts):
+    lines, gap = [], 0
+    for margin, own in parts:
+        gap = max(gap, margin)
+        if own:
+            lines += [""] * (gap if lines else 0) + own
+            gap = margin
+    return lines
+
+
+def test_layout_agrees_with_a_second_renderer():
+    rng = random.Random(9)
+    for turn in range(1500):
+        trees = [random_tree(rng) for _ in range(rng.randrange(1, 5))]
+        page = "".join(as_html(rng, x) for x in trees)
+        assert layout.render(page) == "\n".join(joined([x for t in trees for x in as_parts(t)])), (turn, page)
+
+
 @pytest.mark.parametrize("page", ["<div>" * 20000, "<b>" * 20000 + "</i>" * 20000, '<p "' * 5000, "<" * 50000, "<table><tr><td>" * 2000, "<li>" * 20000])
 def test_layout_is_linear_in_hostile_pages(page):
     layout.render(page)

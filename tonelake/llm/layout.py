@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
-from collections.abc import Iterator
+from bisect import bisect, bisect_left
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -251,17 +252,34 @@ def attributes_of(said: str) -> dict[str, str]:
 
 
 class Page:
-    """Reads one page. ``stack`` holds open elements as [tag, gone, unseen, what to undo at its end, number, attributes, bits of its sheet rules, place]."""
+    """Reads one page.
+
+    ``stack`` holds open elements as [tag, gone, unseen, what to undo at its
+    end, number, attributes, bits of its sheet rules, place, serial]. Serials
+    grow, and ``open`` has those of each tag's open elements, so which of them
+    stands above others is told without a walk over the stack.
+    """
 
     def __init__(self) -> None:
         self.flow = Flow()
         self.stack: list[list] = []
-        self.open: Counter[str] = Counter()
+        self.open: defaultdict[str, list[int]] = defaultdict(list)
+        self.lists: list[list] = []
+        self.others: list[int] = []  # serials of open elements that are not inline
+        self.serial = 0
         self.tables: list[tuple[Table, Flow]] = []
         self.sheet = Sheet()
 
     # -------------------------------------------------------- elements
 
+    def top(self, tags: Iterable[str]) -> int:
+        """The serial of the innermost open element of ``tags``, 0 without one."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+
+    def pop_to(self, serial: int) -> None:
+        while self.stack and self.stack[-1][8] >= serial:
+            self.pop()
+
     def visible(self) -> bool:
         return not self.stack or not (self.stack[-1][1] or self.stack[-1][2])
 
@@ -277,12 +295,9 @@ class Page:
             self.end("p")
         if tag in IMPLIED:
             closes, stops = IMPLIED[tag]
-            for entry in reversed(self.stack):
-                if entry[0] in closes:
-                    self.end(entry[0])
-                    break
-                if entry[0] in stops or entry[0] in FENCE:
-                    break
+            old = self.top(closes)
+            if old > self.top(stops | FENCE):
+                self.pop_to(old)
         if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption"):
             if not self.open["table"]:
                 return
@@ -337,7 +352,7 @@ class Page:
                     self.number = 1
             elif tag == "li":
                 undo = flow.pad
-                owner = next((e for e in reversed(self.stack) if e[0] in ("ul", "ol", "menu", "dir")), None)
+                owner = self.lists[-1] if self.lists else None
                 mark = "- "
                 if owner is not None and owner[0] == "ol":
                     mark = f"{owner[4]}. "
@@ -357,32 +372,29 @@ class Page:
             place = (True, drawn and tag == "math")
         elif within:
             place = (tag not in INWARD, drawn or tag in ("text", "foreignobject"))
-        self.stack.append([tag, gone, unseen, undo, getattr(self, "number", 1) if tag in ("ul", "ol", "menu", "dir") else 0, attributes, bits, place])
-        self.open[tag] += 1
+        self.serial += 1
+        self.stack.append([tag, gone, unseen, undo, getattr(self, "number", 1) if tag in ("ul", "ol", "menu", "dir") else 0, attributes, bits, place, self.serial])
+        self.open[tag].append(self.serial)
+        if tag not in INLINE:
+            self.others.append(self.serial)
+        if tag in ("ul", "ol", "menu", "dir"):
+            self.lists.append(self.stack[-1])
         if (within or tag in ("svg", "math")) and attributes.endswith("/") and not _UNQUOTED.search(attributes):
             self.pop()
 
     def table_part(self, tag: str) -> None:
         """Ends the part before this one, and starts the rows and bodies a page leaves out."""
         closes = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr", "caption"}}.get(tag, {"td", "th", "tr", "tbody", "thead", "tfoot", "caption"})
-        deep = next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] == "table"), -1)
-        for k in range(deep + 1, len(self.stack)):
-            if self.stack[k][0] in closes:
-                while len(self.stack) > k:
-                    self.pop()
-                break
-        if tag in ("td", "th") and not any(e[0] == "tr" for e in self.stack[deep + 1 :]):
+        table = self.top(("table",))
+        inside = [held[k] for t in closes if (held := self.open.get(t)) and (k := bisect(held, table)) < len(held)]
+        if inside:
+            self.pop_to(min(inside))
+        if tag in ("td", "th") and self.top(("tr",)) < table:
             self.start("tr", "")
 
     def within(self, tag: str, fence: frozenset[str] | set[str]) -> bool:
-        if not self.open[tag]:
-            return False
-        for entry in reversed(self.stack):
-            if entry[0] == tag:
-                return True
-            if entry[0] in fence:
-                return False
-        return False
+        own = self.top((tag,))
+        return own > 0 and own >= self.top(fence)
 
     def end(self, tag: str) -> None:
         if tag == "br":
@@ -395,18 +407,23 @@ class Page:
         if not self.within(tag, fence):
             return
         if tag in INLINE:  # blocks inside it stay open
-            k = next(k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] == tag)
-            if any(e[0] not in INLINE for e in self.stack[k + 1 :]):
+            own = self.open[tag][-1]
+            if self.others and self.others[-1] > own:
+                k = bisect_left(self.stack, own, key=lambda e: e[8])
                 if not (self.stack[k][1] or self.stack[k][2]):
                     del self.stack[k]
-                    self.open[tag] -= 1
+                    self.open[tag].pop()
                 return
         while self.pop() != tag:
             pass
 
     def pop(self) -> str:
-        tag, gone, unseen, undo, *_, place = self.stack.pop()
-        self.open[tag] -= 1
+        tag, gone, unseen, undo, *_, place, _ = self.stack.pop()
+        self.open[tag].pop()
+        if tag not in INLINE:
+            self.others.pop()
+        if tag in ("ul", "ol", "menu", "dir"):
+            self.lists.pop()
         if gone:
             return tag
         if tag in ("td", "th"):
