@@ -1,9 +1,10 @@
 """Fixity audit of archive replicas by Merkle trees over offset ranges.
 
 A record's hash binds its file, offset and content. A leaf covers a range of
-offsets of one file and holds the number and the sum of its records' hashes, so
-it is a plain aggregate and no range is gathered in one place, however full it
-is. Above the leaves every node hashes its children in order of offset. Two
+offsets of one file and hashes the number of its records and eight sums of 32
+bits over their hashes; each binds its offset, so the sum stands for the ordered
+range, is a plain aggregate, and no range is gathered in one place, however full
+it is. Above the leaves every node hashes its children in order of offset. Two
 replicas are compared from the roots down: a level is joined only below nodes
 that differ, and records are compared only in leaves that differ.
 """
@@ -15,11 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Offsets in a leaf, and children of a node.
-SPAN, FANOUT = 64, 16
-#: Levels above the leaves; the top one covers SPAN * FANOUT**LEVELS offsets, and a file has a root over these.
-LEVELS = 4
-
+#: Bits of the offsets in a leaf, and of the children of a node: 64 and 16.
+SPAN, FANOUT = 6, 4
 _WORDS = 8
 
 
@@ -35,7 +33,7 @@ def hashed(records: DataFrame, file: str, offset: str, content: list[str]) -> Da
     return records.select(
         F.col(file).cast("string").alias("file"),
         at.alias("offset"),
-        F.floor(at / F.lit(SPAN)).alias("leaf"),
+        F.shiftright(at, SPAN).alias("leaf"),
         record_hash(file, offset, content).alias("hash"),
     )
 
@@ -49,20 +47,35 @@ def leaves(records: DataFrame) -> DataFrame:
     return whole.select("file", "node", digest.alias("digest"), "records")
 
 
+def height(every: list[DataFrame]) -> int:
+    """Levels above the leaves (of all replicas) until each file has at most two nodes, one on either side of offset 0."""
+    ends = [x.agg(F.min("node"), F.max("node")).first() for x in every]
+    low, high = (min([v for v in side if v is not None], default=0) for side in ([e[0] for e in ends], [-e[1] for e in ends if e[1] is not None]))
+    low, high, n = low, -high, 0
+    while low < -1 or high > 0:
+        low, high, n = low >> FANOUT, high >> FANOUT, n + 1
+    return n
+
+
 def above(nodes: DataFrame, top: bool = False) -> DataFrame:
-    """The parents of ``nodes``: each hashes its children, of which it has at most FANOUT."""
-    parent = F.lit(0).cast("long") if top else F.floor(F.col("node") / F.lit(FANOUT))
+    """The parents of ``nodes``: each hashes its children, of which it has at most 16; a root has three at most."""
+    parent = F.lit(0).cast("long") if top else F.shiftright("node", FANOUT)
     child = F.sort_array(F.collect_list(F.concat_ws(":", F.lpad((F.col("node") + (1 << 62)).cast("string"), 20, "0"), "digest")))
     return nodes.groupBy("file", parent.alias("node")).agg(F.sha2(F.concat_ws(",", child), 256).alias("digest"), F.sum("records").alias("records"))
 
 
+def trees(*records: DataFrame) -> list[list[DataFrame]]:
+    """Of each replica the levels of nodes from the leaves up to those below the files' roots, each written once."""
+    found = [[cut(leaves(x))] for x in records]
+    n = height([x[0] for x in found])
+    for levels in found:
+        for _ in range(n):
+            levels.append(cut(above(levels[-1])))
+    return found
+
+
 def tree(records: DataFrame) -> list[DataFrame]:
-    """Levels of nodes from the leaves up to those below the files' roots, each written once."""
-    levels = [cut(leaves(records))]
-    for _ in range(LEVELS):
-        levels.append(above(levels[-1]))
-    levels[-1] = cut(levels[-1])
-    return levels
+    return trees(records)[0]
 
 
 def roots(levels: list[DataFrame]) -> DataFrame:
@@ -101,13 +114,11 @@ def audit(primary: DataFrame, replica: DataFrame, file: str, offset: str, conten
     columns are not read.
     """
     sides = [hashed(x, file, offset, content) for x in (primary, replica)]
-    trees = [tree(x) for x in sides]
-    bad = _differing(*[above(t[-1], top=True) for t in trees])
-    tops = [_within(t[-1], F.lit(0).cast("long"), bad) for t in trees]
-    differing = cut(_differing(*tops))
-    for k in range(LEVELS - 1, -1, -1):
-        differing = _differing(*[_within(t[k], F.floor(F.col("node") / F.lit(FANOUT)), differing) for t in trees])
-    differing = cut(differing)
+    both = trees(*sides)
+    bad = cut(_differing(*[above(t[-1], top=True) for t in both]))
+    differing = cut(_differing(*[_within(t[-1], F.lit(0).cast("long"), bad) for t in both]))
+    for k in range(len(both[0]) - 2, -1, -1):
+        differing = cut(_differing(*[_within(t[k], F.shiftright("node", FANOUT), differing) for t in both]))
     found = []
     for name, x in zip(("p", "r"), sides, strict=True):
         near = _within(x, F.col("leaf"), differing)
