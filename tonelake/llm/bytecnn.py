@@ -28,7 +28,12 @@ UNKNOWN = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_LETTER = re.compile(r"[^\W\d_]").search
+_LIKELY = re.compile(r"[^\W\d_]").search
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character of a Unicode letter category occurs; signs like ½ or ① are none."""
+    return bool(text) and _LIKELY(text) is not None and any(map(str.isalpha, text))
 
 
 def windows(data: np.ndarray, ends: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,7 +199,7 @@ def _predicted(net: ByteNet | None, batch: pa.RecordBatch) -> tuple[list[str], n
     total /= np.bincount(owner, held, len(texts))[:, None]
     best = total.argmax(axis=1)
     for i, text in enumerate(texts):
-        if text and _LETTER(text):
+        if has_letter(text):
             names[i], scores[i] = net.languages[best[i]], min(1.0, total[i, best[i]])
     return names, scores
 
@@ -221,13 +226,16 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
 def identified(docs: DataFrame, net: ByteNet | None, least: float = 0.4) -> DataFrame:
     """The rows of ``docs``, with all columns, whose language is known with a score of ``least`` or more.
 
-    If there was nothing to learn from, all that have a letter.
+    If there was nothing to learn from, all that have a letter. Null texts and
+    those without a letter go; repeated rows are decided alike, each by itself;
+    an empty table gives an empty one; columns other than text are carried
+    along unread.
     """
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             if net is None:
-                yield batch.filter(pa.array([bool(x and _LETTER(x)) for x in batch.column("text").to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([has_letter(x) for x in batch.column("text").to_pylist()], pa.bool_()))
                 continue
             names, scores = _predicted(net, batch)
             yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
