@@ -4,11 +4,12 @@ Vectors are dealt into blocks by descending length. A rotation to the singular
 vectors of the whole table, whose second moments Spark sums up, moves most of
 every inner product into the first coordinates. Queries meet the blocks in
 passes, each sixteen times as long as all before it, and after a pass every
-query has a score that it must beat. Each pair of a query block and a candidate
-block is first bounded by lengths alone, then by the partial product over the
-first coordinates plus, by Cauchy and Schwarz, the product of what the rest can
-add; only pairs that may still win are scored, in integers. So a pass yields a
-bounded number of rows for each query, however many vectors there are.
+query has a score that it must beat, and with it a length below which no
+candidate can. Query blocks are sent only to lanes of blocks that are longer,
+and a task meets a bounded number of blocks of either kind. There each pair is
+bounded by the partial product over the first coordinates plus, by Cauchy and
+Schwarz, the product of what the rest can add; only what may still win is
+scored, in integers, and a task yields a query's k best at most.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tasks
 
 #: Rows of a candidate block and of a query block; at 64 components these are 1 MB and 256 KB.
 BLOCK, QUERIES = 2048, 512
+#: Blocks of either kind that a task meets, and lanes of a pass at most (longer ones beyond).
+TOGETHER, LANES = 8, 4096
 #: How many times the blocks of all passes before it a pass has.
 GROWTH = 16
 #: Share of the squared length that the first, rotated coordinates hold.
@@ -68,20 +71,38 @@ def rotation(vectors: DataFrame) -> tuple[np.ndarray, int]:
     return u, min(d, 1 + int(np.searchsorted(np.cumsum(s) / max(s.sum(), 1e-300), HEAD)))
 
 
-def _packed(size: int, more: tuple[str, ...] = ()):
-    """Rows in the order they come as blocks: the partition, the largest length, and columns as bytes."""
+def _block(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column("id").to_numpy().astype("<i8"), _matrix(batch.column("v")).astype("<i8")]
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _row(names: list[str], *values: object) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([x.tobytes()], pa.binary()) if isinstance(x, np.ndarray) else pa.array([x]) for x in values], names)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order they come as blocks: the partition, how many, the largest length, and columns as bytes."""
+    part = TaskContext.get().partitionId()
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            some = batch.slice(at, BLOCK)
+            yield _row(["part", "n", "longest", "ids", "v"], part, some.num_rows, float(some.column("length").to_numpy().max()), *_block(some))
+
+
+def _queries(longest: np.ndarray):
+    """Rows as blocks of queries: the length below which no candidate can win, and how many lanes of a pass are longer."""
+
+    def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                some = batch.slice(at, size)
-                data = [some.column("id").to_numpy().astype("<i8"), _matrix(some.column("v")).astype("<i8")]
-                data += [some.column(c).to_numpy().astype("<f8" if c == "floor" else "<i8") for c in more]
-                columns = [pa.array([part]), pa.array([some.column("length").to_numpy().max()]), *(pa.array([x.tobytes()], pa.binary()) for x in data)]
-                yield pa.record_batch(columns, ["part", "longest", "ids", "v", *more])
+            for at in range(0, batch.num_rows, QUERIES):
+                some = batch.slice(at, QUERIES)
+                reach = float(some.column("reach").to_numpy().min())
+                lanes = int((longest >= reach).sum())
+                if lanes:
+                    more = [some.column("floor").to_numpy().astype("<f8"), some.column("floor_id").to_numpy().astype("<i8")]
+                    yield _row(["q_part", "reach", "lanes", "q_ids", "q_v", "floor", "floor_id"], part, reach, lanes, *_block(some), *more)
 
-    return packed
+    return queries
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -107,35 +128,70 @@ def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[t
     return out
 
 
+class _Asked:
+    """A block of queries in a task, with the best candidates it has met there."""
+
+    def __init__(self, row: dict, d: int, turn: np.ndarray, head: int, k: int) -> None:
+        self.own, self.k, self.head, self.turn = np.frombuffer(row["q_ids"], "<i8"), k, head, turn
+        self.q = np.frombuffer(row["q_v"], "<i8").reshape(-1, d)
+        floor = np.frombuffer(row["floor"], "<f8")
+        self.floor = np.where(np.abs(floor) >= 2**53, np.nextafter(floor, -np.inf), floor)  # it may have been rounded up
+        self.floor_id = np.frombuffer(row["floor_id"], "<i8").copy()
+        qf = self.q.astype(np.float64)
+        self.length, self.turned = np.sqrt((qf**2).sum(axis=1)), qf @ turn
+        self.rest = np.sqrt((self.turned[:, head:] ** 2).sum(axis=1))
+        self.top: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def meet(self, row: dict) -> None:
+        live = np.flatnonzero(self.length * row["longest"] * (1 + 1e-9) >= self.floor)
+        if not len(live):
+            return
+        ids, head = np.frombuffer(row["ids"], "<i8"), self.head
+        c = np.frombuffer(row["v"], "<i8").reshape(len(ids), -1)
+        turned = c.astype(np.float64) @ self.turn
+        rest = np.sqrt((turned[:, head:] ** 2).sum(axis=1))
+        slack = 1e-6 * (1 + self.length[live, None] * row["longest"])
+        bound = self.turned[live, :head] @ turned[:, :head].T + self.rest[live, None] * rest[None, :] + slack
+        may = bound >= self.floor[live, None]
+        live, cols = live[may.any(axis=1)], np.flatnonzero(may.any(axis=0))
+        if not len(live):
+            return
+        for i, (vec, score) in zip(live, best(products(self.q[live], c[cols]), ids[cols], self.own[live], self.k), strict=True):
+            wins = (score > self.floor[i]) | ((score == self.floor[i]) & (vec < self.floor_id[i]))
+            vec, score = vec[wins], score[wins]
+            if not len(vec):
+                continue
+            if i in self.top:
+                vec, score = np.concatenate([vec, self.top[i][0]]), np.concatenate([score, self.top[i][1]])
+                order = np.lexsort((vec, -score))[: self.k]
+                vec, score = vec[order], score[order]
+            self.top[i] = vec, score
+            if len(vec) == self.k:
+                last = float(score[-1])  # rounded down at most where that could matter
+                last = np.nextafter(last, -np.inf) if abs(last) >= 2**53 else last
+                if (last, -vec[-1]) > (self.floor[i], -self.floor_id[i]):
+                    self.floor[i], self.floor_id[i] = last, vec[-1]
+
+    def found(self) -> pa.RecordBatch:
+        held = sorted(self.top)
+        who = np.repeat(self.own[held], [len(self.top[i][0]) for i in held]) if held else np.zeros(0, np.int64)
+        vec, score = (np.concatenate([np.zeros(0, np.int64), *[self.top[i][x] for i in held]]) for x in (0, 1))
+        return pa.record_batch([pa.array(who), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
+
+
 def _meet(d: int, turn: np.ndarray, head: int, k: int):
-    """Candidates of each query in each pair of blocks that may be among its k best."""
+    """The k best candidates of each query among the pairs of blocks of a task, as far as they can win."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[bytes, _Asked] = {}
         for batch in batches:
-            for pair in batch.to_pylist():
-                ids, own, floor_id = (np.frombuffer(pair[c], "<i8") for c in ("ids", "q_ids", "floor_id"))
-                c, q = (np.frombuffer(pair[x], "<i8").reshape(-1, d) for x in ("v", "q_v"))
-                floor = np.frombuffer(pair["floor"], "<f8")
-                floor = np.where(np.abs(floor) >= 2**53, np.nextafter(floor, -np.inf), floor)  # it may have been rounded up
-                cf, qf = c.astype(np.float64), q.astype(np.float64)
-                q_length = np.sqrt((qf**2).sum(axis=1))
-                live = np.flatnonzero(q_length * pair["longest"] * (1 + 1e-9) >= floor)
-                if not len(live):
-                    continue
-                cr, qr = cf @ turn, qf[live] @ turn
-                c_rest = np.sqrt((cr[:, head:] ** 2).sum(axis=1))
-                q_rest = np.sqrt((qr[:, head:] ** 2).sum(axis=1))
-                slack = 1e-6 * (1 + q_length[live, None] * pair["longest"])
-                bound = qr[:, :head] @ cr[:, :head].T + q_rest[:, None] * c_rest[None, :] + slack
-                may = bound >= floor[live, None]
-                live, cols = live[may.any(axis=1)], np.flatnonzero(may.any(axis=0))
-                if not len(live):
-                    continue
-                found = best(products(q[live], c[cols]), ids[cols], own[live], k)
-                who = np.repeat(live, [len(x) for x, _ in found])
-                vec, score = np.concatenate([x for x, _ in found]), np.concatenate([s for _, s in found])
-                wins = (score > floor[who]) | ((score == floor[who]) & (vec < floor_id[who]))
-                yield pa.record_batch([pa.array(own[who[wins]]), pa.array(vec[wins]), pa.array(score[wins])], ["query_id", "vec_id", "score"])
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if row["q_ids"] not in asked:
+                    asked[row["q_ids"]] = _Asked(row, d, turn, head, k)
+                asked[row["q_ids"]].meet(row)
+        for some in asked.values():
+            yield some.found()
 
     return meet
 
@@ -150,30 +206,41 @@ def top_k(table: DataFrame, key: str, vector: str, asks: Column, k: int = 20, sc
     with the least of its vectors, and none of its rows is its candidate. An
     empty table gives no rows; other columns are not read.
     """
+    nothing = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows = cut(quantised(table.where(F.col(key).isNotNull()), key, vector, scale))
-    if rows.isEmpty():
-        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    asking = cut(rows.where(F.coalesce(asks, F.lit(False))).groupBy("id").agg(F.min(F.struct("v", "length")).alias("m")).select("id", "m.v", "m.length"))
+    n, asked = rows.count(), asking.count()
+    if not asked:
+        return nothing
     turn, head = rotation(rows)
-    n = rows.count()
     # each partition is a range of lengths, the longest first
     held = rows.repartitionByRange(max(1, -(-n // BLOCK)), F.desc("length"), "id")
-    blocks = cut(held.mapInArrow(_packed(BLOCK), "part long, longest double, ids binary, v binary"))
+    blocks = cut(held.mapInArrow(_candidates, "part long, n long, longest double, ids binary, v binary"))
     parts = blocks.agg(F.max("part")).first()[0] + 1
-    asking = cut(rows.where(F.coalesce(asks, F.lit(False))).groupBy("id").agg(F.min(F.struct("v", "length")).alias("m")).select("id", "m.v", "m.length"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top, done, to = None, 0, 1
     while done < parts:
-        asked = asking.withColumns({"floor": F.lit(float("-inf")), "floor_id": F.lit(0).cast("long")})
+        # lanes of neighbouring blocks, so that a task meets a bounded number of them
+        some = blocks.where((F.col("part") >= done) & (F.col("part") < to))
+        lanes = min(LANES, -(-some.agg(F.sum("n")).first()[0] // (TOGETHER * BLOCK)), min(to, parts) - done)
+        some = some.withColumn("lane", F.floor((F.col("part") - done) * lanes / (min(to, parts) - done)).cast("int"))
+        longest = np.full(lanes, -np.inf)
+        for lane in some.groupBy("lane").agg(F.max("longest").alias("longest")).collect():  # LANES rows at most
+            longest[lane["lane"]] = lane["longest"] * (1 + 1e-9)
+        salts = max(-(-asked // (TOGETHER * QUERIES)), min(-(-asked // 64), -(-2 * tasks(table.sparkSession) // lanes)))
+        who = asking.withColumns({"floor": F.lit(float("-inf")), "floor_id": F.lit(0).cast("long")})
         if top is not None:
             last = top.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("s"), F.col("vec_id").alias("i"))
-            asked = asking.join(last, "id", "left").withColumns({"floor": F.coalesce(F.col("s").cast("double"), F.lit(float("-inf"))), "floor_id": F.coalesce("i", F.lit(0))})
-        asked = asked.repartition(max(1, -(-n // (QUERIES * 20))), "id").select("id", "v", "length", "floor", "floor_id")
-        asked = asked.mapInArrow(_packed(QUERIES, ("floor", "floor_id")), "part long, longest double, ids binary, v binary, floor binary, floor_id binary")
-        # every query block meets every block of the pass: the queries are copied to each of its lanes
-        lanes = min(to - done, 4096)
-        copies = asked.select(F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), "floor", "floor_id", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-        some = blocks.where((F.col("part") >= done) & (F.col("part") < to)).withColumn("lane", F.pmod(F.col("part"), F.lit(lanes)).cast("int"))
-        found = some.join(copies, "lane").drop("lane", "part").mapInArrow(_meet(d=len(turn), turn=turn, head=head, k=k), "query_id long, vec_id long, score long")
+            who = asking.join(last, "id", "left").withColumns({"floor": F.coalesce(F.col("s").cast("double"), F.lit(float("-inf"))), "floor_id": F.coalesce("i", F.lit(0))})
+        # by Cauchy and Schwarz no vector shorter than this can win; 0 where any may
+        reach = F.when(F.col("floor") <= 0, 0.0).otherwise(F.when(F.col("length") > 0, F.col("floor") * (1 - 1e-9) / F.col("length")).otherwise(float("inf")))
+        who = who.select("id", "v", "floor", "floor_id", reach.alias("reach")).repartitionByRange(max(salts, -(-asked // QUERIES)), "reach", "id")
+        who = who.mapInArrow(_queries(longest), "q_part long, reach double, lanes long, q_ids binary, q_v binary, floor binary, floor_id binary")
+        # query blocks go to the lanes that are long enough for them, candidate blocks to each salt of queries
+        copies = who.withColumns({"lane": F.explode(F.sequence(F.lit(0), F.col("lanes").cast("int") - 1)), "salt": F.pmod("q_part", F.lit(salts)).cast("int")}).drop("q_part", "lanes")
+        sent = some.select("lane", "longest", "ids", "v", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        pairs = sent.join(copies, ["lane", "salt"]).where(F.col("longest") * (1 + 1e-9) >= F.col("reach")).drop("lane", "salt", "reach")
+        found = pairs.mapInArrow(_meet(d=len(turn), turn=turn, head=head, k=k), "query_id long, vec_id long, score long")
         if top is not None:
             found = found.unionByName(top.select("query_id", "vec_id", "score"))
         top = cut(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
