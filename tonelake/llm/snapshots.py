@@ -26,9 +26,9 @@ _PARTS = [f"p{k}" for k in range(4)]
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """(conv, turn, nth, role, text, block, size, upto, p0..p3) of each turn.
+    """(conv, turn, nth, role, text, block, at, size, upto, p0..p3) of each turn.
 
-    p is its prefix hash, size its bytes, and upto those of its conversation up to its end.
+    at is the range it is in, p its prefix hash, size its bytes, and upto those of its conversation up to its end.
     """
     rows = turns.select(
         F.struct("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), "role", "text",
@@ -56,7 +56,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
     upto = Window.partitionBy("conv", "at").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     running = rows.select("*", *[F.sum(p).over(upto).alias(f"r{p}") for p in summed]).join(before, ["conv", "at"])
     whole = [F.pmod(F.col(f"r{p}") + F.col(f"b{p}"), F.lit(1 << 32)).alias(p) for p in _PARTS]
-    return running.select("conv", "turn", "nth", "role", "text", "block", "size", (F.col("rsize") + F.col("bsize")).alias("upto"), *whole)
+    return running.select("conv", "turn", "nth", "role", "text", "block", "at", "size", (F.col("rsize") + F.col("bsize")).alias("upto"), *whole)
 
 
 def maximal(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,10 +64,16 @@ def maximal(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = cut(prefixes(turns))
     last = rows.groupBy("conv").agg(F.max(F.struct("nth", *_PARTS)).alias("e")).select("conv", "e.*")
     ends = last.groupBy("nth", *_PARTS).agg(F.min("conv").alias("conv"), F.count("*").alias("n_copies"))
-    inner = rows.join(last.select("conv", F.col("nth").alias("n")), "conv").where("nth < n").select("nth", *_PARTS).distinct()
+    inner = _with(rows, last.select("conv", F.col("nth").alias("n"))).where("nth < n").select("nth", *_PARTS).distinct()
     return rows, ends.join(inner, ["nth", *_PARTS], "left_anti").select("conv", F.col("nth").alias("n_turns"), "n_copies")
 
 
+def _with(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """``rows`` joined with what is said ``of`` their conversations, range by range, so that no conversation is in one task."""
+    ranges = rows.groupBy("conv", "at").agg(F.count("*").alias("held")).select("conv", "at").join(of, "conv")
+    return rows.join(ranges, ["conv", "at"])
+
+
 def collapse(turns: DataFrame) -> DataFrame:
     """The conversations that are no prefix of another, rendered.
 
@@ -83,7 +89,7 @@ def collapse(turns: DataFrame) -> DataFrame:
     said = F.concat(F.lit("<|im_start|>"), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("<|im_end|>\n"))
     # at most one of these for each PART_BYTES of turns
     large = rows.groupBy("conv", "block").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > PART_BYTES).select("conv", "block", F.lit(True).alias("large"))
-    mine = rows.join(kept, "conv").join(F.broadcast(large), ["conv", "block"], "left")
+    mine = _with(rows, kept).join(F.broadcast(large), ["conv", "block"], "left")
     piece = F.when(F.col("large"), F.floor((F.col("upto") - F.col("size")) / PART_BYTES)).otherwise(0).alias("piece")
     # blocks of one conversation part here, else the join leaves them all in one task
     mine = mine.select("conv", "n_turns", "n_copies", "block", piece, F.struct("nth", said.alias("said")).alias("t")).repartition("conv", "block", "piece")
