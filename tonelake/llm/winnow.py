@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import Words, cut, slices
 
 SPAN, K = 10, 5
-#: Bits that address the table in which documents look fingerprints up: 2**24 bits are 2 MB, whatever the items.
-ADDRESS = 24
+#: Bits that address the table in which documents look fingerprints up: 2**24 bits are 2 MB, and 2**28, for items of many, 32 MB.
+ADDRESS, MOST = 24, 28
+#: Contaminated texts whose keys are broadcast to the rows; of more, rows and keys are joined by a shuffle.
+BROADCAST = 200_000
 
 
 def winnowed(words: Words, span: int = SPAN, k: int = K) -> np.ndarray:
@@ -66,11 +68,11 @@ def _item_prints(span: int, k: int):
     return prints
 
 
-def _doc_prints(bits: np.ndarray, shorts: list[int], span: int, k: int):
+def _doc_prints(bits: np.ndarray, address: int, shorts: list[int], span: int, k: int):
     """Each row's words, and of rows with a fingerprint in the table these and the text."""
 
     def there(hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> np.uint64(64 - ADDRESS)
+        at = hashes >> np.uint64(64 - address)
         return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +106,7 @@ def _spans(span: int):
     """Word ranges of a text that lie in windows of an item, told by the words themselves."""
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(slices(batches, "text"), "item_text"):
             keys, items, ranges = [], [], []
             for i in range(batch.num_rows):
                 doc, item = Words(batch.column("text").slice(i, 1)), Words(batch.column("item_text").slice(i, 1))
@@ -156,12 +158,13 @@ def _found(docs: DataFrame, items: DataFrame, span: int, k: int) -> tuple[DataFr
         .agg(F.first("text").alias("text"), F.collect_set(F.col("item_id").cast("string")).alias("ids"))
     )
     prints = cut(items.select("item", "text").mapInArrow(_item_prints(span, k), "item string, print long, short int").distinct())
-    # at most 2**24 / 64 rows, however many items there are
-    slot = F.shiftrightunsigned("print", 64 - ADDRESS)
+    # at least 32 bits for each fingerprint, and at most 2**MOST / 64 rows, however many items there are
+    address = min(MOST, max(ADDRESS, 5 + prints.count().bit_length()))
+    slot = F.shiftrightunsigned("print", 64 - address)
     filled = prints.groupBy((F.shiftright(slot, 6)).alias("w")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(print, {64 - ADDRESS}) & 63 as int))")).alias("b")
+        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(print, {64 - address}) & 63 as int))")).alias("b")
     )
-    table = np.zeros(1 << (ADDRESS - 6), np.int64)
+    table = np.zeros(1 << (address - 6), np.int64)
     for row in filled.toLocalIterator():
         table[row.w] = row.b
     shorts = sorted(r.short for r in prints.select("short").where("short > 0").distinct().collect())
@@ -169,7 +172,7 @@ def _found(docs: DataFrame, items: DataFrame, span: int, k: int) -> tuple[DataFr
 
     key = docs.schema["doc_id"].dataType.simpleString()
     seen = docs.select("doc_id", "text").mapInArrow(
-        _doc_prints(bits, shorts, span, k), f"doc_id {key}, n_words long, text string, prints array<long>"
+        _doc_prints(bits, address, shorts, span, k), f"doc_id {key}, n_words long, text string, prints array<long>"
     )
     seen = cut(seen.withColumn("key", F.sha2("text", 256)))
     texts = seen.where(F.col("key").isNotNull()).select("key", "text", "prints").dropDuplicates(["key"])
@@ -212,7 +215,13 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
-    """The rows of ``docs`` whose text shares no window with an item, with all their columns."""
+    """The rows of ``docs`` whose text shares no window with an item, with all their columns.
+
+    Null and empty texts, and texts without words, share none and stay;
+    repeated rows are decided alike; without items or documents nothing goes.
+    """
     _, hits = _found(docs, items, span, k)
-    bad = hits.select("key")
+    bad = cut(hits.select("key"))
+    if bad.count() <= BROADCAST:  # then the texts of the others are not shuffled
+        bad = F.broadcast(bad)
     return docs.join(bad, F.sha2(docs["text"], 256) == bad["key"], "left_anti")
