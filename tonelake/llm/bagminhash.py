@@ -28,15 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, mix, slices
+from .common import SLICE_BYTES, Words, cut, mix, slices
 
 WORDS, ALIKE = 5, 0.8
 #: 48 bands of 8 registers: a pair at a similarity of 0.8 shares none with a probability of 0.00015.
 BANDS, ROWS = 48, 8
 #: Points made at once while signing, which bounds memory however many short texts a batch has.
 POINTS = 1 << 19
-#: Members up to which a bucket is small, and members of a block of a larger one.
-SMALL, BLOCK = 24, 128
+#: Members up to which a bucket is small, and members and characters of a block of a larger one, about.
+SMALL, BLOCK, BLOCK_CHARACTERS = 24, 128, 1 << 22
+#: Comparisons with one pivot that go to one task, about.
+SPOKES = 512
 
 _U = np.uint64
 _STEP, _LEVEL, _REGISTER = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
@@ -190,19 +192,42 @@ def _linked(alike: float):
 
 
 def _across(alike: float):
-    """Links between members aside and others of a bucket that are of different classes, one for each class met."""
+    """Links between members aside and others of a bucket that are of different classes, one for each class met.
 
-    def side(column: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        return column.field("node").to_numpy(), column.field("root").to_numpy(), shingles(Words(column.field("text")))
+    Rows come bucket by bucket and block by block, in each the block's members
+    and then those aside, which are taken a few at a time.
+    """
+
+    def side(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), shingles(Words(pa.array([r[2] for r in rows], pa.string())))
+
+    def met(aside: list[tuple], others: tuple) -> pa.RecordBatch:
+        (a, ra, sa), (b, rb, sb) = side(aside), others
+        ok = _overlaps(sa, sb, len(a), len(b)) >= alike
+        x, y = np.nonzero(ok & (ra[:, None] != rb[None, :]))
+        _, first = np.unique(np.stack([a[x], rb[y]]), axis=1, return_index=True)
+        return pa.record_batch([pa.array(a[x[first]]), pa.array(b[y[first]])], ["a", "b"])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (a, ra, sa), (b, rb, sb) = (side(batch.column(c)[i].values) for c in ("aside", "others"))
-                ok = _overlaps(sa, sb, len(a), len(b)) >= alike
-                x, y = np.nonzero(ok & (ra[:, None] != rb[None, :]))
-                _, first = np.unique(np.stack([a[x], rb[y]]), axis=1, return_index=True)
-                yield pa.record_batch([pa.array(a[x[first]]), pa.array(b[y[first]])], ["a", "b"])
+        key, block, others, aside, held = None, [], None, [], 0
+        for batch in slices(batches, "text"):
+            columns = [batch.column(c).to_pylist() for c in ("h", "block", "aside", "node", "root", "text")]
+            for h, nth, away, *row in zip(*columns, strict=True):
+                if (h, nth) != key or len(aside) == BLOCK or held > SLICE_BYTES:
+                    if aside:
+                        yield met(aside, others)
+                    aside, held = [], 0
+                if (h, nth) != key:
+                    key, block, others = (h, nth), [], None
+                if not away:
+                    block.append(row)
+                    continue
+                if others is None:
+                    others = side(block)
+                aside.append(row)
+                held += len(row[2])
+        if aside:
+            yield met(aside, others)
 
     return across
 
@@ -284,8 +309,8 @@ def _classes(docs: DataFrame, alike: float) -> tuple[DataFrame, DataFrame]:
     stars = cut(
         members.join(pivots, "h")
         .where((F.col("node") != F.col("pivot")) & close("weight", "p_weight"))
-        .select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))
-        .distinct()
+        .groupBy(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        .agg(F.max("n").alias("n"))
     )
     within = members.select("node").distinct()
     wanted = nodes.join(within, "node").select("node", F.col("doc_id").alias("own_id"), F.col("print").alias("own_print"))
@@ -293,12 +318,17 @@ def _classes(docs: DataFrame, alike: float) -> tuple[DataFrame, DataFrame]:
     texts = cut(texts.select("node", "text").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, share) that are alike; the pairs of one b are dealt over ``share`` tasks."""
+        dealt = pairs.select("a", "b", "share", F.pmod(F.xxhash64("a"), F.col("share")).alias("salt"))
+        shares = pairs.select("b", "share").distinct()
+        b = texts.join(shares, F.col("node") == F.col("b")).select("b", "share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("share") - 1)).alias("salt"), F.col("text").alias("b_text"))
         a = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
-        b = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-        sided = pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text")
+        sided = dealt.join(b, ["b", "share", "salt"]).join(a, "a").select("a", "b", "a_text", "b_text")
         return sided.mapInArrow(_linked(alike), "a long, b long")
 
-    roots = components(verified(stars))
+    # a bucket's size tells how many pairs its pivot may have there; powers of two, so that these are few for each pivot
+    share = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / SPOKES)))).cast("long")
+    roots = components(verified(stars.select("a", "b", share.alias("share"))))
     placed = members.join(roots, "node", "left").select("h", "node", "weight", F.coalesce("root", "node").alias("root"))
     sizes = placed.groupBy("h", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("h").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots"), F.sum("n").alias("all")).where("roots > 1")
@@ -310,13 +340,18 @@ def _classes(docs: DataFrame, alike: float) -> tuple[DataFrame, DataFrame]:
         .where((F.col("root") != F.col("u_root")) & close("weight", "u_weight"))
         .select(F.greatest("node", "u").alias("a"), F.least("node", "u").alias("b"))
         .distinct()
-        .join(stars, ["a", "b"], "left_anti")
+        .join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    large = placed.where(F.col("all") > SMALL).join(texts, "node")
-    large = large.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("all") / BLOCK)))
-    packed = lambda x, name: x.groupBy("h", "block").agg(F.collect_list(F.struct("node", "root", "text")).alias(name)).drop("block")
-    blocks = packed(large.where("root <> main"), "aside").join(packed(large, "others"), "h").select("aside", "others")
-    more = verified(cut(rest)).unionByName(blocks.mapInArrow(_across(alike), "a long, b long"))
+    sizes = texts.select("node", F.length("text").cast("long").alias("size"))
+    large = placed.where(F.col("all") > SMALL).join(sizes, "node")
+    many = large.groupBy("h").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_CHARACTERS)).alias("blocks"))
+    # every member is in one block, and each one aside is sent to all blocks of its bucket
+    large = large.join(many, "h").select("h", "node", "root", "main", "blocks")
+    own = large.select("h", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.lit(False).alias("aside"), "node", "root")
+    sent = large.where("root <> main").select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("aside"), "node", "root")
+    blocks = own.unionByName(sent).join(texts, "node").repartition("h", "block").sortWithinPartitions("h", "block", "aside", "node")
+    across = blocks.select("h", "block", "aside", "node", "root", "text").mapInArrow(_across(alike), "a long, b long")
+    more = verified(cut(rest).withColumn("share", F.lit(1).cast("long"))).unionByName(across)
     final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return rows, nodes.join(final, "node", "left").select("k1", "k2", "doc_id", "print", F.coalesce("root", "node").alias("root"))
 
@@ -341,7 +376,13 @@ def near_duplicates(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """The rows of ``docs``, with all columns, that come first in their class; null texts are no copies and stay."""
+    """The rows of ``docs``, with all columns, that come first in their class.
+
+    The first is the one of the least doc_id (a null id before all), of rows
+    that repeat id and text one. Null texts are no copies and stay, each row of
+    them; texts without words are copies of equal ones only; an empty table
+    gives an empty one; other columns are carried along unread.
+    """
     _, kinds = _classes(docs, alike)
     kept = kinds.groupBy("root").agg(F.min(F.struct("doc_id", "print")).alias("k")).select("k.doc_id", "k.print")
     mark = F.xxhash64(docs["text"])
