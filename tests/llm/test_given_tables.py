@@ -60,3 +60,18 @@ def test_pipeline_decides_stage_by_stage(spark):
     found = registry.op7_winnowing(spark, SMALL).toPandas()
     assert not set(found[found.contaminated].doc_id) & ids[-1]
     assert np.isfinite(last.ids_crc32).all()
+
+
+def test_pipeline_of_empty_and_null_documents(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        rows = spark.read.parquet(f"{SMALL}/{name}.parquet")
+        rows.limit(0).write.parquet(str(tmp_path / "empty" / f"{name}.parquet"))
+        if name == "documents":
+            cast = rows.schema["text"].dataType
+            from pyspark.sql import functions as F
+
+            rows = rows.limit(3).select(*[F.lit(None).cast(cast).alias("text") if c == "text" else F.col(c) for c in rows.columns])
+        rows.write.parquet(str(tmp_path / "null" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+    for r in corpus_pipeline.run(spark, str(tmp_path / "null")).collect():
+        assert r.length == 1

@@ -72,6 +72,15 @@ def test_roots_bind_offsets(spark):
     assert root([("f", 1, "a", ""), ("f", 900, "b", "")]) != root([("f", 1, "b", ""), ("f", 900, "a", "")])
 
 
+def test_audit_of_far_and_negative_offsets(spark):
+    places = [-(1 << 62), -1, 0, 63, 64, (1 << 53) + 1, (1 << 53) + 2, (1 << 62) + 5]
+    rows = [("f", p, f"r{p}", "h") for p in places]
+    bad = {-1, (1 << 53) + 2, (1 << 62) + 5}
+    other = [(f, q, "x" if q in bad else b, h) for f, q, b, h in rows]
+    found = merkle.audit(archive(spark, rows), archive(spark, other), "file", "place", ["body"]).collect()
+    assert {(r.offset, r.leaf, r.kind) for r in found} == {(p, p >> 6, "changed") for p in bad}
+
+
 # ------------------------------------------------------------------ op2
 
 
@@ -320,6 +329,7 @@ def winnow_words(t):
 def test_classes_agree_with_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(bagminhash, "SMALL", small)
     monkeypatch.setattr(bagminhash, "BLOCK", 16)
+    monkeypatch.setattr(bagminhash, "SPOKES", 2)
     rng = random.Random(5)
     base = [f"w{rng.randrange(500)}" for _ in range(120)]
     texts = list(ODD)
@@ -449,6 +459,26 @@ def test_network_learns_and_reads_whole_texts(spark):
     assert kept == [0, 1, 5, 6]
 
 
+def test_signs_are_no_letters():
+    assert not any(map(bytecnn.has_letter, [None, "", "½ ² ① 7 _ !", "\u0301"])) and all(map(bytecnn.has_letter, ["é", "½a", "中", "ª"]))
+
+
+def test_responses_agree_with_the_plain_convolution():
+    rng = np.random.default_rng(3)
+    net = bytecnn.fit(["abc def " * 20, "xyz uvw " * 20], ["x", "y"], epochs=1)
+    windows = rng.integers(0, 256, (40, bytecnn.WINDOW)).astype(np.uint8)
+    net._pairs = net.pairs()
+    plain = []
+    for table, bias in zip(net.tables, net.bias, strict=True):
+        places = [sum(table[j][windows[:, i + j]] for j in range(len(table))) for i in range(bytecnn.WINDOW - len(table) + 1)]
+        plain.append(np.max(places, axis=0) + bias)
+    for got, direct, want in zip(net._responses(windows), bytecnn._direct(net, windows), plain, strict=True):
+        assert np.allclose(got, want, atol=1e-5) and np.allclose(direct[0], want, atol=1e-5)
+    hidden = np.maximum(0, np.concatenate(plain, axis=1)) @ net.dense + net.offset
+    odds = np.exp(hidden - hidden.max(axis=1, keepdims=True))
+    assert np.allclose(net.probabilities(windows), odds / odds.sum(axis=1, keepdims=True), atol=1e-5)
+
+
 def test_network_without_labels(spark):
     docs = docs_of(spark, ["abc", None]).withColumn("lang", F.lit(None).cast("string"))
     assert bytecnn.trained(docs, F.lit(True)) is None
@@ -456,6 +486,16 @@ def test_network_without_labels(spark):
     assert bytecnn.identify(docs.limit(0), None).count() == 0
 
 
+def test_filters_keep_extra_columns_and_repeated_rows(spark):
+    docs = docs_of(spark, ["a word", "a word", "", None, "½"], lang="z", score="s", bands="b")
+    docs = docs.unionByName(docs.where("doc_id = 0"))
+    kept = bytecnn.identified(docs, bytecnn.fit(["a word here " * 9, "other said " * 9], ["x", "y"], epochs=1), least=0.0)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 0, 1]
+    good = linecrf.good_quality(docs, None)
+    assert good.columns == docs.columns and sorted(r.doc_id for r in good.collect()) == [0, 0, 1, 2, 3, 4] and {r.bands for r in good.collect()} == {"b"}
+    assert bytecnn.identified(docs.limit(0), None).count() == linecrf.good_quality(docs.limit(0), None).count() == 0
+
+
 def test_every_language_is_learnt(spark, monkeypatch):
     monkeypatch.setattr(bytecnn, "LANGUAGES", 3)
     rows = [(i, f"some text {i} of it", f"l{i % 40:02}") for i in range(800)] + [(900, "one alone", "rare")]
@@ -486,6 +526,8 @@ def brute_top(vectors, k):
 def test_top_k_agrees_with_brute_force(spark, monkeypatch, scale):
     for name, size in (("BLOCK", 16), ("QUERIES", 4), ("GROWTH", 2)):
         monkeypatch.setattr(topk, name, size)
+    for name, size in (("TOGETHER", 1 if scale == 1 else 3), ("LANES", 4)):
+        monkeypatch.setattr(topk, name, size)
     rng = np.random.default_rng(6)
     rows = [(i, [float(x) for x in rng.integers(-9, 9, 6) / 16 * scale]) for i in range(120)]
     rows += [(200 + i, rows[0][1]) for i in range(40)]  # many of one vector
@@ -502,6 +544,8 @@ def test_top_k_of_few_rows(spark):
     table = spark.createDataFrame([(2, [1.0, 0.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(table, "vec_id", "embedding", F.col("id") == 2).collect()] == [(2, 1, 3, 4096)]
     assert topk.top_k(table.limit(0), "vec_id", "embedding", F.lit(True)).count() == 0
+    twice = spark.createDataFrame([(2, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 1.0]), (4, []), (None, [9.0, 9.0])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.vec_id, r.score) for r in topk.top_k(twice, "vec_id", "embedding", F.col("id") == 2).collect()] == [(2, 3, 4096)]
 
 
 # ------------------------------------------------------------------ op7
@@ -537,6 +581,15 @@ def test_contamination_agrees_with_brute_force(spark):
     assert kept == {i for i, w in enumerate(want) if not w[1]}
 
 
+def test_decontaminated_by_a_shuffle_and_with_a_larger_table(spark, monkeypatch):
+    docs = docs_of(spark, [None, "", "a b c d e f g h i j k l", "b c d e f g h i j k", "b c d e f g h i j x"] * 2, key="z", item="z")
+    items = spark.createDataFrame([(1, "b c d e f g h i j k")], "item_id long, text string")
+    kept = sorted(r.doc_id for r in winnow.decontaminated(docs, items).collect())
+    monkeypatch.setattr(winnow, "BROADCAST", 0)
+    monkeypatch.setattr(winnow, "ADDRESS", 26)
+    assert kept == [0, 1, 4, 5, 6, 9] == sorted(r.doc_id for r in winnow.decontaminated(docs, items).collect())
+
+
 def test_contamination_without_items_or_documents(spark):
     docs, none = docs_of(spark, ODD), spark.createDataFrame([], "item_id long, text string")
     assert {tuple(r) for r in winnow.contamination(docs, none).select("n_hit", "n_items", "contaminated").collect()} == {(0, 0, False)}
