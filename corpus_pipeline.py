@@ -1,7 +1,9 @@
 """The corpus pipeline: from raw documents to packed training sequences.
 
 Each stage reads what the one before it kept. All but the last return the
-columns of ``documents``.
+columns of ``documents``, extra ones included. Null texts: quality scores them as
+an empty line, language drops them; empty texts likewise. Rows that repeat are
+one after near duplicates. An empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -17,28 +19,28 @@ from tonelake.llm.common import cut, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field, learnt from the labels, finds good."""
+    """Documents that the line field, learnt from the labels, finds good; all of them if no labels tell good from bad."""
     field = linecrf.trained(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return linecrf.good_quality(docs, field)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the byte network, learnt from their ``lang``, can tell."""
+    """Documents whose language the byte network, learnt from their ``lang``, can tell; null texts and those without a letter go."""
     return bytecnn.identified(docs, bytecnn.trained(docs, F.lit(True)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates, the one of the least doc_id; null texts are no copies."""
     return bagminhash.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of words with a benchmark item."""
+    """Documents that share no window of words with a benchmark item; those without words share none."""
     return winnow.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequences and places there."""
+    """Pieces of all documents with their sequences and places there; a null or empty text is one token."""
     return packing.pack(docs, path("word_bpe_49k.json"))
 
 
