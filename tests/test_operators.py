@@ -185,3 +185,70 @@ def test_quarantine_keeps_every_row(spark):
     rows = spark.createDataFrame([("a", 1, 0.5), ("a", 2, float("nan")), (None, 3, 0.1), ("b", -1, 0.2)], "channel string, idx long, x double")
     good, bad = live.sound(rows)
     assert (good.count(), bad.count()) == (1, 3)
+
+
+GOLDEN = {"mics": [(0, 0, 1.1), (0.6, 0, 1.1), (0.3, 0.5, 1.4), (0.3, -0.4, 0.9)], "sources": {"left": (-1.2, -2.5, 1.3), "right": (1.5, -2.3, 1.2)}}
+
+
+def golden_cells(spark, mics, kind, delay_ms, jitter=0.0):
+    """Arrivals of a session of 48 kHz, offset 1024 and 3 ppm, 213 samples of latency."""
+    rng, rows = np.random.default_rng(1), []
+    for name, place in GOLDEN["sources"].items():
+        for k, mic in enumerate(mics):
+            samples = float(np.linalg.norm(np.subtract(place, mic))) / 343 * 48000 + delay_ms * 48 + rng.normal(0, jitter)
+            ratio = 1 + 3e-6
+            arrival = (samples + 52800) * ratio + 1024 if kind == "emitter" else 213 + samples * ratio
+            rows.append(("s", name, k, 0, float(mic[0]), float(mic[1]), float(mic[2]), True, arrival, None, ratio, 0.1, 213.0 if kind == "loopback" else None, 0.1, True, "card", "card", kind == "emitter", 1024.0, 0.1, delay_ms or None, k))
+    return spark.createDataFrame(
+        rows,
+        "session string, source_id string, microphone_id int, repeat_index int, mic_x double, mic_y double, mic_z double, taken boolean, arrival double, arrival_reason string, clock_ratio double, sigma double, "
+        "loopback_arrival double, loopback_sigma double, loopback_stable boolean, device string, loopback_device string, fixed_reference boolean, clock_offset double, clock_bound double, source_delay_ms double, ord int",
+    )
+
+
+@pytest.mark.parametrize(("kind", "delay"), [("loopback", 0.0), ("loopback", 1.5), ("emitter", 1.5), ("relative", 0.0)])
+def test_sessions_of_known_places(spark, kind, delay):
+    air = localization.Medium(*[F.lit(x) for x in (343.0, 48000.0, 30.0, 0.0, 0.5, 0.0)])
+    cells = golden_cells(spark, GOLDEN["mics"], kind, delay)
+    found, places = localization.localized(cells, ["session"], "ord", F.lit(52800.0), air, 343 / 48000)
+    found = found.collect()
+    assert {r.mode for r in found} == {kind}
+    for r in found:
+        true = np.linalg.norm(np.subtract(GOLDEN["sources"][r.source_id], GOLDEN["mics"][r.microphone_id]))
+        if kind == "relative":
+            first = np.linalg.norm(np.subtract(GOLDEN["sources"][r.source_id], GOLDEN["mics"][0]))
+            assert r.distance_m is None and r.reason == "no_absolute_time_origin" and abs(r.tdoa_samples - (true - first) / 343 * 48000) < 0.2
+        else:
+            assert abs(r.distance_m - true) < 0.002 and 0 < r.sigma_m < 0.02
+    for r in places.collect():
+        assert r.verdict == ("insufficient_ranges" if kind == "relative" else "solved")
+        if kind != "relative":
+            assert np.linalg.norm(np.subtract((r.x, r.y, r.z), GOLDEN["sources"][r.source_id])) < 0.02
+
+
+def test_places_from_flat_straight_and_noisy_arrays(spark):
+    air = localization.Medium(*[F.lit(x) for x in (343.0, 48000.0, 30.0, 0.0, 0.5, 0.0)])
+
+    def solved(mics, jitter=0.0, spoil=0.0):
+        cells = golden_cells(spark, mics, "loopback", 0.0, jitter)
+        cells = cells.withColumn("arrival", F.when(F.col("microphone_id") == 1, F.col("arrival") + spoil).otherwise(F.col("arrival")))
+        return {r.source_id: r for r in localization.localized(cells, ["session"], "ord", F.lit(0.0), air, 343 / 48000)[1].collect()}
+
+    flat = solved([(x, y, 1.1) for x, y, _ in GOLDEN["mics"]])
+    for name, r in flat.items():
+        x, y, z = GOLDEN["sources"][name]
+        assert r.mirror_ambiguous and r.verdict == "solved" and abs(abs(r.z - 1.1) - abs(z - 1.1)) < 0.02 and np.hypot(r.x - x, r.y - y) < 0.02
+    assert {r.verdict for r in solved([(0.1 * k, 0, 1) for k in range(5)]).values()} == {"degenerate_geometry"}
+    assert {r.verdict for r in solved(GOLDEN["mics"][:3]).values()} == {"mirror_ambiguous"} and {r.verdict for r in solved(GOLDEN["mics"][:2]).values()} == {"insufficient_ranges"}
+    wide = [(x, y, z) for x in (0, 1.0) for y in (0, 1.2) for z in (0.4, 1.6)]
+    for name, r in solved(wide, jitter=0.3).items():
+        assert r.verdict == "solved" and np.linalg.norm(np.subtract((r.x, r.y, r.z), GOLDEN["sources"][name])) < 0.05 and 0 < r.loo_m < 0.1 and 1 < r.gdop < 10
+    assert {r.verdict for r in solved(wide, spoil=60.0).values()} == {"solve_residual_high"}
+
+
+def test_refusals_come_in_order(spark):
+    air = localization.Medium(*[F.lit(x) for x in (343.0, 48000.0, 30.0, 0.0, 0.5, 0.0)])
+    rows = [(None, "a", 1.0, 500.0, 213.0), (True, "b", None, None, 213.0), (True, "a", None, None, 213.0), (True, "a", 1.0, None, 213.0), (True, "a", 1.0, 100.0, 213.0), (True, "a", 1.0, 500.0, None)]
+    df = spark.createDataFrame(rows, "taken boolean, device string, clock_ratio double, arrival double, loopback_arrival double")
+    df = df.withColumns({"loopback_device": F.lit("a"), "arrival_reason": F.lit("snr_low"), "sigma": F.lit(0.1), "loopback_sigma": F.lit(0.1), "source_delay_ms": F.lit(None).cast("double")})
+    assert [r.reason for r in localization.loopback_ranges(df, air).collect()] == ["take_missing", "loopback_unavailable", "clock_uncorrected", "snr_low", "range_implausible", "loopback_unavailable"]

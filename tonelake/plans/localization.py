@@ -6,12 +6,29 @@ repeat) rows, so sessions of any number run in one job.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tonelake.functions.acoustics import propagation_metres, range_sigma
 from tonelake.functions.levels import is_finite
 
 
+class Medium(NamedTuple):
+    """What turns samples into metres: speed of sound, rate, the longest range there is, the microphone's bias, and uncertainties."""
+
+    speed: Column
+    rate: Column
+    longest: Column
+    bias: Column
+    speed_sigma: Column
+    bias_sigma: Column
+
+
 def _refused(reason: Column, *values: tuple[str, Column]) -> list[Column]:
     """Values that are null wherever there is a reason, and the reason."""
     return [*[F.when(reason.isNull(), v).alias(n) for n, v in values], reason.alias("reason")]
@@ -30,42 +47,178 @@ def mode(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.where("taken").groupBy(*keys).agg(F.when(with_loop, "loopback").when(fixed, "emitter").otherwise("relative").alias("mode"))
 
 
-def loopback_ranges(cells: DataFrame, speed: Column, rate: Column, longest: Column, bias: Column) -> DataFrame:
-    """Ranges against the group's loopback, on the microphone's clock."""
+def _measured(cells: DataFrame, propagation: Column, sigma: Column, reason: Column, medium: Medium) -> DataFrame:
+    """Ranges of so many samples of sound, less the source's own delay and the microphone's bias, with their uncertainties."""
+    d = propagation_metres(propagation, medium.rate, medium.speed, F.col("source_delay_ms"), medium.bias)
+    why = F.coalesce(reason, F.when(d.isNull() | (d < 0) | (d > medium.longest), "range_implausible"))
+    sigma_m = range_sigma(sigma, d, medium.rate, medium.speed, medium.speed_sigma, medium.bias_sigma)
+    return cells.select("*", *_refused(why, ("distance_m", d), ("sigma_samples", sigma), ("sigma_m", sigma_m)))
+
+
+def _heard(reason: Column) -> Column:
+    """What keeps a take from having an arrival, after ``reason``."""
+    clock = F.when(F.col("clock_ratio").isNull(), "clock_uncorrected")
+    return F.coalesce(reason, clock, F.when(~is_finite(F.col("arrival")), F.coalesce("arrival_reason", F.lit("arrival_low_confidence"))))
+
+
+def loopback_ranges(cells: DataFrame, medium: Medium) -> DataFrame:
+    """Ranges against the group's loopback, on the microphone's clock; the loopback counts only for takes of its own device."""
     propagation = (F.col("arrival") - F.col("loopback_arrival")) / F.col("clock_ratio")
-    d = propagation * speed / rate - bias
-    reason = (
-        F.when(F.col("taken").isNull(), "take_missing")
-        .when(F.col("clock_ratio").isNull(), "clock_uncorrected")
-        .when(~is_finite(F.col("arrival")), F.coalesce("arrival_reason", F.lit("arrival_low_confidence")))
-        .when(~is_finite(F.col("loopback_arrival")) | (F.col("device") != F.col("loopback_device")), "loopback_unavailable")
-        .when(~is_finite(d) | (d < 0) | (d > longest), "range_implausible")
-    )
+    absent = F.when(F.col("taken").isNull(), "take_missing").when(~is_finite(F.col("loopback_arrival")) | ~F.col("device").eqNullSafe(F.col("loopback_device")), "loopback_unavailable")
     sigma = F.sqrt(F.col("sigma") * F.col("sigma") + F.col("loopback_sigma") * F.col("loopback_sigma")) / F.col("clock_ratio")
-    return cells.select("*", *_refused(reason, ("distance_m", d), ("sigma_samples", sigma)))
+    return _measured(cells, propagation, sigma, _heard(absent), medium)
 
 
-def emitter_ranges(cells: DataFrame, sweep_frame: Column, speed: Column, rate: Column, longest: Column, bias: Column) -> DataFrame:
-    """Ranges against the stimulus clock that the surveyed emitter fixed."""
+def emitter_ranges(cells: DataFrame, sweep_frame: Column, medium: Medium) -> DataFrame:
+    """Ranges against the stimulus clock that the surveyed emitter fixed; without a bound on the clock they have no uncertainty."""
     propagation = (F.col("arrival") - F.col("clock_offset")) / F.col("clock_ratio") - sweep_frame
-    d = propagation * speed / rate - bias
-    reason = (
-        F.when(F.col("taken").isNull(), "take_missing")
-        .when(F.col("clock_ratio").isNull() | F.col("clock_offset").isNull(), "clock_uncorrected")
-        .when(~is_finite(F.col("arrival")), F.coalesce("arrival_reason", F.lit("arrival_low_confidence")))
-        .when(~is_finite(d) | (d < 0) | (d > longest), "range_implausible")
-    )
+    absent = _heard(F.when(F.col("taken").isNull(), "take_missing"))
+    reason = F.coalesce(absent, F.when(F.col("clock_offset").isNull(), "clock_uncorrected"))
     sigma = F.sqrt(F.col("sigma") * F.col("sigma") + F.col("clock_bound") * F.col("clock_bound"))
-    return cells.select("*", *_refused(reason, ("distance_m", d), ("sigma_samples", sigma)))
+    return _measured(cells, propagation, sigma, reason, medium)
 
 
 def relative_delays(cells: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Delays against the first microphone of each group, in the plan's order, that has an arrival; no ranges."""
-    own = F.when(is_finite(F.col("arrival")) & F.col("clock_ratio").isNotNull(), F.col("arrival") / F.col("clock_ratio"))
+    missing = _heard(F.when(F.col("taken").isNull(), "take_missing"))
     group = Window.partitionBy(*keys, "source_id", "repeat_index")
-    lead = F.min(F.when(own.isNotNull(), F.struct(F.col(order).alias("o"), own.alias("a")))).over(group)
-    reason = F.when(F.col("taken").isNull(), "take_missing").when(F.col("clock_ratio").isNull(), "clock_uncorrected").when(own.isNull(), F.coalesce("arrival_reason", F.lit("arrival_low_confidence"))).otherwise("no_absolute_time_origin")
-    return cells.withColumn("_lead", lead).select("*", (own - F.col("_lead.a")).alias("tdoa_samples"), F.lit(None).cast("double").alias("distance_m"), reason.alias("reason")).drop("_lead")
+    lead = F.min(F.when(missing.isNull(), F.struct(F.col(order).alias("o"), F.col("arrival").alias("a"), F.col("sigma").alias("s")))).over(group)
+    rows = cells.withColumn("_lead", lead)
+    delay = F.when(missing.isNull(), (F.col("arrival") - F.col("_lead.a")) / F.col("clock_ratio"))
+    sigma = F.when(missing.isNull(), F.sqrt(F.col("sigma") * F.col("sigma") + F.col("_lead.s") * F.col("_lead.s")) / F.col("clock_ratio"))
+    none = F.lit(None).cast("double")
+    return rows.select(
+        "*", delay.alias("tdoa_samples"), sigma.alias("tdoa_sigma_samples"), none.alias("distance_m"), none.alias("sigma_samples"), none.alias("sigma_m"),
+        F.coalesce(missing, F.lit("no_absolute_time_origin")).alias("reason"),
+    ).drop("_lead")
+
+
+def ranges(cells: DataFrame, keys: list[str], order: str, sweep_frame: Column, medium: Medium) -> DataFrame:
+    """All cells with their range, each session's by its own mode, which is a column too."""
+    timed = cells.join(mode(cells, keys), keys)
+    none = F.lit(None).cast("double")
+    parts = [
+        loopback_ranges(timed.where("mode = 'loopback'"), medium).withColumns({"tdoa_samples": none, "tdoa_sigma_samples": none}),
+        emitter_ranges(timed.where("mode = 'emitter'"), sweep_frame, medium).withColumns({"tdoa_samples": none, "tdoa_sigma_samples": none}),
+        relative_delays(timed.where("mode = 'relative'"), keys, order),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _spheres(at: np.ndarray, d: np.ndarray, s: np.ndarray, start: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The place whose distances fit best, far-off ones counting less (Huber), with its residuals and the last normal matrix."""
+    x, m = start.astype(float), np.eye(3)
+    for _ in range(rounds):
+        gap = x - at
+        r = np.maximum(np.sqrt((gap**2).sum(axis=1)), 1e-9)
+        u, e = gap / r[:, None], d - r
+        w = np.where(np.abs(e) <= 3 * s, 1.0, 3 * s / np.maximum(np.abs(e), 1e-300)) / (s * s)
+        m = u.T @ u
+        step = np.linalg.lstsq((u * w[:, None]).T @ u, (u * w[:, None]).T @ e, rcond=1e-12)[0]
+        x = x + step
+        if np.abs(step).max() < 1e-10:
+            break
+    return x, d - np.sqrt(((x - at) ** 2).sum(axis=1)), m
+
+
+def _starts(at: np.ndarray, d: np.ndarray) -> tuple[list[np.ndarray], bool, bool]:
+    """Where the linear equations put the place, whether anchors are on a line, and whether in a plane, where there are two such places."""
+    mid = at.mean(axis=0)
+    _, spread, turn = np.linalg.svd(at - mid)
+    spread = np.append(spread, np.zeros(3))[:3]
+    if spread[1] <= 1e-6 * max(spread[0], 1e-12):
+        return [], True, True
+    flat = spread[2] <= 1e-6 * spread[0]
+    kept = turn[: 2 if flat else 3]
+    q = (at - mid) @ kept.T
+    b = ((q**2).sum(axis=1) - d * d) / 2
+    y = np.linalg.lstsq(q - q.mean(axis=0), b - b.mean(), rcond=None)[0]
+    place = mid + y @ kept
+    if not flat:
+        return [place], False, False
+    high = np.sqrt(max(0.0, float((d * d - ((q - y) ** 2).sum(axis=1)).mean())))
+    return [place + high * turn[2] * sign for sign in (1 if turn[2][np.abs(turn[2]).argmax()] > 0 else -1,)], False, True
+
+
+def _placed(at: np.ndarray, d: np.ndarray, s: np.ndarray, sample_m: float) -> dict:
+    """One point's place and verdict; of two mirrored places the one on the positive side."""
+    none = {"x": None, "y": None, "z": None, "links": len(d), "mirror_ambiguous": False, "gdop": None, "rms_m": None, "gate_m": None, "loo_m": None}
+    if len(d) < 3:
+        return none | {"verdict": "insufficient_ranges"}
+    starts, line, flat = _starts(at, d)
+    if line:
+        return none | {"verdict": "degenerate_geometry"}
+    if len(d) == 3:
+        return none | {"verdict": "mirror_ambiguous", "mirror_ambiguous": True}
+    x, e, m = _spheres(at, d, s, starts[0])
+    rms, gate = float(np.sqrt((e * e).mean())), max(sample_m, 3 * float(np.median(s)))
+    gdop = float(np.sqrt(max(0.0, np.trace(np.linalg.pinv(m)))))
+    if not (np.isfinite(x).all() and np.isfinite(rms)):
+        return none | {"verdict": "solve_failed"}
+    out = none | {"mirror_ambiguous": flat, "gdop": gdop, "rms_m": rms, "gate_m": gate}
+    if rms > gate:
+        return out | {"verdict": "solve_residual_high"}
+    loo = None
+    if len(d) > 4:  # how far the place moves at most if one range is left out
+        left = [np.arange(len(d)) != k for k in range(len(d))]
+        loo = max(float(np.sqrt(((_spheres(at[k], d[k], s[k], x)[0] - x) ** 2).sum())) for k in left if not _starts(at[k], d[k])[1])
+    return out | dict(zip("xyz", map(float, x), strict=True)) | {"loo_m": loo, "verdict": "solved"}
+
+
+def solved_positions(cells: DataFrame, keys: list[str], sample_m: float) -> DataFrame:
+    """(keys, source_id, x, y, z, links, mirror_ambiguous, gdop, rms_m, gate_m, loo_m, verdict) of each source.
+
+    Of a microphone's ranges the one of least uncertainty counts, so a source
+    has as many as there are microphones, of which a plan has 32 at most, and a
+    task solves source by source. Arrays in a plane give one of two mirrored
+    places. A residual over ``sample_m`` and three median uncertainties is
+    refused, and so are too few ranges and anchors on a line.
+    """
+    by = [*keys, "source_id"]
+    usable = is_finite(F.col("distance_m")) & (F.col("distance_m") >= 0) & is_finite(F.col("sigma_m")) & (F.col("sigma_m") > 0) & F.col("mic_x").isNotNull()
+    best = cells.groupBy(*by, "mic_x", "mic_y", "mic_z").agg(F.min(F.when(usable, F.struct("sigma_m", "distance_m"))).alias("m"))
+    rows = best.select(*by, "mic_x", "mic_y", "mic_z", "m.distance_m", "m.sigma_m")
+    schema = StructType([*[f for f in rows.schema if f.name in by], *StructType.fromDDL("x double, y double, z double, links long, mirror_ambiguous boolean, gdop double, rms_m double, gate_m double, loo_m double, verdict string")])
+
+    def solve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.dropna(subset=["distance_m"]).sort_values(["mic_x", "mic_y", "mic_z"])
+        got = _placed(group[["mic_x", "mic_y", "mic_z"]].to_numpy(float), group["distance_m"].to_numpy(float), group["sigma_m"].to_numpy(float), sample_m)
+        return pd.DataFrame([dict(zip(by, key, strict=True)) | got], columns=schema.names)
+
+    return rows.groupBy(*by).applyInPandas(solve, schema)
+
+
+def solved_microphones(cells: DataFrame, keys: list[str], sample_m: float) -> DataFrame:
+    """As ``solved_positions``, of microphones from sources with src_x, src_y, src_z; one that is surveyed keeps its place as ``surveyed_anchor``."""
+    turned = cells.select(*keys, F.col("microphone_id").alias("source_id"), *[F.col(f"src_{a}").alias(f"mic_{a}") for a in "xyz"], "distance_m", "sigma_m")
+    found = solved_positions(turned, keys, sample_m).withColumnRenamed("source_id", "microphone_id")
+    known = cells.where(F.col("mic_x").isNotNull()).groupBy(*keys, "microphone_id").agg(*[F.min(f"mic_{a}").alias(f"k{a}") for a in "xyz"])
+    both = found.join(known, [*keys, "microphone_id"], "left")
+    place = [F.coalesce(f"k{a}", a).alias(a) for a in "xyz"]
+    return both.select(*keys, "microphone_id", *place, "links", F.when(F.col("kx").isNotNull(), "surveyed_anchor").otherwise(F.col("verdict")).alias("verdict"))
+
+
+def localized(cells: DataFrame, keys: list[str], order: str, sweep_frame: Column, medium: Medium, sample_m: float) -> tuple[DataFrame, DataFrame]:
+    """A session from arrivals to places: all range cells of its mode, and the sources' positions with their verdicts."""
+    found = ranges(cells, keys, order, sweep_frame, medium)
+    return found, solved_positions(found, keys, sample_m)
+
+
+def position_line(name: Column, x: Column, y: Column, z: Column, rms_m: Column, gdop: Column, mirrored: Column, reason: Column) -> Column:
+    """A position as one line of a report."""
+    empty = F.lit("")
+    detail = F.concat(
+        F.when(rms_m.isNotNull(), F.format_string(" rms %.1f mm", rms_m * 1000)).otherwise(empty), F.when(gdop.isNotNull(), F.format_string(" gdop %.1f", gdop)).otherwise(empty),
+        F.when(mirrored, " [mirror-ambiguous]").otherwise(empty),
+    )
+    at = F.when(x.isNotNull(), F.format_string("position: [%.3f, %.3f, %.3f] m", x, y, z)).otherwise(F.concat(F.lit("position: refused ("), F.coalesce(reason, F.lit("unknown")), F.lit(")")))
+    return F.concat(F.lit("localization "), name, F.lit(" "), at, detail)
+
+
+def bench_bias(measured: Column, bias_m: Column) -> Column:
+    """(bias_m, sigma_m) of a microphone: a measured bias is known to 2 mm, without one both are 0."""
+    known = F.coalesce(measured, F.lit(False)) & bias_m.isNotNull()
+    return F.struct(F.when(known, bias_m).otherwise(0.0).alias("bias_m"), F.when(known, 0.002).otherwise(0.0).alias("sigma_m"))
 
 
 def solvable(cells: DataFrame, keys: list[str]) -> DataFrame:

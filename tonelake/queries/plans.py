@@ -65,26 +65,74 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("session"), F.col("l_partkey").alias("source_id"), F.col("l_linenumber").alias("repeat_index"), F.col("l_suppkey").alias("microphone_id"),
         (F.col("l_suppkey") % 4).alias("order"), F.lit(True).alias("taken"), F.when(F.col("l_quantity") > 2, F.col("l_quantity") * 100).alias("arrival"), F.lit(None).cast("string").alias("arrival_reason"),
         F.when(F.col("l_tax") > 0, 1 + F.col("l_tax") / 1000).alias("clock_ratio"), (F.col("l_discount") * 10).alias("sigma"), F.when(F.col("l_returnflag") != "A", F.col("l_discount") * 5000).alias("loopback_arrival"),
-        F.lit(0.5).alias("loopback_sigma"), F.col("l_linestatus").alias("device"), F.lit("O").alias("loopback_device"),
+        F.lit(0.5).alias("loopback_sigma"), F.col("l_linestatus").alias("device"), F.lit("O").alias("loopback_device"), F.when(F.col("l_partkey") % 3 == 0, 1.5).alias("source_delay_ms"),
     )
     return rows
 
 
+def _air() -> localization.Medium:
+    """343 m/s known to 0.5 m/s, a room of 30 m, a bias of 2 mm known to 1 mm."""
+    return localization.Medium(*[F.lit(x) for x in (343.0, 48000.0, 30.0, 0.002, 0.5, 0.001)])
+
+
 _KEYS = ["session", "source_id", "repeat_index", "microphone_id"]
 
 
 def loopback_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = localization.loopback_ranges(_cells(spark, sf_dir), F.lit(343.0), F.lit(48000.0), F.lit(30.0), F.lit(0.002))
-    return rounded(found.select(*_KEYS, "distance_m", "sigma_samples", "reason"), "distance_m", "sigma_samples")
+    found = localization.loopback_ranges(_cells(spark, sf_dir), _air())
+    return rounded(found.select(*_KEYS, "distance_m", "sigma_samples", "sigma_m", "reason"), "distance_m", "sigma_samples", "sigma_m")
 
 
 def relative_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delays of an order's lines against the first of them in microphone order."""
-    cells = _cells(spark, sf_dir).withColumns({"source_id": F.lit(0), "repeat_index": F.lit(0), "line": F.col("repeat_index") * 1000000 + F.col("source_id")}).dropDuplicates(["session", "line", "microphone_id"])
-    cells = cells.withColumn("order", F.col("line") * 1000 + F.col("microphone_id"))
-    # equal keys would tie: the least arrival of a key speaks for it
+    """Delays of an order's lines against the first of them, in microphone order, that has an arrival."""
+    cells = _cells(spark, sf_dir).withColumn("order", F.col("microphone_id") * 100000000 + F.col("source_id") * 10 + F.col("repeat_index"))
+    cells = cells.withColumns({"part": F.col("source_id"), "line": F.col("repeat_index")}).withColumns({"source_id": F.lit(0), "repeat_index": F.lit(0)})
     found = localization.relative_delays(cells, ["session"], "order")
-    return found.groupBy("reason").agg(F.count("*").alias("cells"))
+    return rounded(found.select("session", "part", "line", "microphone_id", "tdoa_samples", "tdoa_sigma_samples", "reason"), "tdoa_samples", "tdoa_sigma_samples")
+
+
+def _session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals of a session for each nation, its suppliers being sources: with a loopback, a fixed emitter or neither; some arrays are flat."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("session"), F.col("s_suppkey").alias("source_id"), (F.col("s_acctbal") / 2000).alias("src_x"), (F.col("s_suppkey") % 7 * 0.5).alias("src_y"), (F.col("s_nationkey") * 0.1 + 1.75).alias("src_z"))
+    rows = s.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("kind", F.col("session") % 3)
+    rows = rows.withColumns({
+        "mic_x": (F.col("k") % 3) * 1.0, "mic_y": (F.floor(F.col("k") / 3) % 3) * 0.9, "mic_z": F.when(F.col("session") % 4 == 1, 1.1).otherwise(0.5 + (F.col("k") * F.col("k") % 5) * 0.3),
+        "microphone_id": F.col("k"), "order": F.col("k"), "repeat_index": F.lit(0), "taken": F.when(F.col("k") != 8, True), "arrival_reason": F.lit(None).cast("string"),
+        "source_delay_ms": F.when(F.col("source_id") % 2 == 0, 1.5), "clock_ratio": F.lit(1.000003), "sigma": F.lit(0.1), "loopback_sigma": F.lit(0.1), "loopback_stable": F.lit(True),
+        "device": F.lit("card"), "loopback_device": F.lit("card"), "fixed_reference": F.col("kind") == 1, "clock_offset": F.lit(1024.0), "clock_bound": F.lit(0.1),
+    })
+    far = acoustics.distance([F.col(f"src_{a}") for a in "xyz"], [F.col(f"mic_{a}") for a in "xyz"]) + 0.002
+    samples = far / 343.0 * 48000 + F.coalesce("source_delay_ms", F.lit(0.0)) * 48
+    return rows.withColumns({"loopback_arrival": F.when(F.col("kind") == 0, 213.0), "arrival": F.when(F.col("kind") == 1, (samples + 52800) * F.col("clock_ratio") + 1024).otherwise(213.0 + samples * F.col("clock_ratio"))})
+
+
+def session_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole sessions to ranges, each in its own mode."""
+    found, _ = localization.localized(_session(spark, sf_dir), ["session"], "order", F.lit(52800.0), _air(), 343.0 / 48000)
+    return rounded(found.select("session", "source_id", "microphone_id", "mode", "distance_m", "sigma_m", "reason"), "distance_m", "sigma_m")
+
+
+def session_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole sessions to the places of their sources."""
+    _, found = localization.localized(_session(spark, sf_dir), ["session"], "order", F.lit(52800.0), _air(), 343.0 / 48000)
+    found = found.withColumn("low_rms", F.col("rms_m") < 1e-5)
+    return rounded(found.select("session", "source_id", "x", "y", "z", "links", "mirror_ambiguous", "low_rms", "verdict"), "x", "y", "z", digits=4)
+
+
+def microphone_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other microphone of sessions with ranges found again from their sources, where these are four at least."""
+    found, _ = localization.localized(_session(spark, sf_dir), ["session"], "order", F.lit(52800.0), _air(), 343.0 / 48000)
+    odd = F.col("microphone_id") % 2 == 1
+    blind = found.withColumns({f"mic_{a}": F.when(~odd, F.col(f"mic_{a}")) for a in "xyz"})
+    solved = localization.solved_microphones(blind, ["session"], 343.0 / 48000)
+    return solved.groupBy("session", "verdict").agg(F.count("*").alias("microphones"))
+
+
+def position_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of suppliers as lines of a report."""
+    s = read(spark, sf_dir, "supplier").withColumn("x", F.when(F.col("s_suppkey") % 4 != 0, F.round(F.col("s_acctbal") / 1000, 1)))
+    line = localization.position_line(F.col("s_name"), F.col("x"), F.col("s_nationkey") * 0.5, F.lit(1.25), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_nationkey") / 2000), F.when(F.col("s_suppkey") % 5 != 0, F.col("s_nationkey") * 0.5), F.col("s_suppkey") % 2 == 0, F.when(F.col("s_suppkey") % 8 == 0, "solve_failed"))
+    return s.select("s_suppkey", line.alias("line"), localization.bench_bias(F.col("s_suppkey") % 2 == 0, F.when(F.col("s_suppkey") % 3 != 0, F.col("s_nationkey") / 100)).alias("b")).select("s_suppkey", "line", "b.*")
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +234,10 @@ def _streamed(spark: SparkSession, sf_dir: str, operator, mode: str, keys: list[
 
 
 _L = """WITH m AS (SELECT l_orderkey AS session, l_partkey AS source_id, l_linenumber AS repeat_index, l_suppkey AS microphone_id, CASE WHEN l_quantity > 2 THEN l_quantity * 100 END AS a,
-  CASE WHEN l_tax > 0 THEN 1 + l_tax / 1000 END AS r, l_discount * 10 AS s, CASE WHEN l_returnflag <> 'A' THEN l_discount * 5000 END AS l, l_linestatus AS d FROM lineitem)"""
+  CASE WHEN l_tax > 0 THEN 1 + l_tax / 1000 END AS r, l_discount * 10 AS s, CASE WHEN l_returnflag <> 'A' THEN l_discount * 5000 END AS l, l_linestatus AS d,
+  CASE WHEN l_partkey % 3 = 0 THEN 72.0 ELSE 0 END AS own FROM lineitem)"""
+_S = """WITH k AS (SELECT s_nationkey AS session, s_suppkey AS source_id, k, s_nationkey % 3 AS kind, s_nationkey % 4 = 1 AS flat, s_acctbal / 2000 AS x, s_suppkey % 7 * 0.5 AS y, s_nationkey * 0.1 + 1.75 AS z,
+  k % 3 * 1.0 AS mx, k // 3 % 3 * 0.9 AS my, CASE WHEN s_nationkey % 4 = 1 THEN 1.1 ELSE 0.5 + k * k % 5 * 0.3 END AS mz FROM supplier, range(9) r(k))"""
 
 SQL = {
     "plan_validation": """SELECT c_custkey, CAST(0 AS INTEGER) AS unknown, CASE c_custkey % 12 WHEN 7 THEN 'version' WHEN 8 THEN 'output_device' WHEN 9 THEN 'repeat_count' WHEN 1 THEN 'microphone_id' WHEN 2 THEN 'microphone_route'
@@ -197,9 +248,24 @@ SELECT c_custkey, CAST(24000 AS BIGINT) AS chirp_frame, CAST(52800 AS BIGINT) AS
     "take_completeness": """WITH w AS (SELECT c_custkey, m, r FROM customer, range(3) a(m), range(17) b(r) WHERE r < CASE WHEN c_custkey % 12 = 9 THEN 17 ELSE c_custkey % 3 + 1 END),
 want AS (SELECT c_custkey, CASE WHEN c_custkey % 12 = 1 AND m = 1 THEN 'm0' ELSE 'm' || m END AS m, r FROM w), have AS (SELECT DISTINCT o_custkey AS c_custkey, 'm' || (o_orderkey % 3) AS m, o_orderkey % 2 AS r FROM orders)
 SELECT c_custkey, count(*) AS missing FROM want ANTI JOIN have USING (c_custkey, m, r) GROUP BY c_custkey""",
-    "loopback_matrix": _L + """, t AS (SELECT *, (a - l) / r * 343 / 48000 - 0.002 AS x FROM m), f AS (SELECT *, CASE WHEN r IS NULL THEN 'clock_uncorrected' WHEN a IS NULL THEN 'arrival_low_confidence'
-  WHEN l IS NULL OR d <> 'O' THEN 'loopback_unavailable' WHEN x < 0 OR x > 30 THEN 'range_implausible' END AS reason FROM t)
-SELECT session, source_id, repeat_index, microphone_id, round(CASE WHEN reason IS NULL THEN x END, 6) AS distance_m, round(CASE WHEN reason IS NULL THEN sqrt(s * s + 0.25) / r END, 6) AS sigma_samples, reason FROM f""",
+    "loopback_matrix": _L + """, t AS (SELECT *, ((a - l) / r - own) * 343 / 48000 - 0.002 AS x FROM m), f AS (SELECT *, CASE WHEN l IS NULL OR d <> 'O' THEN 'loopback_unavailable' WHEN r IS NULL THEN 'clock_uncorrected'
+  WHEN a IS NULL THEN 'arrival_low_confidence' WHEN x < 0 OR x > 30 THEN 'range_implausible' END AS reason FROM t)
+SELECT session, source_id, repeat_index, microphone_id, round(CASE WHEN reason IS NULL THEN x END, 6) AS distance_m, round(CASE WHEN reason IS NULL THEN sqrt(s * s + 0.25) / r END, 6) AS sigma_samples,
+  round(CASE WHEN reason IS NULL THEN 343 * sqrt(s * s + 0.25) / r / 48000 + x * 0.5 / 343 + 0.001 END, 6) AS sigma_m, reason FROM f""",
+    "relative_matrix": _L + """, o AS (SELECT *, CASE WHEN r IS NULL THEN 'clock_uncorrected' WHEN a IS NULL THEN 'arrival_low_confidence' END AS why FROM m),
+g AS (SELECT session, min({'o': microphone_id * 100000000 + source_id * 10 + repeat_index, 'a': a, 's': s}) AS m FROM o WHERE why IS NULL GROUP BY session), f AS (SELECT session, m.a AS fa, m.s AS fs FROM g)
+SELECT session, source_id AS part, repeat_index AS line, microphone_id, round(CASE WHEN why IS NULL THEN (a - fa) / r END, 6) AS tdoa_samples,
+  round(CASE WHEN why IS NULL THEN sqrt(s * s + fs * fs) / r END, 6) AS tdoa_sigma_samples, coalesce(why, 'no_absolute_time_origin') AS reason FROM o LEFT JOIN f USING (session)""",
+    "session_ranges": _S + """, d AS (SELECT *, sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2) AS d FROM k)
+SELECT session, source_id, CAST(k AS INTEGER) AS microphone_id, CASE kind WHEN 0 THEN 'loopback' WHEN 1 THEN 'emitter' ELSE 'relative' END AS mode, round(CASE WHEN k <> 8 AND kind < 2 THEN d END, 6) AS distance_m,
+  round(CASE WHEN k <> 8 AND kind < 2 THEN 343 * sqrt(0.02) / CASE kind WHEN 0 THEN 1.000003 ELSE 1 END / 48000 + d * 0.5 / 343 + 0.001 END, 6) AS sigma_m,
+  CASE WHEN k = 8 THEN 'take_missing' WHEN kind = 2 THEN 'no_absolute_time_origin' END AS reason FROM d""",
+    "session_positions": _S + """ SELECT DISTINCT session, source_id, CASE WHEN kind < 2 THEN round(x, 4) END AS x, CASE WHEN kind < 2 THEN round(y, 4)::DOUBLE END AS y, CASE WHEN kind < 2 THEN round(z, 4)::DOUBLE END AS z,
+  CAST(CASE WHEN kind < 2 THEN 8 ELSE 0 END AS BIGINT) AS links, flat AND kind < 2 AS mirror_ambiguous, CASE WHEN kind < 2 THEN true END AS low_rms, CASE WHEN kind < 2 THEN 'solved' ELSE 'insufficient_ranges' END AS verdict FROM k""",
+    "position_lines": """WITH s AS (SELECT *, CASE WHEN s_suppkey % 4 <> 0 THEN round(s_acctbal / 1000, 1) END AS x, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 THEN s_nationkey / 100 END AS b FROM supplier)
+SELECT s_suppkey, 'localization ' || s_name || ' ' || CASE WHEN x IS NOT NULL THEN printf('position: [%.3f, %.3f, %.3f] m', x, s_nationkey * 0.5::DOUBLE, 1.25::DOUBLE) WHEN s_suppkey % 8 = 0 THEN 'position: refused (solve_failed)' ELSE 'position: refused (unknown)' END
+  || CASE WHEN s_suppkey % 3 <> 0 THEN printf(' rms %.1f mm', s_nationkey / 2::DOUBLE) ELSE '' END || CASE WHEN s_suppkey % 5 <> 0 THEN printf(' gdop %.1f', s_nationkey * 0.5::DOUBLE) ELSE '' END
+  || CASE WHEN s_suppkey % 2 = 0 THEN ' [mirror-ambiguous]' ELSE '' END AS line, coalesce(b, 0)::DOUBLE AS bias_m, CASE WHEN b IS NOT NULL THEN 0.002 ELSE 0 END::DOUBLE AS sigma_m FROM s""",
     "positions": """SELECT c_nationkey AS session, c_custkey AS source_id, round(c_acctbal / 1000, 5) AS x, round(c_custkey % 7 * 0.5, 5)::DOUBLE AS y, round(c_nationkey * 0.1, 5)::DOUBLE AS z, CAST(8 AS BIGINT) AS links FROM customer""",
     "solvability": """WITH m AS (SELECT l_orderkey % 50 AS session, l_partkey % 7 AS source_id, l_suppkey % 10 AS k FROM lineitem WHERE l_quantity > 46),
 g AS (SELECT session, source_id, count(DISTINCT k) AS links FROM m GROUP BY ALL)
@@ -225,6 +291,6 @@ SELECT o_orderkey, 'sweep_' || (CASE WHEN CAST(floor(lo) AS BIGINT) % 2 = 0 THEN
 }
 
 QUERIES = [
-    plan_validation, stimulus_layouts, take_completeness, loopback_matrix, relative_matrix, positions, solvability, solvability_all, calibration_text, curve_file, loss_reports,
+    plan_validation, stimulus_layouts, take_completeness, loopback_matrix, relative_matrix, session_ranges, session_positions, microphone_positions, position_lines, positions, solvability, solvability_all, calibration_text, curve_file, loss_reports,
     labels_and_advice, stream_meters, stream_frames,
 ]

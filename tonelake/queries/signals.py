@@ -49,8 +49,8 @@ def session_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def emitter_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _cells(spark, sf_dir).withColumns({"clock_offset": F.when(F.col("microphone_id") % 5 != 0, F.col("microphone_id") * 1.0), "clock_bound": F.when(F.col("order") != 0, 0.25)})
-    found = localization.emitter_ranges(cells, F.lit(200.0), F.lit(343.0), F.lit(48000.0), F.lit(30.0), F.lit(0.0))
-    return rounded(found.select(*_KEYS, "distance_m", "sigma_samples", "reason"), "distance_m", "sigma_samples")
+    found = localization.emitter_ranges(cells, F.lit(200.0), localization.Medium(*[F.lit(x) for x in (343.0, 48000.0, 30.0, 0.0, 0.5, 0.0)]))
+    return rounded(found.select(*_KEYS, "distance_m", "sigma_samples", "sigma_m", "reason"), "distance_m", "sigma_samples", "sigma_m")
 
 
 def _scene(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ def rate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _S = "WITH s AS (SELECT vec_id AS take_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"
 _L = """WITH m AS (SELECT l_orderkey AS session, l_partkey AS source_id, l_linenumber AS repeat_index, l_suppkey AS microphone_id, CASE WHEN l_quantity > 2 THEN l_quantity * 100 END AS a,
-  CASE WHEN l_tax > 0 THEN 1 + l_tax / 1000 END AS r, l_discount * 10 AS s, CASE WHEN l_returnflag <> 'A' THEN l_discount * 5000 END AS l FROM lineitem)"""
+  CASE WHEN l_tax > 0 THEN 1 + l_tax / 1000 END AS r, l_discount * 10 AS s, CASE WHEN l_returnflag <> 'A' THEN l_discount * 5000 END AS l, CASE WHEN l_partkey % 3 = 0 THEN 72.0 ELSE 0 END AS own FROM lineitem)"""
 
 SQL = {
     "tone_signal": """SELECT n_nationkey, i AS idx, round((0.5 * sin(2 * pi() * (n_nationkey + 1) * 100 * i / 48000) + 0.25 * sin(2 * pi() * 3000 * i / 48000))
@@ -141,9 +141,10 @@ SELECT i AS idx, round(0.5 * x / (SELECT max(abs(x)) FROM x), 6) + 0.0::DOUBLE A
 d AS (SELECT p_brand, abs(v - m) AS d FROM p JOIN m USING (p_brand)), s AS (SELECT p_brand, median(d) * 1.4826 * 1.5 AS s FROM d GROUP BY p_brand)
 SELECT p_brand, count(*) FILTER (d <= s) AS accepted, count(*) FILTER (d > s) AS rejected FROM d JOIN s USING (p_brand) GROUP BY p_brand""",
     "session_mode": _L + "SELECT session, CASE WHEN bool_and(l IS NOT NULL AND microphone_id % 7 <> 0) THEN 'loopback' WHEN bool_and(r IS NOT NULL) THEN 'emitter' ELSE 'relative' END AS mode FROM m GROUP BY session",
-    "emitter_matrix": _L + """, t AS (SELECT *, CASE WHEN microphone_id % 5 <> 0 THEN microphone_id END AS o, ((a - microphone_id) / r - 200) * 343 / 48000 AS x FROM m), f AS (SELECT *, CASE WHEN r IS NULL OR o IS NULL THEN 'clock_uncorrected'
-  WHEN a IS NULL THEN 'arrival_low_confidence' WHEN x < 0 OR x > 30 THEN 'range_implausible' END AS reason FROM t)
-SELECT session, source_id, repeat_index, microphone_id, round(CASE WHEN reason IS NULL THEN x END, 6) AS distance_m, round(CASE WHEN reason IS NULL AND microphone_id % 4 <> 0 THEN sqrt(s * s + 0.0625) END, 6) AS sigma_samples, reason FROM f""",
+    "emitter_matrix": _L + """, t AS (SELECT *, CASE WHEN microphone_id % 5 <> 0 THEN microphone_id END AS o, ((a - microphone_id) / r - 200 - own) * 343 / 48000 AS x FROM m), f AS (SELECT *, CASE WHEN r IS NULL THEN 'clock_uncorrected'
+  WHEN a IS NULL THEN 'arrival_low_confidence' WHEN o IS NULL THEN 'clock_uncorrected' WHEN x < 0 OR x > 30 THEN 'range_implausible' END AS reason FROM t)
+SELECT session, source_id, repeat_index, microphone_id, round(CASE WHEN reason IS NULL THEN x END, 6) AS distance_m, round(CASE WHEN reason IS NULL AND microphone_id % 4 <> 0 THEN sqrt(s * s + 0.0625) END, 6) AS sigma_samples,
+  round(CASE WHEN reason IS NULL AND microphone_id % 4 <> 0 THEN 343 * sqrt(s * s + 0.0625) / 48000 + x * 0.5 / 343 END, 6) AS sigma_m, reason FROM f""",
     "refined_positions": "SELECT s_nationkey AS session, s_suppkey AS source_id, round(s_acctbal / 2000, 4) AS x, round(s_suppkey % 7 * 0.5, 4)::DOUBLE AS y, round(s_nationkey * 0.1 + 0.25, 4)::DOUBLE AS z, CAST(9 AS BIGINT) AS links, 'solved' AS verdict FROM supplier",
     "arrival_directions": "SELECT s_suppkey, round(cos(s_suppkey), 6) AS x, round(sin(s_suppkey) * 0.6, 6) AS y, round(sin(s_suppkey) * 0.8, 6) AS z, CAST(NULL AS VARCHAR) AS reason FROM supplier",
     "channel_split": _S + """, c AS (SELECT take_id, i // 3 AS j, x FROM s WHERE i % 3 = 1 AND i < 63), h AS (SELECT * FROM (VALUES (0, 0.5::DOUBLE), (1, 0.25), (2, -0.125)) v(k, h))
