@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 
 import numpy as np
 import pytest
@@ -252,3 +253,38 @@ def test_refusals_come_in_order(spark):
     df = spark.createDataFrame(rows, "taken boolean, device string, clock_ratio double, arrival double, loopback_arrival double")
     df = df.withColumns({"loopback_device": F.lit("a"), "arrival_reason": F.lit("snr_low"), "sigma": F.lit(0.1), "loopback_sigma": F.lit(0.1), "source_delay_ms": F.lit(None).cast("double")})
     assert [r.reason for r in localization.loopback_ranges(df, air).collect()] == ["take_missing", "loopback_unavailable", "clock_uncorrected", "snr_low", "range_implausible", "loopback_unavailable"]
+
+
+def test_cut_torn_and_odd_recordings_are_errors(spark, tmp_path):
+    whole = recordings.encode(np.zeros((1000, 1), np.float32), 48000)
+    head = bytearray(whole[:44])
+    odd = {
+        "short": whole[:84], "torn": whole[:40] + struct.pack("<I", 3998) + whole[44:4042], "bits0": bytes(head[:34] + struct.pack("<H", 0) + head[36:]) + whole[44:],
+        "bits4": bytes(head[:34] + struct.pack("<H", 4) + head[36:]) + whole[44:], "good": whole,
+    }
+    for name, data in odd.items():
+        (tmp_path / f"{name}.wav").write_bytes(data)
+    rows = recordings.recordings(spark, str(tmp_path)).select("path", "frames", "error").distinct().collect()
+    assert {r.path.rsplit("/", 1)[1][:-4]: r.error is None for r in rows} == {"short": False, "torn": False, "bits0": False, "bits4": False, "good": True}
+    for expected in ({"rate": 44100}, {"channels": 2}, {"frames": 999}):
+        assert recordings.recordings(spark, str(tmp_path), glob="good.wav", **expected).first().error
+    assert recordings.recordings(spark, str(tmp_path), glob="good.wav", rate=48000, channels=1, frames=1000).first().frames == 1000
+
+
+def test_microphones_are_judged_one_after_another(spark):
+    mic = '{"id": "%s", "device": "d", "input_channel": %d, "calibration_file": "%s", "gain_db": 0}'
+    plan = '{"version": 1, "sample_rate_hz": 48000, "output_device": "o", "geometry": "spread", "microphones": [%s, %s]}'
+    texts = [plan % (mic % ("a", 0, ""), mic % ("a", 1, "c")), plan % (mic % ("a", 0, "c"), mic % ("a", 0, "c")), plan % (mic % ("a", 0, "c"), mic % ("b", 0, ""))]
+    df = documents.strict_json(spark.createDataFrame([(t,) for t in texts], "t string"), "t", session.plan_schema(), "p")
+    assert [r.i for r in df.select(session.first_issue(F.col("p")).alias("i")).collect()] == ["microphone_calibration", "microphone_id", "microphone_route"]
+
+
+def test_frames_come_once_they_are_past(spark, tmp_path):
+    schema = "channel string, idx long, x double"
+    for idx in ([0, 1, 2, 3, 4], [5, 6, 7, 8, 10], [11, 12, 13]):
+        spark.createDataFrame([("a", i, -0.1 * i) for i in idx], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    samples = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = []
+    q = live.frames(samples, 4).writeStream.outputMode("append").foreachBatch(lambda b, n: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(r.frame, r.samples, round(r.peak, 6)) for r in out] == [(0, 4, 0.3), (1, 4, 0.7)]  # the third lacks a sample, the fourth is open

@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 #: Signal types by the names they go by.
 SIGNAL_TYPES = {
-    "tone": "tone", "sine": "tone", "two_tone": "two_tone", "twotone": "two_tone", "sweep": "sweep", "log_sweep": "sweep",
-    "octave_sweep": "octave_sweep", "white": "white_noise", "white_noise": "white_noise", "pink": "pink_noise",
-    "pink_noise": "pink_noise", "m_noise": "m_noise", "mls": "mls", "dirac": "dirac", "impulse": "dirac", "stipa": "stipa",
+    "tone": "tone", "two-tone": "two_tone", "twotone": "two_tone", "sweep": "sweep", "white-noise": "white_noise", "white_noise": "white_noise", "whitenoise": "white_noise",
+    "pink-noise": "pink_noise", "pink_noise": "pink_noise", "pinknoise": "pink_noise", "m-noise": "m_noise", "m_noise": "m_noise", "mnoise": "m_noise",
+    "mls": "mls", "maximum-length-sequence": "mls", "maximum_length_sequence": "mls", "maximumlengthsequence": "mls", "dirac": "dirac", "impulse": "dirac", "stipa": "stipa", "sti-pa": "stipa",
 }
+#: What to do about a capture error, by what its text has.
+ADVICE = (
+    (("permission", "denied", "not authorized"), "Check the OS microphone privacy settings, then restart the app."),
+    (("busy", "in use", "exclusive"), "The device is busy — close other apps using it and try again."),
+    (("not found", "no such device", "no default input device", "no default output device"), "Run with --list-devices (or the UI device picker) to see available devices."),
+)
 
 
 def safe_name(name: Column) -> Column:
@@ -30,8 +36,14 @@ def portable_name(name: Column) -> Column:
 
 
 def signal_type(name: Column) -> Column:
+    """The signal type of a name in any case; null for an unknown one."""
     known = F.create_map(*[F.lit(x) for kv in SIGNAL_TYPES.items() for x in kv])
-    return F.coalesce(F.try_element_at(known, F.regexp_replace(F.lower(F.trim(name)), "[- ]", "_")), F.lit("sweep"))
+    return F.try_element_at(known, F.lower(name))
+
+
+def capture_type(name: Column) -> Column:
+    """The signal type that a capture plays, which is a sweep where the name is none of them."""
+    return F.coalesce(signal_type(name), F.lit("sweep"))
 
 
 def _label(text: Column) -> Column:
@@ -62,14 +74,16 @@ def filename(prefix: Column, kind: Column, send: Column, receive: Column, rate:
     return F.concat_ws("_", prefix, kind, F.concat(F.lit("send"), send), F.concat(F.lit("rec"), receive), rate.cast("string"))
 
 
-def capture_advice(error: Column) -> Column:
-    """What to do about a capture error, told from its text."""
-    e = F.lower(error)
-    return (
-        F.when(e.contains("permission") | e.contains("denied"), "allow microphone access")
-        .when(e.contains("sample rate") | e.contains("samplerate"), "choose a rate that both devices support")
-        .when(e.contains("not found") | e.contains("no device"), "connect the device and refresh the list")
-        .when(e.contains("busy") | e.contains("in use"), "close other applications that use the device")
-        .when(e.contains("timeout") | e.contains("timed out"), "check cables and power and try again")
-        .otherwise("try again")
-    )
+def capture_advice(context: Column, error: Column) -> Column:
+    """A capture error with what to do about it, where its text tells, and always with the text itself."""
+    low = F.lower(error)
+    advice = F.coalesce(*[F.when(_any(low, parts), F.lit(text)) for parts, text in ADVICE])
+    plain = F.concat(context, F.lit(": "), error)
+    return F.coalesce(F.concat(context, F.lit(": "), advice, F.lit(" (original error: "), error, F.lit(")")), plain)
+
+
+def _any(text: Column, parts: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for part in parts:
+        found = found | text.contains(part)
+    return found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,44 @@ def plan_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("c_custkey", F.size("unknown_keys").alias("unknown"), session.first_issue(F.col("plan")).alias("issue"))
 
 
+def plan_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans with every optional part, most of them broken in one of these."""
+    c = read(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey") % 17)
+    k, none = F.col("k"), F.lit(None)
+    at = lambda n, bad, good: F.when(k == n, F.lit(bad)).otherwise(F.lit(good))
+    mic = lambda i: F.struct(F.lit(f"m{i}").alias("id"), (at(10, "usb", "card") if i == 1 else F.lit("card")).alias("device"), F.lit(i).alias("input_channel"), F.lit("cal.txt").alias("calibration_file"), F.lit("on_axis").alias("calibration_orientation"), F.lit(0.0).alias("gain_db"))
+    head = F.struct(F.lit("h").alias("id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.2).alias("z"), F.lit(0.0).alias("yaw_deg"))
+    place = F.array(F.lit(0.0), F.lit(-3.0), F.lit(1.1))
+    plan = F.struct(
+        F.lit(1).alias("version"), F.lit("spread").alias("geometry"), F.lit(48000).alias("sample_rate_hz"), F.lit("main").alias("output_device"), F.array(mic(0), mic(1), mic(2)).alias("microphones"),
+        F.array(F.struct(F.col("c_name").alias("id"), F.lit(0).alias("output_channel"))).alias("sources"), F.lit(1).alias("repeat_count"),
+        F.struct(at(12, 330.0, 2.0).alias("duration_secs"), F.lit(20.0).alias("start_hz"), F.lit(20000.0).alias("end_hz"), at(13, 1e-50, 0.1).alias("amplitude")).alias("sweep"),
+        F.struct(at(1, 0.0, 500.0).alias("probe_duration_ms"), F.lit(500.0).alias("silence_duration_ms"), at(2, 3.0, -20.0).alias("signal_level_db")).alias("probe"),
+        F.struct(at(4, 24000.0, 40.0).alias("bass_freq_hz"), at(3, 400.0, 2.0).alias("bass_duration_s"), at(5, 1100.0, 100.0).alias("fade_ms"), at(16, 0, 3).alias("num_windows"), F.lit(500.0).alias("silence_duration_ms"), F.lit(-20.0).alias("signal_level_db")).alias("bass_anchor"),
+        F.when(k != 9, F.struct(at(7, "usb", "card").alias("device"), at(6, 1, 5).alias("input_channel"))).alias("loopback"),
+        F.struct(at(8, "m1", "m0").alias("left_ear"), F.lit("m1").alias("right_ear"), head.alias("head_position")).alias("ctc"),
+        F.struct(F.lit(9).alias("output_channel"), place.alias("position_m"), F.lit(2.0).alias("position_uncertainty_mm"), at(15, 200.0, 343.0).alias("sound_speed_m_s"), F.lit(0.5).alias("sound_speed_uncertainty_m_s")).alias("timing_reference"),
+        F.struct(F.lit(343.0).alias("m_s"), at(14, 343.0, 0.5).alias("uncertainty_m_s")).alias("sound_speed"), at(11, "", "bench.json").alias("localization_calibration_file"),
+    )
+    read_back = documents.strict_json(c.select("c_custkey", F.to_json(plan).alias("text")), "text", session.plan_schema(), "plan")
+    return read_back.select("c_custkey", F.size("unknown_keys").alias("unknown"), session.first_issue(F.col("plan")).alias("issue"))
+
+
+def signal_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of signals as users write them, their types, what is wrong with their parameters, and advice about errors."""
+    c = read(spark, sf_dir, "customer")
+    names = ["Sweep", "TWO-TONE", "whitenoise", "pink_noise", "M-Noise", "maximum-length-sequence", "impulse", "sti-pa", "chirp", " tone", "tone", "mls"]
+    errors = ["Permission denied", "stream not authorized", "device is in use", "exclusive mode", "No default input device", "no such device", "sample rate 7", "timed out"]
+    pick = lambda x: F.element_at(F.array(*map(F.lit, x)), (F.col("c_custkey") % len(x) + 1).cast("int"))
+    kind = identity.signal_type(pick(names))
+    lo, hi, order = (F.col("c_custkey") % 5 * 6000).cast("double"), F.lit(20000.0), (F.col("c_custkey") % 30).cast("int")
+    return c.select(
+        "c_custkey", kind.alias("kind"), identity.capture_type(pick(names)).alias("plays"), session.signal_issue(kind, F.lit(48000.0), lo, hi, F.col("c_custkey") % 4 / 2, order).alias("issue"),
+        identity.capture_advice(F.lit("capture"), pick(errors)).alias("advice"), session.live_issue(F.lit(48000), F.pow(F.lit(2), F.col("c_custkey") % 16).cast("int"), (F.col("c_custkey") % 7).cast("double") * 1000).alias("live"),
+        identity.filename(F.lit("take"), F.coalesce(kind, F.lit("none")), F.col("c_nationkey"), F.col("c_custkey"), F.lit(48000)).alias("name"),
+    )
+
+
 def stimulus_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _plans(spark, sf_dir)
     layout = session.stimulus_layout(F.col("plan.sample_rate_hz"), F.col("plan.sweep"))
@@ -191,7 +230,7 @@ def labels_and_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     lo, hi = F.col("o_totalprice") / 100, F.col("o_totalprice") / 20
     return o.select(
         "o_orderkey", identity.band_label(F.floor(lo) + 0.5, F.floor(hi)).alias("band"), acoustics.arrival_band(lo, hi).getField("lo_hz").isNotNull().alias("has_arrival_band"),
-        acoustics.sub_band(lo / 10, hi / 10).getField("hi_hz").isNotNull().alias("has_sub_band"), identity.signal_type(F.lower("o_orderstatus")).alias("kind"),
+        acoustics.sub_band(lo / 10, hi / 10).getField("hi_hz").isNotNull().alias("has_sub_band"), identity.capture_type(F.lower("o_orderstatus")).alias("kind"),
         F.round(levels.wrap_degrees(F.col("o_totalprice") - 250000), 4).alias("wrapped"), levels.sweep_count((F.col("o_orderkey") % 11).cast("int")).alias("sweeps"),
         levels.rescaled_frame(F.col("o_orderkey"), F.lit(44100), F.lit(48000)).alias("frame"), F.round(levels.progress(F.col("o_orderstatus") == "O", F.lit(310007.0), F.col("o_totalprice")), 6).alias("progress"),
         F.coalesce(F.size(identity.channel_list(F.concat_ws(",", F.col("o_orderkey") % 70, F.col("o_custkey") % 3))), F.lit(-1)).alias("channels"),
@@ -204,19 +243,18 @@ def stream_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of 8192 sample numbers of each channel that hold half as many samples, counted as they come."""
-    size = 8192
-
-    def coarse(s: DataFrame) -> DataFrame:
-        v = F.col("x")
-        return s.groupBy("channel", F.floor(F.col("idx") / size).alias("frame")).agg(F.count("*").alias("samples"), F.max(v).alias("peak"))
-
-    return rounded(_streamed(spark, sf_dir, coarse, "update", ["channel", "frame"], "samples"), "peak")
+    """Frames of 4096 sample numbers of each channel, as far as they are past; about a fifth of the numbers are a channel's."""
+    return rounded(_streamed(spark, sf_dir, lambda s: live.frames(s, 4096, least=1), "append", ["channel", "frame"], "samples"), "peak", "rms")
 
 
 def _streamed(spark: SparkSession, sf_dir: str, operator, mode: str, keys: list[str], newest: str) -> DataFrame:  # noqa: ANN001
     """Runs an operator over the events until none are left, and reads the last row of each key."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints").rstrip("/")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="checkpoints-")
+    root = root.rstrip("/")
     folder = f"{root}/stream-{uuid.uuid4().hex}"
     schema = read(spark, sf_dir, "events").schema
     # a pattern, as the table may be one file
@@ -242,6 +280,18 @@ _S = """WITH k AS (SELECT s_nationkey AS session, s_suppkey AS source_id, k, s_n
 SQL = {
     "plan_validation": """SELECT c_custkey, CAST(0 AS INTEGER) AS unknown, CASE c_custkey % 12 WHEN 7 THEN 'version' WHEN 8 THEN 'output_device' WHEN 9 THEN 'repeat_count' WHEN 1 THEN 'microphone_id' WHEN 2 THEN 'microphone_route'
   WHEN 3 THEN 'microphone_position' WHEN 4 THEN 'compact_uncertainty' WHEN 6 THEN 'source_delay' WHEN 10 THEN 'sweep' WHEN 5 THEN CASE WHEN c_nationkey * 9 >= 64 THEN 'source_route' END END AS issue FROM customer""",
+    "plan_parts": """SELECT c_custkey, CAST(0 AS INTEGER) AS unknown, CASE c_custkey % 17 WHEN 1 THEN 'probe_storage' WHEN 2 THEN 'probe' WHEN 3 THEN 'bass_anchor_storage' WHEN 4 THEN 'bass_anchor' WHEN 5 THEN 'bass_anchor' WHEN 6 THEN 'loopback'
+  WHEN 7 THEN 'bass_anchor_loopback' WHEN 8 THEN 'ear_pair' WHEN 9 THEN 'ear_pair_loopback' WHEN 10 THEN 'ear_pair_device' WHEN 11 THEN 'localization_calibration' WHEN 12 THEN 'sweep_storage' WHEN 13 THEN 'sweep_samples'
+  WHEN 14 THEN 'sound_speed' WHEN 15 THEN 'timing_reference' WHEN 16 THEN 'bass_anchor' END AS issue FROM customer""",
+    "signal_kinds": """WITH c AS (SELECT *, ['sweep', 'two_tone', 'white_noise', 'pink_noise', 'm_noise', 'mls', 'dirac', 'stipa', NULL, NULL, 'tone', 'mls'][c_custkey % 12 + 1] AS kind, c_custkey % 5 * 6000 AS lo FROM customer)
+SELECT c_custkey, kind, coalesce(kind, 'sweep') AS plays, CASE WHEN c_custkey % 4 IN (0, 3) THEN 'amplitude' WHEN kind IN ('tone', 'two_tone') AND NOT (lo > 0 AND lo * 2 < 48000) THEN 'frequency'
+  WHEN kind = 'sweep' AND NOT (lo > 0 AND lo < 20000) THEN 'sweep_range' WHEN kind = 'mls' AND c_custkey % 30 NOT BETWEEN 2 AND 24 THEN 'mls_order' END AS issue,
+  'capture: ' || ['Check the OS microphone privacy settings, then restart the app. (original error: Permission denied)', 'Check the OS microphone privacy settings, then restart the app. (original error: stream not authorized)',
+    'The device is busy — close other apps using it and try again. (original error: device is in use)', 'The device is busy — close other apps using it and try again. (original error: exclusive mode)',
+    'Run with --list-devices (or the UI device picker) to see available devices. (original error: No default input device)', 'Run with --list-devices (or the UI device picker) to see available devices. (original error: no such device)',
+    'sample rate 7', 'timed out'][c_custkey % 8 + 1] AS advice,
+  CASE WHEN c_custkey % 16 < 8 OR c_custkey % 16 = 15 THEN 'fft_size' WHEN c_custkey % 7 NOT IN (1, 2, 3) THEN 'duration' END AS live,
+  'take_' || coalesce(kind, 'none') || '_send' || c_nationkey || '_rec' || c_custkey || '_48000' AS name FROM c""",
     "stimulus_layouts": """WITH p AS (SELECT c_custkey, c_custkey % 4 + 1.0::DOUBLE AS d, CASE WHEN c_custkey % 12 = 11 THEN 2.0::DOUBLE END AS b, CASE WHEN c_custkey % 12 = 10 THEN 24000.0::DOUBLE ELSE 20000 END AS hi FROM customer),
 n AS (SELECT c_custkey, CAST(round(CASE WHEN b IS NULL THEN d ELSE greatest(d, b * (log2(100 / 20.0) + 0.5 * log2(10) + 0.25 * log2(hi / 1000))) END * 48000) AS BIGINT) AS n FROM p)
 SELECT c_custkey, CAST(24000 AS BIGINT) AS chirp_frame, CAST(52800 AS BIGINT) AS sweep_frame, 52800 + n + 96000 AS end_chirp_frame, 52800 + n + 96000 + 4800 + 24000 AS frames FROM n""",
@@ -287,10 +337,11 @@ SELECT o_orderkey, 'sweep_' || (CASE WHEN CAST(floor(lo) AS BIGINT) % 2 = 0 THEN
   round(CASE WHEN o_orderstatus = 'O' THEN least(1, o_totalprice / 310007) END, 6) AS progress,
   CAST(CASE WHEN o_orderkey % 70 < 64 AND o_orderkey % 70 <> o_custkey % 3 THEN 2 ELSE -1 END AS INTEGER) AS channels FROM o""",
     "stream_meters": """SELECT event_type AS channel, count(*) AS samples, max(abs(value / 500)) AS peak_hold, sqrt(avg(value / 500 * value / 500)) AS rms, count(*) FILTER (value / 500 >= 0.999) AS clipped, max(event_id) AS last_idx FROM events GROUP BY event_type""",
-    "stream_frames": """SELECT event_type AS channel, event_id // 8192 AS frame, count(*) AS samples, round(max(value / 500), 6) AS peak FROM events GROUP BY ALL""",
+    "stream_frames": """WITH f AS (SELECT event_type AS channel, event_id // 4096 AS frame, count(*) AS samples, round(max(value / 500), 6) AS peak, round(sqrt(avg(value / 500 * value / 500)), 6) AS rms,
+  CAST(count(*) FILTER (value / 500 >= 1) AS BIGINT) AS clipped FROM events GROUP BY ALL) SELECT * FROM f WHERE frame < (SELECT max(g.frame) FROM f g WHERE g.channel = f.channel)""",
 }
 
 QUERIES = [
-    plan_validation, stimulus_layouts, take_completeness, loopback_matrix, relative_matrix, session_ranges, session_positions, microphone_positions, position_lines, positions, solvability, solvability_all, calibration_text, curve_file, loss_reports,
+    plan_validation, plan_parts, signal_kinds, stimulus_layouts, take_completeness, loopback_matrix, relative_matrix, session_ranges, session_positions, microphone_positions, position_lines, positions, solvability, solvability_all, calibration_text, curve_file, loss_reports,
     labels_and_advice, stream_meters, stream_frames,
 ]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,19 @@ def _chunks(data: bytes | memoryview) -> dict[bytes, bytes | memoryview]:
     at, found = 12, {}
     while at + 8 <= len(data):
         name, size = bytes(data[at : at + 4]), struct.unpack("<I", data[at + 4 : at + 8])[0]
+        if at + 8 + size > len(data):
+            raise ValueError(f"a chunk of {size} bytes that the file cuts short")
         found.setdefault(name, data[at + 8 : at + 8 + size])
         at += 8 + size + size % 2
     return found
 
 
-def decode(data: bytes | memoryview) -> tuple[int, np.ndarray]:
-    """Rate and samples (frames, channels) of PCM 16, 24, 32 or float 32; full scale is 1."""
+def decode(data: bytes | memoryview, rate_hz: int | None = None, channel_count: int | None = None, frame_count: int | None = None) -> tuple[int, np.ndarray]:
+    """Rate and samples (frames, channels) of PCM 16, 24, 32 or float 32; full scale is 1.
+
+    Where a rate, a number of channels or of frames is given, the recording must
+    have it. A chunk or frame that is cut short is an error, never less samples.
+    """
     parts = _chunks(data)
     if len(parts.get(b"fmt ", b"")) < 16 or b"data" not in parts:
         raise ValueError("no format or no data")
@@ -48,18 +55,22 @@ def decode(data: bytes | memoryview) -> tuple[int, np.ndarray]:
     raw = parts[b"data"]
     if not channels:
         raise ValueError("no channels")
-    raw = raw[: len(raw) // (channels * bits // 8) * (channels * bits // 8)]
+    if (kind, bits) not in ((3, 32), (1, 16), (1, 24), (1, 32)):
+        raise ValueError(f"format {kind} of {bits} bits")
+    if len(raw) % (channels * bits // 8):
+        raise ValueError("a frame that is cut short")
     if (kind, bits) == (3, 32):
         x = np.frombuffer(raw, "<f4")
     elif (kind, bits) == (1, 16):
         x = np.frombuffer(raw, "<i2").astype(np.float32) / 32768
     elif (kind, bits) == (1, 32):
         x = (np.frombuffer(raw, "<i4") / 2147483648).astype(np.float32)
-    elif (kind, bits) == (1, 24):
+    else:
         b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
         x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24).astype(np.int32) / 2147483648).astype(np.float32)
-    else:
-        raise ValueError(f"format {kind} of {bits} bits")
+    for name, want, have in (("rate", rate_hz, rate), ("channels", channel_count, channels), ("frames", frame_count, len(x) // channels)):
+        if want is not None and want != have:
+            raise ValueError(f"{name} {have}, not {want}")
     if not 1 <= len(x) // channels <= MOST_FRAMES:
         raise ValueError("no frames, or too many")
     if not np.isfinite(x).all():
@@ -75,12 +86,12 @@ def encode(samples: np.ndarray, rate: int) -> bytes:
     return head + body
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoded(batches: Iterator[pa.RecordBatch], **expected: int | None) -> Iterator[pa.RecordBatch]:
     kind = pa.schema([("path", pa.string()), ("rate", pa.int32()), ("channels", pa.int32()), ("frames", pa.int64()), ("block", pa.int32()), ("channel", pa.int32()), ("samples", pa.list_(pa.float32())), ("error", pa.string())])
     for batch in batches:
         for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             try:
-                rate, x = decode(memoryview(data.as_buffer()))  # not copied
+                rate, x = decode(memoryview(data.as_buffer()), **expected)  # not copied
             except ValueError as e:
                 yield pa.RecordBatch.from_pylist([{"path": path, "error": str(e)}], kind)
                 continue
@@ -92,13 +103,13 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pylist(rows[at : at + 512], kind)
 
 
-def recordings(spark: SparkSession, path: str, glob: str = "*.wav", largest: int = LARGEST) -> DataFrame:
-    """A row for each block and channel of every recording; what cannot be read is a row with an error.
+def recordings(spark: SparkSession, path: str, glob: str = "*.wav", largest: int = LARGEST, rate: int | None = None, channels: int | None = None, frames: int | None = None) -> DataFrame:
+    """A row for each block and channel of every recording; what cannot be read, or is not as expected, is a row with an error.
 
     A task holds one file several times over, so ``largest`` is to fit its memory; the content of larger files is not read.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    read = files.where(F.col("length") <= largest).select("path", "content").mapInArrow(_decoded, SCHEMA)
+    read = files.where(F.col("length") <= largest).select("path", "content").mapInArrow(partial(_decoded, rate_hz=rate, channel_count=channels, frame_count=frames), SCHEMA)
     over = files.where(F.col("length") > largest).select("path", F.concat(F.lit("larger than "), F.lit(largest), F.lit(" bytes")).alias("error"))
     return read.unionByName(over, allowMissingColumns=True)
 

@@ -21,13 +21,34 @@ MOST_GAPS = 128
 CLIP = 0.999
 
 
-def frames(samples: DataFrame, size: int) -> DataFrame:
-    """Peak, RMS and full-scale count of each whole frame, for update or complete mode; cut frames are none."""
-    v = F.col("x").cast("double")
-    found = samples.groupBy("channel", F.floor(F.col("idx") / size).alias("frame")).agg(
-        F.count("*").alias("samples"), F.max(F.abs(v)).alias("peak"), F.sqrt(F.avg(v * v)).alias("rms"), F.sum((F.abs(v) >= 1).cast("long")).alias("clipped")
-    )
-    return found.where(F.col("samples") == size)
+FRAME_COLUMNS = ["channel", "frame", "samples", "peak", "rms", "clipped"]
+
+
+def frames(samples: DataFrame, size: int, least: int | None = None) -> DataFrame:
+    """Peak, RMS and full-scale count of each frame of ``size`` sample numbers, once it is past; append mode.
+
+    A channel's samples come in order between batches, so its state is the one
+    frame that is open. A frame that holds fewer than ``least`` samples (all of
+    them, unless said otherwise) is none, and neither is one that never closes.
+    """
+    least = size if least is None else least
+
+    def framed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches))
+        rows = pd.DataFrame({"frame": rows["idx"] // size, "n": 1, "peak": rows["x"].abs(), "power": rows["x"] ** 2, "clipped": (rows["x"].abs() >= 1).astype("int64")})
+        if state.exists:
+            rows = pd.concat([pd.DataFrame([state.get], columns=rows.columns), rows[rows["frame"] >= state.get[0]]])
+        sums = rows.groupby("frame").agg({"n": "sum", "peak": "max", "power": "sum", "clipped": "sum"}).reset_index().sort_values("frame")
+        last = sums.iloc[-1]
+        state.update((int(last["frame"]), int(last["n"]), float(last["peak"]), float(last["power"]), int(last["clipped"])))
+        past = sums.iloc[:-1]
+        past = past[past["n"] >= least]
+        yield pd.DataFrame({"channel": key[0], "frame": past["frame"], "samples": past["n"], "peak": past["peak"], "rms": np.sqrt(past["power"] / past["n"]), "clipped": past["clipped"]}, columns=FRAME_COLUMNS)
+
+    return samples.groupBy("channel").applyInPandasWithState(
+        framed, "channel string, frame long, samples long, peak double, rms double, clipped long",
+        "frame long, n long, peak double, power double, clipped long", "append", GroupStateTimeout.NoTimeout,
+    )
 
 
 def event_windows(events: DataFrame, time: str, key: str, length: str, late: str) -> DataFrame:
