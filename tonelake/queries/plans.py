@@ -184,7 +184,7 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def solvability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = measurements(spark, sf_dir).where("distance_m > 46").withColumn("source_id", F.col("source"))
+    m = measurements(spark, sf_dir).withColumn("source_id", F.col("source"))
     m = m.withColumns({"sigma_m": F.lit(0.01), "mic_x": F.col("microphone") * 1.0, "mic_y": F.when(F.col("session") % 3 == 0, F.col("microphone") * 2.0).otherwise((F.col("microphone") * F.col("microphone")) * 1.0), "mic_z": F.lit(1.0)})
     return localization.solvable(m, ["session"])
 
@@ -317,7 +317,7 @@ SELECT s_suppkey, 'localization ' || s_name || ' ' || CASE WHEN x IS NOT NULL TH
   || CASE WHEN s_suppkey % 3 <> 0 THEN printf(' rms %.1f mm', s_nationkey / 2::DOUBLE) ELSE '' END || CASE WHEN s_suppkey % 5 <> 0 THEN printf(' gdop %.1f', s_nationkey * 0.5::DOUBLE) ELSE '' END
   || CASE WHEN s_suppkey % 2 = 0 THEN ' [mirror-ambiguous]' ELSE '' END AS line, coalesce(b, 0)::DOUBLE AS bias_m, CASE WHEN b IS NOT NULL THEN 0.002 ELSE 0 END::DOUBLE AS sigma_m FROM s""",
     "positions": """SELECT c_nationkey AS session, c_custkey AS source_id, round(c_acctbal / 1000, 5) AS x, round(c_custkey % 7 * 0.5, 5)::DOUBLE AS y, round(c_nationkey * 0.1, 5)::DOUBLE AS z, CAST(8 AS BIGINT) AS links FROM customer""",
-    "solvability": """WITH m AS (SELECT l_orderkey % 50 AS session, l_partkey % 7 AS source_id, l_suppkey % 10 AS k FROM lineitem WHERE l_quantity > 46),
+    "solvability": """WITH m AS (SELECT l_orderkey % 50 AS session, l_partkey % 7 AS source_id, l_suppkey % 10 AS k FROM lineitem),
 g AS (SELECT session, source_id, count(DISTINCT k) AS links FROM m GROUP BY ALL)
 SELECT session, source_id, links, CASE WHEN links < 3 THEN 'insufficient_ranges' WHEN session % 3 = 0 THEN 'degenerate_geometry' WHEN links = 3 THEN 'mirror_ambiguous' ELSE 'solvable' END AS verdict FROM g""",
     "solvability_all": """WITH m AS (SELECT l_orderkey % 50 AS session, l_partkey % 7 AS source_id, l_suppkey % 10 % (l_partkey % 7 % 5 + 1) AS k FROM lineitem),

@@ -103,7 +103,9 @@ def detrend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def increasing_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return takes(spark, sf_dir).select("take_id", sequences.strictly_increasing(F.slice("samples", F.lit(1), (F.col("take_id") % 3).cast("int") + 1)).alias("increasing"))
+    """Whole takes on a slope, which outweighs them or not."""
+    grid = F.transform("samples", lambda x, i: i + x.cast("double") * (F.col("take_id") % 3))
+    return takes(spark, sf_dir).select("take_id", sequences.strictly_increasing(grid).alias("increasing"))
 
 
 def increasing_grids_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,10 +136,10 @@ def take_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each take first leaves the first take's signs, at a third of the length for some."""
+    """Where each take first leaves the first take's signs; two of three takes have one more at the end."""
     signs = F.transform("samples", lambda e: F.signum(e))
-    n = F.when(F.col("take_id") % 3 == 0, 64).otherwise(20)
-    found = sequences.first_mismatch(takes(spark, sf_dir).select("take_id", F.slice(signs, F.lit(1), n).alias("grid")), "take_id", "grid")
+    grid = F.when(F.col("take_id") % 3 == 0, signs).otherwise(F.concat(signs, F.array(F.lit(1.0))))
+    found = sequences.first_mismatch(takes(spark, sf_dir).select("take_id", grid.alias("grid")), "take_id", "grid")
     return found.withColumn("first_bin", F.coalesce("first_bin", F.lit(-1)))
 
 
@@ -152,10 +154,10 @@ def band_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def welch_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coherence of each even take with the take after it."""
+    """Coherence of each take with the take after it."""
     t = takes(spark, sf_dir)
     other = t.select((F.col("take_id") - 1).alias("take_id"), F.col("samples").alias("other"))
-    pairs = t.where(F.col("take_id") % 2 == 0).join(other, "take_id").select("take_id", "samples", "other")
+    pairs = t.join(other, "take_id").select("take_id", "samples", "other")
     return rounded(spectra.coherence(pairs, "take_id", "samples", "other", segment=16, step=8, segments=7), "coherence", digits=5)
 
 
@@ -228,7 +230,7 @@ SELECT take_id, CAST(coalesce(min(i) FILTER (abs(x) > f), 0) AS INTEGER) AS firs
 SELECT take_id, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS "end", round(avg(x * x) FILTER (i >= a AND i < b), 6) AS power FROM s JOIN w USING (take_id) GROUP BY take_id, a, b""",
     "detrend": _S + """, c AS (SELECT take_id, regr_slope(x, i) AS a, regr_intercept(x, i) AS b FROM s GROUP BY take_id)
 SELECT take_id, round(max(abs(x - a * i - b)), 6) AS largest, round(sqrt(avg((x - a * i - b) * (x - a * i - b))), 6) AS rms FROM s JOIN c USING (take_id) GROUP BY take_id""",
-    "increasing_grids": _S + """, g AS (SELECT take_id, x > lag(x) OVER (PARTITION BY take_id ORDER BY i) AS up FROM s WHERE i <= take_id % 3)
+    "increasing_grids": _S + """, g AS (SELECT take_id, i + x * (take_id % 3) > lag(i + x * (take_id % 3)) OVER (PARTITION BY take_id ORDER BY i) AS up FROM s)
 SELECT take_id, bool_and(coalesce(up, true)) AS increasing FROM g GROUP BY take_id""",
     "increasing_grids_all": """WITH u AS (SELECT vec_id, embedding, list_sort(embedding) AS l FROM embeddings),
 w AS (SELECT vec_id AS take_id, CASE vec_id % 3 WHEN 0 THEN l WHEN 1 THEN list_concat(l[1:len(l) - 1], l[1:1]) ELSE embedding END AS g FROM u),
@@ -243,7 +245,7 @@ WHERE i >= onset AND i <= onset + 14 AND i <= 63 / 2.0 GROUP BY take_id, onset""
   (SELECT DISTINCT l_suppkey AS microphone, l_orderkey * 10 + l_linenumber AS ord, CAST(l_quantity AS INTEGER) AS "end" FROM lineitem)) WHERE n = 1""",
     "take_average": _S + """, u AS (SELECT *, i - greatest(take_id % 5 - 1, 0) AS spot FROM s WHERE take_id % 4 <> 0), n AS (SELECT source_id, count(DISTINCT take_id) AS n FROM u GROUP BY source_id)
 SELECT source_id, CAST(spot AS INTEGER) AS idx, round(sum(x) / any_value(n), 6) AS average FROM u JOIN n USING (source_id) WHERE spot >= 0 GROUP BY source_id, spot""",
-    "grid_mismatch": """WITH g AS (SELECT vec_id AS take_id, list_transform(embedding[1:CASE WHEN vec_id % 3 = 0 THEN 64 ELSE 20 END], lambda e: sign(e)) AS g FROM embeddings),
+    "grid_mismatch": """WITH g AS (SELECT vec_id AS take_id, CASE WHEN vec_id % 3 = 0 THEN list_transform(embedding, lambda e: sign(e)) ELSE list_append(list_transform(embedding, lambda e: sign(e)), 1) END AS g FROM embeddings),
 f AS (SELECT g AS h FROM g ORDER BY take_id LIMIT 1), d AS (SELECT take_id, g, h, unnest(range(1, greatest(len(g), len(h)) + 1)) AS i FROM g, f)
 SELECT take_id, any_value(len(g) <> len(h)) AS lengths_differ, CAST(coalesce(min(i) FILTER (g[i] IS DISTINCT FROM h[i]) - 1, -1) AS INTEGER) AS first_bin FROM d GROUP BY take_id""",
     "hf_fraction": _S + """, w AS (SELECT take_id, i, x * (0.5 - 0.5 * cos(2 * pi() * i / 64)) AS x FROM s),
@@ -259,7 +261,7 @@ SELECT take_id, band, lo_hz, hi_hz, round(CASE WHEN q > 0 AND s > q THEN 10 * lo
     "welch_coherence": _S + """, g AS (SELECT take_id, m, i - 8 * m AS i, x * (0.5 - 0.5 * cos(2 * pi() * (i - 8 * m) / 15)) AS x FROM s, range(7) r(m) WHERE i >= 8 * m AND i < 8 * m + 16),
 b AS (SELECT take_id, m, k, sum(x * cos(2 * pi() * k * i / 16)) AS re, -sum(x * sin(2 * pi() * k * i / 16)) AS im FROM g, range(9) r(k) GROUP BY take_id, m, k),
 c AS (SELECT a.take_id, a.k, sum(a.re * b.re + a.im * b.im) AS re, sum(a.im * b.re - a.re * b.im) AS im, sum(a.re * a.re + a.im * a.im) AS xx, sum(b.re * b.re + b.im * b.im) AS yy
-  FROM b a JOIN b ON b.take_id = a.take_id + 1 AND a.m = b.m AND a.k = b.k WHERE a.take_id % 2 = 0 GROUP BY a.take_id, a.k)
+  FROM b a JOIN b ON b.take_id = a.take_id + 1 AND a.m = b.m AND a.k = b.k GROUP BY a.take_id, a.k)
 SELECT take_id, CAST(k AS INTEGER) AS bin, round(coalesce(least(greatest((re * re + im * im) / nullif(xx * yy, 0), 0), 1), 0), 5) AS coherence FROM c""",
     "fir_bandpass": _S + """, h AS (SELECT k, ((CASE WHEN k = 7 THEN 2 * 8000.0 / 48000 ELSE sin(2 * pi() * 8000 / 48000 * (k - 7)) / (pi() * (k - 7)) END)
   - (CASE WHEN k = 7 THEN 2 * 2000.0 / 48000 ELSE sin(2 * pi() * 2000 / 48000 * (k - 7)) / (pi() * (k - 7)) END)) * (0.5 - 0.5 * cos(2 * pi() * k / 14)) AS h FROM range(15) r(k))

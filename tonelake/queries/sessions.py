@@ -99,9 +99,9 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphan_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines whose part is not in the cheaper half of the catalogue, by part."""
-    cheap = read(spark, sf_dir, "part").where(F.col("p_partkey") % 3 != 0)
-    return catalogue.orphans(read(spark, sf_dir, "lineitem"), cheap, "l_partkey", "p_partkey").groupBy("l_partkey").agg(F.count("*").alias("lines"))
+    """Lines whose part the catalogue has under another key, which is so for every third one, by part."""
+    parts = read(spark, sf_dir, "part").withColumn("p_partkey", F.when(F.col("p_partkey") % 3 == 0, -1 - F.col("p_partkey")).otherwise(F.col("p_partkey")))
+    return catalogue.orphans(read(spark, sf_dir, "lineitem"), parts, "l_partkey", "p_partkey").groupBy("l_partkey").agg(F.count("*").alias("lines"))
 
 
 def repeated_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,8 +177,8 @@ def name_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def device_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names and ids as selectors of devices."""
     p = read(spark, sf_dir, "part")
-    wanted = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").cast("string").alias("selector")).union(p.select(F.upper("p_name")).distinct()).union(spark.createDataFrame([("none",)], "selector string"))
-    return catalogue.unique_or_named(wanted, p.where("p_partkey < 200").select(F.col("p_partkey").cast("string").alias("device_id"), F.concat("p_name", F.when(F.col("p_partkey") < 5, "").otherwise(" x")).alias("name")))
+    wanted = p.select(F.col("p_partkey").cast("string").alias("selector")).union(p.select(F.upper("p_name")).distinct()).union(spark.createDataFrame([("none",)], "selector string"))
+    return catalogue.unique_or_named(wanted, p.select(F.col("p_partkey").cast("string").alias("device_id"), F.concat("p_name", F.when(F.col("p_partkey") < 5, "").otherwise(" x")).alias("name")))
 
 
 def device_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,9 +191,9 @@ def device_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recording_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation")
-    speakers = n.where("n_nationkey < 4").select(F.col("n_nationkey").alias("speaker_index"), F.when(F.col("n_nationkey") == 3, "LFE").otherwise(F.col("n_name")).alias("speaker"))
-    two = read(spark, sf_dir, "region").where("r_regionkey < 2")
-    return catalogue.recording_grid(two.select(F.col("r_regionkey").alias("position")), speakers, two.select(F.col("r_regionkey").alias("microphone")))
+    speakers = n.select(F.col("n_nationkey").alias("speaker_index"), F.when(F.col("n_nationkey") == 3, "LFE").otherwise(F.col("n_name")).alias("speaker"))
+    regions = read(spark, sf_dir, "region")
+    return catalogue.recording_grid(regions.select(F.col("r_regionkey").alias("position")), speakers, regions.select(F.col("r_regionkey").alias("microphone")))
 
 
 def log_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,15 +310,15 @@ FROM part JOIN l2 USING (p_brand) GROUP BY p_brand""",
     "short_names": "SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY upper(p_type)) > 1 THEN p_name ELSE p_type || ' (' || p_name || ')' END AS short_name FROM part",
     "name_listing": """WITH n AS (SELECT s_nationkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS i FROM (SELECT DISTINCT s_nationkey, s_name FROM supplier))
 SELECT s_nationkey, string_agg(s_name, ', ' ORDER BY s_name) FILTER (i <= 3) || CASE WHEN max(i) > 3 THEN ' ... and ' || (max(i) - 3) || ' more' ELSE '' END AS listing FROM n GROUP BY s_nationkey""",
-    "device_lookup": """WITH d AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || CASE WHEN p_partkey < 5 THEN '' ELSE ' x' END AS name FROM part WHERE p_partkey < 200),
-w AS (SELECT CAST(p_partkey AS VARCHAR) AS selector FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT DISTINCT upper(p_name) FROM part UNION ALL SELECT 'none'),
+    "device_lookup": """WITH d AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || CASE WHEN p_partkey < 5 THEN '' ELSE ' x' END AS name FROM part),
+w AS (SELECT CAST(p_partkey AS VARCHAR) AS selector FROM part UNION ALL SELECT DISTINCT upper(p_name) FROM part UNION ALL SELECT 'none'),
 n AS (SELECT selector, (SELECT count(*) FROM d WHERE id = selector) AS ids, (SELECT count(*) FROM d WHERE lower(name) = lower(selector)) AS names, (SELECT min(id) FROM d WHERE lower(name) = lower(selector)) AS by_name FROM w)
 SELECT selector, CASE WHEN ids = 1 THEN selector WHEN names = 1 THEN by_name END AS device_id, CASE WHEN ids = 1 OR names = 1 THEN NULL WHEN names > 1 THEN 'ambiguous' ELSE 'not_found' END AS error FROM n""",
     "device_lookup_all": """WITH d AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || CASE WHEN p_partkey < 5 THEN '' ELSE ' x' END AS name FROM part),
 w AS (SELECT CAST(p_partkey AS VARCHAR) AS selector FROM part WHERE p_partkey % 50 = 0 UNION ALL (SELECT upper(p_name) FROM part UNION SELECT upper(name) FROM d) UNION ALL SELECT 'none'),
 n AS (SELECT selector, (SELECT count(*) FROM d WHERE id = selector) AS ids, (SELECT count(*) FROM d WHERE lower(name) = lower(selector)) AS names, (SELECT min(id) FROM d WHERE lower(name) = lower(selector)) AS by_name FROM w)
 SELECT selector, CASE WHEN ids = 1 THEN selector WHEN names = 1 THEN by_name END AS device_id, CASE WHEN ids = 1 OR names = 1 THEN NULL WHEN names > 1 THEN 'ambiguous' ELSE 'not_found' END AS error FROM n""",
-    "recording_grid": """WITH s AS (SELECT n_nationkey AS speaker_index, CASE WHEN n_nationkey = 3 THEN 'LFE' ELSE n_name END AS speaker FROM nation WHERE n_nationkey < 4), t AS (SELECT r_regionkey AS k FROM region WHERE r_regionkey < 2)
+    "recording_grid": """WITH s AS (SELECT n_nationkey AS speaker_index, CASE WHEN n_nationkey = 3 THEN 'LFE' ELSE n_name END AS speaker FROM nation), t AS (SELECT r_regionkey AS k FROM region)
 SELECT p.k AS position, speaker_index, m.k AS microphone, speaker || ' (Pos ' || (p.k + 1) || ' / Mic ' || (m.k + 1) || ')' AS name, CASE WHEN lower(speaker) IN ('lfe', 'sub') THEN 10.0::DOUBLE ELSE 20 END AS start_hz,
   CASE WHEN lower(speaker) IN ('lfe', 'sub') THEN 500.0::DOUBLE ELSE 20000 END AS end_hz FROM t p, s, t m""",
     "log_interpolation": """WITH p AS (SELECT p_brand, p_size::DOUBLE AS f, avg(p_retailprice) AS v FROM part GROUP BY ALL), t AS (SELECT DISTINCT p_brand, hz FROM p, (VALUES (0.5::DOUBLE), (1), (2.5), (10), (17.3), (33.3), (49), (80)) g(hz)),
