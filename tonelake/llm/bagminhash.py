@@ -34,7 +34,7 @@ WORDS, ALIKE = 5, 0.8
 #: 48 bands of 8 registers: a pair at a similarity of 0.8 shares none with a probability of 0.00015.
 BANDS, ROWS = 48, 8
 #: Points made at once while signing, which bounds memory however many short texts a batch has.
-POINTS = 1 << 19
+POINTS = 1 << 18
 #: Members up to which a bucket is small, and members and characters of a block of a larger one, about.
 SMALL, BLOCK, BLOCK_CHARACTERS = 24, 128, 1 << 22
 #: Comparisons with one pivot that go to one task, about.

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are worked on in slices of about this many bytes, which bounds memory.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _PRIME = _U(0x9E3779B97F4A7C15)

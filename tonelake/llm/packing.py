@@ -33,8 +33,8 @@ CAPACITY = 2048
 NEARLY = 2
 #: Items packed at once in a task, and in a group of a merge round.
 BLOCK, GROUP = 1 << 16, 1 << 15
-#: Units of text that a worker remembers, ids that it holds for them, and units looked up at once.
-REMEMBERED, HELD, AT_ONCE = 600_000, 1 << 22, 1 << 18
+#: Units of text that a task remembers, ids that it holds for them, and units looked up at once.
+REMEMBERED, HELD, AT_ONCE = 200_000, 1 << 21, 1 << 17
 
 PIECES = "doc_id {key}, piece int, start long, length long, ids_crc32 long, bin long, at long, fill long"
 
@@ -127,7 +127,7 @@ class WordIds:
     #: Fixed values of the tokenizer's file on which the units rest.
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     NORMAL = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
-    SLOTS = 1 << 21
+    SLOTS = 1 << 20
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -354,6 +354,7 @@ def _local(path: str, capacity: int, nearly: int):
             rows, keys, held, size = [], [], 0, 0
             return pa.RecordBatch.from_arrays(out, names=kind)
 
+        ids.forget()  # an idle worker holds none of them
         for batch in slices(batches, "text"):
             found, first = ids.of(batch.column("text"))
             counts = np.diff(first)
@@ -369,6 +370,7 @@ def _local(path: str, capacity: int, nearly: int):
             held, size = held + batch.num_rows, size + len(own)
             if size >= BLOCK:
                 yield flush()
+        ids.forget()
         if size:
             yield flush()
 
