@@ -41,6 +41,8 @@ IMPLIED = {
     "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
 }
+IMPLIED = {tag: (tuple(closes), (*stops, *FENCE)) for tag, (closes, stops) in IMPLIED.items()}
+P_FENCE = (*FENCE, "button")
 
 # A quote opens a value only right after "=", elsewhere it is a character like others; only a value that stays open does not end.
 _W = r"[ \t\n\r\f]"
@@ -274,7 +276,11 @@ class Page:
 
     def top(self, tags: Iterable[str]) -> int:
         """The serial of the innermost open element of ``tags``, 0 without one."""
-        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+        serial, held = 0, self.open
+        for tag in tags:
+            if held[tag] and held[tag][-1] > serial:
+                serial = held[tag][-1]
+        return serial
 
     def pop_to(self, serial: int) -> None:
         while self.stack and self.stack[-1][8] >= serial:
@@ -291,12 +297,12 @@ class Page:
         if tag in OUTWARD and self.place()[0]:
             while self.pop() not in ("svg", "math"):
                 pass
-        if tag in ENDS_P and self.within("p", FENCE | {"button"}):
+        if tag in ENDS_P and self.open["p"] and self.within("p", P_FENCE):
             self.end("p")
         if tag in IMPLIED:
             closes, stops = IMPLIED[tag]
             old = self.top(closes)
-            if old > self.top(stops | FENCE):
+            if old and old > self.top(stops):
                 self.pop_to(old)
         if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption"):
             if not self.open["table"]:
@@ -393,15 +399,17 @@ class Page:
             self.start("tr", "")
 
     def within(self, tag: str, fence: frozenset[str] | set[str]) -> bool:
-        own = self.top((tag,))
-        return own > 0 and own >= self.top(fence)
+        held = self.open[tag]
+        return bool(held) and held[-1] >= self.top(fence)
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self.start("br", "")
         if tag == "p" and not self.within("p", FENCE) and self.visible():
             self.flow.block(1)
-        fence = FENCE - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot") else {"html"}
+        if not self.open[tag]:
+            return
+        fence = FENCE if tag not in ("table", "tr", "tbody", "thead", "tfoot") else {"html"}
         if tag in ("tr", "tbody", "thead", "tfoot"):
             fence = {"table"}
         if not self.within(tag, fence):
