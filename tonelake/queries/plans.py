@@ -132,7 +132,7 @@ def relative_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrivals of a session for each nation, its suppliers being sources: with a loopback, a fixed emitter or neither; some arrays are flat."""
-    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("session"), F.col("s_suppkey").alias("source_id"), (F.col("s_acctbal") / 2000).alias("src_x"), (F.col("s_suppkey") % 7 * 0.5).alias("src_y"), (F.col("s_nationkey") * 0.1 + 1.75).alias("src_z"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("session"), F.col("s_suppkey").alias("source_id"), (F.col("s_acctbal") / 1000).alias("src_x"), (F.col("s_suppkey") % 7 * 0.5).alias("src_y"), (F.col("s_nationkey") * 0.1 + 1.75).alias("src_z"))
     rows = s.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("kind", F.col("session") % 3)
     rows = rows.withColumns({
         "mic_x": (F.col("k") % 3) * 1.0, "mic_y": (F.floor(F.col("k") / 3) % 3) * 0.9, "mic_z": F.when(F.col("session") % 4 == 1, 1.1).otherwise(0.5 + (F.col("k") * F.col("k") % 5) * 0.3),
@@ -155,7 +155,7 @@ def session_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole sessions to the places of their sources."""
     _, found = localization.localized(_session(spark, sf_dir), ["session"], "order", F.lit(52800.0), _air(), 343.0 / 48000)
     found = found.withColumn("low_rms", F.col("rms_m") < 1e-5)
-    return rounded(found.select("session", "source_id", "x", "y", "z", "links", "mirror_ambiguous", "low_rms", "verdict"), "x", "y", "z", digits=4)
+    return rounded(found.select("session", "source_id", "x", "y", "z", "links", "mirror_ambiguous", "low_rms", "verdict"), "x", "y", "z", digits=5)
 
 
 def microphone_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,7 +274,7 @@ def _streamed(spark: SparkSession, sf_dir: str, operator, mode: str, keys: list[
 _L = """WITH m AS (SELECT l_orderkey AS session, l_partkey AS source_id, l_linenumber AS repeat_index, l_suppkey AS microphone_id, CASE WHEN l_quantity > 2 THEN l_quantity * 100 END AS a,
   CASE WHEN l_tax > 0 THEN 1 + l_tax / 1000 END AS r, l_discount * 10 AS s, CASE WHEN l_returnflag <> 'A' THEN l_discount * 5000 END AS l, l_linestatus AS d,
   CASE WHEN l_partkey % 3 = 0 THEN 72.0 ELSE 0 END AS own FROM lineitem)"""
-_S = """WITH k AS (SELECT s_nationkey AS session, s_suppkey AS source_id, k, s_nationkey % 3 AS kind, s_nationkey % 4 = 1 AS flat, s_acctbal / 2000 AS x, s_suppkey % 7 * 0.5 AS y, s_nationkey * 0.1 + 1.75 AS z,
+_S = """WITH k AS (SELECT s_nationkey AS session, s_suppkey AS source_id, k, s_nationkey % 3 AS kind, s_nationkey % 4 = 1 AS flat, s_acctbal / 1000 AS x, s_suppkey % 7 * 0.5 AS y, s_nationkey * 0.1 + 1.75 AS z,
   k % 3 * 1.0 AS mx, k // 3 % 3 * 0.9 AS my, CASE WHEN s_nationkey % 4 = 1 THEN 1.1 ELSE 0.5 + k * k % 5 * 0.3 END AS mz FROM supplier, range(9) r(k))"""
 
 SQL = {
@@ -310,7 +310,7 @@ SELECT session, source_id AS part, repeat_index AS line, microphone_id, round(CA
 SELECT session, source_id, CAST(k AS INTEGER) AS microphone_id, CASE kind WHEN 0 THEN 'loopback' WHEN 1 THEN 'emitter' ELSE 'relative' END AS mode, round(CASE WHEN k <> 8 AND kind < 2 THEN d END, 6) AS distance_m,
   round(CASE WHEN k <> 8 AND kind < 2 THEN 343 * sqrt(0.02) / CASE kind WHEN 0 THEN 1.000003 ELSE 1 END / 48000 + d * 0.5 / 343 + 0.001 END, 6) AS sigma_m,
   CASE WHEN k = 8 THEN 'take_missing' WHEN kind = 2 THEN 'no_absolute_time_origin' END AS reason FROM d""",
-    "session_positions": _S + """ SELECT DISTINCT session, source_id, CASE WHEN kind < 2 THEN round(x, 4) END AS x, CASE WHEN kind < 2 THEN round(y, 4)::DOUBLE END AS y, CASE WHEN kind < 2 THEN round(z, 4)::DOUBLE END AS z,
+    "session_positions": _S + """ SELECT DISTINCT session, source_id, CASE WHEN kind < 2 THEN round(x, 5) END AS x, CASE WHEN kind < 2 THEN round(y, 5)::DOUBLE END AS y, CASE WHEN kind < 2 THEN round(z, 5)::DOUBLE END AS z,
   CAST(CASE WHEN kind < 2 THEN 8 ELSE 0 END AS BIGINT) AS links, flat AND kind < 2 AS mirror_ambiguous, CASE WHEN kind < 2 THEN true END AS low_rms, CASE WHEN kind < 2 THEN 'solved' ELSE 'insufficient_ranges' END AS verdict FROM k""",
     "position_lines": """WITH s AS (SELECT *, CASE WHEN s_suppkey % 4 <> 0 THEN round(s_acctbal / 1000, 1) END AS x, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 THEN s_nationkey / 100 END AS b FROM supplier)
 SELECT s_suppkey, 'localization ' || s_name || ' ' || CASE WHEN x IS NOT NULL THEN printf('position: [%.3f, %.3f, %.3f] m', x, s_nationkey * 0.5::DOUBLE, 1.25::DOUBLE) WHEN s_suppkey % 8 = 0 THEN 'position: refused (solve_failed)' ELSE 'position: refused (unknown)' END
