@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonelake.queries import journals, layouts, plans, reports, samples, sessions, signals
+from tonelake.queries import journals, layouts, plans, projections, reports, samples, sessions, signals
 
-_PARTS = (samples, sessions, plans, signals, journals, layouts, reports)
+_PARTS = (samples, sessions, plans, signals, journals, layouts, reports, projections)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
