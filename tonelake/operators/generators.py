@@ -8,10 +8,18 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _T = 2 * math.pi
+#: Exponents, beside the order and 0, of polynomials whose sequence takes all states, for orders 2 to 24.
+PRIMITIVE = {
+    2: (1,), 3: (1,), 4: (1,), 5: (2,), 6: (1,), 7: (1,), 8: (4, 3, 2), 9: (4,), 10: (3,), 11: (2,), 12: (6, 4, 1), 13: (4, 3, 1), 14: (10, 6, 1), 15: (1,), 16: (12, 3, 1),
+    17: (3,), 18: (7,), 19: (5, 2, 1), 20: (3,), 21: (2,), 22: (1,), 23: (5,), 24: (7, 2, 1),
+}
+#: Fixed values of IEC 60268-16: octave bands, the level of male speech in them, and the two modulations of each.
+STIPA_BANDS = ((125, 2.9, 1.6, 8.0), (250, 2.9, 1.0, 5.0), (500, -0.8, 0.63, 3.15), (1000, -6.8, 2.0, 10.0), (2000, -12.8, 1.25, 6.25), (4000, -18.8, 0.8, 4.0), (8000, -24.8, 2.5, 12.5))
 
 
 def frames(spark: SparkSession, seconds: float, rate: int) -> DataFrame:
@@ -87,6 +95,76 @@ def noise(seed: int, amplitude: float) -> Column:
     return amplitude * (F.pmod(F.xxhash64(F.lit(seed), "idx"), F.lit(1 << 32)) / F.lit(1 << 31) - 1)
 
 
+def pink_noise(seed: int, amplitude: float, octaves: int = 16) -> Column:
+    """Noise that falls by 3 dB an octave: the mean of uniform values of which each is held twice as long as the one before."""
+    held = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.shiftright(F.col("idx"), k)), F.lit(1 << 32)) / F.lit(1 << 31) - 1
+    total = held(0)
+    for k in range(1, octaves):
+        total = total + held(k)
+    return amplitude * total / octaves
+
+
+def _jump(order: int, steps: int) -> int:
+    """x to a power modulo the order's polynomial, as bits of coefficients."""
+    modulus = 1 << order | 1 | sum(1 << e for e in PRIMITIVE[order])
+
+    def product(a: int, b: int) -> int:
+        out = 0
+        while b:
+            out ^= a if b & 1 else 0
+            a, b = a << 1, b >> 1
+            a ^= modulus if a >> order else 0
+        return out
+
+    out, base = 1, 2
+    while steps:
+        out = product(out, base) if steps & 1 else out
+        base, steps = product(base, base), steps >> 1
+    return out
+
+
+def mls(spark: SparkSession, order: int, amplitude: float, block: int = 1 << 12) -> DataFrame:
+    """(idx, x): a maximum-length sequence of 2**order - 1 samples of plus and minus one amplitude.
+
+    Sample n is the lowest bit of x**n modulo a primitive polynomial, so each
+    block starts where its power says, in whatever task.
+    """
+    if order not in PRIMITIVE:
+        raise ValueError("orders 2 to 24")
+    n, modulus = (1 << order) - 1, 1 << order | 1 | sum(1 << e for e in PRIMITIVE[order])
+
+    def made(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            for b in batch["id"]:
+                state, out = _jump(order, int(b) * block), []
+                for _ in range(min(block, n - int(b) * block)):
+                    out.append(amplitude if state & 1 else -amplitude)
+                    state <<= 1
+                    state ^= modulus if state >> order else 0
+                yield pd.DataFrame({"idx": range(int(b) * block, int(b) * block + len(out)), "x": out})
+
+    return spark.range(-(-n // block)).mapInPandas(made, "idx long, x double")
+
+
+def stipa(rate: int, amplitude: float, tones: int = 24, seed: int = 7) -> Column:
+    """A test signal of speech intelligibility: seven half octaves of tones in hashed phases, each band's intensity modulated twice.
+
+    Bands beyond the Nyquist frequency are left out.
+    """
+    t, total, power = F.col("idx") / rate, F.lit(0.0), 0.0
+    for band, db, slow, fast in STIPA_BANDS:
+        if band * 2**0.25 >= rate / 2:
+            continue
+        hz = [band * 2 ** (-0.25 + 0.5 * (i + 0.5) / tones) for i in range(tones)]
+        level = 10 ** (db / 20) / math.sqrt(tones)
+        sound = F.lit(0.0)
+        for i, f in enumerate(hz):
+            sound = sound + F.sin(_T * f * t + _T * ((seed * (i + 1) * band * 0.6180339887498949) % 1))
+        total = total + level * sound * F.sqrt(0.5 * (1 + 0.55 * (F.sin(_T * slow * t) - F.sin(_T * fast * t))))
+        power += 10 ** (db / 10) / 4
+    return amplitude * total / (math.sqrt(power) * 4) if power else total
+
+
 def wake_burst(spark: SparkSession, rate: int, amplitude: float, seed: int = 1) -> DataFrame:
     """(idx, x): a quarter second of faded noise at half scale at most; nothing for no amplitude."""
     n = round(rate / 4) if amplitude > 0 else 0
