@@ -8,9 +8,10 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytecnn, linecrf
+from . import bytecnn, interaction, licences, linecrf
 from .bagminhash import near_duplicates
 from .common import table
+from .infill import fill_in_middle, restored
 from .layout import extract
 from .merkle import audit
 from .packing import pack
@@ -185,6 +186,89 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda x: F.sha2(x, 256)
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        sha(F.col("output")).alias("output_sha256"),
+        sha(restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = """
+WITH said AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS t FROM documents
+), drawn AS (
+  SELECT doc_id, text, t, CAST(len(t) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(t) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(t) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM said
+), parts AS (
+  SELECT doc_id, text, n, form, array_to_string(t[1:least(a, b)], '') AS p, array_to_string(t[least(a, b) + 1:greatest(a, b)], '') AS m,
+    array_to_string(t[greatest(a, b) + 1:n], '') AS s FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM parts
+"""
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.interactions(interaction.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+OP12_SQL = """
+WITH said AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), least AS (SELECT text, min(doc_id) AS first FROM said GROUP BY text),
+judged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {
+    'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w), 'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text),
+    'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > first, false)} AS f
+  FROM said JOIN least USING (text) LEFT JOIN marks USING (doc_id)
+), cells AS (
+  SELECT part, concat(CASE WHEN f.A THEN 'A' ELSE '' END, CASE WHEN f.B THEN 'B' ELSE '' END, CASE WHEN f.C THEN 'C' ELSE '' END, CASE WHEN f.D THEN 'D' ELSE '' END,
+    CASE WHEN f.E THEN 'E' ELSE '' END) AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM judged GROUP BY ALL
+), letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders),
+told AS (
+  SELECT part, filter_order, step, filter_order[step] AS l, n, good, toxic, fails, contains(fails, filter_order[step]) AS failing,
+    len(list_filter(range(1, step), lambda k: contains(fails, filter_order[k]))) > 0 AS gone FROM cells, steps
+), summed AS (
+  SELECT part, filter_order, step, l, coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND failing), 0) AS removed,
+    coalesce(sum(n) FILTER (gone AND failing), 0) AS redundant, coalesce(sum(n) FILTER (fails = l), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (NOT gone AND failing), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND failing), 0) AS toxic_lost
+  FROM told GROUP BY part, filter_order, step, l
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) AS shapley FROM summed
+"""
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("notices", lambda x: x["phrase"].isin(*licences.BASE))["word"]
+    return licences.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(base).alias("first_word"),
+        F.array_max(base).alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -199,6 +283,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_snapshot_collapse,
             op9_token_counts,
             op10_line_crf,
+            op11_fill_in_middle,
+            op12_filter_interactions,
+            op13_license_scan,
         )
     }
 
@@ -210,4 +297,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_norm_sorted_top_k": OP6_SQL,
         "op7_winnowing": OP7_SQL,
         "op8_snapshot_collapse": OP8_SQL,
+        "op11_fill_in_middle": OP11_SQL,
+        "op12_filter_interactions": OP12_SQL,
     }
