@@ -125,9 +125,25 @@ def test_spectra_agree_with_numpy(spark):
 def test_plan_rules_come_in_order(spark):
     plan = '{"version": 1, "sample_rate_hz": 8000, "output_device": "", "extra": 1, "sweep": {"start_hz": 1, "odd": 2}}'
     df = documents.strict_json(spark.createDataFrame([(plan,), ("nonsense",)], "t string"), "t", session.plan_schema(), "p")
-    first, second = df.select("unknown_keys", session.first_issue(F.col("p")).alias("issue")).collect()
-    assert sorted(first.unknown_keys) == [".extra", ".sweep.odd"] and first.issue == "sample_rate"
-    assert second.issue == "version"
+    first, second = df.select("unknown_keys", session.issue(F.col("p")).alias("issue"), session.first_issue(F.col("p"), F.col("unknown_keys")).alias("refused")).collect()
+    assert sorted(first.unknown_keys) == [".extra", ".sweep.odd"] and first.issue == "sample_rate" and first.refused == "unknown_key"
+    assert second.issue == second.refused == "version" and second.unknown_keys == []
+
+
+def test_keys_of_every_element_are_looked_at(spark):
+    texts = {
+        '{"microphones":[{"id":"a"},{"id":"b","evil":1}],"sources":[{},{"position_m":[0,{"no":1}]},{"x":{"y":1},"z":null}]}': [".microphones[1].evil", ".sources[2].x", ".sources[2].z"],
+        '{"microphones":{"evil":1},"sources":[[{"evil":1}],7,null],"ctc":{"head_position":{"id":"h","roll":0}}}': [".ctc.head_position.roll"],
+        '{"version":1,"version":1}': [], "[1]": [], "null": [], "": [], "{": [], '{"microphones":[]}': [], '{"a b.c":1}': [".a b.c"],
+    }
+    df = documents.strict_json(spark.createDataFrame([(t, "x") for t in texts], "t string, parsed string"), "t", session.plan_schema(), "p")
+    assert df.columns == ["t", "parsed", "p", "unknown_keys"]
+    got = {r.t: (sorted(r.unknown_keys), r.p is None) for r in df.collect()}
+    assert {t: k for t, (k, _) in got.items()} == texts
+    assert got['{"version":1,"version":1}'][1] and got["{"][1] and not got['{"microphones":[]}'][1]
+    gaps = '{"version":1,"error":"e","inputs":[{"device_id":"d","routes":[{"input_index":0},{"hardware_channel":1,"more":2}],"continuity":{"intervals":[{},{"begin":1}]}}]}'
+    lost = documents.strict_json(spark.createDataFrame([(gaps,)], "t string"), "t", documents.loss_report_schema()).first()
+    assert sorted(lost.unknown_keys) == [".inputs[0].continuity.intervals[1].begin", ".inputs[0].routes[1].more"]
 
 
 def test_positions_of_flat_arrays_are_refused(spark):
@@ -276,7 +292,7 @@ def test_microphones_are_judged_one_after_another(spark):
     plan = '{"version": 1, "sample_rate_hz": 48000, "output_device": "o", "geometry": "spread", "microphones": [%s, %s]}'
     texts = [plan % (mic % ("a", 0, ""), mic % ("a", 1, "c")), plan % (mic % ("a", 0, "c"), mic % ("a", 0, "c")), plan % (mic % ("a", 0, "c"), mic % ("b", 0, ""))]
     df = documents.strict_json(spark.createDataFrame([(t,) for t in texts], "t string"), "t", session.plan_schema(), "p")
-    assert [r.i for r in df.select(session.first_issue(F.col("p")).alias("i")).collect()] == ["microphone_calibration", "microphone_id", "microphone_route"]
+    assert [r.i for r in df.select(session.issue(F.col("p")).alias("i")).collect()] == ["microphone_calibration", "microphone_id", "microphone_route"]
 
 
 def test_frames_come_once_they_are_past(spark, tmp_path):

@@ -153,9 +153,9 @@ def issue(p: Column) -> Column:
     )
 
 
-def first_issue(plan: Column) -> Column:
-    """The first rule a plan breaks, or null for a plan that breaks none; the order of rules is part of the result."""
-    return issue(plan)
+def first_issue(plan: Column, unknown_keys: Column) -> Column:
+    """What a plan that was read from a file is refused for first: a key that plans do not have, then the rules in their order; null for a sound plan."""
+    return F.when(F.size(unknown_keys) > 0, "unknown_key").otherwise(issue(plan))
 
 
 def children(plans: DataFrame, key: str, plan: str, part: str) -> DataFrame:

@@ -29,6 +29,7 @@ def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when((k == 2) & (F.lit(i) == 1), 0).otherwise(F.lit(i)).alias("input_channel"), F.lit("cal.txt").alias("calibration_file"), F.lit("on_axis").alias("calibration_orientation"),
             F.lit(0.0).alias("gain_db"), F.array(F.lit(0.06 * i), F.lit(0.0), F.lit(1.1)).alias("position_m"),
             F.when(k == 3, none.cast("double")).when(k == 4, 2.5).otherwise(1.0).alias("position_uncertainty_mm"),
+            F.when((F.col("c_custkey") % 25 == 1) & (F.lit(i) == 2), 0.5).alias("gain"),
         )
 
     source = F.struct(F.col("c_name").alias("id"), (F.col("c_nationkey") * F.when(k == 5, 9).otherwise(1)).cast("int").alias("output_channel"), none.cast("array<double>").alias("position_m"), none.cast("double").alias("position_uncertainty_mm"), F.when(k == 6, 200.0).alias("source_delay_calibration_ms"))
@@ -36,7 +37,8 @@ def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 7, 2).otherwise(1).alias("version"), F.when(k == 4, "compact").otherwise("spread").alias("geometry"), F.lit(48000).alias("sample_rate_hz"),
         F.when(k == 8, " ").otherwise("main").alias("output_device"), F.array(mic(0), mic(1), mic(2)).alias("microphones"), F.array(source).alias("sources"),
         F.when(k == 9, 17).otherwise((F.col("c_custkey") % 3 + 1).cast("int")).alias("repeat_count"),
-        F.struct((F.col("c_custkey") % 4 + 1.0).alias("duration_secs"), F.lit(20.0).alias("start_hz"), F.when(k == 10, 24000.0).otherwise(20000.0).alias("end_hz"), F.lit(0.1).alias("amplitude"), F.when(k == 11, F.lit(2.0).cast("float")).alias("bass_octave_duration_s")).alias("sweep"),
+        F.struct((F.col("c_custkey") % 4 + 1.0).alias("duration_secs"), F.lit(20.0).alias("start_hz"), F.when(k == 10, 24000.0).otherwise(20000.0).alias("end_hz"), F.lit(0.1).alias("amplitude"), F.when(k == 11, F.lit(2.0).cast("float")).alias("bass_octave_duration_s"), F.when(F.col("c_custkey") % 25 == 2, 1).alias("fade")).alias("sweep"),
+        F.when(F.col("c_custkey") % 49 == 3, "x").alias("extra"),
     )
     # through JSON and back, as a plan comes from a file
     return documents.strict_json(c.select("c_custkey", F.to_json(plan).alias("text")), "text", session.plan_schema(), "plan")
@@ -44,7 +46,7 @@ def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plan_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _plans(spark, sf_dir)
-    return p.select("c_custkey", F.size("unknown_keys").alias("unknown"), session.first_issue(F.col("plan")).alias("issue"))
+    return p.select("c_custkey", F.size("unknown_keys").alias("unknown"), session.first_issue(F.col("plan"), F.col("unknown_keys")).alias("issue"))
 
 
 def plan_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +69,7 @@ def plan_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(343.0).alias("m_s"), at(14, 343.0, 0.5).alias("uncertainty_m_s")).alias("sound_speed"), at(11, "", "bench.json").alias("localization_calibration_file"),
     )
     read_back = documents.strict_json(c.select("c_custkey", F.to_json(plan).alias("text")), "text", session.plan_schema(), "plan")
-    return read_back.select("c_custkey", F.size("unknown_keys").alias("unknown"), session.first_issue(F.col("plan")).alias("issue"))
+    return read_back.select("c_custkey", F.size("unknown_keys").alias("unknown"), session.first_issue(F.col("plan"), F.col("unknown_keys")).alias("issue"))
 
 
 def signal_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,8 +280,9 @@ _S = """WITH k AS (SELECT s_nationkey AS session, s_suppkey AS source_id, k, s_n
   k % 3 * 1.0 AS mx, k // 3 % 3 * 0.9 AS my, CASE WHEN s_nationkey % 4 = 1 THEN 1.1 ELSE 0.5 + k * k % 5 * 0.3 END AS mz FROM supplier, range(9) r(k))"""
 
 SQL = {
-    "plan_validation": """SELECT c_custkey, CAST(0 AS INTEGER) AS unknown, CASE c_custkey % 12 WHEN 7 THEN 'version' WHEN 8 THEN 'output_device' WHEN 9 THEN 'repeat_count' WHEN 1 THEN 'microphone_id' WHEN 2 THEN 'microphone_route'
-  WHEN 3 THEN 'microphone_position' WHEN 4 THEN 'compact_uncertainty' WHEN 6 THEN 'source_delay' WHEN 10 THEN 'sweep' WHEN 5 THEN CASE WHEN c_nationkey * 9 >= 64 THEN 'source_route' END END AS issue FROM customer""",
+    "plan_validation": """WITH u AS (SELECT *, CAST((c_custkey % 25 IN (1, 2)) AS INTEGER) + CAST((c_custkey % 49 = 3) AS INTEGER) AS unknown FROM customer)
+SELECT c_custkey, unknown, CASE WHEN unknown > 0 THEN 'unknown_key' ELSE CASE c_custkey % 12 WHEN 7 THEN 'version' WHEN 8 THEN 'output_device' WHEN 9 THEN 'repeat_count' WHEN 1 THEN 'microphone_id' WHEN 2 THEN 'microphone_route'
+  WHEN 3 THEN 'microphone_position' WHEN 4 THEN 'compact_uncertainty' WHEN 6 THEN 'source_delay' WHEN 10 THEN 'sweep' WHEN 5 THEN CASE WHEN c_nationkey * 9 >= 64 THEN 'source_route' END END END AS issue FROM u""",
     "plan_parts": """SELECT c_custkey, CAST(0 AS INTEGER) AS unknown, CASE c_custkey % 17 WHEN 1 THEN 'probe_storage' WHEN 2 THEN 'probe' WHEN 3 THEN 'bass_anchor_storage' WHEN 4 THEN 'bass_anchor' WHEN 5 THEN 'bass_anchor' WHEN 6 THEN 'loopback'
   WHEN 7 THEN 'bass_anchor_loopback' WHEN 8 THEN 'ear_pair' WHEN 9 THEN 'ear_pair_loopback' WHEN 10 THEN 'ear_pair_device' WHEN 11 THEN 'localization_calibration' WHEN 12 THEN 'sweep_storage' WHEN 13 THEN 'sweep_samples'
   WHEN 14 THEN 'sound_speed' WHEN 15 THEN 'timing_reference' WHEN 16 THEN 'bass_anchor' END AS issue FROM customer""",

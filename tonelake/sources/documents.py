@@ -29,28 +29,32 @@ def calibration_curves(spark: SparkSession, path: str) -> DataFrame:
     return curve_rows(lines, ["file"], "value")
 
 
-def _unknown(path: str, kind: DataType, text: Column) -> list[Column]:
-    """For each object of a schema, the keys a document has there and the schema has not."""
+def _unknown(path: Column, kind: DataType, value: Column) -> Column:
+    """The places of keys that a parsed value has, in any of its objects, and its schema has not."""
     if isinstance(kind, ArrayType):
-        return _unknown(f"{path}[0]", kind.elementType, text)
+        items = F.try_variant_get(value, "$", "array<variant>")
+        return F.flatten(F.transform(items, lambda item, i: _unknown(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), kind.elementType, item)))
     if not isinstance(kind, StructType):
-        return []
-    known = F.array(*[F.lit(f.name) for f in kind.fields])
-    here = F.json_object_keys(F.get_json_object(text, path))
-    found = [F.transform(F.array_except(F.coalesce(here, F.array().cast("array<string>")), known), lambda k: F.concat(F.lit(path[1:] + "."), k))]
+        return F.array().cast("array<string>")
+    keys = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+    odd = F.array_except(keys, F.array(*[F.lit(f.name) for f in kind.fields]))
+    parts = [F.transform(odd, lambda k: F.concat(path, F.lit("."), k))]
     for f in kind.fields:
-        found += _unknown(f"{path}.{f.name}", f.dataType, text)
-    return found
+        if isinstance(f.dataType, (ArrayType, StructType)):
+            parts.append(_unknown(F.concat(path, F.lit(f".{f.name}")), f.dataType, F.try_variant_get(value, f"$.{f.name}", "variant")))
+    return F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts])
 
 
 def strict_json(rows: DataFrame, text: str, schema: StructType, to: str = "document") -> DataFrame:
-    """``rows`` with the parsed document, and ``unknown_keys`` that its schema does not have.
+    """``rows`` with the parsed document, and ``unknown_keys``: where it has keys that its schema has not.
 
-    Of arrays the first element's keys are looked at. A text that is no JSON
-    has a null document.
+    All objects are looked at, in every element of every array. A text that is
+    no JSON, or repeats a key in one object, has a null document and no keys.
     """
-    unknown = F.flatten(F.array(*_unknown("$", schema, F.col(text))))
-    return rows.withColumns({to: F.from_json(F.col(text), schema), "unknown_keys": unknown})
+    parsed = "_".join(["parsed", *rows.columns])
+    unknown = F.coalesce(_unknown(F.lit(""), schema, F.col(parsed)), F.array().cast("array<string>"))
+    document = F.when(F.col(parsed).isNotNull(), F.from_json(F.col(text), schema))
+    return rows.withColumn(parsed, F.try_parse_json(F.col(text))).withColumns({to: document, "unknown_keys": unknown}).drop(parsed)
 
 
 LOSS_REPORT = (
