@@ -8,14 +8,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tonelake.functions.acoustics import propagation_metres, range_sigma
 from tonelake.functions.levels import is_finite
+from tonelake.plans.positions import solved_positions
 
 
 class Medium(NamedTuple):
@@ -105,99 +103,6 @@ def ranges(cells: DataFrame, keys: list[str], order: str, sweep_frame: Column, m
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _spheres(at: np.ndarray, d: np.ndarray, s: np.ndarray, start: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The place whose distances fit best, far-off ones counting less (Huber), with its residuals and the last normal matrix."""
-    x, m = start.astype(float), np.eye(3)
-    for _ in range(rounds):
-        gap = x - at
-        r = np.maximum(np.sqrt((gap**2).sum(axis=1)), 1e-9)
-        u, e = gap / r[:, None], d - r
-        w = np.where(np.abs(e) <= 3 * s, 1.0, 3 * s / np.maximum(np.abs(e), 1e-300)) / (s * s)
-        m = u.T @ u
-        step = np.linalg.lstsq((u * w[:, None]).T @ u, (u * w[:, None]).T @ e, rcond=1e-12)[0]
-        x = x + step
-        if np.abs(step).max() < 1e-10:
-            break
-    return x, d - np.sqrt(((x - at) ** 2).sum(axis=1)), m
-
-
-def _starts(at: np.ndarray, d: np.ndarray) -> tuple[list[np.ndarray], bool, bool]:
-    """Where the linear equations put the place, whether anchors are on a line, and whether in a plane, where there are two such places."""
-    mid = at.mean(axis=0)
-    _, spread, turn = np.linalg.svd(at - mid)
-    spread = np.append(spread, np.zeros(3))[:3]
-    if spread[1] <= 1e-6 * max(spread[0], 1e-12):
-        return [], True, True
-    flat = spread[2] <= 1e-6 * spread[0]
-    kept = turn[: 2 if flat else 3]
-    q = (at - mid) @ kept.T
-    b = ((q**2).sum(axis=1) - d * d) / 2
-    y = np.linalg.lstsq(q - q.mean(axis=0), b - b.mean(), rcond=None)[0]
-    place = mid + y @ kept
-    if not flat:
-        return [place], False, False
-    high = np.sqrt(max(0.0, float((d * d - ((q - y) ** 2).sum(axis=1)).mean())))
-    return [place + high * turn[2] * sign for sign in (1 if turn[2][np.abs(turn[2]).argmax()] > 0 else -1,)], False, True
-
-
-def _placed(at: np.ndarray, d: np.ndarray, s: np.ndarray, sample_m: float) -> dict:
-    """One point's place and verdict; of two mirrored places the one on the positive side."""
-    none = {"x": None, "y": None, "z": None, "links": len(d), "mirror_ambiguous": False, "gdop": None, "rms_m": None, "gate_m": None, "loo_m": None}
-    if len(d) < 3:
-        return none | {"verdict": "insufficient_ranges"}
-    starts, line, flat = _starts(at, d)
-    if line:
-        return none | {"verdict": "degenerate_geometry"}
-    if len(d) == 3:
-        return none | {"verdict": "mirror_ambiguous", "mirror_ambiguous": True}
-    x, e, m = _spheres(at, d, s, starts[0])
-    rms, gate = float(np.sqrt((e * e).mean())), max(sample_m, 3 * float(np.median(s)))
-    gdop = float(np.sqrt(max(0.0, np.trace(np.linalg.pinv(m)))))
-    if not (np.isfinite(x).all() and np.isfinite(rms)):
-        return none | {"verdict": "solve_failed"}
-    out = none | {"mirror_ambiguous": flat, "gdop": gdop, "rms_m": rms, "gate_m": gate}
-    if rms > gate:
-        return out | {"verdict": "solve_residual_high"}
-    loo = None
-    if len(d) > 4:  # how far the place moves at most if one range is left out
-        left = [np.arange(len(d)) != k for k in range(len(d))]
-        loo = max(float(np.sqrt(((_spheres(at[k], d[k], s[k], x)[0] - x) ** 2).sum())) for k in left if not _starts(at[k], d[k])[1])
-    return out | dict(zip("xyz", map(float, x), strict=True)) | {"loo_m": loo, "verdict": "solved"}
-
-
-def solved_positions(cells: DataFrame, keys: list[str], sample_m: float) -> DataFrame:
-    """(keys, source_id, x, y, z, links, mirror_ambiguous, gdop, rms_m, gate_m, loo_m, verdict) of each source.
-
-    Of a microphone's ranges the one of least uncertainty counts, so a source
-    has as many as there are microphones, of which a plan has 32 at most, and a
-    task solves source by source. Arrays in a plane give one of two mirrored
-    places. A residual over ``sample_m`` and three median uncertainties is
-    refused, and so are too few ranges and anchors on a line.
-    """
-    by = [*keys, "source_id"]
-    usable = is_finite(F.col("distance_m")) & (F.col("distance_m") >= 0) & is_finite(F.col("sigma_m")) & (F.col("sigma_m") > 0) & F.col("mic_x").isNotNull()
-    best = cells.groupBy(*by, "mic_x", "mic_y", "mic_z").agg(F.min(F.when(usable, F.struct("sigma_m", "distance_m"))).alias("m"))
-    rows = best.select(*by, "mic_x", "mic_y", "mic_z", "m.distance_m", "m.sigma_m")
-    schema = StructType([*[f for f in rows.schema if f.name in by], *StructType.fromDDL("x double, y double, z double, links long, mirror_ambiguous boolean, gdop double, rms_m double, gate_m double, loo_m double, verdict string")])
-
-    def solve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.dropna(subset=["distance_m"]).sort_values(["mic_x", "mic_y", "mic_z"])
-        got = _placed(group[["mic_x", "mic_y", "mic_z"]].to_numpy(float), group["distance_m"].to_numpy(float), group["sigma_m"].to_numpy(float), sample_m)
-        return pd.DataFrame([dict(zip(by, key, strict=True)) | got], columns=schema.names)
-
-    return rows.groupBy(*by).applyInPandas(solve, schema)
-
-
-def solved_microphones(cells: DataFrame, keys: list[str], sample_m: float) -> DataFrame:
-    """As ``solved_positions``, of microphones from sources with src_x, src_y, src_z; one that is surveyed keeps its place as ``surveyed_anchor``."""
-    turned = cells.select(*keys, F.col("microphone_id").alias("source_id"), *[F.col(f"src_{a}").alias(f"mic_{a}") for a in "xyz"], "distance_m", "sigma_m")
-    found = solved_positions(turned, keys, sample_m).withColumnRenamed("source_id", "microphone_id")
-    known = cells.where(F.col("mic_x").isNotNull()).groupBy(*keys, "microphone_id").agg(*[F.min(f"mic_{a}").alias(f"k{a}") for a in "xyz"])
-    both = found.join(known, [*keys, "microphone_id"], "left")
-    place = [F.coalesce(f"k{a}", a).alias(a) for a in "xyz"]
-    return both.select(*keys, "microphone_id", *place, "links", F.when(F.col("kx").isNotNull(), "surveyed_anchor").otherwise(F.col("verdict")).alias("verdict"))
-
-
 def localized(cells: DataFrame, keys: list[str], order: str, sweep_frame: Column, medium: Medium, sample_m: float) -> tuple[DataFrame, DataFrame]:
     """A session from arrivals to places: all range cells of its mode, and the sources' positions with their verdicts."""
     found = ranges(cells, keys, order, sweep_frame, medium)
@@ -221,20 +126,6 @@ def bench_bias(measured: Column, bias_m: Column) -> Column:
     return F.struct(F.when(known, bias_m).otherwise(0.0).alias("bias_m"), F.when(known, 0.002).otherwise(0.0).alias("sigma_m"))
 
 
-def solvable(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, source_id, links, verdict) of each source: whether its ranges can place it."""
-    usable = is_finite(F.col("distance_m")) & (F.col("distance_m") >= 0) & is_finite(F.col("sigma_m")) & (F.col("sigma_m") > 0) & F.col("mic_x").isNotNull()
-    at = F.when(usable, F.struct("mic_x", "mic_y", "mic_z"))
-    links = F.countDistinct(at)
-    # the points' scatter: its determinant is 0 in a plane, its second invariant 0 on a line
-    c = {a + b: F.covar_pop(F.when(usable, F.col(f"mic_{a}")), F.when(usable, F.col(f"mic_{b}"))) for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")}
-    spread = c["xx"] + c["yy"] + c["zz"]
-    area = c["xx"] * c["yy"] + c["xx"] * c["zz"] + c["yy"] * c["zz"] - c["xy"] * c["xy"] - c["xz"] * c["xz"] - c["yz"] * c["yz"]
-    line = F.coalesce(area <= 1e-6 * spread, F.lit(True))
-    verdict = F.when((links < 3) | (links.isNull()), "insufficient_ranges").when(line, "degenerate_geometry").when(links == 3, "mirror_ambiguous").otherwise("solvable")
-    return cells.groupBy(*keys, "source_id").agg(links.alias("links"), verdict.alias("verdict"))
-
-
 def _cramer(a: list[list[Column]], b: list[Column]) -> list[Column]:
     """The solution of a symmetric 3 by 3 system by determinants; nulls where it has next to none."""
 
@@ -266,41 +157,6 @@ def linear_positions(cells: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, "source_id", *[s.alias(a) for s, a in zip(solved, "xyz", strict=True)], "links")
 
 
-def refined_positions(cells: DataFrame, keys: list[str], rounds: int = 8, least: float = 1e-4) -> DataFrame:
-    """(keys, source_id, x, y, z, links, rms_m, verdict): positions fitted to ranges, far-off ones counting less.
-
-    Starts where the linear solution is and takes Gauss-Newton steps: each is
-    nine weighted sums a source and one 3 by 3 system, so all sources of all
-    sessions move together. A range that is off by more than three of its
-    uncertainties weighs in proportion less (Huber). A solution whose residual
-    is beyond three median uncertainties is refused.
-    """
-    by = [*keys, "source_id"]
-    usable = cells.where(is_finite(F.col("distance_m")) & (F.col("sigma_m") > 0) & F.col("mic_x").isNotNull())
-    usable = usable.select(*by, "mic_x", "mic_y", "mic_z", "distance_m", F.greatest("sigma_m", F.lit(least)).alias("s"))
-    at = linear_positions(usable, keys).select(*by, "x", "y", "z")
-    for _ in range(rounds):
-        both = usable.join(at, by)
-        gap = [F.col(a) - F.col(f"mic_{a}") for a in "xyz"]
-        r = F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2])
-        both = both.withColumns({"r": F.greatest(r, F.lit(1e-9)), "e": F.col("distance_m") - r})
-        w = F.when(F.abs("e") <= 3 * F.col("s"), 1.0).otherwise(3 * F.col("s") / F.abs("e")) / (F.col("s") * F.col("s"))
-        u = {a: g / F.col("r") for a, g in zip("xyz", gap, strict=True)}
-        sums = both.groupBy(*by, "x", "y", "z").agg(
-            *[F.sum(w * u[a] * u[b]).alias(f"m{a}{b}") for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")], *[F.sum(w * u[a] * F.col("e")).alias(f"v{a}") for a in "xyz"]
-        )
-        m = {k: F.col(f"m{k}") for k in ("xx", "yy", "zz", "xy", "xz", "yz")}
-        rows = [[m["xx"], m["xy"], m["xz"]], [m["xy"], m["yy"], m["yz"]], [m["xz"], m["yz"], m["zz"]]]
-        step = _cramer(rows, [F.col(f"v{a}") for a in "xyz"])
-        at = sums.select(*by, *[(F.col(a) + F.coalesce(d, F.lit(0.0))).alias(a) for a, d in zip("xyz", step, strict=True)])
-    both = usable.join(at, by)
-    r = F.sqrt(sum(((F.col(a) - F.col(f"mic_{a}")) * (F.col(a) - F.col(f"mic_{a}")) for a in "xyz"), F.lit(0.0)))
-    found = both.groupBy(*by, "x", "y", "z").agg(F.count("*").alias("links"), F.sqrt(F.avg((F.col("distance_m") - r) * (F.col("distance_m") - r))).alias("rms_m"), F.percentile("s", F.lit(0.5)).alias("mid"))
-    verdict = F.when(F.col("x").isNull(), "degenerate_geometry").when(F.col("rms_m") > 3 * F.col("mid"), "solve_residual_high").otherwise("solved")
-    kept = lambda c: F.when(verdict == "solved", F.col(c)).alias(c)
-    return found.select(*by, kept("x"), kept("y"), kept("z"), "links", "rms_m", verdict.alias("verdict"))
-
-
 def directions(pairs: DataFrame, keys: list[str], speed: float, rate: float, most: float = 0.5) -> DataFrame:
     """(keys, x, y, z, residual, reason): where a plane wave comes from, told by delays between pairs of microphones.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonelake.functions.levels import is_finite
+from tonelake.plans.positions import geometry_rank
 
 #: Labels of quality evidence.
 METRICS = {"thd": "THD", "broadband_snr": "broadband SNR", "band_snr": "band SNR", "clipping": "clipping", "timing_markers": "timing markers"}
@@ -115,15 +116,8 @@ def readiness(plans: DataFrame, key: str, plan: str) -> DataFrame:
     mics = p["microphones"]
     placed = F.filter(F.transform(mics, lambda m: m["position_m"]), lambda x: x.isNotNull())
     n, k = F.size(mics), F.size(placed)
-    # differences from the first placed one: on a line all crosses with the longest vanish, in a plane all triple products do
-    gaps = F.transform(placed, lambda x: F.zip_with(x, F.get(placed, F.lit(0)), lambda a, b: a - b))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, e: s + e)
-    at = lambda v, i: F.get(v, F.lit(i))
-    cross = lambda a, b: F.array(at(a, 1) * at(b, 2) - at(a, 2) * at(b, 1), at(a, 2) * at(b, 0) - at(a, 0) * at(b, 2), at(a, 0) * at(b, 1) - at(a, 1) * at(b, 0))
-    far = F.element_at(F.array_sort(F.transform(gaps, lambda g: F.struct(dot(g, g).alias("d"), g.alias("g")))), -1)
-    wide = F.element_at(F.array_sort(F.transform(gaps, lambda g: F.struct(dot(cross(far["g"], g), cross(far["g"], g)).alias("d"), cross(far["g"], g).alias("g")))), -1)
-    collinear = wide["d"] <= 1e-12 * far["d"] * far["d"]
-    coplanar = F.forall(gaps, lambda g: F.abs(dot(wide["g"], g)) <= 1e-6 * F.sqrt(wide["d"]) * F.sqrt(far["d"]))
+    rank = geometry_rank(placed)
+    collinear, coplanar = rank < 2, rank == 2
     mode = (
         F.when(p["loopback"].isNotNull(), "loopback-referenced (electrical loopback wired)").when(p["timing_reference"].isNotNull(), "emitter-referenced (surveyed timing emitter)")
         .otherwise("relative-only (no absolute time origin; wire the loopback or survey the timing emitter)")

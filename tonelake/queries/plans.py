@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tonelake.functions import acoustics, identity, levels
 from tonelake.operators import catalogue
 from tonelake.plans import localization, session
+from tonelake.plans.positions import solvable
 from tonelake.sources import bundles, documents
 from tonelake.streaming import live
 
@@ -111,7 +112,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
-def _air() -> localization.Medium:
+def air() -> localization.Medium:
     """343 m/s known to 0.5 m/s, a room of 30 m, a bias of 2 mm known to 1 mm."""
     return localization.Medium(*[F.lit(x) for x in (343.0, 48000.0, 30.0, 0.002, 0.5, 0.001)])
 
@@ -120,7 +121,7 @@ _KEYS = ["session", "source_id", "repeat_index", "microphone_id"]
 
 
 def loopback_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = localization.loopback_ranges(_cells(spark, sf_dir), _air())
+    found = localization.loopback_ranges(_cells(spark, sf_dir), air())
     return rounded(found.select(*_KEYS, "distance_m", "sigma_samples", "sigma_m", "reason"), "distance_m", "sigma_samples", "sigma_m")
 
 
@@ -132,43 +133,34 @@ def relative_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("session", "part", "line", "microphone_id", "tdoa_samples", "tdoa_sigma_samples", "reason"), "tdoa_samples", "tdoa_sigma_samples")
 
 
-def _session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrivals of a session for each nation, its suppliers being sources: with a loopback, a fixed emitter or neither; some arrays are flat."""
-    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("session"), F.col("s_suppkey").alias("source_id"), (F.col("s_acctbal") / 1000).alias("src_x"), (F.col("s_suppkey") % 7 * 0.5).alias("src_y"), (F.col("s_nationkey") * 0.1 + 1.75).alias("src_z"))
-    rows = s.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("kind", F.col("session") % 3)
+def session_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals of a session for each nation, its suppliers being sources: with a loopback, a fixed emitter or neither.
+
+    Some arrays are flat or straight within a third of a millimetre; some
+    sessions have a range that is half a metre off, some have ranges with noise.
+    """
+    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("session"), F.col("s_suppkey").alias("source_id"), (F.col("s_acctbal") / 4000).alias("src_x"), (F.col("s_suppkey") % 7 * 0.5).alias("src_y"), (F.col("s_nationkey") * 0.1 + 1.75).alias("src_z"))
+    rows = s.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumns({"kind": F.col("session") % 3, "shape": F.col("session") % 7})
+    k, bend = F.col("k"), F.col("k") % 2
+    pick = lambda straight, flat, full: F.when(F.col("shape") == 0, straight).when(F.col("shape") == 1, flat).otherwise(full)
     rows = rows.withColumns({
-        "mic_x": (F.col("k") % 3) * 1.0, "mic_y": (F.floor(F.col("k") / 3) % 3) * 0.9, "mic_z": F.when(F.col("session") % 4 == 1, 1.1).otherwise(0.5 + (F.col("k") * F.col("k") % 5) * 0.3),
-        "microphone_id": F.col("k"), "order": F.col("k"), "repeat_index": F.lit(0), "taken": F.when(F.col("k") != 8, True), "arrival_reason": F.lit(None).cast("string"),
+        "mic_x": pick(k * 0.5, k % 3 * 1.0, k % 3 * 1.0), "mic_y": pick(bend * 0.0002, F.floor(k / 3) % 3 * 0.9, F.floor(k / 3) % 3 * 0.9), "mic_z": pick(F.lit(1.1), 1.1 + bend * 0.0003, 0.5 + (k * k % 5) * 0.3),
+        "microphone_id": k, "order": k, "repeat_index": F.lit(0), "taken": F.when(k != 8, True), "arrival_reason": F.lit(None).cast("string"),
         "source_delay_ms": F.when(F.col("source_id") % 2 == 0, 1.5), "clock_ratio": F.lit(1.000003), "sigma": F.lit(0.1), "loopback_sigma": F.lit(0.1), "loopback_stable": F.lit(True),
         "device": F.lit("card"), "loopback_device": F.lit("card"), "fixed_reference": F.col("kind") == 1, "clock_offset": F.lit(1024.0), "clock_bound": F.lit(0.1),
     })
-    far = acoustics.distance([F.col(f"src_{a}") for a in "xyz"], [F.col(f"mic_{a}") for a in "xyz"]) + 0.002
+    off = F.when((F.col("session") % 5 == 2) & (k == 3), 0.5).when(F.col("session") % 5 == 3, (k * 5 % 3 - 1) * 0.001).otherwise(0.0)
+    far = acoustics.distance([F.col(f"src_{a}") for a in "xyz"], [F.col(f"mic_{a}") for a in "xyz"]) + 0.002 + off
     samples = far / 343.0 * 48000 + F.coalesce("source_delay_ms", F.lit(0.0)) * 48
     return rows.withColumns({"loopback_arrival": F.when(F.col("kind") == 0, 213.0), "arrival": F.when(F.col("kind") == 1, (samples + 52800) * F.col("clock_ratio") + 1024).otherwise(213.0 + samples * F.col("clock_ratio"))})
 
 
 def session_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole sessions to ranges, each in its own mode."""
-    found, _ = localization.localized(_session(spark, sf_dir), ["session"], "order", F.lit(52800.0), _air(), 343.0 / 48000)
+    found, _ = localization.localized(session_cells(spark, sf_dir), ["session"], "order", F.lit(52800.0), air(), 343.0 / 48000)
     return rounded(found.select("session", "source_id", "microphone_id", "mode", "distance_m", "sigma_m", "reason"), "distance_m", "sigma_m")
 
 
-def session_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole sessions to the places of their sources."""
-    _, found = localization.localized(_session(spark, sf_dir), ["session"], "order", F.lit(52800.0), _air(), 343.0 / 48000)
-    found = found.withColumn("low_rms", F.col("rms_m") < 1e-5)
-    return rounded(found.select("session", "source_id", "x", "y", "z", "links", "mirror_ambiguous", "low_rms", "verdict"), "x", "y", "z", digits=5)
-
-
-def microphone_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every other microphone of sessions with ranges found again from their sources, where these are four at least."""
-    found, _ = localization.localized(_session(spark, sf_dir), ["session"], "order", F.lit(52800.0), _air(), 343.0 / 48000)
-    odd = F.col("microphone_id") % 2 == 1
-    blind = found.withColumns({f"mic_{a}": F.when(~odd, F.col(f"mic_{a}")) for a in "xyz"})
-    solved = localization.solved_microphones(blind, ["session"], 343.0 / 48000)
-    return solved.groupBy("session", "verdict").agg(F.count("*").alias("microphones"))
-
-
 def position_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of suppliers as lines of a report."""
     s = read(spark, sf_dir, "supplier").withColumn("x", F.when(F.col("s_suppkey") % 4 != 0, F.round(F.col("s_acctbal") / 1000, 1)))
@@ -188,14 +180,14 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def solvability(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = measurements(spark, sf_dir).withColumn("source_id", F.col("source"))
     m = m.withColumns({"sigma_m": F.lit(0.01), "mic_x": F.col("microphone") * 1.0, "mic_y": F.when(F.col("session") % 3 == 0, F.col("microphone") * 2.0).otherwise((F.col("microphone") * F.col("microphone")) * 1.0), "mic_z": F.lit(1.0)})
-    return localization.solvable(m, ["session"])
+    return solvable(m, ["session"])
 
 
 def solvability_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All measurements; sources reach one to five microphones."""
     m = measurements(spark, sf_dir).withColumns({"source_id": F.col("source"), "k": F.col("microphone") % (F.col("source") % 5 + 1)})
     m = m.withColumns({"sigma_m": F.lit(0.01), "mic_x": F.col("k") * 1.0, "mic_y": F.when(F.col("session") % 3 == 0, F.col("k") * 2.0).otherwise((F.col("k") * F.col("k")) * 1.0), "mic_z": F.lit(1.0)})
-    return localization.solvable(m, ["session"])
+    return solvable(m, ["session"])
 
 
 def calibration_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,8 +268,11 @@ def _streamed(spark: SparkSession, sf_dir: str, operator, mode: str, keys: list[
 _L = """WITH m AS (SELECT l_orderkey AS session, l_partkey AS source_id, l_linenumber AS repeat_index, l_suppkey AS microphone_id, CASE WHEN l_quantity > 2 THEN l_quantity * 100 END AS a,
   CASE WHEN l_tax > 0 THEN 1 + l_tax / 1000 END AS r, l_discount * 10 AS s, CASE WHEN l_returnflag <> 'A' THEN l_discount * 5000 END AS l, l_linestatus AS d,
   CASE WHEN l_partkey % 3 = 0 THEN 72.0 ELSE 0 END AS own FROM lineitem)"""
-_S = """WITH k AS (SELECT s_nationkey AS session, s_suppkey AS source_id, k, s_nationkey % 3 AS kind, s_nationkey % 4 = 1 AS flat, s_acctbal / 1000 AS x, s_suppkey % 7 * 0.5 AS y, s_nationkey * 0.1 + 1.75 AS z,
-  k % 3 * 1.0 AS mx, k // 3 % 3 * 0.9 AS my, CASE WHEN s_nationkey % 4 = 1 THEN 1.1 ELSE 0.5 + k * k % 5 * 0.3 END AS mz FROM supplier, range(9) r(k))"""
+#: Sessions as ``session_cells`` makes them: true distance d, and off as it is measured.
+SESSIONS = """WITH s AS (SELECT s_nationkey AS session, s_suppkey AS source_id, k, s_nationkey % 3 AS kind, s_nationkey % 7 AS shape, s_nationkey % 5 AS odd, s_acctbal / 4000 AS x, s_suppkey % 7 * 0.5::DOUBLE AS y, s_nationkey * 0.1::DOUBLE + 1.75 AS z,
+  CASE s_nationkey % 7 WHEN 0 THEN k * 0.5::DOUBLE ELSE k % 3 * 1.0::DOUBLE END AS mx, CASE s_nationkey % 7 WHEN 0 THEN k % 2 * 0.0002::DOUBLE ELSE k // 3 % 3 * 0.9::DOUBLE END AS my,
+  CASE s_nationkey % 7 WHEN 0 THEN 1.1::DOUBLE WHEN 1 THEN 1.1 + k % 2 * 0.0003::DOUBLE ELSE 0.5 + k * k % 5 * 0.3::DOUBLE END AS mz FROM supplier, range(9) r(k)),
+k AS (SELECT *, sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2) AS d, CASE WHEN odd = 2 AND k = 3 THEN 0.5 WHEN odd = 3 THEN (k * 5 % 3 - 1) * 0.001::DOUBLE ELSE 0 END AS off FROM s)"""
 
 SQL = {
     "plan_validation": """WITH u AS (SELECT *, CAST((c_custkey % 25 IN (1, 2)) AS INTEGER) + CAST((c_custkey % 49 = 3) AS INTEGER) AS unknown FROM customer)
@@ -309,12 +304,9 @@ SELECT session, source_id, repeat_index, microphone_id, round(CASE WHEN reason I
 g AS (SELECT session, min({'o': microphone_id * 100000000 + source_id * 10 + repeat_index, 'a': a, 's': s}) AS m FROM o WHERE why IS NULL GROUP BY session), f AS (SELECT session, m.a AS fa, m.s AS fs FROM g)
 SELECT session, source_id AS part, repeat_index AS line, microphone_id, round(CASE WHEN why IS NULL THEN (a - fa) / r END, 6) AS tdoa_samples,
   round(CASE WHEN why IS NULL THEN sqrt(s * s + fs * fs) / r END, 6) AS tdoa_sigma_samples, coalesce(why, 'no_absolute_time_origin') AS reason FROM o LEFT JOIN f USING (session)""",
-    "session_ranges": _S + """, d AS (SELECT *, sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2) AS d FROM k)
-SELECT session, source_id, CAST(k AS INTEGER) AS microphone_id, CASE kind WHEN 0 THEN 'loopback' WHEN 1 THEN 'emitter' ELSE 'relative' END AS mode, round(CASE WHEN k <> 8 AND kind < 2 THEN d END, 6) AS distance_m,
-  round(CASE WHEN k <> 8 AND kind < 2 THEN 343 * sqrt(0.02) / CASE kind WHEN 0 THEN 1.000003 ELSE 1 END / 48000 + d * 0.5 / 343 + 0.001 END, 6) AS sigma_m,
-  CASE WHEN k = 8 THEN 'take_missing' WHEN kind = 2 THEN 'no_absolute_time_origin' END AS reason FROM d""",
-    "session_positions": _S + """ SELECT DISTINCT session, source_id, CASE WHEN kind < 2 THEN round(x, 5) END AS x, CASE WHEN kind < 2 THEN round(y, 5)::DOUBLE END AS y, CASE WHEN kind < 2 THEN round(z, 5)::DOUBLE END AS z,
-  CAST(CASE WHEN kind < 2 THEN 8 ELSE 0 END AS BIGINT) AS links, flat AND kind < 2 AS mirror_ambiguous, CASE WHEN kind < 2 THEN true END AS low_rms, CASE WHEN kind < 2 THEN 'solved' ELSE 'insufficient_ranges' END AS verdict FROM k""",
+    "session_ranges": SESSIONS + """ SELECT session, source_id, CAST(k AS INTEGER) AS microphone_id, CASE kind WHEN 0 THEN 'loopback' WHEN 1 THEN 'emitter' ELSE 'relative' END AS mode, round(CASE WHEN k <> 8 AND kind < 2 THEN d + off END, 6) AS distance_m,
+  round(CASE WHEN k <> 8 AND kind < 2 THEN 343 * sqrt(0.02) / CASE kind WHEN 0 THEN 1.000003 ELSE 1 END / 48000 + (d + off) * 0.5 / 343 + 0.001 END, 6) AS sigma_m,
+  CASE WHEN k = 8 THEN 'take_missing' WHEN kind = 2 THEN 'no_absolute_time_origin' END AS reason FROM k""",
     "position_lines": """WITH s AS (SELECT *, CASE WHEN s_suppkey % 4 <> 0 THEN round(s_acctbal / 1000, 1) END AS x, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 THEN s_nationkey / 100 END AS b FROM supplier)
 SELECT s_suppkey, 'localization ' || s_name || ' ' || CASE WHEN x IS NOT NULL THEN printf('position: [%.3f, %.3f, %.3f] m', x, s_nationkey * 0.5::DOUBLE, 1.25::DOUBLE) WHEN s_suppkey % 8 = 0 THEN 'position: refused (solve_failed)' ELSE 'position: refused (unknown)' END
   || CASE WHEN s_suppkey % 3 <> 0 THEN printf(' rms %.1f mm', s_nationkey / 2::DOUBLE) ELSE '' END || CASE WHEN s_suppkey % 5 <> 0 THEN printf(' gdop %.1f', s_nationkey * 0.5::DOUBLE) ELSE '' END
@@ -345,6 +337,6 @@ SELECT o_orderkey, 'sweep_' || (CASE WHEN CAST(floor(lo) AS BIGINT) % 2 = 0 THEN
 }
 
 QUERIES = [
-    plan_validation, plan_parts, signal_kinds, stimulus_layouts, take_completeness, loopback_matrix, relative_matrix, session_ranges, session_positions, microphone_positions, position_lines, positions, solvability, solvability_all, calibration_text, curve_file, loss_reports,
+    plan_validation, plan_parts, signal_kinds, stimulus_layouts, take_completeness, loopback_matrix, relative_matrix, session_ranges, position_lines, positions, solvability, solvability_all, calibration_text, curve_file, loss_reports,
     labels_and_advice, stream_meters, stream_frames,
 ]

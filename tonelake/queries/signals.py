@@ -53,19 +53,6 @@ def emitter_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select(*_KEYS, "distance_m", "sigma_samples", "sigma_m", "reason"), "distance_m", "sigma_samples", "sigma_m")
 
 
-def _scene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("session"), F.col("s_suppkey").alias("source_id"), (F.col("s_acctbal") / 2000).alias("sx"), (F.col("s_suppkey") % 7 * 0.5).alias("sy"), (F.col("s_nationkey") * 0.1 + 0.25).alias("sz"))
-    rows = s.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8))))
-    rows = rows.withColumns({"mic_x": (F.col("k") % 3) * 1.0, "mic_y": (F.floor(F.col("k") / 3) % 3) * 0.9, "mic_z": (F.col("k") * F.col("k") % 5) * 0.3})
-    return rows.withColumn("distance_m", acoustics.distance([F.col("sx"), F.col("sy"), F.col("sz")], [F.col("mic_x"), F.col("mic_y"), F.col("mic_z")]))
-
-
-def refined_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places found again from ranges that are a little off from the start."""
-    cells = _scene(spark, sf_dir).withColumn("sigma_m", F.lit(0.01))
-    return rounded(localization.refined_positions(cells, ["session"], rounds=4).drop("rms_m"), "x", "y", "z", digits=4)
-
-
 def arrival_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directions of plane waves told from delays in an array."""
     s = read(spark, sf_dir, "supplier").select("s_suppkey", F.cos("s_suppkey").alias("ux"), (F.sin("s_suppkey") * 0.6).alias("uy"), (F.sin("s_suppkey") * 0.8).alias("uz"))
@@ -145,7 +132,6 @@ SELECT p_brand, count(*) FILTER (d <= s) AS accepted, count(*) FILTER (d > s) AS
   WHEN a IS NULL THEN 'arrival_low_confidence' WHEN o IS NULL THEN 'clock_uncorrected' WHEN x < 0 OR x > 30 THEN 'range_implausible' END AS reason FROM t)
 SELECT session, source_id, repeat_index, microphone_id, round(CASE WHEN reason IS NULL THEN x END, 6) AS distance_m, round(CASE WHEN reason IS NULL AND microphone_id % 4 <> 0 THEN sqrt(s * s + 0.0625) END, 6) AS sigma_samples,
   round(CASE WHEN reason IS NULL AND microphone_id % 4 <> 0 THEN 343 * sqrt(s * s + 0.0625) / 48000 + x * 0.5 / 343 END, 6) AS sigma_m, reason FROM f""",
-    "refined_positions": "SELECT s_nationkey AS session, s_suppkey AS source_id, round(s_acctbal / 2000, 4) AS x, round(s_suppkey % 7 * 0.5, 4)::DOUBLE AS y, round(s_nationkey * 0.1 + 0.25, 4)::DOUBLE AS z, CAST(9 AS BIGINT) AS links, 'solved' AS verdict FROM supplier",
     "arrival_directions": "SELECT s_suppkey, round(cos(s_suppkey), 6) AS x, round(sin(s_suppkey) * 0.6, 6) AS y, round(sin(s_suppkey) * 0.8, 6) AS z, CAST(NULL AS VARCHAR) AS reason FROM supplier",
     "channel_split": _S + """, c AS (SELECT take_id, i // 3 AS j, x FROM s WHERE i % 3 = 1 AND i < 63), h AS (SELECT * FROM (VALUES (0, 0.5::DOUBLE), (1, 0.25), (2, -0.125)) v(k, h))
 SELECT take_id, CAST(21 AS INTEGER) AS n, CAST(j + k AS INTEGER) AS idx, round(sum(x * h), 6) AS y FROM c, h GROUP BY take_id, j + k""",
@@ -163,6 +149,6 @@ SELECT p_partkey, round(CASE WHEN ok THEN l * f END, 6) AS length, round(CASE WH
 }
 
 QUERIES = [
-    tone_signal, sweep_signal, chirp_signal, multitone_signal, trusted_takes, session_mode, emitter_matrix, refined_positions, arrival_directions, channel_split,
+    tone_signal, sweep_signal, chirp_signal, multitone_signal, trusted_takes, session_mode, emitter_matrix, arrival_directions, channel_split,
     drift_warp, room_sizes, capture_budget, quality_cells, metadata_changes, newest_results, rate_lists,
 ]
