@@ -12,7 +12,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect, bisect_left
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -25,13 +25,13 @@ from .common import slices
 # Element names of HTML by how they are laid out.
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-NEVER = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist meter progress".split())
+NEVER = frozenset("head script style template noscript title iframe noembed noframes audio video canvas datalist meter progress".split())
 #: In svg and math: what is never shown, where HTML goes on, and the HTML elements that end them.
 UNDRAWN = frozenset("defs symbol clippath mask pattern marker lineargradient radialgradient filter metadata desc annotation annotation-xml".split())
 INWARD = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 OUTWARD = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup option p pre listing xmp search section summary ul table caption".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl blockquote pre listing xmp figure table fieldset".split())
+BLOCK = frozenset("plaintext address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup option p pre listing xmp search section summary ul table caption".split())
+SPACED = frozenset("plaintext p h1 h2 h3 h4 h5 h6 ul ol menu dir dl blockquote pre listing xmp figure table fieldset".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var".split())
 ENDS_P = BLOCK - {"body", "html", "option", "optgroup", "legend", "caption"} | {"hr"}
 FENCE = frozenset("td th caption table html template object".split())
@@ -165,11 +165,45 @@ class Sheet:
         return {name: value for *_, name, value in sorted(ranked)}
 
 
+class Lines:
+    """Lines, and how many there are of each width up to the widest that counts.
+
+    Of two that are joined the longer one takes in the other at either end, so
+    that lines are not moved again at each of the tables they are in.
+    """
+
+    def __init__(self) -> None:
+        self.all: deque[str] = deque()
+        self.widths: dict[int, int] = {}
+
+    def count(self, line: str, by: int) -> None:
+        if len(line) <= WIDEST:
+            self.widths[len(line)] = self.widths.get(len(line), 0) + by
+
+    def add(self, line: str) -> None:
+        self.all.append(line)
+        self.count(line, 1)
+
+    def then(self, other: Lines) -> Lines:
+        """These lines and then the others; neither is of use after it."""
+        most, less = (self, other) if len(self.all) >= len(other.all) else (other, self)
+        if most is self:
+            most.all.extend(less.all)
+        else:
+            most.all.extendleft(reversed(less.all))
+        for width, n in less.widths.items():
+            most.widths[width] = most.widths.get(width, 0) + n
+        return most
+
+    def widest(self) -> int:
+        return max((width for width, n in self.widths.items() if n), default=0)
+
+
 class Flow:
     """Lines of one stretch of text: of the page, or of a table cell."""
 
     def __init__(self) -> None:
-        self.lines: list[str] = []
+        self.lines = Lines()
         self.parts: list[str] = []
         self.gap, self.pad, self.mark, self.pre = 0, "", None, 0
 
@@ -191,19 +225,36 @@ class Flow:
         """Ends the line even if it is empty."""
         line = "".join(self.parts).rstrip()
         self.parts = []
-        if self.lines and self.gap:
-            self.lines += [""] * self.gap
-        self.gap = 0
-        self.lines.append(((self.mark if self.mark is not None else self.pad) + line).rstrip())
+        self.gaps()
+        self.lines.add(((self.mark if self.mark is not None else self.pad) + line).rstrip())
         self.mark = None
 
+    def gaps(self) -> None:
+        if self.lines.all:
+            for _ in range(self.gap):
+                self.lines.add("")
+        self.gap = 0
+
+    def take(self, lines: Lines) -> None:
+        """Goes on with lines that are whole."""
+        if not lines.all:
+            return
+        if self.pad or self.mark:
+            for line in lines.all:
+                self.parts = [line]
+                self.newline()
+            return
+        self.parts, self.mark = [], None
+        self.gaps()
+        self.lines = self.lines.then(lines)
+
     def block(self, margin: int = 0) -> None:
         if any(x.strip() for x in self.parts):
             self.newline()
         self.parts = []
         self.gap = max(self.gap, margin)
 
-    def done(self) -> list[str]:
+    def done(self) -> Lines:
         self.block()
         return self.lines
 
@@ -212,10 +263,10 @@ class Table:
     """Rows of cells, each (lines, columns it spans, rows it spans)."""
 
     def __init__(self) -> None:
-        self.rows: list[list[tuple[list[str], int, int]]] = []
+        self.rows: list[list[tuple[Lines, int, int]]] = []
 
-    def lines(self) -> list[str]:
-        placed: list[list[tuple[int, int, list[str]]]] = []
+    def lines(self) -> Lines:
+        placed: list[list[tuple[int, int, Lines]]] = []
         busy: dict[int, int] = {}
         for row in self.rows:
             at, out, taken = 0, [], {c: n - 1 for c, n in busy.items() if n > 1}
@@ -232,23 +283,40 @@ class Table:
         for row in placed:
             for at, across, lines in row:
                 if across == 1:
-                    wide[at] = max([wide.get(at, 0), *(len(x) for x in lines if len(x) <= WIDEST)])
+                    wide[at] = max(wide.get(at, 0), lines.widest())
         start, total = {}, 0
         for c in range(max([at + across for row in placed for at, across, _ in row], default=0)):
             start[c] = total
             total += wide[c] + 2 if wide.get(c) else 0
-        out = []
+        out = Lines()
         for row in placed:
-            for k in range(max([len(x) for _, _, x in row], default=0)):
-                line = ""
-                for at, _, lines in row:
-                    if k < len(lines) and lines[k]:
-                        line = line.ljust(start[at])
-                        line += ("  " if line and not line.endswith("  ") else "") + lines[k]
-                out.append(line.rstrip())
+            out = out.then(beside([(start[at], lines) for at, _, lines in row]))
         return out
 
 
+def beside(cells: list[tuple[int, Lines]]) -> Lines:
+    """Cells next to each other, each from its own column on. Lines of the first that no other reaches stay where they are."""
+    if not cells:
+        return Lines()
+    whole = cells[0][1] if cells[0][0] == 0 else Lines()
+    rest = [(at, lines.all) for at, lines in cells if lines is not whole]
+    most = max((len(x) for _, x in rest), default=0)
+    first = [whole.all.popleft() for _ in range(min(most, len(whole.all)))]
+    for line in first:
+        whole.count(line, -1)
+    ends = [""] * most
+    ends[: len(first)] = first
+    for at, lines in rest:
+        for k, said in enumerate(lines):
+            if said:
+                line = ends[k].ljust(at)
+                ends[k] = line + ("  " if line and not line.endswith("  ") else "") + said
+    head = Lines()
+    for line in ends:
+        head.add(line.rstrip())
+    return head.then(whole)
+
+
 def attributes_of(said: str) -> dict[str, str]:
     return {k.lower(): v[1:-1] if v[:1] in ("'", '"') else v for k, v in _ATTRIBUTE.findall(said)}
 
@@ -361,6 +429,8 @@ class Page:
                 owner = self.lists[-1] if self.lists else None
                 mark = "- "
                 if owner is not None and owner[0] == "ol":
+                    if re.fullmatch(r"\s*[+-]?[0-9]{1,9}\s*", has.get("value", "")):
+                        owner[4] = int(has["value"])
                     mark = f"{owner[4]}. "
                     owner[4] += 1
                 flow.mark = (flow.pad if flow.mark is None else flow.mark) + mark
@@ -368,7 +438,7 @@ class Page:
             elif tag in ("dd", "blockquote"):
                 undo = flow.pad
                 flow.pad += "  "
-            elif tag in ("pre", "listing", "xmp", "textarea"):
+            elif tag in ("pre", "listing", "xmp", "textarea", "plaintext"):
                 flow.pre += 1
                 undo = "pre"
         if tag == "details" and "open" not in has:
@@ -445,12 +515,10 @@ class Page:
             table, flow = self.tables.pop()
             self.flow = flow
             lines = table.lines()
-            if lines or not unseen:
+            if lines.all or not unseen:
                 flow.block(1)
-            for line in lines:
-                flow.parts = [line]
-                flow.newline()
-            if lines and unseen:
+            flow.take(lines)
+            if lines.all and unseen:
                 flow.block(1)
         if unseen:
             return tag
@@ -516,6 +584,11 @@ class Page:
                 self.end(tag)
                 continue
             self.start(tag, m[3])
+            if tag == "plaintext":
+                self.text(page[at:])
+                break
+            if tag in ("pre", "listing", "textarea"):  # a line feed right after the tag is no text
+                at += 2 if page.startswith("\r\n", at) else page.startswith("\n", at)
             if tag in RAW and self.stack[-1][0] == tag and (tag in ("script", "style") or not self.place()[0]):
                 close = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
                 to = close.start() if close else n
@@ -527,7 +600,7 @@ class Page:
                 at = to
         while self.stack:
             self.pop()
-        return "\n".join(self.flow.done())
+        return "\n".join(self.flow.done().all)
 
 
 def render(page: str) -> str:
