@@ -102,6 +102,12 @@ def test_audit_of_far_and_negative_offsets(spark):
         ("</div></td></table>ok", "ok"),
         ("<details>no<summary>s</summary>no</details><dialog>no</dialog>yes", "s\nyes"),
         ("", ""),
+        ("a<object data=x>b<param name=y>c</object>d", "abcd"),
+        ("<ol start=2><li>a<li value=9>b<li>c<li value=x>d<li value=' -1 '>e</ol>", "2. a\n9. b\n10. c\n11. d\n-1. e"),
+        ("<pre>\n\n a\n</pre><pre>\r\nb</pre>", "\n a\n\nb"),
+        ("a<plaintext>b <p>c</p> d", "a\n\nb <p>c</p> d"),
+        ("<table><tr><td>a<td><table><tr><td>1<td>22<tr><td>333</table><tr><td>bb<td>c</table>", "a   1    22\n    333\nbb  c"),
+        ("<table><tr><td><table><tr><td>a<tr><td>b</table><td>c<br>d<br>e<tr><td>wide one<td>f</table>", "a         c\nb         d\n          e\nwide one  f"),
     ],
 )
 def test_layout(page, text):
@@ -180,6 +186,7 @@ def test_sheets_are_linear_in_hostile_pages(page):
 
 HOSTILE = [
     "<b>" * 20000 + "<li>x" * 20000, "<ul>" + "<b>" * 20000 + "<li>x</li>" * 20000, "<li><ul>" + "<div>" * 20000 + "<li>x</li>" * 20000, "<b>" * 20000 + "<div>" * 20000 + "</b>" * 20000,
+    "<table><tr><td>x" * 20000, "<table><tr><td>x<table><tr><td>y</table>" * 10000, "<table><tr><td>" * 20000 + "z" + "</td><td>y</td></tr></table>" * 20000,
     "<table>" + "<b>" * 20000 + "<td>x" * 20000, "<p><b>" + "<button>" * 20000 + "<p>x" * 20000, "<select><option>" + "<b>" * 20000 + "<option>" * 20000,
 ]
 
@@ -191,6 +198,23 @@ def test_lists_and_cells_are_linear_in_deep_stacks(page):
     assert time.process_time() - began < 8
 
 
+def test_blocks_of_texts_overlap_as_multisets_do():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randrange(400))) for _ in range(30)] + ["a " * n for n in (0, 1, 4, 5, 6, 9, 5000)] + ["x y z " * 900, "x y z " * 700 + "q", ""]
+    some, other = texts[::2], texts[1::2]
+    sides = [bagminhash.shingles(Words(pa.array(x))) for x in (some, other)]
+    got = bagminhash._overlaps(*sides, len(some), len(other), step=3)
+    pairs = [(a, b) for a in some for b in other]
+    want = bagminhash.similarity(pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs])).reshape(got.shape)
+    assert np.abs(got - want).max() < 1e-12
+
+
+def test_repeated_words_cost_no_more_than_others():
+    sides = bagminhash.shingles(Words(pa.array(["word " * 50000] * 60)))
+    began = time.process_time()
+    assert bagminhash._overlaps(sides, sides, 60, 60).min() == 1 and time.process_time() - began < 1
+
+
 def test_ten_thousand_malformed_pages():
     rng = random.Random(8)
     tags = "p div b i ul ol li table tr td th tbody caption pre blockquote dl dt dd select option svg math text g mi details summary dialog h1 span button object style script textarea template".split()

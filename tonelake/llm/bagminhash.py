@@ -39,6 +39,8 @@ POINTS = 1 << 18
 SMALL, BLOCK, BLOCK_CHARACTERS = 24, 128, 1 << 22
 #: Comparisons with one pivot that go to one task, about.
 SPOKES = 512
+#: Occurrences of a shingle that are elements of their own where blocks of texts are compared.
+LAYERS = 3
 
 _U = np.uint64
 _STEP, _LEVEL, _REGISTER = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
@@ -235,13 +237,13 @@ def _across(alike: float):
 def _overlaps(sa: tuple, sb: tuple, na: int, nb: int, step: int = 1 << 13) -> np.ndarray:
     """Weighted Jaccard similarity of every text of one block with every text of another.
 
-    Counts are cut into layers, the first occurrence of a shingle being one
-    element and the second another, so that shared counts are products of 0s
-    and 1s.
+    The first few occurrences of a shingle are elements of their own, so that
+    shared counts are products of 0s and 1s. What is beyond them is of a few
+    shingles in few texts, which are compared one shingle after another.
     """
     total = [np.bincount(s[0], s[2], n) for s, n in ((sa, na), (sb, nb))]
-    shared = np.zeros((na, nb), np.float32)
-    for layer in range(1, int(min(sa[2].max(initial=0), sb[2].max(initial=0))) + 1):
+    shared = np.zeros((na, nb))
+    for layer in range(1, LAYERS + 1):
         (oa, ha), (ob, hb) = ((s[0][s[2] >= layer], s[1][s[2] >= layer]) for s in (sa, sb))
         both = np.intersect1d(ha, hb)
         if not len(both):
@@ -256,6 +258,14 @@ def _overlaps(sa: tuple, sb: tuple, na: int, nb: int, step: int = 1 << 13) -> np
                 m[own[hit], at[hit]] = 1
                 one.append(m)
             shared += one[0] @ one[1].T
+    often = []
+    for own, hashes, counts in (sa, sb):
+        more = np.flatnonzero(counts > LAYERS)
+        more = more[np.argsort(hashes[more], kind="stable")]
+        often.append((own[more], hashes[more], counts[more] - LAYERS))
+    for h in np.intersect1d(often[0][1], often[1][1]):
+        (oa, ca), (ob, cb) = ((own[k], counts[k]) for own, hashes, counts in often for k in [slice(np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right"))])
+        shared[np.ix_(oa, ob)] += np.minimum.outer(ca, cb)
     return shared / np.maximum(total[0][:, None] + total[1][None, :] - shared, 1)
 
 
