@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tonelake.functions.acoustics import correction_keeps_lock, drift_action
 from tonelake.operators.takes import _joined, correlation, marker_lags, refined, resampled, trusted
+from tonelake.sources.staging import checkpointed
 
 #: A quiet stretch shorter than this tells nothing of a noise floor; confidence at which a lag is one.
 QUIET = 2048
@@ -233,7 +234,8 @@ def take_sets(takes: DataFrame, keys: list[str], take: str, stimulus: np.ndarray
     (three scaled median deviations). Curves are (keys, bin, frequency_hz,
     spl_db, coherence): mean level of the accepted, and how far their complex
     responses agree, null for fewer than two. Verdicts are (keys, take, lag,
-    confidence, accepted, reason).
+    confidence, accepted, reason). Takes are worked on as this is called, and
+    what they show is kept in the checkpoint folder for both results.
     """
     by = [*keys, take]
     size = 2 * bins
@@ -250,7 +252,7 @@ def take_sets(takes: DataFrame, keys: list[str], take: str, stimulus: np.ndarray
         return [(refined(np.abs(r), at), float(abs(r[at])), short.real.tolist(), short.imag.tolist())]
 
     # each take goes through numpy once: its response is used three times
-    each = _per_take(takes, by, "lag double, confidence double, re array<double>, im array<double>", shown).checkpoint()
+    each = checkpointed(_per_take(takes, by, "lag double, confidence double, re array<double>, im array<double>", shown))
     locked = each.where("re is not null")
     long = locked.select(*by, F.posexplode(F.arrays_zip("re", "im")).alias("bin", "v")).select(*by, "bin", "v.re", "v.im")
     long = long.withColumn("db", 10 * F.log10(F.greatest(F.expr("re * re + im * im"), F.lit(1e-30))))
@@ -413,7 +415,7 @@ def ear_pairs_aligned(takes: DataFrame, keys: list[str], channel: str, loopback:
     ``channel`` names left, right and the loopback, in which the reference is
     looked for; all three get the same window. A take without a clear lag, one
     that ends too early, and an ear that is silent or clipped has an issue and
-    no rows.
+    no rows. Takes are cut as this is called, into the checkpoint folder.
     """
     electrical = takes.where(F.col(channel) == loopback)
 
@@ -436,7 +438,7 @@ def ear_pairs_aligned(takes: DataFrame, keys: list[str], channel: str, loopback:
         why = "window_incomplete" if len(y) < frames else "silent" if top < silent else "clipped" if top >= clipped else None
         return [(None, None, why)] if why else [(b, y[i : i + 2048].astype(np.float32), None) for b, i in enumerate(range(0, frames, 2048))]
 
-    parts = _per_take(long, [*keys, channel], "block int, samples array<float>, issue string", cut, "lag", "confidence").checkpoint()
+    parts = checkpointed(_per_take(long, [*keys, channel], "block int, samples array<float>, issue string", cut, "lag", "confidence"))
     bad = parts.where("issue is not null").groupBy(*keys).agg(F.min("issue").alias("issue"))
     there = takes.groupBy(*keys).agg(F.count_distinct(channel).alias("_n"), F.max(F.col(channel) == loopback).alias("_l"))
     missing = there.where("_n <> 3 or not _l").select(*keys, F.lit("channel_missing").alias("issue")).join(bad, keys, "left_anti")
