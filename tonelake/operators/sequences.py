@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonelake.operators.ranks import order_statistics
+
 #: Samples in a block of a running operator.
 BLOCK = 4096
 
@@ -97,21 +99,31 @@ def strictly_increasing(x: Column) -> Column:
     return F.forall(F.zip_with(before, after, lambda a, b: F.coalesce(b > a, F.lit(False))), lambda ok: ok)
 
 
-def first_peak(samples: DataFrame, keys: list[str], idx: str, x: str, ahead: int) -> DataFrame:
-    """(keys, onset, peak): the first sample over the threshold in a stream's first half, and the highest soon after.
+def first_peak(samples: DataFrame, keys: list[str], idx: str, x: str, ahead: int, most: int | None = None) -> DataFrame:
+    """(keys, onset, peak, refined): the first sample that stands out in the first half of a stream, and the highest soon after.
 
-    The threshold is the largest of 12 medians, two 90th percentiles and 8 % of the peak.
+    Samples are numbered from 0; ``most`` bounds the half. It is the half that
+    sets the threshold: the largest of 12 times its middle value, twice the one
+    nine tenths up, and 8 % of its peak. The first and the last sample of it
+    begin nothing. ``refined`` is the peak between samples, by the parabola
+    through it and its neighbours. A half of zeros has no row.
     """
     size = F.abs(F.col(x).cast("double"))
-    rows = samples.select(*keys, F.col(idx).alias("i"), size.alias("e"))
-    floor = rows.groupBy(*keys).agg(
-        F.greatest(12 * F.percentile("e", F.lit(0.5)), 2 * F.percentile("e", F.lit(0.9)), 0.08 * F.max("e")).alias("floor"), F.max("i").alias("last")
-    )
-    half = rows.join(floor, keys).where(F.col("i") <= F.col("last") / 2)
-    onset = half.where(F.col("e") >= F.col("floor")).groupBy(*keys).agg(F.min("i").alias("onset"))
-    near = half.join(onset, keys).where((F.col("i") >= F.col("onset")) & (F.col("i") <= F.col("onset") + ahead))
-    best = near.groupBy(*keys, "onset").agg(F.max(F.struct("e", -F.col("i"))).alias("m"))
-    return best.select(*keys, "onset", (-F.col("m.col2")).alias("peak"))
+    rows = samples.select(*keys, F.col(idx).cast("long").alias("i"), size.alias("e"))
+    half = F.greatest(F.lit(3), F.floor(F.count("*") / 2) if most is None else F.least(F.floor(F.count("*") / 2), F.lit(most)))
+    near = rows.join(rows.groupBy(*keys).agg(half.alias("half")), keys).where("i < half")
+    middle = order_statistics(near, keys, "e", {"mid": lambda n: F.floor(n / 2), "high": lambda n: F.least(F.floor(n * 0.9), n - 1)})
+    top = near.groupBy(*keys).agg(F.max("e").alias("top"))
+    level = F.greatest(12 * F.greatest("mid", F.lit(1e-10)), 2 * F.col("high"), 0.08 * F.col("top"))
+    floors = middle.join(top, keys).where("top > 1e-10").select(*keys, level.alias("floor"))
+    onset = near.join(floors, keys).where("e >= floor and i >= 1 and i + 1 < half").groupBy(*keys).agg(F.min("i").alias("onset"))
+    soon = near.join(onset, keys).where((F.col("i") >= F.col("onset")) & (F.col("i") <= F.col("onset") + ahead))
+    best = soon.groupBy(*keys, "onset", "half").agg(F.max(F.struct("e", -F.col("i"))).alias("m")).select(*keys, "onset", "half", (-F.col("m.col2")).alias("peak"), F.col("m.e").alias("y"))
+    beside = lambda k: F.max(F.when(F.col("i") == F.col("peak") + k, F.col("e")))
+    sides = near.drop("half").join(best, keys).where(F.abs(F.col("i") - F.col("peak")) == 1).groupBy(*keys).agg(beside(-1).alias("a"), beside(1).alias("b"))
+    bend = 2 * (F.col("a") - 2 * F.col("y") + F.col("b"))
+    exact = F.col("peak") + F.coalesce(F.when(F.abs(bend) > 1e-12, (F.col("a") - F.col("b")) / bend), F.lit(0.0))
+    return best.join(sides, keys, "left").select(*keys, "onset", "peak", exact.alias("refined"))
 
 
 def longest_silence(windows: DataFrame, keys: list[str], start: str, end: str, order: str) -> DataFrame:

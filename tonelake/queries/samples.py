@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.operators import levels, sequences, spectra
+from tonelake.operators import levels, ranks, sequences, spectra
 
 from .stand_ins import long_takes, read, rounded, stream, takes
 
@@ -119,7 +119,15 @@ def increasing_grids_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Onset and peak of the first arrival, of takes turned into decaying responses."""
     s = long_takes(spark, sf_dir).withColumn("x", F.pow(F.abs("x"), F.lit(4.0)) * F.when((F.col("idx") % 13) == (F.col("take_id") % 13), 500.0).otherwise(0.01))
-    return sequences.first_peak(s, ["take_id"], "idx", "x", ahead=14)
+    return rounded(sequences.first_peak(s, ["take_id"], "idx", "x", ahead=14), "refined", digits=4)
+
+
+def stream_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median, quartile and ninth tenth of each channel's samples, and of prices by line status, at exact ranks."""
+    at = {"quarter": lambda n: F.floor(n / 4), "upper_median": lambda n: F.floor(n / 2), "ninth_tenth": lambda n: F.least(F.floor(n * 0.9), n - 1)}
+    events = stream(spark, sf_dir).select("channel", "x")
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("channel"), (F.col("l_extendedprice") - 30000).alias("x"))
+    return ranks.order_statistics(events.unionByName(lines), ["channel"], "x", at)
 
 
 def longest_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,11 +244,16 @@ SELECT take_id, bool_and(coalesce(up, true)) AS increasing FROM g GROUP BY take_
 w AS (SELECT vec_id AS take_id, CASE vec_id % 3 WHEN 0 THEN l WHEN 1 THEN list_concat(l[1:len(l) - 1], l[1:1]) ELSE embedding END AS g FROM u),
 s AS (SELECT take_id, unnest(g) AS x, generate_subscripts(g, 1) AS i FROM w), d AS (SELECT take_id, x > lag(x) OVER (PARTITION BY take_id ORDER BY i) AS up FROM s)
 SELECT take_id, bool_and(coalesce(up, true)) AS increasing FROM d GROUP BY take_id""",
-    "first_peaks": _S + """, r AS (SELECT take_id, i, pow(abs(x), 4) * CASE WHEN i % 13 = take_id % 13 THEN 500 ELSE 0.01 END AS e FROM s),
-t AS (SELECT take_id, greatest(12 * quantile_cont(e, 0.5), 2 * quantile_cont(e, 0.9), 0.08 * max(e)) AS f FROM r GROUP BY take_id),
-o AS (SELECT take_id, min(i) AS onset FROM r JOIN t USING (take_id) WHERE i <= 63 / 2.0 AND e >= f GROUP BY take_id)
-SELECT take_id, CAST(onset AS INTEGER) AS onset, CAST(first(i ORDER BY e DESC, i) AS INTEGER) AS peak FROM r JOIN o USING (take_id)
-WHERE i >= onset AND i <= onset + 14 AND i <= 63 / 2.0 GROUP BY take_id, onset""",
+    "first_peaks": _S + """, r AS (SELECT take_id, i, pow(abs(x), 4) * CASE WHEN i % 13 = take_id % 13 THEN 500 ELSE 0.01 END AS e FROM s WHERE i < 32),
+q AS (SELECT take_id, e, row_number() OVER (PARTITION BY take_id ORDER BY e) - 1 AS k FROM r),
+t AS (SELECT take_id, greatest(12 * max(e) FILTER (k = 16), 2 * max(e) FILTER (k = 28), 0.08 * max(e)) AS f FROM q GROUP BY take_id HAVING max(e) > 1e-10),
+o AS (SELECT take_id, min(i) AS onset FROM r JOIN t USING (take_id) WHERE i BETWEEN 1 AND 30 AND e >= f GROUP BY take_id),
+p AS (SELECT take_id, onset, first(i ORDER BY e DESC, i) AS peak FROM r JOIN o USING (take_id) WHERE i >= onset AND i <= onset + 14 GROUP BY take_id, onset),
+y AS (SELECT p.*, a.e AS a, m.e AS m, b.e AS b FROM p JOIN r m ON m.take_id = p.take_id AND m.i = peak LEFT JOIN r a ON a.take_id = p.take_id AND a.i = peak - 1 LEFT JOIN r b ON b.take_id = p.take_id AND b.i = peak + 1)
+SELECT take_id, CAST(onset AS BIGINT) AS onset, CAST(peak AS BIGINT) AS peak, round(peak + coalesce(CASE WHEN abs(2 * (a - 2 * m + b)) > 1e-12 THEN (a - b) / (2 * (a - 2 * m + b)) END, 0), 4) AS refined FROM y""",
+    "stream_ranks": """WITH r AS (SELECT event_type AS channel, value / 500 AS x FROM events UNION ALL SELECT l_linestatus, l_extendedprice - 30000 FROM lineitem),
+k AS (SELECT channel, x, row_number() OVER (PARTITION BY channel ORDER BY x) - 1 AS k, count(*) OVER (PARTITION BY channel) AS n FROM r)
+SELECT channel, n, max(x) FILTER (k = n // 4) AS quarter, max(x) FILTER (k = n // 2) AS upper_median, max(x) FILTER (k = least(floor(n * 0.9), n - 1)) AS ninth_tenth FROM k GROUP BY channel, n""",
     "longest_silence": """SELECT microphone, ord, "end" FROM (SELECT *, row_number() OVER (PARTITION BY microphone ORDER BY "end" DESC, ord) AS n FROM
   (SELECT DISTINCT l_suppkey AS microphone, l_orderkey * 10 + l_linenumber AS ord, CAST(l_quantity AS INTEGER) AS "end" FROM lineitem)) WHERE n = 1""",
     "take_average": _S + """, u AS (SELECT *, i - greatest(take_id % 5 - 1, 0) AS spot FROM s WHERE take_id % 4 <> 0), n AS (SELECT source_id, count(DISTINCT take_id) AS n FROM u GROUP BY source_id)
@@ -278,6 +291,6 @@ SELECT take_id, CAST(first(lag ORDER BY r DESC, lag) AS INTEGER) AS lag, round(m
 
 QUERIES = [
     take_quality, take_findings, clip_stats, channel_levels, snr_ratio, spl_calibration, verdict_per_source, running_peak_hold, gap_islands,
-    continuity_report, tumbling_frames, active_span, lag_windows, detrend, increasing_grids, increasing_grids_all, first_peaks, longest_silence, take_average,
+    continuity_report, tumbling_frames, active_span, lag_windows, detrend, increasing_grids, increasing_grids_all, first_peaks, stream_ranks, longest_silence, take_average,
     grid_mismatch, hf_fraction, band_snr, welch_coherence, fir_bandpass, tone_phasor, correlation_lag,
 ]
