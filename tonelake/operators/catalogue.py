@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def grid(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every pair of two small key tables, such as a session's sources and microphones."""
+    """Every pair of two key tables of a plan, which has 64 sources and 32 microphones at most."""
     return left.crossJoin(right)
 
 
@@ -28,11 +28,21 @@ def orphans(rows: DataFrame, parents: DataFrame, key: str, parent_key: str) -> D
 
 
 def with_fallback(rows: DataFrame, own: str, channel: DataFrame, key: str, value: str, default: Column, to: str) -> DataFrame:
-    """``to``: a row's own value, else its channel's, else the default; empty texts are none."""
-    given = channel.select(key, F.nullif(F.col(value), F.lit("")).alias("_v"))
+    """``to``: a row's own value, else its channel's, else the default; empty texts are none, and of a channel that has several values, none counts."""
+    named = channel.select(key, F.nullif(F.col(value), F.lit("")).alias("_v"))
+    given = named.groupBy(key).agg(F.min("_v").alias("_v"), F.max("_v").alias("_w")).select(key, F.when(F.col("_v") == F.col("_w"), F.col("_v")).alias("_v"))
     return rows.join(given, key, "left").withColumn(to, F.coalesce(F.nullif(F.col(own), F.lit("")), F.col("_v"), F.nullif(default, F.lit("")))).drop("_v")
 
 
+def calibrated(takes: DataFrame, calibrations: DataFrame, microphone: str) -> DataFrame:
+    """``takes`` with their microphone's calibration as a struct, and an issue where there is none, or more than one."""
+    rest = [c for c in calibrations.columns if c != microphone]
+    one = calibrations.groupBy(microphone).agg(F.count("*").alias("_n"), F.min(F.struct(*rest)).alias("calibration"))
+    both = takes.join(one, microphone, "left")
+    issue = F.when(F.col("_n").isNull(), "calibration_missing").when(F.col("_n") > 1, "calibration_repeated")
+    return both.withColumns({"calibration": F.when(issue.isNull(), F.col("calibration")), "issue": issue}).drop("_n")
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new``, and those of ``old`` that no row of ``new`` replaces; null keys are keys."""
     fresh = new.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
@@ -57,8 +67,10 @@ def overlapping_regions(regions: DataFrame, keys: list[str]) -> DataFrame:
     return regions.withColumn("_e", late).where((F.col("start_frame") >= F.col("end_frame")) | (F.col("start_frame") < F.col("_e"))).drop("_e")
 
 
-def within_bounds(candidates: DataFrame, value: str, bounds: DataFrame) -> DataFrame:
-    """Candidates inside any of the [lo, hi] of a small table, each once."""
+def within_bounds(candidates: DataFrame, value: str, bounds: DataFrame, most: int = 1024) -> DataFrame:
+    """Candidates inside any of the [lo, hi] that a device advertises, each once; more than ``most`` bounds are an error, as every task gets them all."""
+    if bounds.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} bounds")
     return candidates.join(F.broadcast(bounds.select("lo", "hi")), (F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")), "left_semi")
 
 
@@ -131,7 +143,7 @@ def rate_candidates(requested: Column, default: Column) -> Column:
 def recording_grid(positions: DataFrame, speakers: DataFrame, microphones: DataFrame) -> DataFrame:
     """All channels to record: position, then speaker, then microphone, with names and sweep bands.
 
-    The three tables are a plan's, and small.
+    The three tables are a plan's: 64 speakers, 32 microphones and the positions of one session.
     """
     n = lambda t: t.count()
     many_p, many_m = n(positions) > 1, n(microphones) > 1

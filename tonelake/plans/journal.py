@@ -99,8 +99,10 @@ def gathered(links: DataFrame, keys: list[str], microphones: int) -> DataFrame:
 
 
 def restored(rows: DataFrame, sidecar: DataFrame, keys: list[str], columns: list[str], file_hash: Column, version: int = 1) -> DataFrame:
-    """Rows with columns from a sidecar that was written for this very file; one of another version or hash counts for nothing."""
-    valid = sidecar.where((F.col("version") == version) & (F.col("sha256") == file_hash)).select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(c).alias(f"_v_{c}") for c in columns])
+    """Rows with columns from a sidecar that was written for this very file; one of another version or hash counts for nothing, nor does a key with several different entries."""
+    valid = sidecar.where((F.col("version") == version) & (F.col("sha256") == file_hash)).groupBy(*[F.col(k).alias(f"_{k}") for k in keys])
+    entry = F.struct(*[F.col(c).alias(f"_v_{c}") for c in columns])
+    valid = valid.agg(F.min(entry).alias("_v"), F.max(entry).alias("_w")).where(F.col("_v").eqNullSafe(F.col("_w"))).select(*[f"_{k}" for k in keys], "_v.*")
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     both = rows.join(valid, same, "left")
     return both.withColumns({c: F.coalesce(c, f"_v_{c}") for c in columns}).drop(*[f"_{k}" for k in keys], *[f"_v_{c}" for c in columns])

@@ -68,10 +68,11 @@ def gathered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def restored_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' missing balances from a sidecar, some of whose rows are of another version or file."""
+    """Customers' missing balances from a sidecar, some of whose rows are of another version or file, and some there twice."""
     c = read(spark, sf_dir, "customer")
     rows = c.select("c_custkey", F.when(F.col("c_nationkey") > 5, F.col("c_mktsegment")).alias("segment"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("quality"))
     side = c.select("c_custkey", F.when(F.col("c_nationkey") > 5, F.col("c_mktsegment")).alias("segment"), (F.col("c_acctbal") + 1).alias("quality"), (F.col("c_custkey") % 3).alias("version"), F.when(F.col("c_custkey") % 5 == 0, "other").otherwise("this").alias("sha256"))
+    side = side.unionByName(side.where("c_custkey % 28 = 1").withColumn("quality", F.col("quality") + 1)).unionByName(side.where("c_custkey % 28 = 7"))
     return rounded(journal.restored(rows, side, ["c_custkey", "segment"], ["quality"], F.lit("this")).select("c_custkey", "quality"), "quality", digits=2)
 
 
@@ -99,7 +100,7 @@ UNION ALL SELECT s_suppkey, 48000, 213.0, NULL FROM supplier""",
   round(CASE WHEN bool_and(l_discount > 0) THEN sum(10 * log10(CASE WHEN l_discount > 0 THEN l_discount * 10 / l_quantity ELSE 1 END)) ELSE 0 END, 4) AS total_db FROM lineitem GROUP BY l_orderkey""",
     "gathered_sources": """WITH g AS (SELECT l_orderkey % 500 AS source_id, count(DISTINCT l_suppkey % 10) AS n, max(l_discount * 1000) AS lo, min(l_quantity * 100 + 60) AS hi, list_sort(list(l_tax), 'DESC') AS b FROM lineitem GROUP BY ALL)
 SELECT source_id, round(lo, 6) AS low_hz, round(hi, 6) AS high_hz, round(list_sum(b[1:2]), 6) AS bound_us FROM g WHERE n = 10 AND lo < hi""",
-    "restored_quality": "SELECT c_custkey, round(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal WHEN c_custkey % 3 = 1 AND c_custkey % 5 <> 0 THEN c_acctbal + 1 END, 2) AS quality FROM customer",
+    "restored_quality": "SELECT c_custkey, round(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal WHEN c_custkey % 3 = 1 AND c_custkey % 5 <> 0 AND c_custkey % 28 <> 1 THEN c_acctbal + 1 END, 2) AS quality FROM customer",
 }
 
 QUERIES = [journal_issues, selection_issues, checkpoint_issues, snapshot_issues, bench_lags, event_levels, gathered_sources, restored_quality]

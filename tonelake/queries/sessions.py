@@ -109,12 +109,22 @@ def repeated_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calibration_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A label for each order: its own, else its customer's, else the default."""
+    """A label for each order: its own, else its customer's, else the default; some customers are there twice."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("channel"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).when(F.col("o_orderstatus") == "P", "").alias("own"))
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("channel"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise("").alias("given"))
+    c = c.unionByName(c.where("channel % 9 = 4").withColumn("given", F.lit("other")))
     return catalogue.with_fallback(o, "own", c, "channel", "given", F.lit("flat"), "calibration").select("o_orderkey", "calibration")
 
 
+def take_calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as takes of their supplier's microphone, whose calibration is missing for some and there twice for others."""
+    t = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("microphone_id"))
+    k = F.col("s_suppkey")
+    c = read(spark, sf_dir, "supplier").select(F.when(k % 7 == 3, -k).otherwise(k).alias("microphone_id"), F.col("s_acctbal").alias("gain"))
+    found = catalogue.calibrated(t, c.unionByName(c.where("microphone_id % 11 = 4")), "microphone_id")
+    return found.select("l_orderkey", "l_linenumber", "microphone_id", F.col("calibration.gain").alias("gain"), "issue")
+
+
 def interval_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = spark.createDataFrame([(0, 500, "left"), (1000, 2500, "right"), (4000, 4001, "sub")], "start_frame long, end_frame long, channel string")
     e = read(spark, sf_dir, "events").select("event_id", "event_type")
@@ -290,8 +300,10 @@ SELECT l_orderkey, l_linenumber, l_partkey, round(s, 6) AS sigma_samples, round(
     "completeness": "SELECT r_regionkey, n_nationkey FROM region, (SELECT n_nationkey FROM nation) EXCEPT SELECT n_regionkey, n_nationkey FROM nation",
     "orphan_takes": "SELECT l_partkey, count(*) AS lines FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0) GROUP BY l_partkey",
     "repeated_takes": 'SELECT l_orderkey, l_linenumber, count(*) AS "rows" FROM lineitem GROUP BY ALL HAVING count(*) > 1',
-    "calibration_fallback": """SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'F' THEN nullif(o_orderpriority, '') END, CASE WHEN c_acctbal > 0 THEN nullif(c_mktsegment, '') END, 'flat') AS calibration
-FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
+    "calibration_fallback": """SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'F' THEN nullif(o_orderpriority, '') END, CASE WHEN c_custkey % 9 = 4 THEN CASE WHEN c_acctbal > 0 THEN NULL ELSE 'other' END
+  WHEN c_acctbal > 0 THEN nullif(c_mktsegment, '') END, 'flat') AS calibration FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
+    "take_calibrations": """SELECT l_orderkey, l_linenumber, l_suppkey AS microphone_id, CASE WHEN l_suppkey % 7 <> 3 AND l_suppkey % 11 <> 4 THEN s_acctbal END AS gain,
+  CASE WHEN s_suppkey IS NULL OR l_suppkey % 7 = 3 THEN 'calibration_missing' WHEN l_suppkey % 11 = 4 THEN 'calibration_repeated' END AS issue FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey""",
     "interval_route": """SELECT CASE WHEN event_id < 500 THEN 'left' WHEN event_id >= 1000 AND event_id < 2500 THEN 'right' WHEN event_id = 4000 THEN 'sub' ELSE event_type END AS channel, count(*) AS frames FROM events GROUP BY 1""",
     "region_check": """WITH r AS (SELECT l_orderkey, l_linenumber * 10 AS a, l_linenumber * 10 + CAST(l_quantity AS INTEGER) - 3 AS b FROM lineitem),
 w AS (SELECT *, max(b) OVER (PARTITION BY l_orderkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM r) SELECT l_orderkey, count(*) AS bad FROM w WHERE a >= b OR a < e GROUP BY l_orderkey""",
@@ -342,7 +354,7 @@ SELECT o_custkey, "rows", coalesce(p, 3) AS position, coalesce(n, -1) AS next_or
 
 QUERIES = [
     combine_repeats, pooled_upper_median, top_group, two_largest, loopback_stability, reference_summary, emitter_anchor, range_summary, skew_warnings,
-    probe_align, drift_roll_up, range_sigmas, completeness, orphan_takes, repeated_takes, calibration_fallback, interval_route, region_check,
+    probe_align, drift_roll_up, range_sigmas, completeness, orphan_takes, repeated_takes, calibration_fallback, take_calibrations, interval_route, region_check,
     rate_semi_join, upsert, source_identity, role_map, hash_inventory, device_merge, short_names, name_listing, device_lookup, device_lookup_all, recording_grid,
     log_interpolation, gated_argmax, low_level, backfill, octave_smoothing, take_ids, safe_names, nested_report, progress_state,
 ]

@@ -56,4 +56,4 @@ def publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> Non
 def bundle_inventory(files: DataFrame, roles: DataFrame) -> DataFrame:
     """(name, role, bytes, sha256) of a bundle's files; of several roles the one of least rank."""
     first = roles.groupBy("name").agg(F.min_by("role", "rank").alias("role"))
-    return files.join(F.broadcast(first), "name", "left").select("name", F.coalesce("role", F.lit("supporting")).alias("role"), "bytes", "sha256")
+    return files.join(first, "name", "left").select("name", F.coalesce("role", F.lit("supporting")).alias("role"), "bytes", "sha256")
