@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonelake.queries import journals, layouts, places, plans, projections, reports, samples, sessions, signals
+from tonelake.queries import evidence, journals, layouts, places, plans, projections, reports, samples, sessions, signals
 
-_PARTS = (samples, sessions, plans, places, signals, journals, layouts, reports, projections)
+_PARTS = (samples, evidence, sessions, plans, places, signals, journals, layouts, reports, projections)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

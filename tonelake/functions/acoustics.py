@@ -117,6 +117,6 @@ def correction_keeps_lock(raw: Column, fixed: Column, raw_lag: Column, fixed_lag
 
 
 def control_band(lo: Column, hi: Column) -> Column:
-    """The part of a sweep in which distortion is judged: 80 Hz to 16 kHz."""
-    a, b = F.greatest(F.coalesce(lo, F.lit(80.0)), F.lit(80.0)), F.least(F.coalesce(hi, F.lit(16000.0)), F.lit(16000.0))
-    return F.when(a < b, F.struct(a.alias("lo_hz"), b.alias("hi_hz")))
+    """The part of a sweep in which distortion is judged, 80 Hz to 16 kHz; null without a sweep or such a part."""
+    a, b = F.greatest(lo, F.lit(80.0)), F.least(hi, F.lit(16000.0))
+    return F.when(lo.isNotNull() & hi.isNotNull() & (a <= b), F.struct(a.alias("lo_hz"), b.alias("hi_hz")))

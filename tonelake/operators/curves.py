@@ -37,9 +37,9 @@ def gated_peak(curves: DataFrame, keys: list[str], hz: str, value: str, level: s
 
     Of equal values the highest frequency counts.
     """
-    band = curves.where((F.col(hz) >= lo) & (F.col(hz) <= hi) & is_finite(F.col(value)))
-    top = band.groupBy(*keys).agg(F.max(level).alias("_top"))
-    loud = band.join(top, keys).where(F.col(level) >= F.col("_top") - below)
+    band = curves.where((F.col(hz) >= lo) & (F.col(hz) <= hi))
+    top = band.where(is_finite(F.col(level))).groupBy(*keys).agg(F.max(level).alias("_top"))
+    loud = band.where(is_finite(F.col(value))).join(top, keys).where(F.col(level) >= F.col("_top") - below)
     best = loud.groupBy(*keys).agg(F.max(F.struct(value, hz)).alias("m"))
     return best.select(*keys, F.col(f"m.{hz}").alias(hz), F.col(f"m.{value}").alias(value))
 
