@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonelake.operators.curves import interpolated
+
 _T = 2 * math.pi
 #: Exponents, beside the order and 0, of polynomials whose sequence takes all states, for orders 2 to 24.
 PRIMITIVE = {
@@ -34,15 +36,29 @@ def two_tone(hz: tuple[float, float], amplitude: tuple[float, float], rate: int)
     return tone(hz[0], amplitude[0], rate) + tone(hz[1], amplitude[1], rate)
 
 
-def log_sweep(lo: float, hi: float, amplitude: float, seconds: float, rate: int) -> Column:
+def log_sweep(lo: Column | float, hi: Column | float, amplitude: Column | float, seconds: float, rate: int) -> Column:
     """An exponential sine sweep: every octave takes the same time."""
-    k = seconds / math.log(hi / lo)
-    return amplitude * F.sin(_T * lo * k * (F.exp(F.col("idx") / (rate * k)) - 1))
+    k = F.lit(seconds) / F.ln(F.lit(hi) / F.lit(lo))
+    return F.lit(amplitude) * F.sin(_T * F.lit(lo) * k * (F.exp(F.col("idx") / (rate * k)) - 1))
 
 
-def linear_chirp(lo: float, hi: float, seconds: float, rate: int) -> Column:
+def linear_chirp(lo: Column | float, hi: Column | float, seconds: float, rate: int) -> Column:
     t = F.col("idx") / rate
-    return F.sin(_T * (lo * t + (hi - lo) / (2 * seconds) * t * t))
+    return F.sin(_T * (F.lit(lo) * t + (F.lit(hi) - F.lit(lo)) / (2 * seconds) * t * t))
+
+
+def pre_compensated(sweeps: DataFrame, points: DataFrame, keys: list[str], lo: float, hi: float, seconds: float, rate: int) -> DataFrame:
+    """(keys, idx, x): log sweeps of ``sweeps`` (keys, idx, x) by the inverse of a response that is to flatten them.
+
+    ``points`` is (keys, hz, db). A log sweep passes every frequency at one
+    instant, so each sample is divided by the response at its own frequency,
+    between points by the logarithm of frequency and beyond them as at the end.
+    A sweep without points stays as it is.
+    """
+    k = seconds / math.log(hi / lo)
+    at = sweeps.withColumn("hz", F.lit(lo) * F.exp(F.col("idx") / (rate * k)))
+    gain = interpolated(points.select(*keys, "hz", "db"), at.select(*keys, "hz").distinct(), keys, "hz", "db")
+    return at.join(gain, [*keys, "hz"]).select(*keys, "idx", (F.col("x") * F.pow(F.lit(10.0), -F.col("db") / 20)).alias("x"))
 
 
 def octave_zones(lo: float, hi: float, bass: float) -> list[tuple[float, float, float]]:

@@ -130,7 +130,11 @@ def session_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def callback_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return projections.callback_cases(spark)
+    """Every case of a callback, with how many parts have as many channels as it wants."""
+    cases = projections.callback_cases(spark)
+    parts = read(spark, sf_dir, "part").groupBy((F.col("p_size") * 2).alias("_n")).agg(F.count("*").alias("_parts"))
+    fits = cases.join(parts, F.col("_n") >= F.col("channels"), "left")
+    return fits.groupBy("format", "channels", "frames", "finite").agg(F.coalesce(F.sum("_parts"), F.lit(0)).alias("devices"))
 
 
 def route_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +186,7 @@ SELECT folder, stem || '.take' || n || '.wav' AS name FROM f JOIN r USING (folde
     "session_checks": """WITH r AS (SELECT l_orderkey AS k, CASE WHEN l_orderkey % 13 = 0 AND l_linenumber = 1 AND l_orderkey % 17 <> 0 THEN 1 ELSE 0 END AS out, 'c' || CASE WHEN l_orderkey % 7 = 0 THEN 1 ELSE l_linenumber END AS csv FROM lineitem)
 SELECT k AS l_orderkey, CASE WHEN k % 19 = 0 THEN NULL WHEN max(out) = 1 THEN 'path' WHEN k % 11 = 0 OR count(*) > count(DISTINCT csv) THEN 'output' WHEN k % 17 = 0 THEN 'output_is_input' END AS issue FROM r GROUP BY k""",
     "callback_grid": """WITH f AS (SELECT unnest(['f32','f64','i8','i16','i24','i32','i64','u8','u16','u24','u32','u64','f32','f64']) AS format, generate_subscripts(range(14), 1) <= 12 AS finite)
-SELECT format, channels, frames, finite FROM f, (VALUES (2), (8), (33), (94)) c(channels), (VALUES (32), (128), (512), (1024)) b(frames)""",
+SELECT format, channels, frames, finite, (SELECT count(*) FROM part WHERE p_size * 2 >= channels) AS devices FROM f, (VALUES (2), (8), (33), (94)) c(channels), (VALUES (32), (128), (512), (1024)) b(frames)""",
     "route_checks": """WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'builtin_input' ELSE 'hdmi_output' END AS route, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 8 END AS most, p_size % 11 AS n FROM part)
 SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 44100 ELSE 48000 END AS rate, CASE WHEN n < 1 OR n > most THEN route || ' supports ' || most || ' channels, got ' || n END AS issue FROM r""",
     "order_instants": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS at FROM orders",

@@ -124,7 +124,7 @@ def stream_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sources_with_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers with the best of their nation's estimated places."""
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), F.col("s_nationkey").alias("session"))
-    p = read(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("session"), (F.col("c_custkey") * 1.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.5).alias("z"), (F.col("c_custkey") % 1009 / 1000 + F.col("c_custkey") / 1e9).alias("rms_m"))
+    p = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("session"), (F.col("c_custkey") * 1.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.5).alias("z"), (F.col("c_custkey") % 1009 / 1000 + F.col("c_custkey") / 1e9).alias("rms_m"))
     return reports.with_positions(s, p, ["session"]).select("source", F.col("estimated.x").alias("x"), F.col("estimated.z").alias("z"))
 
 
@@ -190,7 +190,7 @@ UNION ALL SELECT session, 'repeated_head', head FROM h GROUP BY session, head HA
 UNION ALL SELECT session, 'other_settings', CAST(fragment AS VARCHAR) FROM h JOIN (SELECT session, first(s ORDER BY fragment) AS s0 FROM h GROUP BY session) USING (session) WHERE s <> s0""",
     "stream_storage": """SELECT event_type AS channel, count(*) AS received, max(event_id) - min(event_id) + 1 - count(*) AS dropped, max(event_id) - min(event_id) + 1 > count(*) AS incomplete,
   round(count(*) / ((max(event_id) - min(event_id) + 1) / 48000), 3) AS per_second FROM events GROUP BY event_type""",
-    "sources_with_positions": """WITH p AS (SELECT c_nationkey AS session, c_custkey * 1.0::DOUBLE AS x, c_custkey % 1009 / 1000 + c_custkey / 1e9 AS rms FROM customer WHERE c_custkey % 3 = 0), b AS (SELECT session, first(x ORDER BY rms) AS x FROM p GROUP BY session)
+    "sources_with_positions": """WITH p AS (SELECT c_nationkey AS session, c_custkey * 1.0::DOUBLE AS x, c_custkey % 1009 / 1000 + c_custkey / 1e9 AS rms FROM customer), b AS (SELECT session, first(x ORDER BY rms) AS x FROM p GROUP BY session)
 SELECT s_suppkey AS source, x, CASE WHEN x IS NOT NULL THEN 1.5::DOUBLE END AS z FROM supplier LEFT JOIN b ON s_nationkey = session""",
     "ranges_preserved": """SELECT c_custkey AS channel, CASE WHEN c_custkey % 4 = 1 THEN c_custkey % 100 + 10.0 ELSE 20 END::DOUBLE AS start_hz, CASE WHEN c_custkey % 4 = 1 THEN 8000 ELSE 20000 END::DOUBLE AS end_hz FROM customer""",
     "input_snapshots": """WITH c AS (SELECT c_custkey, c_custkey % 4 AS m, '{"device":"' || c_name || '","rate":' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN ',"note":"' || c_mktsegment || '"' ELSE '' END || '}' AS json FROM customer)

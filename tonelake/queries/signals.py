@@ -22,16 +22,37 @@ def tone_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("n_nationkey", "idx", generators.faded(x, 960, 96).alias("x")), "x")
 
 
+def _sounds(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """The samples to be of a sound of each supplier, and where it starts in pitch."""
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 50 + 20.0).alias("lo"))
+    return s.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
 def sweep_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(generators.frames(spark, 0.5, 16000).select("idx", generators.log_sweep(20.0, 6000.0, 0.5, 0.5, 16000).alias("x")), "x", digits=5)
+    """A short sweep for each supplier, from its own pitch on."""
+    x = generators.log_sweep(F.col("lo"), 6000.0, 0.5, 0.02, 16000)
+    return rounded(_sounds(spark, sf_dir, 320).select("s_suppkey", "idx", x.alias("x")), "x", digits=5)
 
 
 def chirp_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(generators.frames(spark, 0.1, 48000).select("idx", generators.linear_chirp(2000.0, 8000.0, 0.1, 48000).alias("x")), "x", digits=5)
+    x = generators.linear_chirp(F.col("lo") * 100, 8000.0, 0.005, 48000)
+    return rounded(_sounds(spark, sf_dir, 240).select("s_suppkey", "idx", x.alias("x")), "x", digits=5)
+
+
+def compensated_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sweeps of suppliers by the inverse of a response that is known at a few frequencies, for most of them."""
+    rows = _sounds(spark, sf_dir, 320).select("s_suppkey", "idx", generators.log_sweep(20.0, 6000.0, 0.5, 0.02, 16000).alias("x"))
+    k = F.col("s_suppkey")
+    points = read(spark, sf_dir, "supplier").where("s_suppkey % 6 <> 5").select(k, F.explode(F.sequence(F.lit(0), k.cast("int") % 4)).alias("i"))
+    points = points.select("s_suppkey", (F.lit(30.0) * F.pow(F.lit(4.0), "i")).alias("hz"), ((k + F.col("i") * 7) % 11 - 5.0).alias("db"))
+    return rounded(generators.pre_compensated(rows, points, ["s_suppkey"], 20.0, 6000.0, 0.02, 16000), "x", digits=5)
 
 
 def multitone_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(generators.multitone(spark, 512, 8000, 0.5, 500.0, 2500.0), "x")
+    """How much of a probe of many tones is in each take."""
+    probe = generators.multitone(spark, 512, 8000, 0.5, 500.0, 2500.0).withColumnRenamed("x", "p")
+    rows = takes(spark, sf_dir).select("take_id", F.posexplode("samples").alias("idx", "x"))
+    return rounded(rows.join(probe, "idx").groupBy("take_id").agg(F.sum(F.col("x").cast("double") * F.col("p")).alias("match")), "match", digits=5)
 
 
 def trusted_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,10 +141,16 @@ _L = """WITH m AS (SELECT l_orderkey AS session, l_partkey AS source_id, l_linen
 SQL = {
     "tone_signal": """SELECT n_nationkey, i AS idx, round((0.5 * sin(2 * pi() * (n_nationkey + 1) * 100 * i / 48000) + 0.25 * sin(2 * pi() * 3000 * i / 48000))
   * CASE WHEN least(i, 959 - i) < 96 THEN 0.5 - 0.5 * cos(pi() * least(i, 959 - i) / 96) ELSE 1 END, 6) + 0.0::DOUBLE AS x FROM nation, range(960) r(i)""",
-    "sweep_signal": "SELECT i AS idx, round(0.5 * sin(2 * pi() * 20 * (0.5 / ln(300)) * (exp(i / (16000 * (0.5 / ln(300)))) - 1)), 5) + 0.0::DOUBLE AS x FROM range(8000) r(i)",
-    "chirp_signal": "SELECT i AS idx, round(sin(2 * pi() * (2000 * (i / 48000) + 6000 / 0.2 * (i / 48000) * (i / 48000))), 5) + 0.0::DOUBLE AS x FROM range(4800) r(i)",
-    "multitone_signal": """WITH x AS (SELECT i, sum(cos(2 * pi() * k * i / 512 - pi() * (k - 32) * (k - 31) / 129)) AS x FROM range(512) a(i), range(32, 161) b(k) GROUP BY i)
-SELECT i AS idx, round(0.5 * x / (SELECT max(abs(x)) FROM x), 6) + 0.0::DOUBLE AS x FROM x""",
+    "sweep_signal": """SELECT s_suppkey, CAST(i AS INTEGER) AS idx, round(0.5 * sin(2 * pi() * lo * (0.02 / ln(6000 / lo)) * (exp(i / (16000 * (0.02 / ln(6000 / lo)))) - 1)), 5) + 0.0::DOUBLE AS x
+FROM (SELECT s_suppkey, s_suppkey % 50 + 20.0::DOUBLE AS lo FROM supplier), range(320) r(i)""",
+    "chirp_signal": """SELECT s_suppkey, CAST(i AS INTEGER) AS idx, round(sin(2 * pi() * (lo * (i / 48000) + (8000 - lo) / 0.01 * (i / 48000) * (i / 48000))), 5) + 0.0::DOUBLE AS x
+FROM (SELECT s_suppkey, (s_suppkey % 50 + 20.0::DOUBLE) * 100 AS lo FROM supplier), range(240) r(i)""",
+    "compensated_sweep": """WITH c AS (SELECT 0.02::DOUBLE / ln(6000.0::DOUBLE / 20) AS k), w AS (SELECT s_suppkey, i, 20 * exp(i / (16000 * k)) AS f, 0.5 * sin(2 * pi() * 20 * k * (exp(i / (16000 * k)) - 1)) AS x FROM supplier, range(320) r(i), c),
+p AS (SELECT s_suppkey, j, 30.0::DOUBLE * 4 ** j AS f, (s_suppkey + j * 7) % 11 - 5.0::DOUBLE AS g FROM supplier, range(4) r(j) WHERE s_suppkey % 6 <> 5 AND j <= s_suppkey % 4),
+b AS (SELECT w.s_suppkey, w.i, max(w.f) AS wf, max(w.x) AS x, max({'f': p.f, 'g': p.g}) FILTER (p.f <= w.f) AS a, min({'f': p.f, 'g': p.g}) FILTER (p.f > w.f) AS z FROM w LEFT JOIN p USING (s_suppkey) GROUP BY w.s_suppkey, w.i)
+SELECT s_suppkey, CAST(i AS INTEGER) AS idx, round(x * 10 ** (-coalesce(CASE WHEN a IS NULL THEN z.g WHEN z IS NULL THEN a.g ELSE a.g + (z.g - a.g) * ln(wf / a.f) / ln(z.f / a.f) END, 0) / 20), 5) + 0.0::DOUBLE AS x FROM b""",
+    "multitone_signal": """WITH x AS (SELECT i, sum(cos(2 * pi() * k * i / 512 - pi() * (k - 32) * (k - 31) / 129)) AS x FROM range(512) a(i), range(32, 161) b(k) GROUP BY i), m AS (SELECT i, 0.5 * x / (SELECT max(abs(x)) FROM x) AS p FROM x),
+t AS (SELECT vec_id AS take_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) SELECT take_id, round(sum(x * p), 5) AS match FROM t JOIN m USING (i) GROUP BY take_id""",
     "trusted_takes": """WITH p AS (SELECT p_brand, p_retailprice + CASE WHEN p_partkey % 10 = 0 THEN 500 ELSE 0 END AS v FROM part), m AS (SELECT p_brand, median(v) AS m FROM p GROUP BY p_brand),
 d AS (SELECT p_brand, abs(v - m) AS d FROM p JOIN m USING (p_brand)), s AS (SELECT p_brand, median(d) * 1.4826 * 1.5 AS s FROM d GROUP BY p_brand)
 SELECT p_brand, count(*) FILTER (d <= s) AS accepted, count(*) FILTER (d > s) AS rejected FROM d JOIN s USING (p_brand) GROUP BY p_brand""",
@@ -149,6 +176,6 @@ SELECT p_partkey, round(CASE WHEN ok THEN l * f END, 6) AS length, round(CASE WH
 }
 
 QUERIES = [
-    tone_signal, sweep_signal, chirp_signal, multitone_signal, trusted_takes, session_mode, emitter_matrix, arrival_directions, channel_split,
+    tone_signal, sweep_signal, chirp_signal, compensated_sweep, multitone_signal, trusted_takes, session_mode, emitter_matrix, arrival_directions, channel_split,
     drift_warp, room_sizes, capture_budget, quality_cells, metadata_changes, newest_results, rate_lists,
 ]
