@@ -89,7 +89,9 @@ def collapse(turns: DataFrame) -> DataFrame:
     said = F.concat(F.lit("<|im_start|>"), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("<|im_end|>\n"))
     # at most one of these for each PART_BYTES of turns
     large = rows.groupBy("conv", "block").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > PART_BYTES).select("conv", "block", F.lit(True).alias("large"))
-    mine = _with(rows, kept).join(F.broadcast(large), ["conv", "block"], "left")
+    # what is said of conversations and blocks is joined range by range, so that none of them is in one task
+    ranges = rows.groupBy("conv", "at", "block").agg(F.count("*").alias("held")).select("conv", "at", "block").join(kept, "conv").join(large, ["conv", "block"], "left")
+    mine = rows.join(ranges, ["conv", "at", "block"])
     piece = F.when(F.col("large"), F.floor((F.col("upto") - F.col("size")) / PART_BYTES)).otherwise(0).alias("piece")
     # blocks of one conversation part here, else the join leaves them all in one task
     mine = mine.select("conv", "n_turns", "n_copies", "block", piece, F.struct("nth", said.alias("said")).alias("t")).repartition("conv", "block", "piece")

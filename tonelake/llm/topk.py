@@ -235,10 +235,24 @@ def top_k(table: DataFrame, key: str, vector: str, asks: Column, k: int = 20, sc
         # by Cauchy and Schwarz no vector shorter than this can win; 0 where any may
         reach = F.when(F.col("floor") <= 0, 0.0).otherwise(F.when(F.col("length") > 0, F.col("floor") * (1 - 1e-9) / F.col("length")).otherwise(float("inf")))
         who = who.select("id", "v", "floor", "floor_id", reach.alias("reach")).repartitionByRange(max(salts, -(-asked // QUERIES)), "reach", "id")
-        who = who.mapInArrow(_queries(longest), "q_part long, reach double, lanes long, q_ids binary, q_v binary, floor binary, floor_id binary")
-        # query blocks go to the lanes that are long enough for them, candidate blocks to each salt of queries
-        copies = who.withColumns({"lane": F.explode(F.sequence(F.lit(0), F.col("lanes").cast("int") - 1)), "salt": F.pmod("q_part", F.lit(salts)).cast("int")}).drop("q_part", "lanes")
-        sent = some.select("lane", "longest", "ids", "v", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        # written, as their numbers and reaches are asked for twice
+        who = cut(who.mapInArrow(_queries(longest), "q_part long, reach double, lanes long, q_ids binary, q_v binary, floor binary, floor_id binary"))
+        # a salt is a range of reaches: query blocks go to the lanes that are long enough for them, candidate blocks to the salts that reach as far
+        last_part = who.agg(F.max("q_part")).first()[0]
+        if last_part is None:
+            done, to = to, to * (GROWTH + 1)
+            continue
+        salts = min(salts, last_part + 1)
+        salted = who.withColumn("salt", F.floor(F.col("q_part") * salts / (last_part + 1)).cast("int"))
+        nearest = np.full(salts, np.inf)
+        for salt in salted.groupBy("salt").agg(F.min("reach").alias("reach")).collect():  # a row for each TOGETHER * QUERIES queries
+            nearest[salt["salt"]] = salt["reach"]
+        # a lane is sent to the salts up to the last one that it is long enough for
+        nearest = np.minimum.accumulate(nearest[::-1])[::-1]
+        met = [(lane, int(np.searchsorted(nearest, longest[lane], "right"))) for lane in range(lanes)]
+        sides = table.sparkSession.createDataFrame([x for x in met if x[1]], "lane int, salts int")
+        copies = salted.withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes").cast("int") - 1))).drop("q_part", "lanes")
+        sent = some.join(F.broadcast(sides), "lane").select("lane", "longest", "ids", "v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         pairs = sent.join(copies, ["lane", "salt"]).where(F.col("longest") * (1 + 1e-9) >= F.col("reach")).drop("lane", "salt", "reach")
         found = pairs.mapInArrow(_meet(d=len(turn), turn=turn, head=head, k=k), "query_id long, vec_id long, score long")
         if top is not None:
