@@ -6,6 +6,7 @@ import math
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,6 +289,41 @@ def test_cut_torn_and_odd_recordings_are_errors(spark, tmp_path):
     assert recordings.recordings(spark, str(tmp_path), glob="good.wav", rate=48000, channels=1, frames=1000).first().frames == 1000
 
 
+def test_runs_of_a_stream_meet_in_any_order(spark):
+    rng = np.random.default_rng(5)
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    for _ in range(60):
+        state, seen, got, last = State(), [], [], None
+        for _ in range(3):
+            idx = rng.choice(40, int(rng.integers(1, 30))) + (len(seen) and max(seen) - 10)
+            parts = [pd.DataFrame({"idx": p}) for p in np.array_split(idx, 3)]
+            fresh = sorted({int(i) for i in idx if last is None or i > last})
+            line = ([last] if last is not None else []) + fresh
+            want = [(a + 1, b) for a, b in zip(line, line[1:], strict=False) if b > a + 1]
+            out = pd.concat(list(live._gaps(("c",), iter(parts), state)))
+            assert list(zip(out["start_frame"], out["end_frame"], strict=True)) == want
+            last = max([*fresh, *([last] if last is not None else [])])
+            seen += list(idx)
+            assert state.get[0] == last
+
+
+def test_late_samples_are_counted(spark, tmp_path):
+    schema = "channel string, idx long, x double"
+    for idx in ([0, 1, 2, 3, 4], [1, 2, 5, 6, 7, 8], [3, 9]):
+        spark.createDataFrame([("a", i, 0.1 * i) for i in idx], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    samples = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = []
+    q = live.frames(samples, 4).writeStream.outputMode("append").foreachBatch(lambda b, n: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(r.frame, r.samples, r.late) for r in out] == [(0, 4, 0), (1, 4, 2)]
+
+
 def test_microphones_are_judged_one_after_another(spark):
     mic = '{"id": "%s", "device": "d", "input_channel": %d, "calibration_file": "%s", "gain_db": 0}'
     plan = '{"version": 1, "sample_rate_hz": 48000, "output_device": "o", "geometry": "spread", "microphones": [%s, %s]}'

@@ -233,27 +233,33 @@ def labels_and_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a live stream, its meters after the last batch."""
-    return _streamed(spark, sf_dir, live.meters, "update", ["channel"], "samples")
+    return streamed(spark, sf_dir, live.meters, "update", ["channel"], "samples")
 
 
 def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of 4096 sample numbers of each channel, as far as they are past; about a fifth of the numbers are a channel's."""
-    return rounded(_streamed(spark, sf_dir, lambda s: live.frames(s, 4096, least=1), "append", ["channel", "frame"], "samples"), "peak", "rms")
+    return rounded(streamed(spark, sf_dir, lambda s: live.frames(s, 4096, least=1), "append", ["channel", "frame"], "samples"), "peak", "rms")
 
 
-def _streamed(spark: SparkSession, sf_dir: str, operator, mode: str, keys: list[str], newest: str) -> DataFrame:  # noqa: ANN001
-    """Runs an operator over the events until none are left, and reads the last row of each key."""
+def stream_folder(spark: SparkSession) -> str:
+    """A new folder for the state and the output of a stream, where all executors reach it."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="checkpoints-")
-    root = root.rstrip("/")
-    folder = f"{root}/stream-{uuid.uuid4().hex}"
-    schema = read(spark, sf_dir, "events").schema
-    # a pattern, as the table may be one file
-    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
-    samples = source.select(F.col("event_type").alias("channel"), F.col("event_id").alias("idx"), (F.col("value") / 500).alias("x"))
+    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def live_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream; by a pattern, as the table may be one file."""
+    return spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+
+
+def streamed(spark: SparkSession, sf_dir: str, operator, mode: str, keys: list[str], newest: str) -> DataFrame:  # noqa: ANN001
+    """Runs an operator over the events until none are left, and reads the last row of each key."""
+    folder = stream_folder(spark)
+    samples = live_events(spark, sf_dir).select(F.col("event_type").alias("channel"), F.col("event_id").alias("idx"), (F.col("value") / 500).alias("x"))
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
@@ -332,7 +338,7 @@ SELECT o_orderkey, 'sweep_' || (CASE WHEN CAST(floor(lo) AS BIGINT) % 2 = 0 THEN
   round(CASE WHEN o_orderstatus = 'O' THEN least(1, o_totalprice / 310007) END, 6) AS progress,
   CAST(CASE WHEN o_orderkey % 70 < 64 AND o_orderkey % 70 <> o_custkey % 3 THEN 2 ELSE -1 END AS INTEGER) AS channels FROM o""",
     "stream_meters": """SELECT event_type AS channel, count(*) AS samples, max(abs(value / 500)) AS peak_hold, sqrt(avg(value / 500 * value / 500)) AS rms, count(*) FILTER (value / 500 >= 0.999) AS clipped, max(event_id) AS last_idx FROM events GROUP BY event_type""",
-    "stream_frames": """WITH f AS (SELECT event_type AS channel, event_id // 4096 AS frame, count(*) AS samples, round(max(value / 500), 6) AS peak, round(sqrt(avg(value / 500 * value / 500)), 6) AS rms,
+    "stream_frames": """WITH f AS (SELECT 0::BIGINT AS late, event_type AS channel, event_id // 4096 AS frame, count(*) AS samples, round(max(value / 500), 6) AS peak, round(sqrt(avg(value / 500 * value / 500)), 6) AS rms,
   CAST(count(*) FILTER (value / 500 >= 1) AS BIGINT) AS clipped FROM events GROUP BY ALL) SELECT * FROM f WHERE frame < (SELECT max(g.frame) FROM f g WHERE g.channel = f.channel)""",
 }
 

@@ -21,33 +21,47 @@ MOST_GAPS = 128
 CLIP = 0.999
 
 
-FRAME_COLUMNS = ["channel", "frame", "samples", "peak", "rms", "clipped"]
+FRAME_COLUMNS = ["channel", "frame", "samples", "peak", "rms", "clipped", "late"]
 
 
 def frames(samples: DataFrame, size: int, least: int | None = None) -> DataFrame:
     """Peak, RMS and full-scale count of each frame of ``size`` sample numbers, once it is past; append mode.
 
     A channel's samples come in order between batches, so its state is the one
-    frame that is open. A frame that holds fewer than ``least`` samples (all of
-    them, unless said otherwise) is none, and neither is one that never closes.
+    frame that is open; what a batch brings is summed up part by part. ``late``
+    counts the samples so far whose frame was past already, which change
+    nothing. A frame that holds fewer than ``least`` samples (all of them,
+    unless said otherwise) is none, and neither is one that never closes.
     """
     least = size if least is None else least
 
     def framed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches))
-        rows = pd.DataFrame({"frame": rows["idx"] // size, "n": 1, "peak": rows["x"].abs(), "power": rows["x"] ** 2, "clipped": (rows["x"].abs() >= 1).astype("int64")})
+        first, late, held = None, 0, {}
         if state.exists:
-            rows = pd.concat([pd.DataFrame([state.get], columns=rows.columns), rows[rows["frame"] >= state.get[0]]])
-        sums = rows.groupby("frame").agg({"n": "sum", "peak": "max", "power": "sum", "clipped": "sum"}).reset_index().sort_values("frame")
-        last = sums.iloc[-1]
-        state.update((int(last["frame"]), int(last["n"]), float(last["peak"]), float(last["power"]), int(last["clipped"])))
-        past = sums.iloc[:-1]
-        past = past[past["n"] >= least]
-        yield pd.DataFrame({"channel": key[0], "frame": past["frame"], "samples": past["n"], "peak": past["peak"], "rms": np.sqrt(past["power"] / past["n"]), "clipped": past["clipped"]}, columns=FRAME_COLUMNS)
+            first, late, *open_sums = state.get
+            held[first] = open_sums
+        for rows in batches:
+            x, frame = rows["x"].to_numpy(np.float64), rows["idx"].to_numpy(np.int64) // size
+            if first is not None:
+                late += int((frame < first).sum())
+                x, frame = x[frame >= first], frame[frame >= first]
+            order = np.argsort(frame, kind="stable")
+            x, frame = x[order], frame[order]
+            at = np.flatnonzero(np.r_[True, frame[1:] != frame[:-1]]) if len(frame) else np.zeros(0, int)
+            for lo, hi in zip(at, np.r_[at[1:], len(frame)], strict=True):
+                n, peak, power, clipped = held.get(int(frame[lo]), (0, 0.0, 0.0, 0))
+                part = np.abs(x[lo:hi])
+                held[int(frame[lo])] = [n + len(part), max(peak, float(part.max())), power + float((part * part).sum()), clipped + int((part >= 1).sum())]
+        if not held:
+            return
+        last = max(held)
+        state.update((last, late, *held[last]))
+        past = [(key[0], f, n, peak, float(np.sqrt(power / n)), clipped, late) for f, (n, peak, power, clipped) in sorted(held.items()) if f < last and n >= least]
+        yield pd.DataFrame(past, columns=FRAME_COLUMNS)
 
     return samples.groupBy("channel").applyInPandasWithState(
-        framed, "channel string, frame long, samples long, peak double, rms double, clipped long",
-        "frame long, n long, peak double, power double, clipped long", "append", GroupStateTimeout.NoTimeout,
+        framed, "channel string, frame long, samples long, peak double, rms double, clipped long, late long",
+        "frame long, late long, n long, peak double, power double, clipped long", "append", GroupStateTimeout.NoTimeout,
     )
 
 
@@ -86,15 +100,24 @@ def meters(samples: DataFrame) -> DataFrame:
 
 def _gaps(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last, listed, omitted, missing = state.get if state.exists else (None, 0, 0, 0)
-    idx = np.unique(np.concatenate([rows["idx"].to_numpy(np.int64) for rows in batches]))
-    if last is not None:
-        idx = np.concatenate([[last], idx[idx > last]])
-    at = np.flatnonzero(np.diff(idx) > 1)
-    start, end = idx[at] + 1, idx[at + 1]
+    runs = np.zeros((0, 2), np.int64) if last is None else np.array([[last, last + 1]])
+    for rows in batches:  # kept as runs of numbers, half open, of which there are as few as gaps
+        idx = np.unique(rows["idx"].to_numpy(np.int64))
+        cut = np.flatnonzero(np.diff(idx) > 1)
+        own = np.stack([idx[np.r_[0, cut + 1]], idx[np.r_[cut, len(idx) - 1]] + 1], axis=1) if len(idx) else runs[:0]
+        runs = np.concatenate([runs, own if last is None else np.maximum(own, last)[own[:, 1] > last]])
+        runs = runs[np.argsort(runs[:, 0], kind="stable")]
+        reach = np.maximum.accumulate(runs[:, 1]) if len(runs) else runs[:, 1]
+        new = np.r_[True, runs[1:, 0] > reach[:-1]] if len(runs) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        runs = np.stack([runs[at, 0], reach[np.r_[at[1:] - 1, len(runs) - 1]]], axis=1) if len(at) else runs
+    if not len(runs):
+        return
+    start, end = runs[:-1, 1], runs[1:, 0]
     room = max(0, MOST_GAPS - listed)
-    listed, omitted = listed + min(room, len(at)), omitted + max(0, len(at) - room)
+    listed, omitted = listed + min(room, len(start)), omitted + max(0, len(start) - room)
     missing += int((end - start).sum())
-    state.update((int(idx[-1]), listed, omitted, missing))
+    state.update((int(runs[-1, 1]) - 1, listed, omitted, missing))
     yield pd.DataFrame({"channel": key[0], "start_frame": start[:room], "end_frame": end[:room], "omitted": omitted})
 
 
