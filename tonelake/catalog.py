@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonelake.queries import evidence, files, journals, layouts, places, plans, projections, reports, samples, sessions, signals, streams
+from tonelake.queries import evidence, files, journals, layouts, places, plans, projections, reports, rows, samples, sessions, signals, streams
 
-_PARTS = (samples, evidence, sessions, plans, places, streams, files, signals, journals, layouts, reports, projections)
+_PARTS = (samples, evidence, sessions, plans, places, streams, files, rows, signals, journals, layouts, reports, projections)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
