@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonelake.functions import acoustics, arrays, levels
 from tonelake.operators import measured
+from tonelake.operators import takes as whole_takes
 from tonelake.plans import localization, session
 from tonelake.queries.plans import _plans, stream_folder
 from tonelake.queries.stand_ins import read, rounded, takes
@@ -75,7 +77,26 @@ def take_spectrograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("event", F.round("time_ms").cast("int").alias("ms"), F.posexplode("levels").alias("bin", "db")), "db", digits=3)
 
 
+def take_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a short chirp is in both halves of each take, and the clock that this would be."""
+    chirp = np.sin(0.4 * np.arange(1, 9) + 0.05 * np.arange(1, 9) ** 2)
+    t = takes(spark, sf_dir).select("take_id", F.lit(0).alias("block"), "samples")
+    lags = whole_takes.marker_lags(t, ["take_id"], chirp, [(0, 32), (32, 64)], least=0.5)
+    fits = whole_takes.clock_fits(lags, ["take_id"], 32)
+    wide = lags.groupBy("take_id").agg(*[F.max(F.when(F.col("marker") == m, F.col(c))).alias(f"{c}_{m}") for m in (0, 1) for c in ("lag", "confidence", "reason")])
+    found = wide.join(fits.select("take_id", "offset", "skew_ppm", F.col("reason").alias("clock")), "take_id")
+    return rounded(found, "lag_0", "lag_1", "confidence_0", "confidence_1", "offset", "skew_ppm", digits=4)
+
+
 SQL = {
+    "take_markers": """WITH c AS (SELECT j, sin(0.4 * (j + 1) + 0.05 * (j + 1) ** 2) AS r FROM range(8) t(j)), t AS (SELECT vec_id AS k, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+s AS (SELECT k, m, l, sum(x * r) AS raw, sum(x * x) AS p FROM t, range(2) a(m), range(25) b(l), c WHERE i = m * 32 + l + j GROUP BY ALL), q AS (SELECT k, m, max(p) AS top FROM s GROUP BY ALL),
+n AS (SELECT s.k, s.m, l, abs(raw / sqrt(greatest(p, 1e-3 * top) * (SELECT sum(r * r) FROM c))) AS v FROM s JOIN q USING (k, m)), b AS (SELECT k, m, first(l ORDER BY v DESC, l) AS l, max(v) AS y FROM n GROUP BY ALL),
+f AS (SELECT b.*, x.v AS x, z.v AS z FROM b LEFT JOIN n x ON x.k = b.k AND x.m = b.m AND x.l = b.l - 1 LEFT JOIN n z ON z.k = b.k AND z.m = b.m AND z.l = b.l + 1),
+g AS (SELECT k, m, y AS sure, CASE WHEN y >= 0.5 THEN m * 32 + l + CASE WHEN x IS NULL OR z IS NULL OR x - 2 * y + z = 0 THEN 0 ELSE 0.5 * (x - z) / (x - 2 * y + z) END END AS lag, CASE WHEN y < 0.5 THEN 'low_confidence' END AS why FROM f),
+w AS (SELECT k, max(lag) FILTER (m = 0) AS a, max(lag) FILTER (m = 1) AS b, max(sure) FILTER (m = 0) AS sa, max(sure) FILTER (m = 1) AS sb, max(why) FILTER (m = 0) AS wa, max(why) FILTER (m = 1) AS wb FROM g GROUP BY k),
+d AS (SELECT *, ((b - a) - 32) / 32 * 1e6 AS ppm FROM w), e AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN coalesce(wa, wb, 'marker_missing') WHEN abs(ppm) > 5000 THEN 'clock_outlier' END AS clock FROM d)
+SELECT k AS take_id, round(a, 4) AS lag_0, round(sa, 4) AS confidence_0, wa AS reason_0, round(b, 4) AS lag_1, round(sb, 4) AS confidence_1, wb AS reason_1, round(CASE WHEN clock IS NULL THEN a END, 4) AS offset, round(CASE WHEN clock IS NULL THEN ppm END, 4) AS skew_ppm, clock FROM e""",
     "sound_and_lock": """WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 10 / 10 END AS raw, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 8 / 8 END AS fix FROM orders),
 r AS (SELECT k, i, CASE WHEN (k + i) % 17 <> 0 THEN (k + i * 5) % 23 END AS s FROM o, range(3) t(i) WHERE i <= k % 3), a AS (SELECT k, bool_and(coalesce(s < 20, false)) AS steady FROM r GROUP BY k)
 SELECT k AS o_orderkey, CASE WHEN k % 3 <> 0 THEN 340.0 + k % 7 WHEN k % 5 <> 0 THEN 343.0 + k % 3 ELSE 343.0 END::DOUBLE AS m_s, CASE WHEN k % 3 <> 0 THEN 0.5 + k % 2 WHEN k % 5 <> 0 THEN 0.25 ELSE 3.0 END::DOUBLE AS sigma,
@@ -100,4 +121,4 @@ f AS (SELECT event, s, b, sqrt(sum(x * cos(2 * pi() * j * b / 64)) ** 2 + sum(x
 SELECT event, CAST(s * 5 AS INTEGER) AS ms, CAST(b AS INTEGER) AS bin, round(20 * log10(greatest(m * 2 / n, 1e-15)), 3) AS db FROM f, n WHERE c = 64""",
 }
 
-QUERIES = [sound_and_lock, series_for_json, plan_children, matrix_cells, curves_round_trip, take_pair_delays, take_spectrograms]
+QUERIES = [take_markers, sound_and_lock, series_for_json, plan_children, matrix_cells, curves_round_trip, take_pair_delays, take_spectrograms]
