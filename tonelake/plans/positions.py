@@ -29,6 +29,8 @@ ROUNDS, STEP_M, DAMPING = 100, 1e-9, 1e-9
 BATCH = 256
 #: Up to so many ranges, a wild one may well pass for a sound one, and each is left out in turn.
 SPARSE = 12
+#: Steps towards a place that is only begun from.
+SEED_ROUNDS = 16
 
 
 # ------------------------------------------------------------------ what an array can tell
@@ -119,10 +121,10 @@ def _starts(at: np.ndarray, d: np.ndarray, s: np.ndarray, used: np.ndarray) -> n
     return np.stack([linear, up, down, heavy + out * np.take_along_axis(d, first[:, None], 1)], 1)
 
 
-def _descended(at: np.ndarray, d: np.ndarray, s: np.ndarray, used: np.ndarray, x: np.ndarray) -> np.ndarray:
+def _descended(at: np.ndarray, d: np.ndarray, s: np.ndarray, used: np.ndarray, x: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Each place moved to where its ranges fit best, those off by over three of their sigmas counting less."""
     x, live, longest = x.copy(), np.arange(len(x)), np.where(used, d, 0.0).max(1, initial=1e-3)
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         r, unit = _gaps(at[live], x[live])
         e = d[live] - r
         w = np.where(used[live], np.minimum(1.0, HUBER * s[live] / np.maximum(np.abs(e), 1e-300)) / s[live] ** 2, 0.0)
@@ -138,12 +140,12 @@ def _descended(at: np.ndarray, d: np.ndarray, s: np.ndarray, used: np.ndarray, x
     return x
 
 
-def _fitted(at: np.ndarray, d: np.ndarray, s: np.ndarray, used: np.ndarray) -> np.ndarray:
+def _fitted(at: np.ndarray, d: np.ndarray, s: np.ndarray, used: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """The best of the places that the starts lead to; the earlier one where they tie."""
     starts = _starts(at, d, s, used)
     many = starts.shape[1]
     again = lambda a: np.repeat(a, many, axis=0)
-    x = _descended(again(at), again(d), again(s), again(used), starts.reshape(-1, 3))
+    x = _descended(again(at), again(d), again(s), again(used), starts.reshape(-1, 3), rounds)
     z = np.abs(again(d) - _gaps(again(at), x)[0]) / again(s)
     cost = np.where(again(used), np.where(z <= HUBER, z * z / 2, HUBER * z - HUBER * HUBER / 2), 0.0).sum(1).reshape(-1, many)
     tied = cost <= cost.min(1)[:, None] * (1 + 1e-6) + 1e-9
@@ -413,7 +415,7 @@ class Net:
         used = np.concatenate([every, ~np.eye(n, dtype=bool)]) if LEAST_RANGES < n <= SPARSE else every
         again = lambda a: np.repeat(a[None], len(used), axis=0)
         a, d, s = again(at[other]), again(self.d[mine]), again(self.s[mine])
-        x = _fitted(a, d, s, used)
+        x = _fitted(a, d, s, used, SEED_ROUNDS)
         z = np.abs(d - _gaps(a, x)[0]) / s
         cost = (1 - np.maximum(0.0, 1 - (z / TUKEY[-1]) ** 2) ** 3).sum(1)
         return [(float(cost[k]), x[k]) for k in np.argsort(cost, kind="stable")]
