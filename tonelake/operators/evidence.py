@@ -66,9 +66,15 @@ def finding(policy: str, metric: str, status: Column, message: Column, measured:
 def distortion_peak(curve: Column, band: Column) -> Column:
     """(thd_percent, frequency_hz) of the most distorted point of a curve in a band, where the level is within 20 dB of the band's highest; the highest of equal ones."""
     inside = F.filter(curve, lambda p: (p["frequency_hz"] >= band["lo_hz"]) & (p["frequency_hz"] <= band["hi_hz"]))
-    top = F.array_max(F.transform(F.filter(inside, lambda p: is_finite(p["spl_db"])), lambda p: p["spl_db"]))
-    loud = F.filter(inside, lambda p: is_finite(p["thd_percent"]) & (p["spl_db"] >= top - GATE_DB))
-    return F.array_max(F.transform(loud, lambda p: F.struct(p["thd_percent"].alias("thd_percent"), p["frequency_hz"].alias("frequency_hz"))))
+
+    def worst(points: Column) -> Column:
+        top = F.array_max(F.transform(F.filter(points, lambda p: is_finite(p["spl_db"])), lambda p: p["spl_db"]))
+        loud = lambda gate: F.filter(points, lambda p: is_finite(p["thd_percent"]) & (p["spl_db"] >= gate))
+        told = lambda gate: F.array_max(F.transform(loud(gate), lambda p: F.struct(p["thd_percent"].alias("thd_percent"), p["frequency_hz"].alias("frequency_hz"))))
+        return F.get(F.transform(F.array(top - GATE_DB), told), F.lit(0))
+
+    # arrays of one, so that the points and the gate are worked out once and not for each point
+    return F.get(F.transform(F.array(inside), worst), F.lit(0))
 
 
 def harmonics_told(harmonics: Column, points: Column) -> Column:
@@ -90,17 +96,21 @@ def sweep_findings(takes: DataFrame, keys: list[str]) -> DataFrame:
     quiet_power and single_take.
     """
     c, policy = F.col, "sweep_analysis"
-    band = control_band(c("sweep_lo"), c("sweep_hi"))
+    # what is used more than once is a column of its own, worked out once a row
+    ratio = F.try_divide(c("active_power"), c("quiet_power"))
+    takes = takes.withColumns({
+        "_band": control_band(c("sweep_lo"), c("sweep_hi")),
+        "_snr": F.when((c("active_power") > 0) & (c("quiet_power") > 0) & is_finite(ratio) & (ratio > 0), 10 * F.log10(ratio)),
+    })
+    takes = takes.withColumn("_worst", distortion_peak(c("curve"), c("_band")))
+    band, worst, snr = c("_band"), c("_worst"), c("_snr")
     swept = c("sweep_lo").isNotNull() & c("sweep_hi").isNotNull() & F.coalesce("harmonics_available", F.lit(False))
     edges = (band["lo_hz"], band["hi_hz"])
-    worst = distortion_peak(c("curve"), band)
     thd, hz = worst["thd_percent"], worst["frequency_hz"]
     good = thd <= MOST_THD
     unknown = lambda kind, limit, texts, **more: finding(more.pop("policy", policy), kind, F.lit("unknown"), F.lit(texts[2]), None, limit, F.lit(texts[0]), F.lit(texts[1]), **more)
     told = finding(policy, "thd", F.when(good, "pass").otherwise("warning"), F.format_string(THD_TOLD, thd, hz, F.when(good, "meets").otherwise("exceeds")), thd, MOST_THD, None, F.when(~good, THD_NEXT), edges)
     distorted = F.when(~swept, unknown("thd", MOST_THD, THD_NO_SWEEP, band=edges)).when(thd.isNull(), unknown("thd", MOST_THD, THD_NO_BINS, band=edges)).otherwise(told)
-    ratio = c("active_power") / c("quiet_power")
-    snr = F.when((c("active_power") > 0) & (c("quiet_power") > 0) & is_finite(ratio) & (ratio > 0), 10 * F.log10(ratio))
     quiet = snr >= LEAST_SINGLE_SNR
     heard = finding("single_take", "broadband_snr", F.when(quiet, "pass").otherwise("warning"), F.format_string(SINGLE_TOLD, snr, F.when(quiet, "meets").otherwise("is below")), snr, LEAST_SINGLE_SNR, None, F.when(~quiet, SINGLE_NEXT))
     single = F.when(snr.isNull(), unknown("broadband_snr", LEAST_SINGLE_SNR, SINGLE_UNKNOWN, policy="single_take")).otherwise(heard)
