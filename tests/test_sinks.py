@@ -109,3 +109,23 @@ def test_ears_events_and_fragments(spark, tmp_path):
     for _ in range(2):
         sinks.spool(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), str(tmp_path / "spooled"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "spooled")).count() == 2
+
+
+def test_one_writer_claims_a_name(spark, tmp_path):
+    from tonelake.sources.bundles import publish
+
+    target, wrote = tmp_path / "out", []
+
+    def second(staged):
+        wrote.append(staged)
+        with pytest.raises(FileExistsError, match="being written"):
+            publish(spark, str(target), lambda _: wrote.append("never"))
+        spark.range(3).write.parquet(staged)
+
+    publish(spark, str(target), second)
+    assert len(wrote) == 1 and spark.read.parquet(str(target)).count() == 3
+    with pytest.raises(FileExistsError):
+        publish(spark, str(target), lambda _: wrote.append("never"))
+    with pytest.raises(ZeroDivisionError):
+        publish(spark, str(tmp_path / "other"), lambda _: 1 / 0)
+    assert len(wrote) == 1 and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["out"]

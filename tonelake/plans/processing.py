@@ -30,7 +30,7 @@ from tonelake.plans import localization, positions, session
 from tonelake.sources.bundles import _file_system
 from tonelake.sources.documents import curve_rows, strict_json
 from tonelake.sources.recordings import LARGEST, decode, encode
-from tonelake.sources.sinks import FileRows
+from tonelake.sources.sinks import FileRows, put
 from tonelake.sources.staging import checkpointed
 
 # Names of a session's files, and the largest journal and calibration.
@@ -130,10 +130,7 @@ def _signal(path: str, rate: int) -> np.ndarray:
 def _put(folder: str, name: str, content: bytes) -> None:
     store, at = _store(folder)
     store.create_dir(at, recursive=True)
-    staged = posixpath.join(at, f".{uuid.uuid4().hex}.part")
-    with store.open_output_stream(staged) as out:
-        out.write(content)
-    store.move(staged, posixpath.join(at, name))
+    put(store, posixpath.join(at, name), content)
 
 
 _FACTS = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,17 +41,25 @@ def publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> Non
     """Lets ``write`` fill a folder beside ``path`` and then gives it that name.
 
     Readers see all of it or nothing, and a name that is taken stays as it is.
+    The name is claimed first, by a file that only one writer can create, so
+    that of two there is one winner. A driver that dies meanwhile leaves its
+    claim, which is to be removed by hand.
     """
     fs, target, at = _file_system(spark, path)
-    if fs.exists(target):
-        raise FileExistsError(path)
-    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    staged, claim = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}", at(f"{path.rstrip('/')}.claim")
     try:
+        fs.create(claim, False).close()
+    except Py4JJavaError as e:
+        raise FileExistsError(f"{path} is being written") from e
+    try:
+        if fs.exists(target):
+            raise FileExistsError(path)
         write(staged)
-        if fs.exists(target) or not fs.rename(at(staged), target):
+        if not fs.rename(at(staged), target):
             raise FileExistsError(path)
     finally:
         fs.delete(at(staged), True)
+        fs.delete(claim, False)
 
 
 def bundle_inventory(files: DataFrame, roles: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ again; a folder of them appears as a whole. Nothing passes through the driver.
 
 from __future__ import annotations
 
+import contextlib
 import posixpath
 import uuid
 from collections.abc import Iterator
@@ -29,6 +30,19 @@ REPORT_BYTES = 1 << 20
 FRAGMENT_BYTES = 32 << 20
 
 
+def put(store: fs.FileSystem, target: str, content: bytes) -> None:
+    """Writes a file under a name of its own and then gives it its name; a write that fails leaves nothing."""
+    staged = posixpath.join(posixpath.dirname(target), f".{uuid.uuid4().hex}.part")
+    try:
+        with store.open_output_stream(staged) as out:
+            out.write(content)
+        store.move(staged, target)
+    except BaseException:
+        with contextlib.suppress(OSError):
+            store.delete_file(staged)
+        raise
+
+
 class _Writer(DataSourceWriter):
     def __init__(self, path: str) -> None:
         self.path = path
@@ -38,10 +52,7 @@ class _Writer(DataSourceWriter):
         for row in iterator:
             target = posixpath.join(folder, row.name)
             store.create_dir(posixpath.dirname(target), recursive=True)
-            staged = posixpath.join(posixpath.dirname(target), f".{uuid.uuid4().hex}.part")
-            with store.open_output_stream(staged) as out:
-                out.write(bytes(row.content))
-            store.move(staged, target)
+            put(store, target, bytes(row.content))
         return WriterCommitMessage()
 
 
