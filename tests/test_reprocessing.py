@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from tonelake.operators import analysis
 from tonelake.plans import reprocessing
