@@ -8,28 +8,32 @@ from pyspark.sql import functions as F
 from tonelake.functions.levels import is_finite
 
 
-def interpolated(points: DataFrame, targets: DataFrame, keys: list[str], hz: str, value: str) -> DataFrame:
-    """(keys, hz, value): each target on the curve through its key's points, linear in log frequency.
+def interpolated(points: DataFrame, targets: DataFrame, keys: list[str], hz: str, value: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, hz, carried, value): each target on the curve through its key's points, linear in log frequency.
 
-    Points and targets are sorted together once, and each target takes the
-    last point below and the first above; beyond the ends the end point holds,
-    and a bracket that starts at 0 Hz gives its upper value.
+    Each point first learns the one after it. Then points and targets are
+    sorted together once, and each target takes the last bracket that begins
+    below it; beyond the ends the end point holds, and a bracket that starts at
+    0 Hz gives its upper value. Targets bring their ``carried`` columns along.
     """
-    both = points.select(*keys, F.col(hz).alias("f"), F.col(value).cast("double").alias("v"), F.lit(0).alias("t")).unionByName(
-        targets.select(*keys, F.col(hz).alias("f"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("t"))
-    )
-    order = Window.partitionBy(*keys).orderBy("f", "t")
-    point = F.when(F.col("t") == 0, F.struct("f", "v"))
-    lo = F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.first(point, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    rows = both.withColumns({"lo": lo, "hi": hi}).where("t = 1")
+    point, order = F.struct("f", "v"), Window.partitionBy(*keys).orderBy("f")
+    p = points.select(*keys, F.col(hz).alias("f"), F.col(value).cast("double").alias("v"))
+    p = p.withColumns({"_p": point, "_hi": F.lead(point).over(order), "_first": F.row_number().over(order) == 1})
+    # what is below the first point is a bracket with an upper end alone
+    ends = lambda t, f, lo, hi: F.struct(F.lit(t).alias("t"), f.alias("f"), F.struct(lo.alias("lo"), hi.alias("hi")).alias("b"))
+    none = lambda c: F.when(F.lit(False), F.col(c))
+    brackets = F.array_compact(F.array(F.when(F.col("_first"), ends(-1, none("f"), none("_p"), F.col("_p"))), ends(0, F.col("f"), F.col("_p"), F.col("_hi"))))
+    with_ends = p.select(*keys, F.explode(brackets).alias("e")).select(*keys, "e.f", "e.t", "e.b")
+    both = with_ends.unionByName(targets.select(*keys, F.col(hz).alias("f"), F.lit(1).alias("t"), *carried), allowMissingColumns=True)
+    below = Window.partitionBy(*keys).orderBy("f", "t").rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("b", F.last("b", ignorenulls=True).over(below)).where("t = 1").select(*keys, "f", *carried, "b.lo", "b.hi")
     share = F.ln(F.col("f") / F.when(F.col("lo.f") > 0, F.col("lo.f"))) / F.ln(F.col("hi.f") / F.when(F.col("lo.f") > 0, F.col("lo.f")))
     between = F.col("lo.v") + (F.col("hi.v") - F.col("lo.v")) * share
     found = (
         F.when(F.col("lo").isNull(), F.col("hi.v")).when(F.col("hi").isNull(), F.col("lo.v"))
         .when(F.col("lo.f") == F.col("f"), F.col("lo.v")).when(F.col("lo.f") <= 0, F.col("hi.v")).otherwise(between)
     )
-    return rows.select(*keys, F.col("f").alias(hz), F.coalesce(found, F.lit(0.0)).alias(value))
+    return rows.select(*keys, F.col("f").alias(hz), *carried, F.coalesce(found, F.lit(0.0)).alias(value))
 
 
 def gated_peak(curves: DataFrame, keys: list[str], hz: str, value: str, level: str, lo: float, hi: float, below: float = 20.0) -> DataFrame:

@@ -57,8 +57,8 @@ def pre_compensated(sweeps: DataFrame, points: DataFrame, keys: list[str], lo: f
     """
     k = seconds / math.log(hi / lo)
     at = sweeps.withColumn("hz", F.lit(lo) * F.exp(F.col("idx") / (rate * k)))
-    gain = interpolated(points.select(*keys, "hz", "db"), at.select(*keys, "hz").distinct(), keys, "hz", "db")
-    return at.join(gain, [*keys, "hz"]).select(*keys, "idx", (F.col("x") * F.pow(F.lit(10.0), -F.col("db") / 20)).alias("x"))
+    gain = interpolated(points.select(*keys, "hz", "db"), at.select(*keys, "hz", "idx", "x"), keys, "hz", "db", ("idx", "x"))
+    return gain.select(*keys, "idx", (F.col("x") * F.pow(F.lit(10.0), -F.col("db") / 20)).alias("x"))
 
 
 def octave_zones(lo: float, hi: float, bass: float) -> list[tuple[float, float, float]]:
