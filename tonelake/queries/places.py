@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import mul
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +43,9 @@ def _rooms(spark: SparkSession, sf_dir: str, off: float = 0.0) -> DataFrame:
     """Ranges between eight customers, as sources, and nine microphones of each session; of one kind of room one range is ``off``."""
     c, k = F.col("c_custkey"), F.col("microphone_id")
     kind = F.floor(c / 8) % 8
-    s = read(spark, sf_dir, "customer").select(F.floor(c / 8).alias("session"), kind.alias("kind"), c.alias("source_id"), (c * c * 7919 % 1009 / 250).alias("true_x"), (c * c * c * 31 % 997 / 250).alias("true_y"), (c * c * 101 % 991 / 400).alias("true_z"))
+    # remainders are taken first, so that the powers of large keys fit
+    power = lambda n, modulus: reduce(mul, [c % modulus] * n)
+    s = read(spark, sf_dir, "customer").select(F.floor(c / 8).alias("session"), kind.alias("kind"), c.alias("source_id"), (power(2, 1009) * 7919 % 1009 / 250).alias("true_x"), (power(3, 997) * 31 % 997 / 250).alias("true_y"), (power(2, 991) * 101 % 991 / 400).alias("true_z"))
     mics = {"at_x": k % 3 * 1.7, "at_y": F.floor(k / 3) % 3 * 1.9, "at_z": 0.4 + (k * k % 5) * 0.45}
     rows = s.withColumn("microphone_id", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumns(mics)
     far = acoustics.distance([F.col(f"true_{a}") for a in _AT], [F.col(f"at_{a}") for a in _AT])
