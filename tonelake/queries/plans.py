@@ -15,7 +15,7 @@ from tonelake.plans.positions import solvable
 from tonelake.sources import bundles, documents
 from tonelake.streaming import live
 
-from .stand_ins import measurements, read, rounded
+from .stand_ins import measurements, nearest, read, rounded
 
 
 def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +163,7 @@ def session_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def position_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of suppliers as lines of a report."""
-    s = read(spark, sf_dir, "supplier").withColumn("x", F.when(F.col("s_suppkey") % 4 != 0, F.round(F.col("s_acctbal") / 1000, 1)))
+    s = read(spark, sf_dir, "supplier").withColumn("x", F.when(F.col("s_suppkey") % 4 != 0, nearest(F.col("s_acctbal") / 1000, 1)))
     line = localization.position_line(F.col("s_name"), F.col("x"), F.col("s_nationkey") * 0.5, F.lit(1.25), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_nationkey") / 2000), F.when(F.col("s_suppkey") % 5 != 0, F.col("s_nationkey") * 0.5), F.col("s_suppkey") % 2 == 0, F.when(F.col("s_suppkey") % 8 == 0, "solve_failed"))
     return s.select("s_suppkey", line.alias("line"), localization.bench_bias(F.col("s_suppkey") % 2 == 0, F.when(F.col("s_suppkey") % 3 != 0, F.col("s_nationkey") / 100)).alias("b")).select("s_suppkey", "line", "b.*")
 

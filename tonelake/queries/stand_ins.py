@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,8 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def nearest(x: Column, digits: int) -> Column:
+    """``x`` as SQL rounds it: the product with a power of ten, halves away from zero; what becomes zero keeps its sign."""
+    return F.signum(x) * F.round(F.abs(x) * 10.0**digits) / 10.0**digits
