@@ -18,9 +18,14 @@ from tonelake.streaming import live
 from .stand_ins import measurements, nearest, read, rounded
 
 
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers dealt over tasks: a plan costs much more than its row shows, and by their size alone hundreds of thousands of rows fall to one task."""
+    return read(spark, sf_dir, "customer").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+
+
 def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session plan for each customer, some of them broken in one way or another."""
-    c = read(spark, sf_dir, "customer")
+    c = _spread(spark, sf_dir)
     k = F.col("c_custkey") % 12
     none = F.lit(None)
 
@@ -52,7 +57,7 @@ def plan_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plan_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans with every optional part, most of them broken in one of these."""
-    c = read(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey") % 17)
+    c = _spread(spark, sf_dir).withColumn("k", F.col("c_custkey") % 17)
     k, none = F.col("k"), F.lit(None)
     at = lambda n, bad, good: F.when(k == n, F.lit(bad)).otherwise(F.lit(good))
     mic = lambda i: F.struct(F.lit(f"m{i}").alias("id"), (at(10, "usb", "card") if i == 1 else F.lit("card")).alias("device"), F.lit(i).alias("input_channel"), F.lit("cal.txt").alias("calibration_file"), F.lit("on_axis").alias("calibration_orientation"), F.lit(0.0).alias("gain_db"))
