@@ -164,11 +164,15 @@ def children(plans: DataFrame, key: str, plan: str, part: str) -> DataFrame:
 
 
 def expected_takes(plans: DataFrame, key: str, plan: str) -> DataFrame:
-    """(key, source_id, microphone_id, repeat_index): every take a plan asks for."""
+    """(key, source_id, microphone_id, repeat_index): every take a plan asks for.
+
+    Outer explosions, whose empty rows are dropped, since Spark filters before
+    plain ones by what is exploded: it would parse plans where rows are read.
+    """
     p = F.col(plan)
-    rows = plans.select(key, F.explode(p["sources"]["id"]).alias("source_id"), p["microphones"]["id"].alias("_m"), F.coalesce(p["repeat_count"], F.lit(1)).alias("_n"))
-    rows = rows.select(key, "source_id", F.explode("_m").alias("microphone_id"), "_n")
-    return rows.select(key, "source_id", "microphone_id", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("repeat_index"))
+    rows = plans.select(key, F.posexplode_outer(p["sources"]["id"]).alias("_i", "source_id"), p["microphones"]["id"].alias("_m"), F.coalesce(p["repeat_count"], F.lit(1)).alias("_n")).where("_i is not null")
+    rows = rows.select(key, "source_id", F.posexplode_outer("_m").alias("_i", "microphone_id"), "_n").where("_i is not null")
+    return rows.select(key, "source_id", "microphone_id", F.explode_outer(F.sequence(F.lit(0), F.col("_n") - 1)).alias("repeat_index"))
 
 
 def stimulus_layout(rate: Column, sweep: Column) -> Column:
