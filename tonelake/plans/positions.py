@@ -25,6 +25,8 @@ from tonelake.functions.levels import is_finite
 FLAT_M, LEAST_RANGES, LEAST_ANCHORS = 1e-3, 4, 3
 HUBER, BEYOND, TUKEY = 3.0, 3.5, (30.0, 10.0, 4.685)
 ROUNDS, STEP_M, DAMPING = 100, 1e-9, 1e-9
+#: What the rounding of doubles may add to a range, as a part of the largest number it is worked out from.
+ROUNDING = 1e-14
 #: Points that are solved together.
 BATCH = 256
 #: Up to so many ranges, a wild one may well pass for a sound one, and each is left out in turn.
@@ -141,14 +143,21 @@ def _descended(at: np.ndarray, d: np.ndarray, s: np.ndarray, used: np.ndarray, x
 
 
 def _fitted(at: np.ndarray, d: np.ndarray, s: np.ndarray, used: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """The best of the places that the starts lead to; the earlier one where they tie."""
+    """The best of the places that the starts lead to; the earlier one where they tie.
+
+    Of anchors that are all but in a plane, the mirror place may fit to less than
+    a micrometre and still be the wrong one. So places tie where nothing but
+    rounding tells them apart, or where their costs are within a millionth.
+    """
     starts = _starts(at, d, s, used)
     many = starts.shape[1]
     again = lambda a: np.repeat(a, many, axis=0)
     x = _descended(again(at), again(d), again(s), again(used), starts.reshape(-1, 3), rounds)
     z = np.abs(again(d) - _gaps(again(at), x)[0]) / again(s)
     cost = np.where(again(used), np.where(z <= HUBER, z * z / 2, HUBER * z - HUBER * HUBER / 2), 0.0).sum(1).reshape(-1, many)
-    tied = cost <= cost.min(1)[:, None] * (1 + 1e-6) + 1e-9
+    largest = np.maximum(np.abs(at).max((1, 2)), np.where(used, d, 0.0).max(1, initial=1e-3))
+    slack = ROUNDING * largest * np.sqrt(np.where(used, 1 / (s * s), 0.0).sum(1))
+    tied = np.sqrt(cost) <= (np.sqrt(cost.min(1)) * (1 + 5e-7) + slack)[:, None]
     return x.reshape(-1, many, 3)[np.arange(len(at)), tied.argmax(1)]
 
 
